@@ -68,8 +68,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id"""
 
 
+def op5_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical exact digests of every text and of its edit, with their likeness."""
+    from lectern.llm.exact_digest import edited_likeness
+
+    return edited_likeness(spark, _table(spark, sf_dir, "documents"))
+
+
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a chunked wave file, read back and measured."""
+    from lectern.llm.media_chunks import media_features
+
+    return media_features(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup}
+    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op7_media_chunks": op7_media_chunks}
 
 
 def oracle_sql() -> dict[str, str]:
