@@ -82,9 +82,31 @@ def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all sources takes of every document."""
+    from lectern.llm.mixture import mix_report
+
+    return mix_report(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, and read back by the index."""
+    from lectern.llm.warc_index import archive_report
+
+    found = archive_report(spark, _table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM q LEFT JOIN f USING (payload_digest)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op7_media_chunks": op7_media_chunks}
+    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op10_warc_index": op10_warc_index}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_ledger": _op1_sql(), "op4_line_dedup": _OP4_SQL}
+    return {"op1_secret_ledger": _op1_sql(), "op4_line_dedup": _OP4_SQL, "op10_warc_index": _OP10_SQL}
