@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,6 +75,21 @@ def op5_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(spark, _table(spark, sf_dir, "documents"))
 
 
+def _held_out(of: int, at: int) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(of)) == at
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels of rows that aren't held out."""
+    from lectern.llm import toxicity as T
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = _held_out(5, 0)
+    model = T.train(docs.where(~out), labels.where(~out).select("doc_id", "toxic"))
+    score = T.scores(spark, model, F.col("text"))
+    return docs.select("doc_id", out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a chunked wave file, read back and measured."""
     from lectern.llm.media_chunks import media_features
@@ -89,6 +104,17 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from rows that aren't held out."""
+    from lectern.llm import language_id as L
+
+    docs = _table(spark, sf_dir, "documents")
+    out = _held_out(4, 2)
+    model = L.train(docs.where(~out).select("text", "lang"))
+    found = docs.select("doc_id", out.alias("held_out"), L.identify(spark, model, F.col("text")).alias("f"))
+    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"), F.col("f.ambiguous").alias("ambiguous"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived, and read back by the index."""
     from lectern.llm.warc_index import archive_report
@@ -105,7 +131,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op10_warc_index": op10_warc_index}
+    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index}
 
 
 def oracle_sql() -> dict[str, str]:
