@@ -94,7 +94,7 @@ def edited_likeness(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
     exact digests is 1 for equal canonical bytes and 0 otherwise.
     """
     ring = neighbours(classes(spark, docs, id, text))
-    rows = _rows(docs, id, text)
+    rows = _rows(docs, id, text).select("k", "tie", "text")  # the same columns on both ways: texts are shuffled once
     third = F.floor(F.col("prev.n_chars") / 3).cast("int")
     heads = rows.join(ring, ["k", "tie"]).select(F.col("prev.k").alias("k"), F.col("prev.tie").alias("tie"), F.substring(F.col("text"), F.lit(1), third).alias("head"))
     if not rows.select("k", "tie").groupBy("k", "tie").count().where("count > 1").isEmpty():
@@ -103,13 +103,13 @@ def edited_likeness(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
     whole = (
         rows.join(heads, ["k", "tie"]).join(ring, ["k", "tie"])
         .withColumn("edit", F.concat(F.substring(F.col("text"), F.lit(1), keep), F.col("head")))
-        .select("id", "n_chars", "h1", "h2", "cls", "next", "text", "edit", canonical(F.col("edit")).alias("canon_edit"))
+        .select("k", "n_chars", "h1", "h2", "cls", "next", "text", "edit", canonical(F.col("edit")).alias("canon_edit"))
     )
     e1, e2 = halves(F.col("canon_edit"))
     same = (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))
     after = (F.col("h1") == F.col("next.h1")) & (F.col("h2") == F.col("next.h2")) & (F.col("cls") == F.col("next.cls"))
     return whole.withColumns({"e1": e1, "e2": e2}).select(
-        F.col("id").alias(id),
+        F.when(F.col("k") != _NONE, F.col("k")).cast(docs.schema[id].dataType).alias(id),
         "n_chars",
         F.sha2("edit", 256).alias("edited_sha256"),
         hex_digest(F.col("h1"), F.col("h2")).alias("fingerprint"),
