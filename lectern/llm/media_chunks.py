@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,8 @@ def features(payload: bytes) -> str:
 
 
 def _digest(chunk: bytes) -> bytes:
-    return hashlib.sha256(chunk).digest()
+    """A chunk's address: the first 128 bits of its SHA-256."""
+    return hashlib.sha256(chunk).digest()[:16]
 
 
 def _parts(media: bytes) -> list[bytes]:
@@ -93,131 +95,146 @@ _LIST = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.int32())]))
 
 
 def chunk_lists(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, object, n_bytes, chunks) for each row; object addresses the text, chunks: the file's ordered list."""
+    """(id, object, chunks) for each row; object addresses the text (128 bits of its SHA-256), chunks: the file's ordered list."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, lists = [], []
-            for t in batch.column(2):
-                n, payload = payload_of(t.as_py())
-                sizes.append(n)
-                lists.append([{"digest": _digest(c), "bytes": len(c)} for c in _parts(to_wave(payload))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(lists, _LIST)], ["id", "object", "n_bytes", "chunks"])
+            lists = [[{"digest": _digest(c), "bytes": len(c)} for c in _parts(to_wave(payload_of(t.as_py())[1]))] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, _LIST)], ["id", "object", "chunks"])
 
     rows = _rows(docs, id, text)
-    return rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, object binary, n_bytes long, chunks array<struct<digest:binary,bytes:int>>")
+    return rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, object binary, chunks array<struct<digest:binary,bytes:int>>")
 
 
 def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(id).alias("id"), F.unhex(F.sha2(t, 256)).alias("object"), t.alias("text"))
+    return docs.select(F.col(id).alias("id"), F.unhex(F.substring(F.sha2(t, 256), 1, 32)).alias("object"), t.alias("text"))
 
 
+@dataclass(frozen=True)
 class MediaStore:
-    """Files in two tables: containers (object, media_sha256, roles, body) and shared chunks (digest, bytes)."""
+    """Files in two tables: containers, with what a file alone holds, and shared chunks (digest, bytes).
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A container has its row's id, the file's address and digest, its number of bytes unpadded, the ordered
+    list of its chunks (roles and sizes; empty if it shares none) and the bytes of its own chunks.
+    """
+
+    spark: SparkSession
+    path: str
+    id_type: str
+    common: DataFrame  # (object, seq, digest) of the shared chunks
+    second: DataFrame  # (id, object) of rows whose file another row's container holds
 
     def containers(self) -> DataFrame:
-        return self.spark.read.schema("object binary, media_sha256 binary, roles array<int>, body binary").parquet(f"{self.path}/kind=0")
+        schema = f"id {self.id_type}, object binary, media_sha256 binary, n_bytes long, roles array<int>, sizes array<int>, body binary"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/kind=0").where("object is not null")
 
     def shared(self) -> DataFrame:
-        return self.spark.read.schema("object binary, body binary").parquet(f"{self.path}/kind=1").select(F.col("object").alias("digest"), F.col("body").alias("bytes"))
+        return self.spark.read.schema("object binary, body binary").parquet(f"{self.path}/kind=1").where("object is not null").select(F.col("object").alias("digest"), F.col("body").alias("bytes"))
 
 
-def store(spark: SparkSession, docs: DataFrame, lists: DataFrame, path: str, id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> tuple[MediaStore, DataFrame]:
-    """Write the files of docs, each distinct chunk once; (the store, (object, seq, digest) of the shared chunks)."""
-    holders = lists.groupBy("object").agg(F.min("id").alias("holder"), F.count("*").alias("rows"))
-    copies = materialise(holders.where("rows > 1 or holder is null").select("object", "holder"), "media-copies")
-    # one row for each object: only objects of several rows have to choose
-    single = lists.join(copies, "object", "left_anti").select("object", "chunks").union(
-        lists.join(copies, (lists["object"] == copies["object"]) & lists["id"].eqNullSafe(copies["holder"]), "left_semi").select("object", "chunks").dropDuplicates(["object"])
-    )
-    places = materialise(single.select("object", F.posexplode("chunks").alias("seq", "c")).select("object", "seq", "c.digest"), "media-places")
-    owners = materialise(places.groupBy("digest").agg(F.min(F.struct("object", "seq")).alias("own"), F.count("*").alias("n")).where("n > 1").drop("n"), "media-owners")
-    common = materialise(places.join(owners, "digest").select("object", "seq", "digest", ((F.col("own.object") == F.col("object")) & (F.col("own.seq") == F.col("seq"))).alias("owned")), "media-common")
-    # roles by seq: 0 in the container, 1 shared and written here, 2 shared and written elsewhere
+def store(spark: SparkSession, docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> MediaStore:
+    """Write the files of docs below path, each distinct chunk once.
+
+    Rows of one id and one text can't be told apart: each of them has a container.
+    """
+    small = lambda df: broadcast_if_small(df, broadcast_rows)
+    lists = materialise(chunk_lists(docs, id, text), "media-lists")
+    copies = materialise(lists.groupBy("object").agg(F.min("id").alias("holder"), F.count("*").alias("rows")).where("rows > 1").select("object", "holder"), "media-copies")
+    met = lists.select("id", "object", "chunks").join(small(copies), "object", "left")
+    single = F.col("holder").isNull() | F.col("id").eqNullSafe(F.col("holder"))
+    second = materialise(lists.select("id", "object").join(small(copies), "object").where(~F.col("id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull()).select("id", "object"), "media-second")
+    # rows whose id repeats may give a place twice; a place is an object and a number
+    places = met.where(single).select("object", F.posexplode("chunks").alias("seq", "c")).select("object", "seq", "c.digest")
+    places = materialise(places, "media-places")
+    owners = places.groupBy("digest").agg(F.min(F.struct("object", "seq")).alias("own"), F.max(F.struct("object", "seq")).alias("other")).where("own <> other").select("digest", "own")
+    owners = materialise(owners, "media-owners")
+    owned = (F.col("own.object") == F.col("object")) & (F.col("own.seq") == F.col("seq"))
+    common = materialise(places.join(small(owners), "digest").select("object", "seq", "digest", owned.alias("owned")).distinct(), "media-common")
+    # roles by number: 1 shared and written here, 2 shared and written elsewhere; others are the container's own
     role = F.map_from_entries(F.collect_list(F.struct("seq", F.when(F.col("owned"), 1).otherwise(2))))
     sharing = materialise(common.groupBy("object").agg(role.alias("roles")), "media-sharing")
-    second = materialise(
-        lists.join(copies, "object").where(~F.col("id").eqNullSafe(F.col("holder"))).select("object", "id").distinct(), "media-second"
-    )  # rows whose object another row holds
     rows = _rows(docs, id, text)
-    second = broadcast_if_small(second, broadcast_rows)
-    rows = rows.join(second, rows["object"].eqNullSafe(second["object"]) & rows["id"].eqNullSafe(second["id"]), "left_anti")
-    rows = rows.join(broadcast_if_small(sharing, broadcast_rows), "object", "left").select("object", "text", "roles")
+    gone = small(second.distinct())
+    rows = rows.join(gone, rows["object"].eqNullSafe(gone["object"]) & rows["id"].eqNullSafe(gone["id"]), "left_anti")
+    rows = rows.join(small(sharing), "object", "left").select("id", "object", "text", "roles")
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, t, roles in zip(*batch.columns, strict=True):
-                media = to_wave(payload_of(t.as_py())[1])
-                role = dict(roles.as_py() or ())
-                body, order = media, []
+            for key, address, t, roles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, payload = payload_of(t)
+                media = to_wave(payload)
+                role = dict(roles or ())
+                body, order, sizes = media, [], []
                 if role:
                     parts = _parts(media)
-                    order = [role.get(i, 0) for i in range(len(parts))]
+                    order, sizes = [role.get(i, 0) for i in range(len(parts))], [len(p) for p in parts]
                     body = b"".join(p for p, r in zip(parts, order, strict=True) if r == 0)
-                    out += [(1, _digest(p), None, None, p) for p, r in zip(parts, order, strict=True) if r == 1]
-                out.append((0, key.as_py(), _digest(media), order, body))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "object", "media_sha256", "roles", "body"])
-
-    written = rows.mapInArrow(of, "kind int, object binary, media_sha256 binary, roles array<int>, body binary")
-    empty = spark.createDataFrame([(k, None, None, None, None) for k in (0, 1)], written.schema)  # both folders exist, whatever is in them
-    empty.write.partitionBy("kind").parquet(path)
+                    out += [(1, None, _digest(p), None, None, None, None, p) for p, r in zip(parts, order, strict=True) if r == 1]
+                out.append((0, key, address, hashlib.sha256(media).digest(), n, order, sizes, body))
+            kinds = (pa.int32(), batch.schema.field(0).type, pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+            names = ["kind", "id", "object", "media_sha256", "n_bytes", "roles", "sizes", "body"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    written = rows.mapInArrow(of, f"kind int, id {id_type}, object binary, media_sha256 binary, n_bytes long, roles array<int>, sizes array<int>, body binary")
+    none = [(k, None, None, None, None, None, None, None) for k in (0, 1)]  # both folders exist, whatever is in them
+    spark.createDataFrame(none, written.schema).write.partitionBy("kind").parquet(path)
     written.write.mode("append").option("compression", "zstd").partitionBy("kind").parquet(path)
-    return MediaStore(spark, path), common.select("object", "seq", "digest")
+    return MediaStore(spark, path, id_type, common.select("object", "seq", "digest"), second)
+
 
+def _rebuilt(body: bytes, order: list[int] | None, sizes: list[int] | None, parts: dict[int, bytes]) -> bytes:
+    if not order:
+        return body
+    at, pieces = 0, []
+    for i, (role, n) in enumerate(zip(order, sizes, strict=True)):
+        if role == 0:
+            pieces.append(body[at : at + n])
+            at += n
+        else:
+            pieces.append(parts[i])
+    return b"".join(pieces)
 
-def read_back(media: MediaStore, common: DataFrame, lists: DataFrame) -> DataFrame:
-    """(object, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every stored file.
+
+def read_back(media: MediaStore) -> DataFrame:
+    """(id, object, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every container.
 
     Files that share nothing are read from their containers, without a shuffle. A file that isn't what
     was stored raises an error.
     """
-    out = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema = pa.schema([("object", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-
-    def rebuilt(body: bytes, order: list[int] | None, parts: dict | None, sizes: list[int] | None) -> bytes:
-        if not order:
-            return body
-        at, pieces = 0, []
-        for i, (r, n) in enumerate(zip(order, sizes, strict=True)):
-            if r == 0:
-                pieces.append(body[at : at + n])
-                at += n
-            else:
-                pieces.append(parts[i])
-        return b"".join(pieces)
+    fields = [("object", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string())]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, sha, order, body, parts, sizes in zip(*(c for c in batch.columns), strict=True):
-                file = rebuilt(body.as_py(), order.as_py(), {p["seq"]: p["bytes"] for p in parts.as_py() or ()}, sizes.as_py())
-                if _digest(file) != sha.as_py():
-                    raise ValueError(f"stored media {key.as_py().hex()} can't be rebuilt")
+            for address, sha, n, order, sizes, body, parts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                file = _rebuilt(body, order, sizes, {p["seq"]: p["bytes"] for p in parts or ()})
+                if hashlib.sha256(file).digest() != sha:
+                    raise ValueError(f"stored media {address.hex()} can't be rebuilt")
                 payload = from_wave(file)
-                rows.append((key.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), sha.as_py().hex(), features(payload)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows.append((address, n, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(file), sha, features(payload)))
+            made = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", *(n for n, _ in fields)])
 
-    files = media.containers().where("object is not null")
-    parts_type = "array<struct<seq:int,bytes:binary>>"
-    plain = files.where(F.size("roles") == 0).select("object", "media_sha256", "roles", "body", F.lit(None).cast(parts_type).alias("parts"), F.lit(None).cast("array<int>").alias("sizes"))
-    chunks = media.shared().where("digest is not null")
-    parts = common.join(chunks, "digest").groupBy("object").agg(F.collect_list(F.struct("seq", "bytes")).alias("parts"))
-    sizes = lists.join(common.select("object").distinct(), "object", "left_semi").select("object", F.transform("chunks", lambda c: c["bytes"]).alias("sizes")).dropDuplicates(["object"])
-    mixed = files.where(F.size("roles") > 0).join(parts, "object").join(sizes, "object").select("object", "media_sha256", "roles", "body", "parts", "sizes")
-    return plain.union(mixed).mapInArrow(of, out)
+    files = media.containers()
+    plain = files.where(F.size("roles") == 0).withColumn("parts", F.lit(None).cast("array<struct<seq:int,bytes:binary>>"))
+    parts = media.common.join(media.shared(), "digest").groupBy("object").agg(F.collect_list(F.struct("seq", "bytes")).alias("parts"))
+    mixed = files.where(F.size("roles") > 0).join(parts, "object").select(*plain.columns)
+    out = f"id {media.id_type}, object binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+    order = ["id", "object", "media_sha256", "n_bytes", "roles", "sizes", "body", "parts"]
+    return plain.select(*order).union(mixed.select(*order)).mapInArrow(of, out)
 
 
 def media_features(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """Every row's payload stored as a chunked file, read back and measured; the columns of read_back() by id."""
-    lists = materialise(chunk_lists(docs, id, text), "media-lists")
-    media, common = store(spark, docs, lists, new_path(spark, "media-store"), id, text, broadcast_rows)
-    measured = materialise(read_back(media, common, lists).dropDuplicates(["object"]), "media-measured")
-    return lists.select("id", "object", "n_bytes").join(measured, "object").select(
-        F.col("id").alias(id), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.lower(F.hex("object")).alias("object")
+    """Every row's payload stored as a chunked file, read back and measured; the columns of read_back() by id, digests in hex."""
+    media = store(spark, docs, new_path(spark, "media-store"), id, text, broadcast_rows)
+    measured = materialise(read_back(media), "media-measured")
+    copied = measured.join(broadcast_if_small(media.second.select("object").distinct(), broadcast_rows), "object", "left_semi")
+    copied = materialise(copied.drop("id").dropDuplicates(["object"]), "media-copied")
+    again = media.second.join(broadcast_if_small(copied, broadcast_rows // 5), "object").select(*measured.columns)
+    text_of = lambda c: F.lower(F.hex(c)).alias(c)
+    return measured.union(again).select(
+        F.col("id").alias(id), "n_bytes", "payload_bytes", text_of("payload_sha256"), "tail_crc32", "media_bytes", text_of("media_sha256"), "feature", text_of("object")
     )
