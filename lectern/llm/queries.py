@@ -49,6 +49,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in pieces, with seeded merge-dropout, and whether decoding gives it back."""
+    from lectern.llm.merge_dropout import encode_rows
+
+    made = encode_rows(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", F.size("__ids").cast("long").alias("n_pieces"), F.col("__lossless").alias("lossless"), F.col("__ids").alias("ids"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in the largest of them only."""
     from lectern.llm.line_index import dedup_lines
@@ -131,7 +139,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index}
+    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op3_merge_dropout": op3_merge_dropout, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index}
 
 
 def oracle_sql() -> dict[str, str]:
