@@ -17,6 +17,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,10 @@ BLANK = "▁"
 _OWN = "\ud800"
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _ALL = (1 << 64) - 1
-_NEVER = float("inf")
-#: Segments up to so many code points are cut by scanning, longer ones by a heap.
-_SHORT = 32
+#: Segments up to so many code points are cut together as rows of matrices of so many rows, others by a heap each.
+_SHORT, _MATRIX = 32, 4096
+_NONE = np.iinfo(np.int32).max
+_CHARS = 1 << 21
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -58,11 +60,121 @@ class Pieces:
             self.pieces.append(out)
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a piece spans segments")
+        self.of_point = np.full(0x110000, -1, np.int32)  # the pieces of one character
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.of_point[ord(p)] = i
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """A hash table of all pairs of pieces that are a piece when joined: key, place among the scores, joined piece."""
+        order = {r: i for i, r in enumerate(sorted(set(self.rank.values())))}
+        found = [(l << 32 | r, order[self.rank[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if (l := self.ids.get(p[:k])) is not None and (r := self.ids.get(p[k:])) is not None]
+        keys, ranks, joined = (np.array(c, np.int64) for c in zip(*found, strict=True))
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks, self.joined = np.full(1 << self.bits, _NONE, np.int32), np.zeros(1 << self.bits, np.int32)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):  # linear probing: in each round the first of those that want a free slot has it
+            here = at[todo]
+            free = self.keys[here] == -1
+            first = np.zeros(len(todo), bool)
+            first[np.unique(np.where(free, here, -1), return_index=True)[1]] = True
+            won = first & free
+            self.keys[here[won]], self.ranks[here[won]], self.joined[here[won]] = keys[todo[won]], ranks[todo[won]], joined[todo[won]]
+            todo = todo[~won]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, joined piece) of each pair; rank _NONE where it is no piece."""
+        keys = left.astype(np.int64) << 32 | right
+        at = self._slot(keys)
+        there = self.keys[at]
+        todo = np.flatnonzero((there != keys) & (there != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[todo]]
+            todo = todo[(there != keys[todo]) & (there != -1)]
+        rank = np.where(self.keys[at] == keys, self.ranks[at], _NONE)
+        return rank, self.joined[at]
+
+    def segments(self, texts: list[str], rate: float = 0.0, seed: int = 0) -> list[tuple[int, ...]]:
+        """The ids of each segment. Short ones are cut together, a row of a matrix each, sorted by length."""
+        out: list[tuple[int, ...] | None] = [None] * len(texts)
+        if not texts:
+            return []
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids = self.of_point[points]
+        ids = np.where(ids < 0, points.astype(np.int32) + len(self.pieces), ids)  # what is no piece is a number that none has
+        begin = np.cumsum(size) - size
+        plain = np.flatnonzero(size <= _SHORT)
+        plain = plain[np.argsort(size[plain], kind="stable")]
+        for at in range(0, len(plain), _MATRIX):
+            part = plain[at : at + _MATRIX]
+            n = size[part]
+            columns = np.arange(n[-1])
+            inside = columns < n[:, None]
+            symbols = np.where(inside, ids[np.where(inside, begin[part][:, None] + columns, 0)], 0)
+            keys = np.fromiter((xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass"), seed) for i in part.tolist()), np.uint64, len(part)) if rate else None
+            for i, row in zip(part.tolist(), self._matrix(symbols, n, keys, rate), strict=True):
+                out[i] = row
+        return [tuple(self.segment(t, rate, seed)) if x is None else x for t, x in zip(texts, out, strict=True)]
+
+    def _matrix(self, symbols: np.ndarray, n: np.ndarray, keys: np.ndarray | None, rate: float) -> list[tuple[int, ...]]:
+        """Agenda processing of all rows in step: each takes its best pair, the leftmost of equals, and merges or skips it.
+
+        A symbol stays in the column where it begins; after and before link what is left of a row.
+        """
+        rows, width = symbols.shape
+        alive = np.arange(width) < n[:, None]
+        after = np.broadcast_to(np.arange(1, width + 1), symbols.shape).copy()
+        after[np.arange(rows), n - 1] = width
+        before = np.broadcast_to(np.arange(-1, width - 1), symbols.shape).copy()
+        ranks, joined = np.full(symbols.shape, _NONE, np.int32), np.zeros(symbols.shape, np.int32)
+        pairs = alive[:, 1:]
+        ranks[:, :-1][pairs], joined[:, :-1][pairs] = self._find(symbols[:, :-1][pairs], symbols[:, 1:][pairs])
+        live, below = np.arange(rows), np.uint64(int(rate * 2**64))
+        while len(live):
+            r = ranks[live]
+            best = r.argmin(axis=1)
+            open_ = r[np.arange(len(live)), best] != _NONE
+            live, b = live[open_], best[open_]
+            merge, piece = live, joined[live, b]
+            if keys is not None:
+                h = keys[live] ^ (b.astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64))
+                h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+                skip = (h ^ (h >> np.uint64(33))) < below
+                ranks[live[skip], b[skip]] = _NONE
+                merge, b, piece = live[~skip], b[~skip], piece[~skip]
+            c = after[merge, b]
+            d = after[merge, c]
+            symbols[merge, b], after[merge, b] = piece, d
+            alive[merge, c], ranks[merge, c] = False, _NONE
+            right, a = d < width, before[merge, b]
+            before[merge[right], d[right]] = b[right]
+            ranks[merge[~right], b[~right]] = _NONE
+            left = a >= 0
+            row, at = np.concatenate([merge[right], merge[left]]), np.concatenate([b[right], a[left]])
+            ranks[row, at], joined[row, at] = self._find(symbols[row, at], symbols[row, np.concatenate([d[right], b[left]])])
+        flat, ends = symbols[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+        out = [tuple(flat[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        most = len(self.pieces)
+        for i in np.flatnonzero((symbols * alive).max(axis=1) >= most).tolist():
+            out[i] = tuple(x for s in out[i] for x in ((s,) if s < most else self._spell(chr(s - most))))
+        return out
+
+    def _spell(self, character: str) -> list[int]:
+        """The byte pieces of a character."""
+        return [self.bytes[x] for x in (BLANK if character == _OWN else character).encode()]
 
     def segment(self, text: str, rate: float = 0.0, seed: int = 0) -> list[int]:
         """The ids of one segment; a candidate is skipped where the hash of segment and span, under the seed, is below the rate."""
-        below, raw = int(rate * 2**64), text.encode("utf-8", "surrogatepass") if rate else b""
-        symbols = self._short(text, raw, below, seed) if len(text) <= _SHORT else self._long(text, raw, below, seed)
+        symbols = self._long(text, text.encode("utf-8", "surrogatepass"), int(rate * 2**64), seed)
         ids = self.ids
         try:
             return [ids[s] for s in symbols]
@@ -70,30 +182,9 @@ class Pieces:
             out: list[int] = []
             for s in symbols:
                 i = ids.get(s)
-                out += [i] if i is not None else [self.bytes[x] for x in (BLANK if s == _OWN else s).encode()]
+                out += [i] if i is not None else self._spell(s)
             return out
 
-    def _short(self, text: str, raw: bytes, below: int, seed: int) -> list[str]:
-        """The agenda is a list of the neighbours' ranks, scanned for the least."""
-        symbols, rank, drop = list(text), self.rank.get, xxhash.xxh64_intdigest
-        ranks = [rank(x + y, _NEVER) for x, y in zip(symbols, symbols[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == _NEVER:
-                break
-            i = ranks.index(best)
-            piece = symbols[i] + symbols[i + 1]
-            if below and drop(raw, seed + (sum(map(len, symbols[:i])) << 16 | len(piece))) < below:
-                ranks[i] = _NEVER
-                continue
-            symbols[i : i + 2] = [piece]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(symbols[i - 1] + piece, _NEVER)
-            if i < len(ranks):
-                ranks[i] = rank(piece + symbols[i + 1], _NEVER)
-        return symbols
-
     def _long(self, text: str, raw: bytes, below: int, seed: int) -> list[str]:
         """The agenda is a heap, for segments of any length."""
         symbols: list[str | None] = list(text)
@@ -120,50 +211,78 @@ class Pieces:
 
     def decode(self, ids: Iterator[int] | list[int] | np.ndarray) -> str:
         """The text that was encoded: pieces joined, without the blank in front."""
-        return b"".join([self.pieces[i] for i in ids])[1:].decode()
+        listed = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        return b"".join(map(self.pieces.__getitem__, listed))[1:].decode()
 
 
 class Encoder:
     """Encodes texts, remembering the segments it has cut (up to a bound)."""
 
-    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int = 2, remember: int = 600_000):
+    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int = 2, remember: int = 300_000):
         self.pieces, self.rate, self.seed = pieces, rate, seed
         self.variants = variants if rate else 1
         self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
         self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
         self.most = remember // (2 * self.variants)
 
-    def _cut(self, segment: str, variant: int) -> tuple[int, ...]:
-        """Cut a segment that isn't among the newer half of what is remembered."""
-        out = self.older[variant].get(segment)
-        if out is None:
-            out = tuple(self.pieces.segment(segment, self.rate, (self.seed << 32) + (variant << 24)))  # tuples of numbers are nothing to the garbage collector
-        if len(segment) <= _SHORT:
-            table = self.known[variant]
-            if len(table) >= self.most:
-                self.older[variant] = table
-                table = self.known[variant] = {}
-            table[segment] = out
+    def _learn(self, variant: int, wanted: set[str]) -> dict[str, tuple[int, ...]]:
+        """The variant's table, with all wanted segments in it."""
+        if len(self.known[variant]) >= self.most:
+            self.older[variant], self.known[variant] = self.known[variant], {}
+        table, older = self.known[variant], self.older[variant]
+        new = []
+        for s in wanted.difference(table):
+            found = older.get(s)
+            if found is None:
+                new.append(s)
+            else:
+                table[s] = found
+        table.update(zip(new, self.pieces.segments(new, self.rate, (self.seed << 32) + (variant << 24)), strict=True))
+        return table
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The ids of each text. A text's segments take the variants in turn, from one that the text's hash chooses."""
+        v, cut = self.variants, []
+        wanted: list[set[str]] = [set() for _ in range(v)]
+        for t in texts:
+            if not t:
+                cut.append((0, []))
+                continue
+            if BLANK in t:
+                t = t.replace(BLANK, _OWN)
+            segments = _SEGMENT.findall(BLANK + t.replace(" ", BLANK))
+            first = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed) % v if v > 1 else 0
+            cut.append((first, segments))
+            for k in range(v):
+                wanted[(first + k) % v].update(segments[k::v])
+        tables = [self._learn(k, wanted[k]) for k in range(v)]
+        out: list[np.ndarray | None] = []
+        for t, (first, segments) in zip(texts, cut, strict=True):
+            parts: list = [None] * len(segments)
+            for k in range(v):
+                parts[k::v] = map(tables[(first + k) % v].__getitem__, segments[k::v])
+            out.append(None if t is None else np.fromiter(chain.from_iterable(parts), np.int32))
+        for k in range(v):  # segments of any length were wanted; only short ones are worth remembering
+            for s in [s for s in wanted[k] if len(s) > _SHORT]:
+                tables[k].pop(s, None)
         return out
 
     def encode(self, text: str | None) -> list[int] | None:
-        if text is None:
-            return None
-        if not text:
-            return []
-        if BLANK in text:
-            text = text.replace(BLANK, _OWN)
-        segments = _SEGMENT.findall(BLANK + text.replace(" ", BLANK))
-        out: list[int] = []
-        v = self.variants
-        start = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed) if v > 1 else 0
-        tables = [self.known[(start + k) % v] for k in range(v)]
-        numbers = [(start + k) % v for k in range(v)]
-        for i, s in enumerate(segments):
-            k = i % v
-            found = tables[k].get(s)
-            out += found if found is not None else self._cut(s, numbers[k])
-        return out
+        found = self.encode_all([text])[0]
+        return None if found is None else found.tolist()
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of about _CHARS code points together, one at least."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= _CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 @lru_cache(maxsize=2)
@@ -182,9 +301,10 @@ def encode(spark: SparkSession, text: Column, rate: float = 0.1, seed: int = 11,
         encoder = _encoder(shared.value, rate, seed, variants)
         decode = encoder.pieces.decode
         for texts in batches:
-            ids = [encoder.encode(t) for t in texts]
-            ok = [None if t is None else (decode(i) if i else "") == t for t, i in zip(texts, ids, strict=True)]
-            yield pd.DataFrame({"ids": [None if i is None else np.array(i, np.int32) for i in ids], "lossless": pd.array(ok, "boolean")})
+            for part in _slices(texts.tolist()):  # small results: few texts' pieces are in memory at once
+                ids = encoder.encode_all(part)
+                ok = [None if t is None else decode(i) == t for t, i in zip(part, ids, strict=True)]
+                yield pd.DataFrame({"ids": ids, "lossless": pd.array(ok, "boolean")})
 
     return of(text)
 
@@ -206,6 +326,6 @@ def decode(spark: SparkSession, ids: Column, model: str = MODEL) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces(shared.value)
         for rows in batches:
-            yield pd.Series([None if x is None else pieces.decode(x) if len(x) else "" for x in rows], dtype=object)
+            yield pd.Series([None if x is None else pieces.decode(x) for x in rows], dtype=object)
 
     return of(ids)
