@@ -18,7 +18,8 @@ def ink_gray(color: Column) -> Column:
     luma = 0.2126 * clamp(r, 255.0) + 0.7152 * clamp(g, 255.0) + 0.0722 * clamp(b, 255.0)
     seen = luma * a + 255.0 * (1 - a)
     level = (F.floor(seen / 85 + 0.5) * 85).cast("int")
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(255), level)), F.lit(0))
+    readable = r.isNotNull() & g.isNotNull() & b.isNotNull() & alpha.isNotNull()  # greatest() passes over nulls
+    return F.when(readable, F.greatest(F.lit(0), F.least(F.lit(255), level))).otherwise(F.lit(0))
 
 
 def _component(text: Column, full: float) -> Column:
