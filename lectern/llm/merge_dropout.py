@@ -33,7 +33,7 @@ _ALL = (1 << 64) - 1
 #: Segments up to so many code points are cut together as rows of matrices of so many rows, others by a heap each.
 _SHORT, _MATRIX = 32, 4096
 _NONE = np.iinfo(np.int32).max
-_CHARS = 1 << 21
+_CHARS = 1 << 22
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -218,7 +218,7 @@ class Pieces:
 class Encoder:
     """Encodes texts, remembering the segments it has cut (up to a bound)."""
 
-    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int = 2, remember: int = 300_000):
+    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int = 2, remember: int = 800_000):
         self.pieces, self.rate, self.seed = pieces, rate, seed
         self.variants = variants if rate else 1
         self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
