@@ -32,6 +32,8 @@ from lectern.shared import materialise
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _NONE = -(1 << 63)
+#: Rewritten texts leave the worker so many at a time.
+_ROWS = 500
 
 
 def line_key(line: bytes) -> bytes:
@@ -230,7 +232,7 @@ def _by_broadcast(spark: SparkSession, rows: DataFrame, index: DataFrame, shards
     @F.pandas_udf(_OUT)
     def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         arrays = {k: Shard.unpack(v) for k, v in packed.value.items()}
-        for ids, texts in batches:
+        for ids, texts in ((i.iloc[at : at + _ROWS], t.iloc[at : at + _ROWS]) for i, t in batches for at in range(0, len(t), _ROWS)):
             out = []
             for doc, t in zip(ids, texts, strict=True):
 

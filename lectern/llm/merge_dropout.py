@@ -17,7 +17,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ _ALL = (1 << 64) - 1
 #: Segments up to so many code points are cut together as rows of matrices of so many rows, others by a heap each.
 _SHORT, _MATRIX = 32, 4096
 _NONE = np.iinfo(np.int32).max
-_CHARS = 1 << 22
+_CHARS = 1 << 21
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -101,11 +100,10 @@ class Pieces:
         rank = np.where(self.keys[at] == keys, self.ranks[at], _NONE)
         return rank, self.joined[at]
 
-    def segments(self, texts: list[str], rate: float = 0.0, seed: int = 0) -> list[tuple[int, ...]]:
-        """The ids of each segment. Short ones are cut together, a row of a matrix each, sorted by length."""
-        out: list[tuple[int, ...] | None] = [None] * len(texts)
+    def segments(self, texts: list[str], rate: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments, one behind the other; how many each has). Short ones are cut together, a row of a matrix each, by length."""
         if not texts:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         ids = self.of_point[points]
@@ -113,18 +111,26 @@ class Pieces:
         begin = np.cumsum(size) - size
         plain = np.flatnonzero(size <= _SHORT)
         plain = plain[np.argsort(size[plain], kind="stable")]
+        flats, order, lens = [], [], []
         for at in range(0, len(plain), _MATRIX):
             part = plain[at : at + _MATRIX]
             n = size[part]
             columns = np.arange(n[-1])
-            inside = columns < n[:, None]
-            symbols = np.where(inside, ids[np.where(inside, begin[part][:, None] + columns, 0)], 0)
+            symbols = np.where(columns < n[:, None], ids[np.where(columns < n[:, None], begin[part][:, None] + columns, 0)], 0)
             keys = np.fromiter((xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass"), seed) for i in part.tolist()), np.uint64, len(part)) if rate else None
-            for i, row in zip(part.tolist(), self._matrix(symbols, n, keys, rate), strict=True):
-                out[i] = row
-        return [tuple(self.segment(t, rate, seed)) if x is None else x for t, x in zip(texts, out, strict=True)]
-
-    def _matrix(self, symbols: np.ndarray, n: np.ndarray, keys: np.ndarray | None, rate: float) -> list[tuple[int, ...]]:
+            flat, count = self._matrix(symbols, n, keys, rate)
+            flats.append(flat)
+            order.append(part)
+            lens.append(count)
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            found = self.segment(texts[i], rate, seed)
+            flats.append(np.array(found, np.int32))
+            order.append(np.array([i]))
+            lens.append(np.array([len(found)]))
+        flat, lens, back = np.concatenate(flats), np.concatenate(lens), np.argsort(np.concatenate(order), kind="stable")
+        return gather(flat, np.cumsum(lens) - lens, lens, back), lens[back]
+
+    def _matrix(self, symbols: np.ndarray, n: np.ndarray, keys: np.ndarray | None, rate: float) -> tuple[np.ndarray, np.ndarray]:
         """Agenda processing of all rows in step: each takes its best pair, the leftmost of equals, and merges or skips it.
 
         A symbol stays in the column where it begins; after and before link what is left of a row.
@@ -161,12 +167,22 @@ class Pieces:
             left = a >= 0
             row, at = np.concatenate([merge[right], merge[left]]), np.concatenate([b[right], a[left]])
             ranks[row, at], joined[row, at] = self._find(symbols[row, at], symbols[row, np.concatenate([d[right], b[left]])])
-        flat, ends = symbols[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
-        out = [tuple(flat[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-        most = len(self.pieces)
-        for i in np.flatnonzero((symbols * alive).max(axis=1) >= most).tolist():
-            out[i] = tuple(x for s in out[i] for x in ((s,) if s < most else self._spell(chr(s - most))))
-        return out
+        flat, count, most = symbols[alive], alive.sum(axis=1), len(self.pieces)
+        strange = flat >= most
+        if strange.any():  # spelled in bytes; most are one byte, such as a line's end
+            short = strange & (flat < most + 128)
+            flat[short] = np.array(self.bytes, np.int32)[flat[short] - most]
+            at = np.flatnonzero(flat >= most)
+            if len(at):
+                spelled = [self._spell(chr(s - most)) for s in flat[at].tolist()]
+                more = np.array([len(x) for x in spelled])
+                row = np.repeat(np.arange(rows), count)[at]
+                width = np.ones(len(flat), np.int64)
+                width[at] = more
+                flat = np.repeat(flat, width)
+                flat[flat >= most] = np.concatenate([np.array(x, np.int32) for x in spelled])
+                np.add.at(count, row, more - 1)
+        return flat, count
 
     def _spell(self, character: str) -> list[int]:
         """The byte pieces of a character."""
@@ -215,56 +231,94 @@ class Pieces:
         return b"".join(map(self.pieces.__getitem__, listed))[1:].decode()
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of flat that `which` names, one behind the other."""
+    n = lens[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Table:
+    """Segments that were cut: a number for each, and their ids in one array."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.starts, self.lens, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def add(self, segments: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
+        n, m = len(self.index), len(segments)
+        while n + m > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.starts[n : n + m], self.lens[n : n + m] = self.used + np.cumsum(lens) - lens, lens
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.index.update(zip(segments, range(n, n + m), strict=True))
+
+    def keep(self, segments: list[str]) -> None:
+        """Forget all others."""
+        which = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
+        flat, lens = gather(self.flat, self.starts, self.lens, which), self.lens[which]
+        self.__init__()
+        self.add(segments, flat, lens)
+
+
 class Encoder:
-    """Encodes texts, remembering the segments it has cut (up to a bound)."""
+    """Encodes texts, remembering the segments it has cut, about `remember` of them."""
 
-    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int = 2, remember: int = 800_000):
+    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int = 2, remember: int = 400_000):
         self.pieces, self.rate, self.seed = pieces, rate, seed
         self.variants = variants if rate else 1
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.most = remember // (2 * self.variants)
-
-    def _learn(self, variant: int, wanted: set[str]) -> dict[str, tuple[int, ...]]:
-        """The variant's table, with all wanted segments in it."""
-        if len(self.known[variant]) >= self.most:
-            self.older[variant], self.known[variant] = self.known[variant], {}
-        table, older = self.known[variant], self.older[variant]
-        new = []
-        for s in wanted.difference(table):
-            found = older.get(s)
-            if found is None:
-                new.append(s)
-            else:
-                table[s] = found
-        table.update(zip(new, self.pieces.segments(new, self.rate, (self.seed << 32) + (variant << 24)), strict=True))
-        return table
+        self.tables = [_Table() for _ in range(self.variants)]
+        self.most = remember // self.variants
+
+    def _ids(self, variant: int, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments, one behind the other; how many each has)."""
+        table, wanted = self.tables[variant], set(segments)
+        if len(table.index) + len(wanted) > self.most:
+            table.keep([s for s in wanted if s in table.index])
+        new = list(wanted.difference(table.index))
+        table.add(new, *self.pieces.segments(new, self.rate, (self.seed << 32) + (variant << 24)))
+        which = np.fromiter(map(table.index.__getitem__, segments), np.int64, len(segments))
+        return gather(table.flat, table.starts, table.lens, which), table.lens[which]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The ids of each text. A text's segments take the variants in turn, from one that the text's hash chooses."""
         v, cut = self.variants, []
-        wanted: list[set[str]] = [set() for _ in range(v)]
+        asked: list[list[str]] = [[] for _ in range(v)]
         for t in texts:
             if not t:
-                cut.append((0, []))
+                cut.append((0, 0))
                 continue
             if BLANK in t:
                 t = t.replace(BLANK, _OWN)
             segments = _SEGMENT.findall(BLANK + t.replace(" ", BLANK))
             first = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed) % v if v > 1 else 0
-            cut.append((first, segments))
+            cut.append((first, len(segments)))
             for k in range(v):
-                wanted[(first + k) % v].update(segments[k::v])
-        tables = [self._learn(k, wanted[k]) for k in range(v)]
-        out: list[np.ndarray | None] = []
-        for t, (first, segments) in zip(texts, cut, strict=True):
-            parts: list = [None] * len(segments)
+                asked[(first + k) % v] += segments[k::v]
+        found = [self._ids(k, asked[k]) for k in range(v)]
+        # all runs are in one array, variant by variant; each text's take turns among them
+        flat, lens = np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])
+        starts = np.cumsum(lens) - lens
+        at = np.cumsum([0, *(len(a) for a in asked)])[:-1].tolist()
+        total = sum(n for _, n in cut)
+        which, place, bounds = np.empty(total, np.int64), 0, []
+        for first, n in cut:
             for k in range(v):
-                parts[k::v] = map(tables[(first + k) % v].__getitem__, segments[k::v])
-            out.append(None if t is None else np.fromiter(chain.from_iterable(parts), np.int32))
-        for k in range(v):  # segments of any length were wanted; only short ones are worth remembering
-            for s in [s for s in wanted[k] if len(s) > _SHORT]:
-                tables[k].pop(s, None)
+                j, m = (first + k) % v, len(range(k, n, v))
+                which[place + k : place + n : v] = np.arange(at[j], at[j] + m)
+                at[j] += m
+            place += n
+            bounds.append(place)
+        ids = gather(flat, starts, lens, which)
+        ends = np.concatenate([[0], np.cumsum(lens[which])])
+        out: list[np.ndarray | None] = []
+        begin = 0
+        for t, end in zip(texts, bounds, strict=True):
+            out.append(None if t is None else ids[ends[begin] : ends[end]])
+            begin = end
         return out
 
     def encode(self, text: str | None) -> list[int] | None:
@@ -285,10 +339,10 @@ def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
-@lru_cache(maxsize=2)
-def _encoder(model: bytes, rate: float, seed: int, variants: int) -> Encoder:
-    """One for each Python worker: what it remembers serves the worker's next tasks."""
-    return Encoder(Pieces(model), rate, seed, variants)
+@lru_cache(maxsize=1)
+def _pieces(model: bytes) -> Pieces:
+    """One vocabulary for each Python worker. What an Encoder remembers goes with its task: idle workers shouldn't hold it."""
+    return Pieces(model)
 
 
 def encode(spark: SparkSession, text: Column, rate: float = 0.1, seed: int = 11, variants: int = 2, model: str = MODEL) -> Column:
@@ -298,7 +352,7 @@ def encode(spark: SparkSession, text: Column, rate: float = 0.1, seed: int = 11,
 
     @F.pandas_udf("ids array<int>, lossless boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(shared.value, rate, seed, variants)
+        encoder = Encoder(_pieces(shared.value), rate, seed, variants)
         decode = encoder.pieces.decode
         for texts in batches:
             for part in _slices(texts.tolist()):  # small results: few texts' pieces are in memory at once
@@ -324,7 +378,7 @@ def decode(spark: SparkSession, ids: Column, model: str = MODEL) -> Column:
 
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(shared.value)
+        pieces = _pieces(shared.value)
         for rows in batches:
             yield pd.Series([None if x is None else pieces.decode(x) for x in rows], dtype=object)
 
