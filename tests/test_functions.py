@@ -1,8 +1,9 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import clip, color, css, markup, paths
+from lectern.functions import clip, color, css, markup, paths, player
 
 
 def one(spark, column):
@@ -105,3 +106,15 @@ def test_features(spark):
     assert [g["detail"] for g in got] == ['manifest marks item(s) as rendition:layout-pre-paginated ("a.xhtml")', 'OPF metadata contains <meta property="rendition:layout">pre-paginated</meta>']
     assert one(spark, markup.escape_attribute(F.lit("<a & \"b'>"))) == "&lt;a &amp; &quot;b&#39;&gt;"
     assert one(spark, markup.search_text(F.lit(" A —\n“B” "))) == "a - “b”"
+
+
+def test_player_decisions(spark):
+    page = lambda a, b: one(spark, player.jump_page(F.lit(a).cast("string"), F.lit(b).cast("string")))
+    assert (page("4", "9"), page(None, "9"), page("x", "1"), page("-1", None), page(None, "0")) == (4, 8, 0, None, None)
+    tap = lambda *v: one(spark, player.is_tap(*map(F.lit, v)))
+    assert tap(4.0, 8.0, 220, 1) and not tap(4.1, 8.0, 100, 1) and not tap(0.0, 8.0, 221, 1) and not tap(0.0, 8.0, 10, 2)
+    assert one(spark, player.start_page(F.lit(None).cast("int"), F.lit(99), F.lit(10))) == 9
+    assert one(spark, player.audio_format(F.lit(" AAC "))).file_name == "audio.m4a"
+    with pytest.raises(Exception, match="unknown audio format"):
+        one(spark, player.audio_format(F.lit("mp9")))
+    assert one(spark, player.request_source(F.lit(" "), F.lit("frame"))) == "frame" and one(spark, player.is_stylesheet(F.lit("x"), F.lit("a.CSS")))

@@ -196,3 +196,17 @@ def test_resources(spark):
     q = spark.createDataFrame([("https://epub.local/a.css", "other"), ("https://epub.local/b.png", "image"), ("https://x.example/c.css", "stylesheet"), ("https://epub.local/ok.css", "stylesheet"), ("data:x", "image")], "url string, resource_type string")
     got = validate.resource_outcomes(q, spark.createDataFrame([("ok.css",)], "path string"))
     assert {r.url[-5:]: (r.outcome, r.severity) for r in got.collect()} == {"a.css": ("missing", "fatal"), "b.png": ("missing", "warning"), "c.css": ("blocked", "fatal"), "k.css": ("ok", None), "ata:x": ("inline", None)}
+
+
+def test_offsets_count_code_units(spark):
+    told = ["The \U0001f600\U0001f600\U0001f600 smile is heard first.", "Then the second one follows it."]
+    text = " ".join(told) + " And more talk." * 400
+    words, at = [], 0
+    for i, w in enumerate(text.split(" ")):
+        n = len(w.encode("utf-16-le")) // 2
+        words.append((1, i, i * 0.5, i * 0.5 + 0.4, at, at + n, "a.mp3"))
+        at += n + 1
+    w = spark.createDataFrame(words, "book_id int, ord int, start_s double, end_s double, start_off long, end_off long, audiofile string")
+    c = spark.createDataFrame([(1, 0, "c", told)], "book_id int, ord int, chapter_id string, sentences array<string>")
+    got = rows(align.align_books(c, w, spark.createDataFrame([(1, text)], "book_id int, transcript string"), spark.createDataFrame([(1, "a.mp3", 60.0)], "book_id int, href string, duration_s double")), "id")
+    assert [(r[2], r[3]) for r in got] == [(0, 0.0), (1, 3.0)]
