@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.components import connected_components
-from lectern.shared import materialise
+from lectern.shared import broadcast_if_small, materialise
 
 BITS = 64
 #: Groups of more fingerprints than this are compared through midpoints.
@@ -35,18 +35,29 @@ PAIRS_UP_TO = 32
 _SLICE = 1 << 16
 
 
-def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint: a bit is 1 if it is set in over half the shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     words = (text or "").encode().lower().split()  # of bytes, both know ASCII only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64, n)
+    return np.fromiter((digest(g, seed) for g in grams), np.uint64, n)
+
+
+def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint: a bit is 1 if it is set in over half the shingles' XXH64."""
+    return _majority(shingle_hashes(text, shingle, seed))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, _SLICE):
         part = hashes[at : at + _SLICE]
@@ -120,21 +131,100 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shing
     return prints.join(of_class, "fp").select(F.col("id").alias(id), "fp", "component_id", "n_links")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Classes of shingles are so large, about, and so many of them have fingerprints.
+CLASS_SIZE, CLASSES = 3, 16
+
+
+def class_fingerprints(hashes: np.ndarray, size: int = CLASS_SIZE, classes: int = CLASSES) -> list[tuple[int, int, int]]:
+    """(number of classes, class, its fingerprint): SimHashes of the distinct shingles, parted by their hash into small classes.
+
+    Of texts that share four fifths of their shingles some class is likely to be the same in both, where the
+    whole text's fingerprints are some ten bits apart. The number of classes is a power of two that goes
+    with the number of shingles; near a step both sides' numbers are used, so that similar texts have one in common.
+    """
+    own = np.unique(hashes)
+    if not len(own):
+        return []
+    out = []
+    for c in sorted({1 << max(0, int(np.log2(max(1.0, len(own) * f / size)))) for f in (0.8, 1.25)}):
+        of = (own >> np.uint64(7)) & np.uint64(c - 1)
+        keep = of < classes
+        order = np.argsort(of[keep], kind="stable")
+        held, of = own[keep][order], of[keep][order]
+        if not len(held):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        bits = np.add.reduceat(np.unpackbits(held.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32), starts, axis=0)
+        n = np.diff(np.append(starts, len(held)))
+        prints = np.packbits(2 * bits > n[:, None], axis=1).view(np.int64).ravel()
+        out += [(c, k, p) for k, p in zip(of[starts].tolist(), prints.tolist(), strict=True)]
+    return out
+
+
+def _signatures(text: Column, shingle: int) -> Column:
+    """struct<fp, parts array<struct<n,c,fp>>> of each text."""
+
+    @F.pandas_udf("fp long, parts array<struct<n:int,c:int,fp:long>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = shingle_hashes(t, shingle)
+            rows.append((int(np.uint64(_majority(h)).astype(np.int64)), [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(h)]))
+        return pd.DataFrame(rows, columns=["fp", "parts"])
+
+    return of(text)
+
+
+def _shingle_sets(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts])
+
+    return of(text)
+
+
+def similar_links(texts: DataFrame, signatures: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(u, v): pairs of distinct texts whose shingles' Jaccard similarity, computed exactly, is at least `similarity`.
+
+    texts(tid, text) may repeat rows; signatures(tid, parts). Texts with an equal class fingerprint are
+    compared with one of them, another in each class, so a group costs a row per member and class.
+    """
+    parts = signatures.select("tid", F.explode("parts").alias("p")).select("tid", "p.n", "p.c", "p.fp")
+    mark = F.struct(F.xxhash64("tid", "n", "c").alias("h"), "tid")
+    groups = parts.groupBy("n", "c", "fp").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low.tid <> high.tid").select("n", "c", "fp", F.col("low.tid").alias("first"))
+    groups = materialise(groups, "similar-groups")
+    pairs = materialise(parts.join(broadcast_if_small(groups), ["n", "c", "fp"]).where("tid <> first").select(F.greatest("tid", "first").alias("u"), F.least("tid", "first").alias("v")).distinct(), "similar-pairs")
+    asked = materialise(pairs.select(F.col("u").alias("tid")).union(pairs.select("v")).distinct(), "similar-asked")
+    sets = texts.join(broadcast_if_small(asked), "tid", "left_semi").select("tid", _shingle_sets(F.col("text"), shingle).alias("s"))
+    sets = materialise(sets.dropDuplicates(["tid"]), "similar-sets")
+    left, right = sets.select(F.col("tid").alias("u"), F.col("s").alias("a")), sets.select(F.col("tid").alias("v"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = both / (F.size("a") + F.size("b") - both) >= similarity
+    return pairs.join(left, "u").join(right, "v").where(alike).select("u", "v")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate group: the one of the least id (null ids last), ties by text.
 
-    All columns stay as they are, whatever they are called.
+    Linked are texts whose fingerprints are within `radius` bits, and texts of at least that similarity
+    that a class fingerprint brings together. All columns stay as they are, whatever they are called.
     """
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), fingerprints(F.col(text), shingle).alias("fp"))
-    keys = materialise(rows.select("id", "tie", "fp"), "keep-keys")
-    classes = materialise(keys.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("first")), "keep-classes")
-    roots = materialise(connected_components(links(classes.select("fp"), radius), "keep"), "keep-roots")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id).alias("id"), body.alias("text")).withColumn("tid", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    keys = materialise(rows.select("id", "tid", _signatures(F.col("text"), shingle).alias("s")).select("id", "tid", "s.fp", "s.parts"), "keep-keys")
+    # texts of one fingerprint hang on the least of them, and those on each other by the fingerprints' links
+    classes = materialise(keys.groupBy("fp").agg(F.min("tid").alias("head")), "keep-classes")
+    near = materialise(links(classes.select("fp"), radius), "keep-near")
+    heads = lambda c: classes.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    edges = near.join(heads("u"), "u").join(heads("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    same = keys.select("fp", F.col("tid").alias("u")).join(classes, "fp").where("u <> head").select("u", F.col("head").alias("v")).distinct()
+    alike = similar_links(rows.select("tid", "text"), keys.select("tid", "parts"), shingle, similarity)
+    roots = materialise(connected_components(edges.union(same).union(alike), "keep"), "keep-roots")
+    firsts = materialise(keys.groupBy("tid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tid")).alias("first")), "keep-firsts")
     winners = materialise(
-        classes.join(roots, classes["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.tie"),
-        "keep-winners",
+        firsts.join(roots, firsts["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.tid"), "keep-winners"
     )
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
-    kept = left.join(winners, left["id"].eqNullSafe(winners["id"]) & (left["tie"] == winners["tie"]), "left_semi")
-    copies = Window.partitionBy("id", "tie").orderBy(F.lit(1))
+    kept = rows.select("row", "id", "tid").join(winners, rows["id"].eqNullSafe(winners["id"]) & (rows["tid"] == winners["tid"]), "left_semi")
+    copies = Window.partitionBy("id", "tid").orderBy(F.lit(1))  # rows of one id and text: one stays
     return kept.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("row.*")

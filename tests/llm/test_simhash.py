@@ -86,3 +86,40 @@ def test_keep_one(spark):
     kept = S.keep_one(spark, docs)
     assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, rows[1][1]), (7, rows[6][1]), (8, "")]
     assert S.keep_one(spark, docs.limit(0)).count() == 0 and S.near_duplicates(spark, docs.limit(0)).count() == 0
+
+
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_similar_texts_are_found_and_others_are_not(spark):
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in [60] * 10 + [250] * 25 + [1500] * 5]
+    texts = base + [edited(rng, t, max(1, len(t.split()) // 55)) for t in base] + [edited(rng, t, len(t.split()) // 8) for t in base]
+    shared = " ".join(f"passage{i}" for i in range(40))
+    texts += [f"{shared} " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(120)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in S.keep_one(spark, docs).collect()}
+    n = len(base)
+    close = [i for i in range(n) if jaccard(texts[i], texts[n + i]) >= 0.8]
+    assert len(close) >= 30 and sum(n + i in kept for i in close) <= 1
+    assert set(range(n)) <= kept and set(range(2 * n, len(texts))) <= kept
+    assert all(n + i in kept for i in range(n) if i not in close)
+
+
+def test_a_large_group_of_near_copies_goes_to_one(spark):
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+    docs = spark.createDataFrame([(i, edited(rng, text, 1)) for i in range(400)] + [(1000, text)], "doc_id long, text string")
+    assert S.keep_one(spark, docs).count() <= 4
