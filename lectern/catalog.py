@@ -553,7 +553,7 @@ def ink_gray(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[\x2E-\x5F()\[\],/?!@#$%^&*`~;:=''"<>+ˌˈ]', '', 'g')) AS counted FROM documents""")
 def sentence_filter(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "documents").select("doc_id", align.counted_length(F.coalesce("text", F.lit(""))).alias("counted"))
+    return B.table(spark, d, "documents").select("doc_id", align.counted_length(F.coalesce("text", F.lit(""))).cast("long").alias("counted"))
 
 
 @query()
