@@ -21,6 +21,9 @@ def main(args: list[str] | None = None) -> None:
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     from lectern.plans import books
+    from lectern.shared import ship
+
+    ship(spark)
 
     if given.job == "inspect":
         books.inspect_bundle(spark, given.bundle).show(100, False)

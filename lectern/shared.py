@@ -9,11 +9,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of this context the package, wherever they run and whatever their path is. Once is enough."""
+    sc = spark.sparkContext
+    if getattr(sc, "_has_lectern", False):
+        return
+    package = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="lectern-")) / "lectern.zip"  # Spark's file server hands it on
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._has_lectern = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
     sc = spark.sparkContext

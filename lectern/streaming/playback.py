@@ -6,14 +6,19 @@ checkpoint. Batch twins give the same rows from a finished log.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# the worker that readies a stateful stream has no files of the context: processors travel whole
+register_pickle_by_value(sys.modules[__name__])
+
 CURSOR = "session long, seq long, t double, span_id string, page_index int"
 TIMINGS = "label string, window_no long, n long, mean_ns long, min_ns long, max_ns long"
 
