@@ -91,7 +91,7 @@ class Model:
         return self.languages[order[0]], float(1 / odds.sum()), bool(loss[order[1]] - loss[order[0]] < self.margin)
 
 
-def fit(texts: list[str], langs: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-5, margin: float = 0.2) -> Model:
+def fit(texts: list[str], langs: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-5, margin: float = 0.05) -> Model:
     """Logistic regression per bit by full-batch Adam; deterministic."""
     names = tuple(sorted(set(langs)))
     codes = codewords(len(names))
