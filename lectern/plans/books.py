@@ -60,7 +60,7 @@ def align_books(spark: SparkSession, path: str, words: DataFrame, transcripts: D
 def inspect_bundle(spark: SparkSession, path: str) -> DataFrame:
     """inspect.report of a written bundle."""
     b = bundle.read(spark, path)
-    s = b["spans"].select(F.lit(0).alias("book_id"), F.monotonically_increasing_id().alias("ord"), "id", F.col("clipBeginMs").alias("clip_begin_ms"), F.col("clipEndMs").alias("clip_end_ms"))
+    s = b["spans"].select(F.lit(0).alias("book_id"), "ord", "id", F.col("clipBeginMs").alias("clip_begin_ms"), F.col("clipEndMs").alias("clip_end_ms"))
     r = b["pages"].select(F.col("pageIndex").alias("page_index"), F.explode("spanRects").alias("s")).select("page_index", F.col("s.spanId").alias("span_id"))
     return inspect.report(s, r, b["pages"].select(F.col("pageIndex").alias("page_index")))
 
@@ -68,5 +68,5 @@ def inspect_bundle(spark: SparkSession, path: str) -> DataFrame:
 def active_spans(spark: SparkSession, path: str, times: DataFrame) -> DataFrame:
     """times(t) with the span of a written bundle that is active then, the first in the file where several are."""
     b = bundle.read(spark, path)
-    s = b["spans"].select(F.lit(0).alias("book_id"), F.monotonically_increasing_id().alias("ord"), "id", F.col("clipBeginMs").alias("b"), F.col("clipEndMs").alias("e"), F.col("pageIndex").alias("page_index"))
+    s = b["spans"].select(F.lit(0).alias("book_id"), "ord", "id", F.col("clipBeginMs").alias("b"), F.col("clipEndMs").alias("e"), F.col("pageIndex").alias("page_index"))
     return lookups.interval_first(times.withColumn("book_id", F.lit(0)), s, "book_id", "t", "b", "e", "ord", ["id", "page_index"]).drop("book_id")

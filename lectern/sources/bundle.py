@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions.paths import safe_audio_path
 from lectern.operators.pages import decode_styles
 
-SPANS = "id string, clipBeginMs double, clipEndMs double, pageIndex int"
+SPANS = "ord long, id string, clipBeginMs double, clipEndMs double, pageIndex int"  # ord: the place in the file, which a table has no other way to keep
 META = "bundleVersion string, bundleId string, profile string, title string, audioFile string, pages int, spans int"
 TOC = "title string, pageIndex int, level int"
 STYLES = "styleId int, fontFamily string, fontSize double, fontWeight int, fontStyle string, inkGray int"
@@ -60,7 +60,8 @@ def to_archive(bundle: dict[str, DataFrame], path: str, name_pages_by: str = "pa
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
         for table, file in (("meta", "meta.json"), ("spans", "spans.jsonl"), ("styles", "styles.json"), ("toc", "toc.json")):
             if table in bundle:
-                rows = [r["j"] for r in bundle[table].select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()]
+                df = bundle[table].orderBy("ord").drop("ord") if table == "spans" else bundle[table]
+                rows = [r["j"] for r in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()]
                 text = "\n".join(rows) + "\n" if table == "spans" else rows[0] if table == "meta" else "[" + ",".join(rows) + "]"
                 z.writestr(file, text)
         for r in bundle["pages"].select(F.col(name_pages_by).cast("string").alias("n"), F.to_json(F.struct("*")).alias("j")).toLocalIterator():

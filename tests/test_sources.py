@@ -88,7 +88,7 @@ def test_bundle_round_trip(spark, tmp_path):
     page = {"pageId": "c_p0000", "chapterId": "c", "pageIndex": 0, "textRuns": [{"text": "a", "x": 1.0, "styleId": 0, "spanId": "s0"}], "spanRects": [{"spanId": "s0", "rects": [{"x": 0.0, "y": 0.0, "width": 5.0, "height": 5.0}]}]}
     read = lambda rows, schema: spark.read.schema(schema).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
     tables = {
-        "meta": read([{"bundleId": "b", "audioFile": "a.opus"}], bundle.META), "spans": read([{"id": "s0", "clipBeginMs": 0, "clipEndMs": 10, "pageIndex": 0}, {"id": "s1", "clipBeginMs": 5, "clipEndMs": 9, "pageIndex": -1}], bundle.SPANS),
+        "meta": read([{"bundleId": "b", "audioFile": "a.opus"}], bundle.META), "spans": read([{"ord": 0, "id": "s0", "clipBeginMs": 0, "clipEndMs": 10, "pageIndex": 0}, {"ord": 1, "id": "s1", "clipBeginMs": 5, "clipEndMs": 9, "pageIndex": -1}], bundle.SPANS),
         "styles": read([{"styleId": 0, "fontFamily": "serif"}], bundle.STYLES), "pages": read([page], bundle.PAGES),
     }
     at = str(tmp_path / "bundle")
