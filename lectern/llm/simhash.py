@@ -18,6 +18,7 @@ fingerprint 0 and link like any other. Rows that repeat give repeated rows.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -133,6 +134,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shing
 
 #: Classes of shingles are so large, about, and so many of them have fingerprints.
 CLASS_SIZE, CLASSES = 3, 16
+#: Each round compares so many times as many members of a group as the one before.
+ROUND = 8
 
 
 def class_fingerprints(hashes: np.ndarray, size: int = CLASS_SIZE, classes: int = CLASSES) -> list[tuple[int, int, int]]:
@@ -165,12 +168,14 @@ def _signatures(text: Column, shingle: int) -> Column:
     """struct<fp, parts array<struct<n,c,fp>>> of each text."""
 
     @F.pandas_udf("fp long, parts array<struct<n:int,c:int,fp:long>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            h = shingle_hashes(t, shingle)
-            rows.append((int(np.uint64(_majority(h)).astype(np.int64)), [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(h)]))
-        return pd.DataFrame(rows, columns=["fp", "parts"])
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for at in range(0, len(texts), 500):  # small results: few texts' parts are in memory at once
+                rows = []
+                for t in texts.iloc[at : at + 500]:
+                    h = shingle_hashes(t, shingle)
+                    rows.append((int(np.uint64(_majority(h)).astype(np.int64)), [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(h)]))
+                yield pd.DataFrame(rows, columns=["fp", "parts"])
 
     return of(text)
 
@@ -183,24 +188,49 @@ def _shingle_sets(text: Column, shingle: int) -> Column:
     return of(text)
 
 
-def similar_links(texts: DataFrame, signatures: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(u, v): pairs of distinct texts whose shingles' Jaccard similarity, computed exactly, is at least `similarity`.
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs(u, v) those whose sets(tid, s) have at least that Jaccard similarity."""
+    left, right = sets.select(F.col("tid").alias("u"), F.col("s").alias("a")), sets.select(F.col("tid").alias("v"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(left, "u").join(right, "v").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+
 
-    texts(tid, text) may repeat rows; signatures(tid, parts). Texts with an equal class fingerprint are
-    compared with one of them, another in each class, so a group costs a row per member and class.
+def similar_components(texts: DataFrame, signatures: DataFrame, linked: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root): components over linked(u, v) and all pairs of distinct texts that share a class fingerprint and whose
+    shingles' Jaccard similarity, computed exactly, is at least `similarity`.
+
+    texts(tid, text) may repeat rows; signatures(tid, parts). In the first round the texts of a group (of one class
+    fingerprint) are compared with one of them, another in each class. A group that then lies in one component is
+    done: its other pairs would add nothing. In each later round ROUND times as many members as in the one before, drawn
+    by hash, are compared with all members of other components, until a group is in one component or all of its
+    members were drawn. Members of a group's largest component need no draw: the other side of each pair has one.
     """
+    key = ["n", "c", "fp"]
     parts = signatures.select("tid", F.explode("parts").alias("p")).select("tid", "p.n", "p.c", "p.fp")
     mark = F.struct(F.xxhash64("tid", "n", "c").alias("h"), "tid")
-    groups = parts.groupBy("n", "c", "fp").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low.tid <> high.tid").select("n", "c", "fp", F.col("low.tid").alias("first"))
-    groups = materialise(groups, "similar-groups")
-    pairs = materialise(parts.join(broadcast_if_small(groups), ["n", "c", "fp"]).where("tid <> first").select(F.greatest("tid", "first").alias("u"), F.least("tid", "first").alias("v")).distinct(), "similar-pairs")
-    asked = materialise(pairs.select(F.col("u").alias("tid")).union(pairs.select("v")).distinct(), "similar-asked")
+    groups = materialise(parts.groupBy(*key).agg(F.min(mark)["tid"].alias("first"), F.max(mark)["tid"].alias("last"), F.count("*").alias("size")).where("first <> last").drop("last"), "similar-groups")
+    members = materialise(parts.join(broadcast_if_small(groups), key).distinct(), "similar-members")  # size counts repeated rows too: no less than the members
+    asked = materialise(members.select("tid").distinct(), "similar-asked")
     sets = texts.join(broadcast_if_small(asked), "tid", "left_semi").select("tid", _shingle_sets(F.col("text"), shingle).alias("s"))
     sets = materialise(sets.dropDuplicates(["tid"]), "similar-sets")
-    left, right = sets.select(F.col("tid").alias("u"), F.col("s").alias("a")), sets.select(F.col("tid").alias("v"), F.col("s").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    alike = both / (F.size("a") + F.size("b") - both) >= similarity
-    return pairs.join(left, "u").join(right, "v").where(alike).select("u", "v")
+    pairs = materialise(members.where("tid <> first").select(F.greatest("tid", "first").alias("u"), F.least("tid", "first").alias("v")).distinct(), "similar-pairs")
+    found, drawn = linked.union(_alike(pairs, sets, similarity)), 1
+    place = F.pmod(F.xxhash64(F.lit("draw"), "tid", *key), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")  # below size
+    todo = members.where("size > 2").select(*key, "tid", "size", place.alias("place"))  # a pair is compared in the first round
+    while True:
+        roots = materialise(connected_components(found, "similar"), "similar-roots")
+        rooted = todo.where(F.col("size") > drawn).join(roots, todo["tid"] == roots["node"], "left").select(*todo.columns, F.coalesce("root", "tid").alias("root"))
+        shares = rooted.groupBy(*key, "root").agg(F.count("*").alias("n_root"))
+        apart = materialise(shares.groupBy(*key).agg(F.max(F.struct("n_root", "root"))["root"].alias("major"), F.count("*").alias("n_roots")).where("n_roots > 1").drop("n_roots"), "similar-apart")
+        if apart.isEmpty():
+            return roots
+        drawn *= ROUND
+        todo = materialise(rooted.join(broadcast_if_small(apart), key), "similar-todo")
+        asking = materialise(todo.where((F.col("place") < drawn) & (F.col("root") != F.col("major"))).select(*key, F.col("tid").alias("t"), F.col("root").alias("r")), "similar-asking")
+        pairs = materialise(todo.join(asking, key).where("root <> r").select(F.greatest("tid", "t").alias("u"), F.least("tid", "t").alias("v")).distinct(), "similar-pairs")
+        new = _alike(pairs, sets, similarity)
+        found = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)
+        todo = todo.drop("root", "major")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,8 +249,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int
     heads = lambda c: classes.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
     edges = near.join(heads("u"), "u").join(heads("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
     same = keys.select("fp", F.col("tid").alias("u")).join(classes, "fp").where("u <> head").select("u", F.col("head").alias("v")).distinct()
-    alike = similar_links(rows.select("tid", "text"), keys.select("tid", "parts"), shingle, similarity)
-    roots = materialise(connected_components(edges.union(same).union(alike), "keep"), "keep-roots")
+    roots = similar_components(rows.select("tid", "text"), keys.select("tid", "parts"), edges.union(same), shingle, similarity)
     firsts = materialise(keys.groupBy("tid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tid")).alias("first")), "keep-firsts")
     winners = materialise(
         firsts.join(roots, firsts["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.tid"), "keep-winners"

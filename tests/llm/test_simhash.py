@@ -123,3 +123,19 @@ def test_a_large_group_of_near_copies_goes_to_one(spark):
     text = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
     docs = spark.createDataFrame([(i, edited(rng, text, 1)) for i in range(400)] + [(1000, text)], "doc_id long, text string")
     assert S.keep_one(spark, docs).count() <= 4
+
+
+def test_copies_hang_together_by_a_text_that_is_no_representative(spark):
+    rng = random.Random(13)
+    hub = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    copies = []
+    for _ in range(520):  # four words replaced, far from each other
+        w = list(hub)
+        for at in range(0, 200, 50):
+            w[at + 5 + rng.randrange(40)] = f"new{rng.randrange(10**9)}"
+        copies.append(" ".join(w))
+    texts = [" ".join(hub), *copies]
+    assert all(jaccard(texts[0], c) >= 0.8 for c in copies)
+    assert sum(jaccard(a, b) < 0.8 for a, b in zip(copies, copies[1:])) > 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in S.keep_one(spark, docs).collect()] == [0]
