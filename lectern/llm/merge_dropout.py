@@ -2,10 +2,13 @@
 
 Works from a public model's pieces and scores. A text is cut where no piece can span; in each segment an
 agenda holds the merges that are possible, best score first, leftmost first among equals. Without dropout
-that gives the library's own segmentation. With dropout, a merge that comes up is skipped if a hash keyed
-by seed, segment and the merge's span falls below the rate; it may come up again when a neighbour has
-merged. A segment's hash also depends on its place and its text's hash, modulo `variants`, so that
-the same word is cut in several ways, and the same corpus always in the same ways.
+that gives the library's own segmentation. With dropout, each merge that comes up is skipped at the rate,
+and may come up again when a neighbour has merged. Hashes keyed by seed, text and the segment's place in
+it decide, so that every occurrence of a word is cut on its own, and the same corpus always in the same ways.
+
+The candidates of a segment come up one by one, so which are skipped is a set of steps, and the steps
+between two skips are drawn at once (they are geometric). What a word gives for a set of steps is
+remembered, so a word is cut once for each set that comes up, however often it occurs.
 
 What the vocabulary lacks is spelled in byte pieces, and so is the blank symbol U+2581 where a text itself
 holds it; decoding restores every text exactly. Null text has null ids; empty text has none.
@@ -28,7 +31,6 @@ BLANK = "▁"
 #: A text's own U+2581 while it is being cut: a code point that UTF-8 can't carry, so no text has it.
 _OWN = "\ud800"
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_ALL = (1 << 64) - 1
 #: Segments up to so many code points are cut together as rows of matrices of so many rows, others by a heap each.
 _SHORT, _MATRIX = 32, 4096
 _NONE = np.iinfo(np.int32).max
@@ -101,9 +103,16 @@ class Pieces:
         return rank, self.joined[at]
 
     def segments(self, texts: list[str], rate: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all segments, one behind the other; how many each has). Short ones are cut together, a row of a matrix each, by length."""
+        """(ids of all segments, one behind the other; how many each has). With a rate, a segment's place in the list keys its hashes."""
+        return Encoder(self, rate, seed).cut(texts, _mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(seed)))
+
+    def cut(self, texts: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all segments, one behind the other; how many each has; how many steps each took, -1 for long ones), each without its steps `skips`.
+
+        Short ones are cut together, a row of a matrix each, by length.
+        """
         if not texts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         ids = self.of_point[points]
@@ -111,26 +120,27 @@ class Pieces:
         begin = np.cumsum(size) - size
         plain = np.flatnonzero(size <= _SHORT)
         plain = plain[np.argsort(size[plain], kind="stable")]
-        flats, order, lens = [], [], []
+        flats, order, lens, steps = [], [], [], []
         for at in range(0, len(plain), _MATRIX):
             part = plain[at : at + _MATRIX]
             n = size[part]
             columns = np.arange(n[-1])
             symbols = np.where(columns < n[:, None], ids[np.where(columns < n[:, None], begin[part][:, None] + columns, 0)], 0)
-            keys = np.fromiter((xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass"), seed) for i in part.tolist()), np.uint64, len(part)) if rate else None
-            flat, count = self._matrix(symbols, n, keys, rate)
+            flat, count, took = self._matrix(symbols, n, [skips[i] for i in part.tolist()])
             flats.append(flat)
             order.append(part)
             lens.append(count)
+            steps.append(took)
         for i in np.flatnonzero(size > _SHORT).tolist():
-            found = self.segment(texts[i], rate, seed)
+            found = self.segment(texts[i])
             flats.append(np.array(found, np.int32))
             order.append(np.array([i]))
             lens.append(np.array([len(found)]))
+            steps.append(np.full(1, -1))
         flat, lens, back = np.concatenate(flats), np.concatenate(lens), np.argsort(np.concatenate(order), kind="stable")
-        return gather(flat, np.cumsum(lens) - lens, lens, back), lens[back]
+        return gather(flat, np.cumsum(lens) - lens, lens, back), lens[back], np.concatenate(steps)[back]
 
-    def _matrix(self, symbols: np.ndarray, n: np.ndarray, keys: np.ndarray | None, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    def _matrix(self, symbols: np.ndarray, n: np.ndarray, skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Agenda processing of all rows in step: each takes its best pair, the leftmost of equals, and merges or skips it.
 
         A symbol stays in the column where it begins; after and before link what is left of a row.
@@ -143,20 +153,22 @@ class Pieces:
         ranks, joined = np.full(symbols.shape, _NONE, np.int32), np.zeros(symbols.shape, np.int32)
         pairs = alive[:, 1:]
         ranks[:, :-1][pairs], joined[:, :-1][pairs] = self._find(symbols[:, :-1][pairs], symbols[:, 1:][pairs])
-        live, below = np.arange(rows), np.uint64(int(rate * 2**64))
+        live, steps = np.arange(rows), np.zeros(rows, np.int64)
+        skipped = np.zeros((rows, 1 + max((x[-1] for x in skips if x), default=-1)), bool)
+        skipped[np.repeat(np.arange(rows), [len(x) for x in skips]), [k for x in skips for k in x]] = True
+        step = 0
         while len(live):
             r = ranks[live]
             best = r.argmin(axis=1)
             open_ = r[np.arange(len(live)), best] != _NONE
             live, b = live[open_], best[open_]
             merge, piece = live, joined[live, b]
-            if keys is not None:
-                h = keys[live] ^ (b.astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64))
-                h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-                h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-                skip = (h ^ (h >> np.uint64(33))) < below
+            steps[live] += 1
+            if step < skipped.shape[1]:
+                skip = skipped[live, step]
                 ranks[live[skip], b[skip]] = _NONE
                 merge, b, piece = live[~skip], b[~skip], piece[~skip]
+            step += 1
             c = after[merge, b]
             d = after[merge, c]
             symbols[merge, b], after[merge, b] = piece, d
@@ -182,15 +194,15 @@ class Pieces:
                 flat = np.repeat(flat, width)
                 flat[flat >= most] = np.concatenate([np.array(x, np.int32) for x in spelled])
                 np.add.at(count, row, more - 1)
-        return flat, count
+        return flat, count, steps
 
     def _spell(self, character: str) -> list[int]:
         """The byte pieces of a character."""
         return [self.bytes[x] for x in (BLANK if character == _OWN else character).encode()]
 
-    def segment(self, text: str, rate: float = 0.0, seed: int = 0) -> list[int]:
-        """The ids of one segment; a candidate is skipped where the hash of segment and span, under the seed, is below the rate."""
-        symbols = self._long(text, text.encode("utf-8", "surrogatepass"), int(rate * 2**64), seed)
+    def segment(self, text: str, rate: float = 0.0, key: int = 0) -> list[int]:
+        """The ids of one segment; a candidate is skipped where the hash of its step, under the key, is below the rate."""
+        symbols = self._long(text, int(rate * 2**64), key)
         ids = self.ids
         try:
             return [ids[s] for s in symbols]
@@ -201,11 +213,10 @@ class Pieces:
                 out += [i] if i is not None else self._spell(s)
             return out
 
-    def _long(self, text: str, raw: bytes, below: int, seed: int) -> list[str]:
+    def _long(self, text: str, below: int, key: int) -> list[str]:
         """The agenda is a heap, for segments of any length."""
         symbols: list[str | None] = list(text)
-        n, rank, drop = len(symbols), self.rank.get, xxhash.xxh64_intdigest
-        base = xxhash.xxh64_intdigest(raw, seed) if below else 0
+        n, rank, drop, step = len(symbols), self.rank.get, xxhash.xxh64_intdigest, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, a, a + 1, p) for a in range(n - 1) if (r := rank(p := text[a : a + 2])) is not None]
         heapq.heapify(agenda)
@@ -214,7 +225,8 @@ class Pieces:
             left, right = symbols[a], symbols[b]
             if left is None or right is None or after[a] != b or left + right != piece:
                 continue
-            if below and drop(piece.encode("utf-8", "surrogatepass"), (base + a) & _ALL) < below:
+            step += 1
+            if below and drop(step.to_bytes(8, "little"), key) < below:
                 continue
             symbols[a], symbols[b] = piece, None
             after[a] = c = after[b]
@@ -238,88 +250,116 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: np.nda
     return flat[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
 class _Table:
-    """Segments that were cut: a number for each, and their ids in one array."""
+    """Segments that were cut, each without some steps: a number for each, their ids in one array, and the steps they took.
+
+    What is cut without a step more than another is that one's child at the step.
+    """
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
-        self.starts, self.lens, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.children: dict[int, int] = {}  # by parent and step
+        self.made: list[str | int] = []  # a segment, or the key of a child
+        self.starts, self.lens, self.steps, self.flat, self.used = *(np.zeros(1 << 12, np.int64) for _ in range(3)), np.zeros(1 << 14, np.int32), 0
 
-    def add(self, segments: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
-        n, m = len(self.index), len(segments)
+    def add(self, made: list[str] | list[int], flat: np.ndarray, lens: np.ndarray, steps: np.ndarray) -> range:
+        n, m = len(self.made), len(made)
         while n + m > len(self.starts):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+            self.starts, self.lens, self.steps = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.steps))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.starts[n : n + m], self.lens[n : n + m] = self.used + np.cumsum(lens) - lens, lens
+        self.starts[n : n + m], self.lens[n : n + m], self.steps[n : n + m] = self.used + np.cumsum(lens) - lens, lens, steps
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.index.update(zip(segments, range(n, n + m), strict=True))
+        self.made += made
+        return range(n, n + m)
+
+    def told(self, key: str | int) -> tuple[str, tuple[int, ...]]:
+        """The segment and the steps it is cut without."""
+        steps = []
+        while not isinstance(key, str):
+            steps.append(key % _STEPS)
+            key = self.made[key // _STEPS]
+        return key, tuple(reversed(steps))
+
 
-    def keep(self, segments: list[str]) -> None:
-        """Forget all others."""
-        which = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
-        flat, lens = gather(self.flat, self.starts, self.lens, which), self.lens[which]
-        self.__init__()
-        self.add(segments, flat, lens)
+#: A node and a step are one number: steps are fewer than this. A pair that was skipped comes up again only where a neighbour merged.
+_STEPS = 8 * _SHORT
 
 
 class Encoder:
     """Encodes texts, remembering the segments it has cut, about `remember` of them."""
 
-    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int = 2, remember: int = 400_000):
-        self.pieces, self.rate, self.seed = pieces, rate, seed
-        self.variants = variants if rate else 1
-        self.tables = [_Table() for _ in range(self.variants)]
-        self.most = remember // self.variants
-
-    def _ids(self, variant: int, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all segments, one behind the other; how many each has)."""
-        table, wanted = self.tables[variant], set(segments)
-        if len(table.index) + len(wanted) > self.most:
-            table.keep([s for s in wanted if s in table.index])
+    def __init__(self, pieces: Pieces, rate: float, seed: int, remember: int = 400_000):
+        self.pieces, self.rate, self.seed, self.most = pieces, rate, seed, remember
+        self.table = _Table()
+
+    def _gaps(self, keys: np.ndarray, k: int) -> np.ndarray:
+        """How many steps are taken between an occurrence's skips number k - 1 and k, each step being skipped at the rate."""
+        u = ((_mix(keys + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        return np.minimum(np.log(u) / np.log1p(-self.rate), _STEPS).astype(np.int64)
+
+    def cut(self, segments: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments, one behind the other; how many each has). keys: of each occurrence."""
+        if len(self.table.made) > self.most:
+            self.table = _Table()
+        table, wanted = self.table, set(segments)
         new = list(wanted.difference(table.index))
-        table.add(new, *self.pieces.segments(new, self.rate, (self.seed << 32) + (variant << 24)))
-        which = np.fromiter(map(table.index.__getitem__, segments), np.int64, len(segments))
-        return gather(table.flat, table.starts, table.lens, which), table.lens[which]
+        table.index.update(zip(new, table.add(new, *self.pieces.cut(new, [()] * len(new))), strict=True))
+        node = np.fromiter(map(table.index.__getitem__, segments), np.int64, len(segments))
+        if self.rate:
+            k, todo, at = 0, np.arange(len(node)), np.full(len(node), -1)
+            while len(todo):
+                at = at + 1 + self._gaps(keys[todo], k)
+                more = at < table.steps[node[todo]]
+                todo, at = todo[more], at[more]
+                node[todo] = self._children(node[todo] * _STEPS + at)
+                k += 1
+        flat, lens = gather(table.flat, table.starts, table.lens, node), table.lens[node]
+        long = np.flatnonzero(table.steps[node] < 0).tolist() if self.rate else []
+        if not long:
+            return flat, lens
+        parts, ends, begin = [], np.cumsum(lens), 0
+        for i in long:  # each occurrence by a heap of its own
+            found = self.pieces.segment(segments[i], self.rate, int(keys[i]))
+            parts += [flat[begin : ends[i] - lens[i]], np.array(found, np.int32)]
+            begin, lens[i] = ends[i], len(found)
+        return np.concatenate([*parts, flat[begin:]]), lens
+
+    def _children(self, asked: np.ndarray) -> np.ndarray:
+        table = self.table
+        keys, back = np.unique(asked, return_inverse=True)
+        listed = keys.tolist()
+        new = [x for x in listed if x not in table.children]
+        told = [table.told(k) for k in new]
+        table.children.update(zip(new, table.add(new, *self.pieces.cut([s for s, _ in told], [x for _, x in told])), strict=True))
+        return np.fromiter(map(table.children.__getitem__, listed), np.int64, len(listed))[back]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """The ids of each text. A text's segments take the variants in turn, from one that the text's hash chooses."""
-        v, cut = self.variants, []
-        asked: list[list[str]] = [[] for _ in range(v)]
+        """The ids of each text. The text's hash and a segment's place in it key what is skipped."""
+        asked: list[str] = []
+        bounds, hashes = [0], []
         for t in texts:
-            if not t:
-                cut.append((0, 0))
-                continue
-            if BLANK in t:
-                t = t.replace(BLANK, _OWN)
-            segments = _SEGMENT.findall(BLANK + t.replace(" ", BLANK))
-            first = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed) % v if v > 1 else 0
-            cut.append((first, len(segments)))
-            for k in range(v):
-                asked[(first + k) % v] += segments[k::v]
-        found = [self._ids(k, asked[k]) for k in range(v)]
-        # all runs are in one array, variant by variant; each text's take turns among them
-        flat, lens = np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])
-        starts = np.cumsum(lens) - lens
-        at = np.cumsum([0, *(len(a) for a in asked)])[:-1].tolist()
-        total = sum(n for _, n in cut)
-        which, place, bounds = np.empty(total, np.int64), 0, []
-        for first, n in cut:
-            for k in range(v):
-                j, m = (first + k) % v, len(range(k, n, v))
-                which[place + k : place + n : v] = np.arange(at[j], at[j] + m)
-                at[j] += m
-            place += n
-            bounds.append(place)
-        ids = gather(flat, starts, lens, which)
-        ends = np.concatenate([[0], np.cumsum(lens[which])])
-        out: list[np.ndarray | None] = []
-        begin = 0
-        for t, end in zip(texts, bounds, strict=True):
-            out.append(None if t is None else ids[ends[begin] : ends[end]])
-            begin = end
-        return out
+            if t:
+                if BLANK in t:
+                    t = t.replace(BLANK, _OWN)
+                asked += _SEGMENT.findall(BLANK + t.replace(" ", BLANK))
+                hashes.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed))
+            else:
+                hashes.append(0)
+            bounds.append(len(asked))
+        n = np.diff(bounds)
+        place = np.arange(len(asked), dtype=np.uint64) - np.repeat(np.array(bounds[:-1], np.uint64), n)
+        keys = _mix(np.repeat(np.array(hashes, np.uint64), n) ^ _mix(place + np.uint64(1)))
+        ids, lens = self.cut(asked, keys)
+        ends = np.concatenate([[0], np.cumsum(lens)])[bounds]
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, text: str | None) -> list[int] | None:
         found = self.encode_all([text])[0]
@@ -345,14 +385,14 @@ def _pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def encode(spark: SparkSession, text: Column, rate: float = 0.1, seed: int = 11, variants: int = 2, model: str = MODEL) -> Column:
+def encode(spark: SparkSession, text: Column, rate: float = 0.1, seed: int = 11, model: str = MODEL) -> Column:
     """struct<ids, lossless> of each text; lossless: decoding gave the text back. model: a path that the driver can read."""
     with open(model, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())  # one vocabulary
 
     @F.pandas_udf("ids array<int>, lossless boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(_pieces(shared.value), rate, seed, variants)
+        encoder = Encoder(_pieces(shared.value), rate, seed)
         decode = encoder.pieces.decode
         for texts in batches:
             for part in _slices(texts.tolist()):  # small results: few texts' pieces are in memory at once
@@ -363,11 +403,11 @@ def encode(spark: SparkSession, text: Column, rate: float = 0.1, seed: int = 11,
     return of(text)
 
 
-def encode_rows(spark: SparkSession, docs: DataFrame, text: str = "text", rate: float = 0.1, seed: int = 11, variants: int = 2, model: str = MODEL) -> DataFrame:
+def encode_rows(spark: SparkSession, docs: DataFrame, text: str = "text", rate: float = 0.1, seed: int = 11, model: str = MODEL) -> DataFrame:
     """docs with columns __ids (array<int>) and __lossless (boolean) added. All columns stay."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"))
-    made = rows.select("row", encode(spark, F.col("text"), rate, seed, variants, model).alias("e"))
+    made = rows.select("row", encode(spark, F.col("text"), rate, seed, model).alias("e"))
     return made.select("row.*", F.col("e.ids").alias("__ids"), F.col("e.lossless").alias("__lossless"))
 
 

@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,40 @@ def test_rows(spark):
     assert M.encode_rows(spark, docs.limit(0)).count() == 0
     one = made.where("doc_id = 3").select("__ids").collect()
     assert one[0] == one[1]
+
+
+def test_every_occurrence_is_cut_on_its_own(pieces):
+    rate, n = 0.1, 20_000
+    [got] = M.Encoder(pieces, rate, 3).encode_all([" ".join(["a"] * n)])
+    [[whole]] = [g.tolist() for g in M.Encoder(pieces, 0.0, 3).encode_all(["a"])]
+    assert pieces.cut(["▁a"], [()])[2].tolist() == [1]  # a word of one merge
+    assert abs((got == whole).sum() / n - (1 - rate)) < 0.01
+    texts = [f"{i} international" for i in range(500)]
+    ways = {tuple(g.tolist()[-k:]) for g in M.Encoder(pieces, rate, 3).encode_all(texts) for k in [5]}
+    assert len(ways) > 10
+    # each first candidate is skipped at the rate, whatever the word
+    first = [M.Encoder(pieces, rate, 3)._gaps(M._mix(np.arange(200_000, dtype=np.uint64)), k) for k in (0, 1)]
+    assert all(abs((f == 0).mean() - rate) < 0.005 and abs((f == 1).mean() - rate * (1 - rate)) < 0.005 for f in first)
+
+
+def test_steps_are_skipped_as_told(pieces):
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 31))) for _ in range(300)]
+    skips = [tuple(sorted(rng.sample(range(12), rng.randint(0, 6)))) for _ in words]
+    flat, lens, steps = pieces.cut(words, skips)
+    ends = lens.cumsum()
+    for word, skip, end, n, took in zip(words, skips, ends, lens, steps, strict=True):
+        symbols, dead, step = list(word), set(), 0
+        while True:  # pairs by identity of their symbols: a skipped pair is new when one of its symbols merged
+            live = [(pieces.rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in pieces.rank and (i, a, b) not in dead]
+            if not live:
+                break
+            _, i = min(live)
+            if step in skip:
+                dead.add((i, symbols[i], symbols[i + 1]))
+            else:
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                dead = {(j if j < i else j - 1, a, b) for j, a, b in dead if j + 1 < i or j > i + 1}
+            step += 1
+        assert step == took and b"".join(pieces.pieces[x] for x in flat[end - n : end].tolist()) == word.replace("▁", " ").encode()
+        assert [len(pieces.pieces[x].decode()) for x in flat[end - n : end].tolist()] == [len(s) for s in symbols]
