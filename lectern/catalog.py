@@ -563,11 +563,16 @@ def sentence_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Each passage of benchmark, a letter changed, in the turns of all conversations that begin alike; and in itself."""
-    b = B.table(spark, d, "benchmark")
-    needle = F.concat(F.substring("text", 1, 20), F.lit("#"), F.expr("substring(text, 22, 40)"))
-    hay = F.concat(F.lit("Before. "), F.col("text"), F.lit(" After."))
-    return b.select("item_id", align.fuzzy_match(needle, hay).alias("m")).select("item_id", "m.*")
+    """Each passage of benchmark, one letter of every forty changed, in every turn of all conversations that begin with its first word; and in itself, without conv_id and turn."""
+    word = lambda c: F.lower(F.regexp_extract(c, r"^\s*(\S*)", 1))
+    c = B.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    b = B.table(spark, d, "benchmark").where("text is not null").select("item_id", word("text").alias("word"), F.regexp_replace("text", "(?s)(.{20}).(.{0,19})", "$1#$2").alias("needle"), "text")
+    first = c.groupBy("conv_id").agg(word(F.min_by("text", "turn")).alias("word"))
+    alike = first.join(b, "word").select("conv_id", "item_id", "needle").join(c, "conv_id").select("item_id", "conv_id", "turn", "needle", F.col("text").alias("hay"))
+    none = lambda name: F.lit(None).cast(c.schema[name].dataType).alias(name)
+    own = b.select("item_id", none("conv_id"), none("turn"), "needle", F.concat(F.lit("Before. "), F.col("text"), F.lit(" After.")).alias("hay"))
+    pairs = own.union(alike).repartition(4 * spark.sparkContext.defaultParallelism)  # few rows, much work each
+    return pairs.select("item_id", "conv_id", "turn", align.fuzzy_match(F.col("needle"), F.col("hay")).alias("m")).select("item_id", "conv_id", "turn", "m.*")
 
 
 def _conversation_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
