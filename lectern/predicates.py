@@ -1,4 +1,4 @@
-"""Column predicates that every operator shares."""
+"""Column predicates and names that every operator shares."""
 
 from __future__ import annotations
 
@@ -21,3 +21,14 @@ def active_at(t: Column, begin: Column | str = "clip_begin_ms", end: Column | st
 def in_column(left: Column, column_left: Column, column_right: Column) -> Column:
     """A box belongs to a column from four pixels before it up to its right edge."""
     return (left >= column_left - 4) & (left < column_right)
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores behind it until it is none of `names`, whatever their case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
