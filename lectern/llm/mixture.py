@@ -1,18 +1,26 @@
 """Mixing sources to target weights by a splitting tree [native].
 
 A keyed hash of its id puts every document at a place of its source's permutation; the leading bits of the
-place are its block, so blocks are random, disjoint and of known words. A source's target says how many
-whole passes over its blocks the mix takes, how many blocks of one more pass, and how far into the next
-block the rest reaches; that point is found by descending the place's bits through sums, never by sorting
-a source.
-
-The quotas, in blocks, are dealt to the output shards by a tree: a node draws half of its blocks as from an
-urn, without replacement, for its left child, which is a multivariate hypergeometric draw of the sources'
-quotas, and leaves exact sums at every node. A shard's quota of a source then takes the next run of the
+place are its block, so blocks are random, disjoint and of known words. A source's quota is a number of blocks: as many
+whole passes over its blocks as its target asks for, and those of one more pass up to the block in which the target is
+reached (the last of the quota). Of that block the mix takes documents, in their order, up to the first that is
+too large for what is left, and then fills the rest with a document or two of each of many sizes, the large ones first, and,
+while others could still fit, in rounds of documents no larger than what is left. So no document that isn't
+taken would fit, and a source misses its target by less than the smallest of them (or by less than a word).
+
+The quotas are dealt to the output shards by a tree. A node holds an urn of blocks of all sources; it draws half of them,
+without replacement, for its left child, which is a multivariate hypergeometric draw of the sources' quotas, and
+leaves exact sums at every node. Halving one random order of all blocks, again and again, is that draw at every node
+at once, so one distributed ranking grows the whole tree. A shard's quota of a source then takes the next run of the
 source's permuted blocks, and every shard shuffles its own rows by another keyed hash.
 
-Sources are ordered by code point, null last. Null text has size 0. Documents of one id are at one place and
-are taken alike; the reruns of a mix agree. An empty table gives an empty mix.
+The numbers of blocks and shards go with the data: PER_BLOCK documents a block up to 256 blocks of a source, then
+blocks of at most WIDE; SHARD_WORDS words a shard, eight shards at least.
+
+Sources are ordered by code point, null last; a row per source meets in one task, never a row per document. Null and empty texts
+have size 0; a very long text counts whole and is taken whole. Documents of one id are at one place and
+are taken alike, but where a rest is filled in rounds by size: there each of them counts by itself. Reruns of a mix agree. An empty table gives an empty mix. Other columns, whatever their names,
+are kept by mix_documents() and ignored by mix_report().
 """
 
 from __future__ import annotations
@@ -20,11 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ordering import global_index
 from lectern.shared import broadcast_if_small, materialise
 
-#: Documents in a block, about, and the most bits a block's number has.
-PER_BLOCK, BLOCK_BITS = 16, 8
+#: Documents in a block, about: as few as that while a source has up to 2^FINE blocks, as many as that beyond.
+PER_BLOCK, WIDE, FINE = 16, 1024, 8
+SHARD_WORDS, LEAST_LEVELS = 1 << 27, 3
 _PLACE_BITS = 63
+#: Parts in which an octave of sizes is cut for the documents that fill a rest.
+_PARTS = 8
+_DRAWS = "array<struct<pass:int,shard:long>>"
 
 
 def words(text: Column) -> Column:
@@ -56,137 +69,162 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return w.withColumn("target", F.least(cap, F.coalesce(level * F.col("weight"), cap))).drop("level")
 
 
-def _cut(places: DataFrame, quotas: DataFrame, nearest: bool) -> DataFrame:
-    """quotas(source, rest) -> (source, cut, beyond, left): documents at a place below the cut hold the rest but for `left` words.
+def _of(column: str, other: str) -> Column:
+    """A join on a source, which may be null."""
+    return F.col(column).eqNullSafe(F.col(other))
+
+
+def _reach(sums: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(source, left) -> (source, block, rank, cut, left): the place at which left is used up, and what is left there.
 
-    Descends from blocks, eight bits at a time, into the stretch in which the words run out. At the end
-    the stretch is one document (or rows of one id), which is too large; nearest takes it if half of it is
-    wanted. beyond: the place after it. Where all documents are wanted, the cut is above all places.
+    sums(source, block, size): words of the blocks of rows(source, block, place, size). Sources whose rows are no more than what is left have no result.
+    A source's blocks meet in a task, and the documents of one block; places are summed before, so rows of one id are one.
     """
-    open_ = quotas.select("source", "rest", F.lit(0).cast("long").alias("low"), F.lit(_PLACE_BITS).alias("bits"))
-    closed: DataFrame | None = None
-    while True:
-        asked = open_.select(F.col("source").alias("o_source"), "rest", "low", "bits", (F.col("bits") - F.least(F.lit(BLOCK_BITS), F.col("bits"))).alias("below"))
-        found = places.join(broadcast_if_small(asked), F.col("source").eqNullSafe(F.col("o_source"))).where("place >= low and (bits = 63 or place - low < shiftleft(1L, bits))")
-        sums = found.withColumn("part", F.expr("shiftright(place - low, below)")).groupBy("source", "rest", "low", "below", "part").agg(
-            F.sum("size").alias("size"), F.min("place").alias("least"), F.max("place").alias("largest")
-        )
-        run = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("part")))
-        first = run.where("upto > rest").groupBy("source", "rest", "low", "below").agg(F.min_by(F.struct("part", "upto", "size", "least", "largest"), "part").alias("s"))
-        hit = first.select("source", F.expr("rest - (s.upto - s.size)").alias("rest"), F.expr("low + shiftleft(s.part, below)").alias("low"), F.col("below").alias("bits"), "s.size", "s.least", "s.largest")
-        hit = materialise(hit, "mix-cut")
-        take = F.expr(f"{str(nearest).lower()} and 2 * rest >= size")
-        done = hit.where("bits = 0 or least = largest").select(
-            "source", F.when(take, F.col("largest") + 1).otherwise(F.col("least")).alias("cut"), (F.col("largest") + 1).alias("beyond"), F.when(take, F.col("rest") - F.col("size")).otherwise(F.col("rest")).alias("left")
-        )
-        closed = done if closed is None else closed.union(done)
-        open_ = hit.where("bits > 0 and least < largest").select("source", "rest", "low", "bits")
-        if open_.isEmpty():
-            break
-    closed = materialise(closed, "mix-cuts")
-    all_ = quotas.join(closed.select(F.col("source").alias("c_source")), F.col("source").eqNullSafe(F.col("c_source")), "left_anti")
-    top = F.lit((1 << _PLACE_BITS) - 1)
-    return closed.union(all_.select("source", top.alias("cut"), top.alias("beyond"), F.lit(0.0).alias("left")))
-
-
-def _cuts(places: DataFrame, quotas: DataFrame, rounds: int = 3) -> DataFrame:
-    """(source, cut, cuts): the cut of the last pass, and array<struct<low,cut,limit>> of all rounds.
-
-    The document at the cut is too large for what is left of the target; another round takes from the
-    documents behind it those that aren't, and so on, so that what is missed at last is far less than a
-    large document.
+    along = Window.partitionBy("source").orderBy("block")
+    run = sums.withColumns({"rank": F.row_number().over(along) - 1, "upto": F.sum("size").over(along)})
+    a = asked.select(F.col("source").alias("a_source"), "left")
+    over = run.join(broadcast_if_small(a), _of("source", "a_source")).where("upto > left").groupBy("source")
+    over = over.agg(F.min(F.struct("rank", "block", (F.col("left") - F.col("upto") + F.col("size")).alias("left"))).alias("r"))
+    over = materialise(over.select(F.col("source").alias("o_source"), "r.*").withColumnRenamed("block", "o_block"), "mix-over")
+    inside = rows.join(broadcast_if_small(over), _of("source", "o_source") & (F.col("block") == F.col("o_block")))
+    places = inside.groupBy("source", "block", "rank", "left", "place").agg(F.sum("size").alias("size"))
+    upto = places.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("place"))).where("upto > left")
+    cut = upto.groupBy("source", "block", "rank").agg(F.min(F.struct("place", (F.col("left") - F.col("upto") + F.col("size")).alias("left"))).alias("c"))
+    return materialise(cut.select("source", "block", "rank", F.col("c.place").alias("cut"), "c.left"), "mix-cut")
+
+
+def _fill(candidates: DataFrame) -> DataFrame:
+    """candidates(source, left, size, place) -> (source, extras, left, more): places whose documents fill what is left.
+
+    Of each part of an octave of sizes the smallest and the largest document (the first of equals) are looked at, from large
+    to small; one that fits is taken. `more`: a document that wasn't looked at may fit still. If none can, the smallest
+    that was passed over is taken where that misses by less than to leave it.
     """
-    low, every = F.lit(0).cast("long"), F.lit((1 << _PLACE_BITS) - 1)
-    now = materialise(_cut(places, quotas, rounds == 1).withColumns({"low": low, "limit": every}), "mix-round")
-    found = [now]
-    for i in range(1, rounds):
-        asked = now.where("left >= 1").select(F.col("source").alias("l_source"), F.col("beyond").alias("from"), F.floor("left").cast("long").alias("limit"), F.col("left").alias("rest"))
-        if asked.isEmpty():
-            break
-        behind = places.join(broadcast_if_small(asked), F.col("source").eqNullSafe(F.col("l_source"))).where("place >= from and size <= limit").select("source", "place", "size")
-        cut = _cut(behind, asked.select(F.col("l_source").alias("source"), "rest"), i == rounds - 1)
-        now = materialise(cut.join(asked, F.col("source").eqNullSafe(F.col("l_source"))).select("source", "cut", "beyond", "left", F.col("from").alias("low"), "limit"), "mix-round")
-        found.append(now)
-    each = found[0].select("source", F.struct("low", "cut", "limit").alias("c"))
-    for df in found[1:]:
-        each = each.union(df.select("source", F.struct("low", "cut", "limit").alias("c")))
-    return materialise(each.groupBy("source").agg(F.min_by("c", "c.low")["cut"].alias("cut"), F.collect_list("c").alias("cuts")), "mix-cuts")
-
-
-def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
-    """quotas(source, blocks) dealt to 2^levels shards: (shard, source, blocks), sums exact at every node of the tree."""
-    nodes = quotas.select(F.lit(0).alias("node"), "source", "blocks")
-    for level in range(levels):
-        urn = nodes.select("node", "source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))).alias("ball"))
-        drawn = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(seed), F.lit(level), "node", "source", "ball"), "source", "ball")
-        every = Window.partitionBy("node")
-        left = F.row_number().over(drawn) * 2 <= F.count("*").over(every)
-        nodes = urn.select((F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node"), "source").groupBy("node", "source").agg(F.count("*").alias("blocks"))
-    return nodes.withColumnRenamed("node", "shard")
+    part = F.floor(_PARTS * F.log2(F.greatest("size", F.lit(1))))
+    first, last = F.min(F.struct("size", "place")), F.max(F.struct("size", (-F.col("place")).alias("place")))
+    few = candidates.where("size > 0").groupBy("source", "left", part.alias("part")).agg(first.alias("a"), last.alias("z"), F.count("*").alias("n"))
+    both = F.array_distinct(F.array("a", F.struct(F.col("z.size").alias("size"), (-F.col("z.place")).alias("place"))))
+    least = F.min(F.when(F.col("n") > 2, F.col("a.size"))).alias("unseen")
+    listed = few.groupBy("source", "left").agg(F.flatten(F.collect_list(both)).alias("docs"), least)
+    fold = """aggregate(reverse(array_sort(docs)), struct(left as left, cast(array() as array<bigint>) as taken, cast(null as struct<size:bigint,place:bigint>) as over),
+        (s, d) -> if(d.size <= s.left, struct(s.left - d.size as left, concat(s.taken, array(d.place)) as taken, s.over as over), struct(s.left as left, s.taken as taken, least(s.over, d) as over)))"""
+    done = listed.select("source", F.expr(fold).alias("s"), "unseen").withColumn("more", F.coalesce(F.col("unseen") <= F.col("s.left"), F.lit(False)))
+    extras = F.expr("if(not more and s.over.size - s.left < s.left, concat(s.taken, array(s.over.place)), s.taken)")
+    return done.select("source", extras.alias("extras"), "s.left", "more")
+
+
+def split_quotas(quotas: DataFrame, levels: Column, seed: int) -> DataFrame:
+    """quotas(source, blocks) dealt to 2^levels shards: (shard, source, blocks), sums exact at every node of the tree.
+
+    A node's urn is a stretch of one random order of all blocks, and its children are the halves of the stretch.
+    """
+    parts = quotas.select("source", "blocks", F.explode(F.expr("sequence(0L, (blocks - 1) div 4096)")).alias("part"))
+    urn = parts.select("source", F.explode(F.expr("sequence(part * 4096, least(part * 4096 + 4095, blocks - 1))")).alias("ball"))
+    drawn = global_index(urn.withColumn("key", F.xxhash64(F.lit(seed), "source", "ball")), "key", "source", "ball", name="rank")
+    total = quotas.agg(F.sum("blocks").alias("total"), F.first(levels).alias("levels"))
+    shard = F.expr("cast(floor(cast(rank as decimal(38,0)) * shiftleft(1L, levels) / total) as bigint)")
+    return drawn.join(F.broadcast(total)).select(shard.alias("shard"), "source").groupBy("shard", "source").agg(F.count("*").alias("blocks"))
 
 
 class Mixture:
-    """The plan of a mix: sources (with targets), draws (source, block, shards) and cuts (source, cut)."""
+    """The plan of a mix: sources (with targets, cuts and what fills the rest) and draws (source, block, when and for which shards)."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, seed: int = 17, levels: int = 3, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), most: int = 3):
-        self.seed, self.levels, self.id, self.source = seed, levels, id, source
+    def __init__(self, spark: SparkSession, docs: DataFrame, seed: int = 17, levels: int | None = None, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), most: int = 3):
+        self.seed, self.id, self.source = seed, id, source
         rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
         self.sizes = materialise(rows.withColumn("place", _place(F.col("id"), seed)), "mix-sizes")
-        sums = materialise(self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "mix-sums")
-        bits = F.least(F.lit(BLOCK_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / PER_BLOCK)))).cast("int")
-        passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-        self.sources = materialise(
-            targets(sums, weights, most).withColumns({"bits": bits, "passes": passes}).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-sources"
-        )
-        self.cuts = _cuts(self.sizes.select("source", "size", "place"), self.sources.where("rest > 0").select("source", "rest"))
+        self.sources = self._sources(weights, most, levels)
         placed = self._blocks(self.sizes.select("source", "size", "place"))
-        blocks = materialise(placed.groupBy("source", "block").agg(F.sum("size").alias("size")), "mix-blocks")
-        rank = Window.partitionBy("source").orderBy("block")
-        ranked = blocks.withColumn("rank", F.row_number().over(rank) - 1)
-        cuts = self.cuts.select(F.col("source").alias("cut_source"), "cut")
-        known = self.sources.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-        # blocks that lie wholly below the cut are drawn in the last pass; the cut's own block is drawn by document
-        whole = F.when(F.col("cut").isNull(), 0).otherwise(F.expr("shiftright(cut, 63 - bits)"))
-        known = known.withColumn("cut_block", whole)
-        known = known.select(F.col("source").alias("s_source"), "passes", "cut_block")
-        joined = ranked.join(known, F.col("source").eqNullSafe(F.col("s_source")))
-        quotas = joined.groupBy("source", "passes").agg(F.count("*").alias("n"), F.count_if(F.col("block") < F.col("cut_block")).alias("last")).select("source", "n", (F.col("n") * F.col("passes") + F.col("last")).alias("blocks"))
-        quotas = materialise(quotas, "mix-quotas")
-        leaves = split_quotas(quotas.where("blocks > 0").select("source", "blocks"), levels, seed)
-        order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        runs = leaves.withColumn("begin", F.coalesce(F.sum("blocks").over(order), F.lit(0)))
-        sizes = quotas.select(F.col("source").alias("q_source"), "n")
-        units = runs.join(sizes, F.col("source").eqNullSafe(F.col("q_source"))).select("source", "shard", "n", F.explode(F.expr("sequence(begin, begin + blocks - 1)")).alias("j")).select("source", "shard", F.expr("j % n").alias("rank"), F.expr("cast(j div n as int)").alias("pass"))
-        drawn = units.groupBy("source", "rank").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
-        drawn = drawn.select(F.col("source").alias("d_source"), F.col("rank").alias("d_rank"), "draws")
-        self.draws = materialise(ranked.join(drawn, F.col("source").eqNullSafe(F.col("d_source")) & (F.col("rank") == F.col("d_rank"))).select("source", "block", "draws"), "mix-draws")
+        sums = materialise(placed.groupBy("source", "block").agg(F.sum("size").alias("size")), "mix-blocks")
+        own = self.sources.select(F.col("source").alias("s_source"), "passes", "rest", "levels")
+        self.cuts = self._cuts(sums, placed)
+        known = own.join(self.cuts.select(F.col("source").alias("c_source"), (F.col("rank") + 1).alias("last")), _of("s_source", "c_source"), "left")
+        quotas = sums.groupBy("source").agg(F.count("*").alias("n")).join(known, _of("source", "s_source"))
+        quotas = materialise(quotas.select("source", "n", "levels", (F.col("n") * F.col("passes") + F.coalesce("last", F.lit(0))).alias("blocks")).where("blocks > 0"), "mix-quotas")
+        self.leaves = materialise(split_quotas(quotas, F.col("levels"), seed), "mix-leaves")
+        self.draws = materialise(self._drawn(sums, quotas), "mix-draws")
+
+    def _sources(self, weights: tuple[int, ...], most: int, levels: int | None) -> DataFrame:
+        """(source, source_size, docs, weight, target, bits, passes, rest, levels)."""
+        sums = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+        need = lambda n: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), n)))).cast("int")
+        bits = F.least(need(F.col("docs") / PER_BLOCK), F.greatest(F.lit(FINE), need(F.col("docs") / WIDE)))
+        passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+        every = F.sum("source_size").over(Window.partitionBy())
+        deep = F.greatest(F.lit(LEAST_LEVELS), need(every / SHARD_WORDS)) if levels is None else F.lit(levels)
+        found = targets(sums, weights, most).withColumns({"bits": bits, "passes": passes, "levels": deep})
+        return materialise(found.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-sources")
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         s = self.sources.select(F.col("source").alias("b_source"), "bits")
-        return rows.join(broadcast_if_small(s), F.col("source").eqNullSafe(F.col("b_source"))).withColumn("block", F.expr("shiftright(place, 63 - bits)")).drop("b_source")
+        return rows.join(broadcast_if_small(s), _of("source", "b_source")).withColumn("block", F.expr("shiftright(place, 63 - bits)")).drop("b_source", "bits")
+
+    def _cuts(self, sums: DataFrame, placed: DataFrame) -> DataFrame:
+        """(source, block, rank, cut, extras, fills): the last block of each source's quota, of which documents at places below
+        the cut are taken; of those from the cut on, the ones at the places `extras`, and in each stretch of fills all up to its limit."""
+        reached = _reach(sums, placed, self.sources.where("rest > 0").select("source", F.col("rest").alias("left")))
+        asked = reached.select(F.col("source").alias("q_source"), F.col("block").alias("q_block"), "cut", "left")
+        behind = placed.join(broadcast_if_small(asked), _of("source", "q_source")).where("block >= q_block and place >= cut and left >= 0.5")
+        filled = materialise(_fill(behind.groupBy("source", "place", "left").agg(F.sum("size").alias("size"))), "mix-filled")
+        fills = []
+        left = filled.where("more").select(F.col("source").alias("f_source"), "extras", "left", F.lit(0).cast("long").alias("low"))
+        while not left.isEmpty():  # each round's documents are smaller than what the one before left
+            open_ = behind.drop("left").join(broadcast_if_small(left), _of("source", "f_source")).where("place >= low and size <= left and not array_contains(extras, place)")
+            open_ = materialise(open_.select("source", "block", "place", "size", "left", "low", "extras"), "mix-open")
+            cut = _reach(open_.groupBy("source", "block").agg(F.sum("size").alias("size")), open_.select("source", "block", "place", "size"), left.select(F.col("f_source").alias("source"), "left"))
+            cut = cut.select(F.col("source").alias("c_source"), F.col("cut").alias("to"), F.col("left").alias("rest"))
+            round_ = open_.select("source", "low", "extras", "left").distinct().join(cut, _of("source", "c_source"), "left")
+            round_ = materialise(round_.withColumn("to", F.coalesce("to", F.lit((1 << _PLACE_BITS) - 1))), "mix-round")
+            fills.append(round_.select("source", F.struct("low", "to", F.floor("left").cast("long").alias("limit")).alias("f")))
+            left = round_.where("rest >= 1").select(F.col("source").alias("f_source"), "extras", F.col("rest").alias("left"), F.col("to").alias("low"))
+        found = reached.drop("left").join(filled.select(F.col("source").alias("e_source"), "extras"), _of("source", "e_source"), "left")
+        kind = "array<struct<low:bigint,to:bigint,limit:bigint>>"
+        if fills:
+            every = fills[0]
+            for df in fills[1:]:
+                every = every.union(df)
+            listed = every.groupBy(F.col("source").alias("l_source")).agg(F.collect_list("f").cast(kind).alias("fills"))
+            found = found.join(listed, _of("source", "l_source"), "left")
+        else:
+            found = found.withColumn("fills", F.lit(None).cast(kind))
+        none = F.array()
+        return materialise(found.select("source", "block", "rank", "cut", F.coalesce("extras", none.cast("array<bigint>")).alias("extras"), F.coalesce("fills", none.cast(kind)).alias("fills")), "mix-cuts")
+
+    def _drawn(self, sums: DataFrame, quotas: DataFrame) -> DataFrame:
+        """(source, block, draws): each shard takes, of each source, the next run of its quota's blocks; a pass is as many as the source has."""
+        order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        runs = self.leaves.withColumn("begin", F.coalesce(F.sum("blocks").over(order), F.lit(0)))
+        sizes = quotas.select(F.col("source").alias("q_source"), "n")
+        parts = runs.join(broadcast_if_small(sizes), _of("source", "q_source")).select("source", "shard", "n", F.explode(F.expr("sequence(0L, (blocks - 1) div 4096)")).alias("part"), "begin", "blocks")
+        units = parts.select("source", "shard", "n", F.explode(F.expr("sequence(begin + part * 4096, begin + least(part * 4096 + 4095, blocks - 1))")).alias("j"))
+        drawn = units.groupBy("source", F.expr("j % n").alias("rank")).agg(F.sort_array(F.collect_list(F.struct(F.expr("cast(j div n as int)").alias("pass"), "shard"))).alias("draws"))
+        drawn = drawn.select(F.col("source").alias("d_source"), F.col("rank").alias("d_rank"), "draws")
+        ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("block")) - 1)
+        return ranked.join(drawn, _of("source", "d_source") & (F.col("rank") == F.col("d_rank"))).select("source", "block", "draws")
 
     def taken(self, rows: DataFrame) -> DataFrame:
-        """rows(source, place, size, ...) with draws: array<struct<pass,shard>>, one entry for each time the row is taken."""
-        s = self.sources.select(F.col("source").alias("t_source"), "source_size", "target", F.col("passes").alias("t_passes"))
-        c = self.cuts.select(F.col("source").alias("c_source"), "cuts", F.col("cut").alias("first_cut"))
+        """rows(source, place, size, ...) with source_size, target and draws: array<struct<pass,shard>>, one entry for each time the row is taken."""
+        c = self.cuts.select(F.col("source").alias("c_source"), F.col("block").alias("cut_block"), "cut", "extras", "fills")
+        last = self.draws.join(c, _of("source", "c_source")).where("block = cut_block").select(F.col("source").alias("l_source"), F.element_at("draws", -1).alias("last"), "cut_block", "cut", "extras", "fills")
+        s = self.sources.select(F.col("source").alias("t_source"), "source_size", "target", "bits")
+        s = materialise(s.join(last, _of("t_source", "l_source"), "left").drop("l_source"), "mix-takes")
         d = self.draws.select(F.col("source").alias("r_source"), F.col("block").alias("r_block"), "draws")
-        found = self._blocks(rows)
-        found = found.join(broadcast_if_small(s), F.col("source").eqNullSafe(F.col("t_source")))
-        found = found.join(broadcast_if_small(c), F.col("source").eqNullSafe(F.col("c_source")), "left")
-        found = found.join(broadcast_if_small(d), F.col("source").eqNullSafe(F.col("r_source")) & (F.col("block") == F.col("r_block")), "left")
-        behind = F.col("block") >= F.expr("shiftright(first_cut, 63 - bits)")  # blocks before are drawn whole
-        part = behind & F.expr("exists(cuts, c -> place >= c.low and place < c.cut and size <= c.limit)")
-        own = F.struct(F.col("t_passes").alias("pass"), F.pmod(F.xxhash64(F.lit(self.seed + 1), "place"), F.lit(1 << self.levels)).cast("int").alias("shard"))
-        none = F.array().cast("array<struct<pass:int,shard:int>>")
-        draws = F.concat(F.coalesce("draws", none), F.when(part, F.array(own)).otherwise(none))
-        return found.withColumn("draws", draws).drop("t_source", "c_source", "r_source", "r_block", "cuts", "first_cut", "bits", "t_passes")
+        found = rows.withColumnRenamed("size", "own_size").join(broadcast_if_small(s), _of("source", "t_source")).withColumn("block", F.expr("shiftright(place, 63 - bits)"))
+        found = found.join(broadcast_if_small(d), _of("source", "r_source") & (F.col("block") == F.col("r_block")), "left")
+        # the last block is drawn in part: its documents from the cut on aren't, but for those that fill the rest
+        none = F.array().cast(_DRAWS)
+        whole = F.coalesce("draws", none)
+        whole = F.when((F.col("block") == F.col("cut_block")) & (F.col("place") >= F.col("cut")), F.filter(whole, lambda x: x["pass"] < F.col("last.pass"))).otherwise(whole)
+        fills = F.expr("place >= cut and (array_contains(extras, place) or exists(fills, f -> place >= f.low and place < f.to and own_size <= f.limit))")
+        return found.select(*[F.col("own_size").alias("size") if c == "size" else c for c in rows.columns], "source_size", "target", F.concat(whole, F.when(fills, F.array("last")).otherwise(none)).cast(_DRAWS).alias("draws"))
 
 
 def mix_report(spark: SparkSession, docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
-    """(id, size, source_size, target, taken, copies) of each row."""
+    """(id, size, source_size, target, taken, draws) of each row; draws: pass:shard of each time that it is taken, comma-joined."""
     mix = Mixture(spark, docs, seed, id=id, source=source, text=text)
     rows = mix.taken(mix.sizes)
-    return rows.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), F.size("draws").alias("copies"))
+    told = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["pass"].cast("string"), d["shard"].cast("string"))), ",")
+    return rows.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), told.alias("draws"))
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
