@@ -46,7 +46,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.simhash import near_duplicates
 
     found = near_duplicates(spark, _table(spark, sf_dir, "documents"), radius=2, shingle=3)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
