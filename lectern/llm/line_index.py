@@ -7,12 +7,14 @@ with the largest document that holds the line. Documents are read again and prob
 is a member if the fingerprint at its slot is its own.
 
 Shards of a measured total under `broadcast_bytes` go to every executor, and no line is shuffled. Beyond
-that, lines are routed to their shards, each shard in `salts` copies so that a line which a third of all
-documents hold is probed by many tasks; the result is the same.
+that, a bit filter of a tenth of the arrays' size goes to the executors, and lines that pass it are routed to their shards;
+a shard has as many copies as the number of its hits asks for, so a line which a third of all documents hold is probed
+by many tasks. The result is the same.
 
 A document is its id: rows of one id are the same document, and lose or keep a line together. Null ids
-are one document, smaller than any other. Null or empty text is one empty line. A line of the largest
-document that holds it stays, repeats included.
+are one document, smaller than any other. Null or empty text is one empty line, and comes out as an empty text. A line of
+the largest document that holds it stays, repeats included. Very long texts are split whole; an empty table stays
+empty. Other columns pass as they are, whatever their names; an added column whose name is taken gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.predicates import fresh
 from lectern.shared import materialise
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -106,43 +109,72 @@ class PerfectHash:
         return out
 
 
+def _keys(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """What the perfect hash tells apart: 64 bits of both halves. Seed 0: the first half itself."""
+    return a if not seed else _mix(a ^ _mix(b, seed), seed)
+
+
 class Shard:
     """The perfect hash of a shard and its arrays, in slot order."""
 
-    def __init__(self, hash: PerfectHash, prints: np.ndarray, counts: np.ndarray, last: np.ndarray):
-        self.hash, self.prints, self.counts, self.last = hash, prints, counts, last
+    def __init__(self, seed: int, hash: PerfectHash, prints: np.ndarray, counts: np.ndarray, last: np.ndarray):
+        self.seed, self.hash, self.prints, self.counts, self.last = seed, hash, prints, counts, last
 
     @classmethod
-    def build(cls, slot_half: np.ndarray, print_half: np.ndarray, counts: np.ndarray, last: np.ndarray) -> Shard:
-        # equal halves of different lines are too unlikely to plan for, but a build must not run on forever
-        slot_half, first = np.unique(slot_half, return_index=True)
-        if len(first) != len(print_half):
-            raise ValueError("two lines share 64 bits of their hashes; use another shard seed")
-        hash = PerfectHash.build(slot_half)
-        order = np.empty(len(first), np.int64)
-        order[hash.slots(slot_half)] = first
-        return cls(hash, print_half[order], counts[order].astype(np.uint32), last[order])
-
-    def probe(self, slot_half: np.ndarray, print_half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def build(cls, a: np.ndarray, b: np.ndarray, counts: np.ndarray, last: np.ndarray) -> Shard:
+        """Of distinct lines' halves. Where two lines agree in the first half, the next seed mixes in the second."""
+        seed = 0
+        while len(np.unique(keys := _keys(a, b, seed))) < len(a):
+            seed += 1
+        hash = PerfectHash.build(keys)
+        order = np.empty(len(keys), np.int64)
+        order[hash.slots(keys)] = np.arange(len(keys))
+        return cls(seed, hash, b[order], counts[order].astype(np.uint32), last[order])
+
+    def probe(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is a member, and the largest document that holds its line."""
-        slot = self.hash.slots(slot_half)
+        slot = self.hash.slots(_keys(a, b, self.seed))
         if not self.hash.n:
             return np.zeros(len(slot), bool), np.zeros(len(slot), np.int64)
         safe = np.maximum(slot, 0)
-        return (slot >= 0) & (self.prints[safe] == print_half), self.last[safe]
+        return (slot >= 0) & (self.prints[safe] == b), self.last[safe]
 
     def pack(self) -> bytes:
-        head = np.array([len(self.hash.sizes), len(self.hash.words), self.hash.n], np.int64)
+        head = np.array([len(self.hash.sizes), len(self.hash.words), self.hash.n, self.seed], np.int64)
         return b"".join(a.tobytes() for a in (head, np.array(self.hash.sizes, np.int64), self.hash.words, self.prints, self.last, self.counts))
 
     @classmethod
     def unpack(cls, blob: bytes) -> Shard:
-        levels, words, n = np.frombuffer(blob, np.int64, 3)
-        at, out = 24, []
+        levels, words, n, seed = np.frombuffer(blob, np.int64, 4)
+        at, out = 32, []
         for kind, count in ((np.int64, levels), (np.uint64, words), (np.uint64, n), (np.int64, n), (np.uint32, n)):
             out.append(np.frombuffer(blob, kind, count, at))
             at += int(count) * np.dtype(kind).itemsize
-        return cls(PerfectHash(out[0].tolist(), out[1]), out[2], out[4], out[3])
+        return cls(int(seed), PerfectHash(out[0].tolist(), out[1]), out[2], out[4], out[3])
+
+
+class Filter:
+    """Bits of hashes: every member passes, and one in a hundred others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def _places(b: np.ndarray, n: int) -> list[np.ndarray]:
+        return [(_mix(b, 0xF117E4 + k) % np.uint64(n)).astype(np.int64) for k in range(3)]
+
+    @classmethod
+    def build(cls, b: np.ndarray) -> Filter:
+        bits = np.zeros(-(-max(64, 12 * len(b)) // 64), np.uint64)
+        for at in cls._places(b, 64 * len(bits)):
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        return cls(bits)
+
+    def passes(self, b: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(b), bool)
+        for at in self._places(b, 64 * len(self.bits)):
+            ok &= (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return ok
 
 
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +202,12 @@ def line_hashes(docs: DataFrame, least: int, id: str = "doc_id", text: str = "te
             a, b = _halves(digests)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["id", "a", "b"])
 
-    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(_NONE)).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NONE)).alias("id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(of, "id long, a long, b long")
 
 
 def build_index(docs: DataFrame, least: int = 40, min_docs: int = 5, per_shard: int = 200_000, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """(shard, n, blob) for each shard, as a table, and the number of shards."""
+    """(shard, n, hits, blob, filter) for each shard, as a table, and the number of shards. hits: documents over all of its lines."""
     held = line_hashes(docs, least, id, text).groupBy("a", "b", "id").agg(F.count("*").alias("n"))
     common = materialise(held.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs), "line-common")
     shards = max(1, -(-common.count() // per_shard))
@@ -187,9 +219,9 @@ def build_index(docs: DataFrame, least: int = 40, min_docs: int = 5, per_shard:
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         a, b = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))
         made = Shard.build(a, b, part["n"].to_numpy(np.int64), part["last"].to_numpy(np.int64))
-        return pd.DataFrame({"shard": [key[0]], "n": [len(part)], "blob": [made.pack()]})
+        return pd.DataFrame({"shard": [key[0]], "n": [len(part)], "hits": [part["n"].sum()], "blob": [made.pack()], "filter": [Filter.build(b).bits.tobytes()]})
 
-    table = common.withColumn("shard", shard("a")).groupBy("shard").applyInPandas(build, "shard int, n long, blob binary")
+    table = common.withColumn("shard", shard("a")).groupBy("shard").applyInPandas(build, "shard int, n long, hits long, blob binary, filter binary")
     return materialise(table, "line-shards"), shards
 
 
@@ -203,9 +235,9 @@ def _rewrite(text: str | None, least: int, decide) -> tuple[str, int, int]:
 
 
 def dedup_lines(
-    spark: SparkSession, docs: DataFrame, least: int = 40, min_docs: int = 5, id: str = "doc_id", text: str = "text", broadcast_bytes: int = 64 << 20, per_shard: int = 200_000, salts: int = 16
+    spark: SparkSession, docs: DataFrame, least: int = 40, min_docs: int = 5, id: str = "doc_id", text: str = "text", broadcast_bytes: int = 64 << 20, per_shard: int = 200_000, hits_per_task: int = 500_000
 ) -> DataFrame:
-    """docs with `text` replaced by its kept lines, and columns __n_lines, __n_dropped (long) added.
+    """docs with `text` replaced by its kept lines, and columns __n_lines, __n_dropped (long) added, their names with underscores behind if taken.
 
     Lines whose key has at least `least` code points and is in at least `min_docs` documents go, but
     from the largest document that holds them. Other columns pass as they are.
@@ -214,13 +246,14 @@ def dedup_lines(
     total = index.agg(F.coalesce(F.sum(F.length("blob")), F.lit(0))).first()[0]
     names = docs.columns
     rows = docs.select(
-        F.coalesce(F.col(id).cast("long"), F.lit(_NONE)).alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).dropFields(*([text] if len(names) > 1 else [])).alias("row")
+        F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NONE)).alias("id"), F.col(f"`{text}`").alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text]).alias("row")
     )
     if total <= broadcast_bytes:
         kept = _by_broadcast(spark, rows, index, shards, least)
     else:
-        kept = _by_route(rows, index, shards, least, salts)
-    return kept.select(*[F.col("o.kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names], F.col("o.lines").alias("__n_lines"), F.col("o.dropped").alias("__n_dropped"))
+        kept = _by_route(spark, rows, index, shards, least, hits_per_task, broadcast_bytes)
+    added = fresh(names, "__n_lines", "__n_dropped")
+    return kept.select(*[F.col("o.kept").alias(c) if c == text else F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("o.lines").alias(added[0]), F.col("o.dropped").alias(added[1]))
 
 
 _OUT = "kept string, lines long, dropped long"
@@ -252,15 +285,33 @@ def _by_broadcast(spark: SparkSession, rows: DataFrame, index: DataFrame, shards
     return rows.select("row", probe("id", "text").alias("o"))
 
 
-def _by_route(rows: DataFrame, index: DataFrame, shards: int, least: int, salts: int) -> DataFrame:
+def _by_route(spark: SparkSession, rows: DataFrame, index: DataFrame, shards: int, least: int, hits_per_task: int, broadcast_bytes: int) -> DataFrame:
     """Lines go to salted copies of their shard; what must go comes back as a list per document."""
 
     @F.pandas_udf("int")
     def shard(a: pd.Series) -> pd.Series:
         return pd.Series(_shard_of(a.to_numpy(np.int64).view(np.uint64), shards).astype(np.int32))
 
-    lines = line_hashes(rows, least, "id", "text").withColumns({"shard": shard("a"), "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")})
-    copies = index.select("shard", "blob", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    copies = F.greatest(F.lit(1), F.ceil(F.col("hits") / hits_per_task)).cast("int")
+    index = materialise(index.withColumn("copies", copies), "line-index")
+    lines = line_hashes(rows, least, "id", "text").withColumn("shard", shard("a"))
+    if index.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0] <= broadcast_bytes:
+        packed = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in index.select("shard", "filter").toLocalIterator()})
+
+        @F.pandas_udf("boolean")
+        def may_be(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            filters = {k: Filter(np.frombuffer(v, np.uint64)) for k, v in packed.value.items()}
+            for of, b in batches:
+                b, of, ok = b.to_numpy(np.int64).view(np.uint64), of.to_numpy(), np.zeros(len(of), bool)
+                for k in np.unique(of).tolist():
+                    if k in filters:
+                        ok[of == k] = filters[k].passes(b[of == k])
+                yield pd.Series(ok)
+
+        lines = lines.where(may_be("shard", "b"))
+    salted = lines.join(F.broadcast(index.select("shard", "copies")), "shard")  # a row per shard of per_shard lines
+    lines = salted.withColumn("salt", F.pmod(F.xxhash64("id", "b"), F.col("copies")).cast("int")).drop("copies")
+    copies = index.select("shard", "blob", F.explode(F.expr("sequence(0, copies - 1)")).alias("salt"))
 
     def probe(asked: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
         if packed.empty or asked.empty:

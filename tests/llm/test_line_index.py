@@ -31,7 +31,7 @@ def corpus(n=60):
     return rows + [(n, None), (n + 1, ""), (None, common[0]), (3, rows[3][1]), (n + 2, "\n".join(common * 300)), (n + 3, common[1].upper() + "\n" + common[1])]
 
 
-@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "per_shard": 2, "salts": 3}, {"per_shard": 2}])
+@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "per_shard": 2, "hits_per_task": 4}, {"broadcast_bytes": 700, "per_shard": 2}, {"per_shard": 2}])
 def test_matches_a_plain_count(spark, how):
     rows = corpus()
     docs = spark.createDataFrame([(t, i, 7, "x") for i, t in rows], "text string, doc_id long, id int, row string")
@@ -65,6 +65,30 @@ def test_shards_pack_and_reject_strangers():
     assert not empty.probe(a, b)[0].any()
 
 
+def test_lines_that_agree_in_half_their_hash():
+    a, b = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 3, 1], np.uint64)
+    s = L.Shard.unpack(L.Shard.build(a, b, np.arange(4), np.array([10, 20, 30, 40])).pack())
+    assert s.seed > 0
+    member, last = s.probe(a, b)
+    assert member.all() and last.tolist() == [10, 20, 30, 40]
+    assert not s.probe(np.array([5], np.uint64), np.array([4], np.uint64))[0].any()
+
+
+def test_filter_passes_all_members_and_few_others():
+    rng = np.random.default_rng(2)
+    b, other = np.unique(rng.integers(0, 1 << 63, 20_000, np.uint64)), rng.integers(0, 1 << 63, 20_000, np.uint64)
+    f = L.Filter.build(b)
+    assert f.passes(b).all() and f.passes(other).mean() < 0.02 and not L.Filter.build(b[:0]).passes(other).any()
+
+
+def test_taken_names(spark):
+    docs = spark.createDataFrame([(1, "a\nb", 8, 9)], "doc_id long, text string, __N_lines long, `c0.x` long")
+    got = L.dedup_lines(spark, docs)
+    assert got.columns == [*docs.columns, "__n_lines_", "__n_dropped"] and tuple(got.first()) == (1, "a\nb", 8, 9, 2, 0)
+    only = L.dedup_lines(spark, docs.select("text", F.col("doc_id").alias("Text_id")), id="Text_id")
+    assert only.columns == ["text", "Text_id", "__n_lines", "__n_dropped"]
+
+
 def test_other_columns_pass(spark):
     docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string").withColumn("__odd.name", F.lit(3))
     assert L.dedup_lines(spark, docs).first()["__odd.name"] == 3
