@@ -19,12 +19,32 @@ def test_stages_keep_the_columns(spark):
     assert last.count() == now.count() and last.where("not lossless").isEmpty()
 
 
-def test_stages_with_nothing_and_with_nulls(spark):
+def test_stages_with_nulls_odd_columns_and_nothing(spark):
     schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
-    nulls = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (2, "one two three", "en", "a", 13), (2, "one two three", "en", "a", 13), (3, "un deux trois", "fr", None, 13)], schema)
-    for docs in (nulls.limit(0), nulls):
-        for _, stage in P.STAGES:
-            assert stage(spark, docs, "").count() >= 0
+    un, one = "un deux trois quatre", "one two three four"
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, one, "en", "a", 13), (2, one, "en", "a", 13), (3, un, "fr", None, 13), (None, "!!", "en", "b", 2), (7, one + " " + "very long " * 20000, "en", "a", 1)]
+    odd = ["odd.name", "__n_lines", "__ids", "__lossless", "id", "row", "place", "block", "draws", "size", "tid", "found", "copy", "o"]
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(f"x{i}") for i, c in enumerate(odd)})
+    found = {}
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, "")
+        if name != "sentencepiece":
+            assert got.columns == docs.columns
+            assert got.select(*[f"`{c}`" for c in odd]).distinct().collect() in ([], [tuple(f"x{i}" for i in range(len(odd)))])
+        found[name] = sorted(((r.doc_id, r.source) for r in got.collect()), key=str)
+        assert stage(spark, docs.limit(0), "").count() == 0
+    key = lambda *which: sorted([(rows[i][0], rows[i][3]) for i in which], key=str)
+    assert found["language_id"] == key(2, 3, 4, 6)
+    assert found["line_dedup"] == key(0, 1, 2, 3, 4, 5, 6)
+    assert found["simhash_near_dedup"] == key(1, 2, 4, 5, 6)
+    assert {x for x in found["source_mixing"] if x[0] not in (None, 1)} <= set(key(2, 4, 6))
+    assert found["sentencepiece"] == key(0, 1, 2, 3, 4, 5, 6)
+    text = {r.doc_id: (r.text, r.n_chars) for r in P.drop_shared_lines(spark, docs.where("text is null or doc_id = 3"), "").collect()}
+    assert text == {None: ("", 0), 3: (un, 20)}
+    bare = P.drop_shared_lines(spark, docs.drop("n_chars"), "")
+    assert bare.columns == [c for c in docs.columns if c != "n_chars"]
+    pieces = {r.doc_id: r for r in P.encode_pieces(spark, docs.where("doc_id is null and text is null or doc_id = 1"), "").collect()}
+    assert (pieces[None].n_pieces, pieces[None].lossless, pieces[None].ids) == (None, None, None) and (pieces[1].n_pieces, pieces[1].lossless) == (0, True)
 
 
 def test_decisions_take_effect(spark):
