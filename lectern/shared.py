@@ -7,6 +7,7 @@ that is not.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,9 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that a Python worker gets at once: a few of them, with what is made of them, must fit beside the executor's own memory.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers of this context the package, wherever they run and whatever their path is. Once is enough."""
+    """Give the Python workers of this context the package, wherever they run and whatever their path is. Once is enough.
+
+    Rows go to them in batches of at most BATCH_BYTES, one row at least, unless the context's configuration says otherwise.
+    """
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(sc, "_has_lectern", False):
         return
     package = Path(__file__).resolve().parent
@@ -31,7 +42,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir; where it is unset and there is one machine only, as in tests, a folder of our own."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if at:
@@ -39,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -61,9 +74,11 @@ def drop_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df, hinted for broadcast if it has at most so many rows (counted now; df should be a table).
+def broadcast_if_small(df: DataFrame, rows: int = 500_000, size: int = 64 << 20) -> DataFrame:
+    """df, hinted for broadcast if it has at most so many rows (counted now; df should be a table) of at most so many bytes in all.
 
-    Beyond the bound the join is left to the planner, which shuffles: the result is the same.
+    Bytes are those of the rows' values as text, an upper bound of most of them in memory. Beyond either bound the join is
+    left to the planner, which shuffles: the result is the same.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    few = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if few[0] <= rows and few[1] <= size else df
