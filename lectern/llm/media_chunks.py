@@ -42,6 +42,8 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def to_wave(payload: bytes) -> bytes:
     """An 8-bit mono PCM wave file whose samples are the bytes (of an even number)."""
     n = len(payload)
+    if n > (1 << 32) - 64:
+        raise ValueError("a wave file has no more than 4 GiB")
     head = b"RIFF" + (36 + n).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little")
     head += b"".join(v.to_bytes(k, "little") for v, k in ((1, 2), (1, 2), (RATE, 4), (RATE, 4), (1, 2), (8, 2)))
     return head + b"data" + n.to_bytes(4, "little") + payload
@@ -111,26 +113,40 @@ def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.unhex(F.substring(F.sha2(t, 256), 1, 32)).alias("object"), t.alias("text"))
 
 
+_CHUNKS = "array<struct<digest:binary,bytes:int,shared:boolean>>"
+_CHUNK = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.int32()), ("shared", pa.bool_())]))
+
+
 @dataclass(frozen=True)
 class MediaStore:
-    """Files in two tables: containers, with what a file alone holds, and shared chunks (digest, bytes).
+    """Files below a path, in three tables: containers, shared chunks and copies.
 
-    A container has its row's id, the file's address and digest, its number of bytes unpadded, the ordered
-    list of its chunks (roles and sizes; empty if it shares none) and the bytes of its own chunks.
+    A container has its row's id, the file's address and digest, its number of bytes unpadded, the ordered list of its chunks
+    (digest, bytes, and whether the chunk is a shared one) and the bytes of its own chunks, one behind the other.
     """
 
     spark: SparkSession
     path: str
-    id_type: str
-    common: DataFrame  # (object, seq, digest) of the shared chunks
-    second: DataFrame  # (id, object) of rows whose file another row's container holds
+
+    @property
+    def id_type(self) -> str:
+        return self.spark.read.parquet(f"{self.path}/copies").schema["id"].dataType.simpleString()
+
+    def _table(self, kind: int, id_type: str) -> DataFrame:
+        schema = f"id {id_type}, object binary, media_sha256 binary, n_bytes long, chunks {_CHUNKS}, body binary"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/files/kind={kind}").where("object is not null")
 
     def containers(self) -> DataFrame:
-        schema = f"id {self.id_type}, object binary, media_sha256 binary, n_bytes long, roles array<int>, sizes array<int>, body binary"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/kind=0").where("object is not null")
+        """(id, object, media_sha256, n_bytes, chunks, body)."""
+        return self._table(0, self.id_type)
 
     def shared(self) -> DataFrame:
-        return self.spark.read.schema("object binary, body binary").parquet(f"{self.path}/kind=1").where("object is not null").select(F.col("object").alias("digest"), F.col("body").alias("bytes"))
+        """(digest, bytes) of every chunk that several files or places hold."""
+        return self._table(1, self.id_type).select(F.col("object").alias("digest"), F.col("body").alias("bytes"))
+
+    def copies(self) -> DataFrame:
+        """(id, object) of rows whose file is in another row's container."""
+        return self.spark.read.parquet(f"{self.path}/copies").where("object is not null")
 
 
 def store(spark: SparkSession, docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> MediaStore:
@@ -143,58 +159,58 @@ def store(spark: SparkSession, docs: DataFrame, path: str, id: str = "doc_id", t
     copies = materialise(lists.groupBy("object").agg(F.min("id").alias("holder"), F.count("*").alias("rows")).where("rows > 1").select("object", "holder"), "media-copies")
     met = lists.select("id", "object", "chunks").join(small(copies), "object", "left")
     single = F.col("holder").isNull() | F.col("id").eqNullSafe(F.col("holder"))
-    second = materialise(lists.select("id", "object").join(small(copies), "object").where(~F.col("id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull()).select("id", "object"), "media-second")
+    second = lists.select("id", "object").join(small(copies), "object").where(~F.col("id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull()).select("id", "object")
+    second.write.option("compression", "zstd").parquet(f"{path}/copies")
+    media = MediaStore(spark, path)
     # rows whose id repeats may give a place twice; a place is an object and a number
     places = met.where(single).select("object", F.posexplode("chunks").alias("seq", "c")).select("object", "seq", "c.digest")
     places = materialise(places, "media-places")
     owners = places.groupBy("digest").agg(F.min(F.struct("object", "seq")).alias("own"), F.max(F.struct("object", "seq")).alias("other")).where("own <> other").select("digest", "own")
     owners = materialise(owners, "media-owners")
     owned = (F.col("own.object") == F.col("object")) & (F.col("own.seq") == F.col("seq"))
-    common = materialise(places.join(small(owners), "digest").select("object", "seq", "digest", owned.alias("owned")).distinct(), "media-common")
-    # roles by number: 1 shared and written here, 2 shared and written elsewhere; others are the container's own
-    role = F.map_from_entries(F.collect_list(F.struct("seq", F.when(F.col("owned"), 1).otherwise(2))))
-    sharing = materialise(common.groupBy("object").agg(role.alias("roles")), "media-sharing")
+    common = places.join(small(owners), "digest").select("object", "seq", owned.alias("owned")).distinct()
+    # a file's chunks that are shared and written here, and those that another file writes; all others are its own
+    numbers = lambda of: F.collect_list(F.when(of, F.col("seq")))
+    sharing = materialise(common.groupBy("object").agg(numbers(F.col("owned")).alias("here"), numbers(~F.col("owned")).alias("elsewhere")), "media-sharing")
     rows = _rows(docs, id, text)
-    gone = small(second.distinct())
+    gone = small(media.copies().distinct())
     rows = rows.join(gone, rows["object"].eqNullSafe(gone["object"]) & rows["id"].eqNullSafe(gone["id"]), "left_anti")
-    rows = rows.join(small(sharing), "object", "left").select("id", "object", "text", "roles")
-    id_type = rows.schema["id"].dataType.simpleString()
+    rows = rows.join(small(sharing), "object", "left").select("id", "object", "text", "here", "elsewhere")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, address, t, roles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, address, t, here, elsewhere in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, payload = payload_of(t)
                 media = to_wave(payload)
-                role = dict(roles or ())
-                body, order, sizes = media, [], []
-                if role:
-                    parts = _parts(media)
-                    order, sizes = [role.get(i, 0) for i in range(len(parts))], [len(p) for p in parts]
-                    body = b"".join(p for p, r in zip(parts, order, strict=True) if r == 0)
-                    out += [(1, None, _digest(p), None, None, None, None, p) for p, r in zip(parts, order, strict=True) if r == 1]
-                out.append((0, key, address, hashlib.sha256(media).digest(), n, order, sizes, body))
-            kinds = (pa.int32(), batch.schema.field(0).type, pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
-            names = ["kind", "id", "object", "media_sha256", "n_bytes", "roles", "sizes", "body"]
+                parts, here = _parts(media), set(here or ())
+                shared = here.union(elsewhere or ())
+                chunks = [{"digest": _digest(p), "bytes": len(p), "shared": i in shared} for i, p in enumerate(parts)]
+                body = b"".join(p for i, p in enumerate(parts) if i not in shared) if shared else media
+                out.append((0, key, address, hashlib.sha256(media).digest(), n, chunks, body))
+                out += [(1, None, chunks[i]["digest"], None, None, None, parts[i]) for i in sorted(here)]
+            kinds = (pa.int32(), batch.schema.field(0).type, pa.binary(), pa.binary(), pa.int64(), _CHUNK, pa.binary())
+            names = ["kind", "id", "object", "media_sha256", "n_bytes", "chunks", "body"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    written = rows.mapInArrow(of, f"kind int, id {id_type}, object binary, media_sha256 binary, n_bytes long, roles array<int>, sizes array<int>, body binary")
-    none = [(k, None, None, None, None, None, None, None) for k in (0, 1)]  # both folders exist, whatever is in them
-    spark.createDataFrame(none, written.schema).write.partitionBy("kind").parquet(path)
-    written.write.mode("append").option("compression", "zstd").partitionBy("kind").parquet(path)
-    return MediaStore(spark, path, id_type, common.select("object", "seq", "digest"), second)
+    written = rows.mapInArrow(of, f"kind int, id {rows.schema['id'].dataType.simpleString()}, object binary, media_sha256 binary, n_bytes long, chunks {_CHUNKS}, body binary")
+    none = [(k, None, None, None, None, None, None) for k in (0, 1)]  # both folders exist, whatever is in them
+    spark.createDataFrame(none, written.schema).write.partitionBy("kind").parquet(f"{path}/files")
+    written.write.mode("append").option("compression", "zstd").partitionBy("kind").parquet(f"{path}/files")
+    return media
 
 
-def _rebuilt(body: bytes, order: list[int] | None, sizes: list[int] | None, parts: dict[int, bytes]) -> bytes:
-    if not order:
+def _rebuilt(body: bytes, chunks: list[dict] | None, shared: dict[bytes, bytes]) -> bytes:
+    """The file: its chunks in order, its own from the body, the others by digest. Without a list the body is the file."""
+    if not shared:
         return body
     at, pieces = 0, []
-    for i, (role, n) in enumerate(zip(order, sizes, strict=True)):
-        if role == 0:
-            pieces.append(body[at : at + n])
-            at += n
+    for c in chunks:
+        if c["shared"]:
+            pieces.append(shared[c["digest"]])
         else:
-            pieces.append(parts[i])
+            pieces.append(body[at : at + c["bytes"]])
+            at += c["bytes"]
     return b"".join(pieces)
 
 
@@ -209,8 +225,8 @@ def read_back(media: MediaStore) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for address, sha, n, order, sizes, body, parts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                file = _rebuilt(body, order, sizes, {p["seq"]: p["bytes"] for p in parts or ()})
+            for address, sha, n, chunks, body, parts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                file = _rebuilt(body, chunks, {p["digest"]: p["bytes"] for p in parts or ()})
                 if hashlib.sha256(file).digest() != sha:
                     raise ValueError(f"stored media {address.hex()} can't be rebuilt")
                 payload = from_wave(file)
@@ -218,22 +234,23 @@ def read_back(media: MediaStore) -> DataFrame:
             made = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", *(n for n, _ in fields)])
 
-    files = media.containers()
-    plain = files.where(F.size("roles") == 0).withColumn("parts", F.lit(None).cast("array<struct<seq:int,bytes:binary>>"))
-    parts = media.common.join(media.shared(), "digest").groupBy("object").agg(F.collect_list(F.struct("seq", "bytes")).alias("parts"))
-    mixed = files.where(F.size("roles") > 0).join(parts, "object").select(*plain.columns)
+    files, shares = media.containers(), F.expr("exists(chunks, c -> c.shared)")
+    order = ["id", "object", "media_sha256", "n_bytes", "chunks", "body", "parts"]
+    plain = files.where(~shares).withColumns({"chunks": F.lit(None).cast(_CHUNKS), "parts": F.lit(None).cast("array<struct<digest:binary,bytes:binary>>")})
+    asked = files.where(shares).select("object", F.explode(F.expr("array_distinct(transform(filter(chunks, c -> c.shared), c -> c.digest))")).alias("digest")).distinct()
+    parts = asked.join(media.shared(), "digest").groupBy("object").agg(F.collect_list(F.struct("digest", "bytes")).alias("parts"))
+    mixed = files.where(shares).join(parts, "object").select(*order)
     out = f"id {media.id_type}, object binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
-    order = ["id", "object", "media_sha256", "n_bytes", "roles", "sizes", "body", "parts"]
-    return plain.select(*order).union(mixed.select(*order)).mapInArrow(of, out)
+    return plain.select(*order).union(mixed).mapInArrow(of, out)
 
 
 def media_features(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
     """Every row's payload stored as a chunked file, read back and measured; the columns of read_back() by id, digests in hex."""
     media = store(spark, docs, new_path(spark, "media-store"), id, text, broadcast_rows)
-    measured = materialise(read_back(media), "media-measured")
-    copied = measured.join(broadcast_if_small(media.second.select("object").distinct(), broadcast_rows), "object", "left_semi")
+    measured, copies = materialise(read_back(media), "media-measured"), media.copies()
+    copied = measured.join(broadcast_if_small(copies.select("object").distinct(), broadcast_rows), "object", "left_semi")
     copied = materialise(copied.drop("id").dropDuplicates(["object"]), "media-copied")
-    again = media.second.join(broadcast_if_small(copied, broadcast_rows // 5), "object").select(*measured.columns)
+    again = copies.join(broadcast_if_small(copied, broadcast_rows // 5), "object").select(*measured.columns)
     text_of = lambda c: F.lower(F.hex(c)).alias(c)
     return measured.union(again).select(
         F.col("id").alias(id), "n_bytes", "payload_bytes", text_of("payload_sha256"), "tail_crc32", "media_bytes", text_of("media_sha256"), "feature", text_of("object")

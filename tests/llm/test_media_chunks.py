@@ -1,5 +1,7 @@
+import collections
 import hashlib
 import io
+import math
 import random
 import wave
 import zlib
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import media_chunks as M
+from lectern.shared import drop_shared
 
 
 def texts():
@@ -17,13 +20,33 @@ def texts():
     return [None, "", "a", "x" * 64, "x" * 63, "a\0", "é" * 40, shared, shared, "new beginning " + shared, shared + " new end", shared[:4000] + " middle " + shared[4000:], " ".join(word() for _ in range(20000)), "z" * 200000]
 
 
+def plain(text):
+    """What a row must give, by the standard library alone: (n_bytes, payload, file, feature)."""
+    raw = (text or "").encode()
+    payload = raw
+    while not payload or len(payload) % 64:
+        payload += b"\0"
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(1)
+        w.setframerate(8000)
+        w.writeframes(payload)
+    x = [b - 128 for b in payload]
+    n = len(x)
+    count = collections.Counter(x)
+    cross = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    bits = -sum(k / n * math.log2(k / n) for k in count.values()) + 0.0
+    feature = f"n={n};mean={sum(x) / n:.4f};rms={math.sqrt(sum(v * v for v in x) / n):.4f};cross={cross};bits={bits:.4f}"
+    return len(raw), payload, out.getvalue(), feature
+
+
 def check(rows, got):
     assert len(got) == len(rows)
     for r in got:
-        n, p = M.payload_of(dict(rows)[r.doc_id])
-        media = M.to_wave(p)
+        n, p, media, feature = plain(dict(rows)[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), M.features(p))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature)
 
 
 @pytest.mark.parametrize("broadcast_rows", [500_000, 0])
@@ -48,11 +71,33 @@ def test_damage_is_found(spark, tmp_path):
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     s = M.store(spark, docs, str(tmp_path / "store"))
     bad = s.containers().withColumn("body", F.concat("body", F.lit(b"x")))
-    broken = type("Broken", (), {"containers": lambda self: bad, "shared": lambda self: s.shared(), "common": s.common, "id_type": s.id_type})()
+    broken = type("Broken", (), {"containers": lambda self: bad, "shared": lambda self: s.shared(), "id_type": s.id_type})()
     with pytest.raises(Exception, match="can't be rebuilt"):
         M.read_back(broken).collect()
 
 
+def test_a_store_is_opened_by_its_path(spark, tmp_path):
+    rows = list(enumerate(texts()))
+    M.store(spark, spark.createDataFrame(rows, "doc_id int, text string"), str(tmp_path / "store"))
+    drop_shared(spark)
+    s = M.MediaStore(spark, str(tmp_path / "store"))
+    files = {plain(t)[2] for _, t in rows}
+    assert {bytes(r.media_sha256) for r in M.read_back(s).collect()} == {hashlib.sha256(f).digest() for f in files}
+    # by hand: each file is the ordered list's chunks, the shared ones by digest, the others from the container
+    chunk = {bytes(r.digest): bytes(r["bytes"]) for r in s.shared().collect()}
+    assert all(hashlib.sha256(c).digest()[:16] == d for d, c in chunk.items())
+    built = set()
+    for r in s.containers().collect():
+        at, whole = 0, b""
+        for c in r.chunks:
+            part = chunk[bytes(c.digest)] if c.shared else bytes(r.body[at : at + c["bytes"]])
+            at += 0 if c.shared else c["bytes"]
+            assert hashlib.sha256(part).digest()[:16] == bytes(c.digest) and len(part) == c["bytes"]
+            whole += part
+        built.add(whole)
+    assert built == files and s.copies().count() == len(rows) - len({t or "" for _, t in rows}) and s.id_type == "int"
+
+
 def test_cuts_follow_the_content():
     rng = random.Random(1)
     data = bytes(rng.randrange(256) for _ in range(200_000))

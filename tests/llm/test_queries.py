@@ -5,10 +5,11 @@ import hashlib
 import duckdb
 import pytest
 
-from lectern.llm import media_chunks, queries
+from lectern.llm import queries
 
 from .test_exact_digest import canon
-from .test_mixture import brute_targets
+from .test_media_chunks import check as check_media
+from .test_mixture import brute_draws, brute_targets, place_of
 from .test_simhash import brute_components, brute_print
 
 COLUMNS = {
@@ -69,20 +70,17 @@ def test_op5(found, docs):
 
 
 def test_op7(found, docs):
-    got = {r.doc_id: r for r in found["op7_media_chunks"].collect()}
-    for d in docs:
-        n, payload = media_chunks.payload_of(d.text)
-        assert (got[d.doc_id].n_bytes, got[d.doc_id].payload_sha256, got[d.doc_id].feature) == (n, hashlib.sha256(payload).hexdigest(), media_chunks.features(payload))
+    check_media([(d.doc_id, d.text) for d in docs], found["op7_media_chunks"].collect())
 
 
-def test_op8(found, docs):
+def test_op8(found, docs, spark):
     got = {r.doc_id: r for r in found["op8_mixture"].collect()}
-    sizes, taken = {}, {}
+    size = {d.doc_id: len((d.text or "").encode().split()) for d in docs}
+    sizes = {}
     for d in docs:
-        r = got[d.doc_id]
-        assert r.size == len((d.text or "").encode().split()) and r.taken <= 3 * r.size
-        sizes[d.source] = sizes.get(d.source, 0) + r.size
-        taken[d.source] = taken.get(d.source, 0) + r.taken
+        sizes[d.source] = sizes.get(d.source, 0) + size[d.doc_id]
     want = brute_targets(sizes)
-    assert all(got[d.doc_id].target == pytest.approx(want[d.source]) and got[d.doc_id].source_size == sizes[d.source] for d in docs)
-    assert sum(abs(taken[s] - want[s]) for s in want) < 0.05 * sum(sizes.values())
+    passes, _ = brute_draws([(d.doc_id, d.source, d.text) for d in docs], place_of(spark, size), {d.source: got[d.doc_id].target for d in docs}, size)
+    for d in docs:
+        r = got[d.doc_id]
+        assert (r.size, r.source_size, r.taken) == (size[d.doc_id], sizes[d.source], size[d.doc_id] * len(passes[d.doc_id])) and r.target == pytest.approx(want[d.source])
