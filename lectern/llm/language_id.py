@@ -2,14 +2,17 @@
 
 Every language has a codeword of bits; one linear classifier per bit, over hashed character n-grams of the
 whole text, says on which side of its bit a text lies. Decoding is weighted by loss: each bit's logistic
-loss counts as much as the bit was right on the fitted rows, and the codeword of the least loss wins. A
-text whose two nearest codewords are almost as near is flagged as ambiguous.
+loss counts as much as the bit was right on the fitted rows, and the codeword of the least loss wins (of equal losses the
+first language by name). A text whose two nearest codewords are almost as near is flagged as ambiguous.
 
-Fitting uses at most `per_language` rows of each language, chosen by a keyed hash of the text, and their
-whole texts; it runs in numpy in the driver over matrices of a fixed width. With one learned language
+Fitting uses at most `per_language` distinct texts of each language, and `most` in all (a language's share is then less),
+chosen by a keyed hash of the text, and their whole texts. Executors turn them into n-gram counts, of which a text has
+WIDTH at most, and only those reach the driver, where numpy fits matrices of a fixed size. With one learned language
 every text with a letter is of that language; with none every prediction is `und`.
 
-Null text, and text without a letter, is `und` with score 0.
+Null text, and text without a letter, is `und` with score 0. Rows that repeat are predicted alike and count once in
+fitting; very long texts are counted whole, a slice at a time; an empty table gives an empty result. Other columns are ignored by train()
+and identify() and kept by reject_unclear(), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.shared import broadcast_if_small, materialise
+
 WIDTH = 1 << 14
 UNKNOWN = "und"
 _SLICE = 1 << 20
@@ -50,6 +56,21 @@ def grams(text: str, width: int = WIDTH) -> np.ndarray:
     return x / np.float32(np.sqrt(counts.sum()))
 
 
+def sparse(text: str, width: int = WIDTH) -> bytes:
+    """grams() as the numbers and values of what isn't zero."""
+    x = grams(text, width)
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].tobytes()
+
+
+def dense(packed: list[bytes], width: int = WIDTH) -> np.ndarray:
+    out = np.zeros((len(packed), width), np.float32)
+    for row, blob in zip(out, packed, strict=True):
+        n = len(blob) // 6
+        row[np.frombuffer(blob, np.uint16, n)] = np.frombuffer(blob, np.float32, n, 2 * n)
+    return out
+
+
 def codewords(n: int, seed: int = 5) -> np.ndarray:
     """n rows of +1/-1. Up to 5 languages: every way to halve them; beyond, seeded random bits, far apart."""
     if n <= 1:
@@ -91,13 +112,13 @@ class Model:
         return self.languages[order[0]], float(1 / odds.sum()), bool(loss[order[1]] - loss[order[0]] < self.margin)
 
 
-def fit(texts: list[str], langs: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-5, margin: float = 0.05) -> Model:
-    """Logistic regression per bit by full-batch Adam; deterministic."""
+def fit(packed: list[bytes], langs: list[str], steps: int = 150, rate: float = 0.5, decay: float = 1e-5, margin: float = 0.05) -> Model:
+    """Logistic regression per bit by full-batch Adam; deterministic. packed: sparse() of each text."""
     names = tuple(sorted(set(langs)))
     codes = codewords(len(names))
     if len(names) < 2:
         return Model(names, codes, np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32), np.zeros(0), margin)
-    x = np.stack([grams(t) for t in texts])
+    x = dense(packed)
     lang = np.array([names.index(v) for v in langs])
     y = codes[lang].astype(np.float32)
     share = (1 / np.bincount(lang, minlength=len(names)))[lang].astype(np.float32)[:, None] / len(names)
@@ -115,17 +136,27 @@ def fit(texts: list[str], langs: list[str], steps: int = 300, rate: float = 0.5,
     return Model(names, codes, w, b, np.maximum(trust - 0.5, 0.01) * 2, margin)
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400) -> Model:
-    """Fit on a sample of labelled: of each language about per_language rows at most, by a hash of the text."""
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, most: int = 4000) -> Model:
+    """Fit on a sample of labelled: of each language at most per_language distinct texts, of all at most `most`, by a hash of the text.
+
+    A first draw by the hash leaves about twice as many distinct texts of each language, so that only those are counted and compared.
+    """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as languages
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "text"), F.lit(1_000_003))
-    keep = F.lit(False)
-    for name, n in counts.items():
-        keep = keep | ((F.col("lang") == name) & (draw < int(1_000_003 * min(1.0, per_language / n))))
-    sample = rows.where(keep).orderBy("lang", draw, "text").limit(2 * per_language * max(1, len(counts))).toPandas() if counts else pd.DataFrame({"text": [], "lang": []})
-    known = sample[[has_letter(t) for t in sample["text"]]] if len(sample) else sample
-    return fit(known["text"].tolist(), known["lang"].tolist())
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("texts"))
+    each = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(F.lit(most) / F.count("*").over(Window.partitionBy()))))  # a row per language
+    sizes = materialise(sizes.withColumn("each", each), "language-sizes")
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "text"), F.lit(1 << 30))
+
+    @F.arrow_udf("binary")
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array([sparse(t) if has_letter(t) else None for t in texts.to_pylist()], pa.binary())
+
+    drawn = rows.join(broadcast_if_small(sizes), "lang").withColumn("draw", draw).where(F.col("draw") < F.lit(float(1 << 30)) * 2 * F.col("each") / F.col("texts"))
+    told = drawn.select("lang", "each", "draw", counted("text").alias("x")).where("x is not null").groupBy("lang", "each", "draw").agg(F.min("x").alias("x"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    sample = told.withColumn("place", place).where("place <= each").select("lang", "draw", "x")
+    listed = sorted((r["lang"], r["draw"], bytes(r["x"])) for r in sample.toLocalIterator())
+    return fit([x for _, _, x in listed], [v for v, _, _ in listed])
 
 
 def identify(spark: SparkSession, model: Model, text: Column) -> Column:
