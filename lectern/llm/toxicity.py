@@ -1,24 +1,30 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over hashed words and beginnings of words, each distinct word of the whole text counting once,
-is fitted to confirmed toxic texts and to texts of unknown kind. With the share p of toxic texts, the risk on negatives is estimated as the unlabelled texts'
-minus p times the positives'; where that estimate falls below zero, which only overfitting can do, the
-step goes against it instead (the non-negative estimator). Scores are logistic in the classifier's
-value, so 0.5 is its line.
-
-Fitting uses at most about `positives` and `unlabelled` rows, chosen by a keyed hash of the text, and only
-features that are more frequent in one of the two kinds than chance can make any feature (by the
-likelihood ratio against the number of features); it runs in numpy in the driver. Null and empty texts have the score of a text without words.
+is fitted to confirmed toxic texts and to texts of unknown kind. With the share p of toxic texts, the risk on negatives is
+estimated as the unlabelled texts' minus p times the positives'; where that estimate falls below zero, which only
+overfitting can do, the step goes against it instead (the non-negative estimator). Scores are logistic in the
+classifier's value, so 0.5 is its line.
+
+Fitting uses at most about `positives` and `unlabelled` texts, chosen by a keyed hash of the text before anything is
+computed of them, and only features that are more frequent in one of the two kinds than chance can make any feature (by the
+likelihood ratio against the number of features); it runs in numpy in the driver.
+
+Null and empty texts have the score of a text without words. Rows that repeat have equal scores, whatever batch they are in
+(sums are exactly rounded); very long texts are read whole; empty tables give a model that calls nothing toxic, and an
+empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +56,16 @@ class Model:
         self._table = dict(zip(ids.tolist(), weights.tolist(), strict=True))
 
     def score(self, text: str | None) -> float:
-        known, out = self._words, self.bias
-        for w in sorted(distinct_words(text)):  # in one order: sums agree between runs
+        known, found = self._words, []
+        for w in distinct_words(text):
             s = known.get(w)
             if s is None:
                 if len(known) >= _CACHED:
                     known.clear()
-                s = known[w] = sum(self._table.get(i, 0.0) for i in word_features(w))
+                s = known[w] = math.fsum(self._table.get(i, 0.0) for i in word_features(w))
             if s:
-                out += s
+                found.append(s)
+        out = self.bias + math.fsum(found)  # whatever their order
         return float(1 / (1 + np.exp(-min(max(out, -30.0), 30.0))))
 
 
@@ -129,19 +136,22 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     n, ones = own.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not ones:
         return fit([], [], 0.5)
-    draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "text"), F.lit(1_000_003))
+    range_ = 1 << 30
+    draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "text"), F.lit(range_))
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t).tobytes() for t in texts])
+    @F.arrow_udf("binary")
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
     def sample(rows: DataFrame, most: int, of: int) -> list[np.ndarray]:
-        part = rows.where(draw < int(1_000_003 * min(1.0, most / max(of, 1)))).select(draw.alias("d"), ids("text").alias("w")).orderBy("d", "w").limit(2 * most)
-        return [np.frombuffer(r["w"], np.int32) for r in part.toLocalIterator()]
+        """About `most` texts of `of`, and their copies; features are computed of those alone, and only they move."""
+        part = rows.where(draw < int(range_ * min(1.0, most / max(of, 1)))).select(draw.alias("d"), "text")
+        few = part.select("d", ids("text").alias("w")).orderBy("d", "w").limit(2 * most)
+        return [np.frombuffer(r["w"], np.int32) for r in few.toLocalIterator()]
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    bad = own.where("toxic = 1").select("id")
-    bad = F.broadcast(bad.where(F.pmod(F.xxhash64(F.lit("toxicity bound"), "id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, 2 * positives / ones)))) if ones else bad
+    bad = own.where("toxic = 1").select("id").where(F.pmod(F.xxhash64(F.lit("toxicity bound"), "id"), F.lit(range_)) < int(range_ * min(1.0, 2 * positives / ones)))
+    bad = F.broadcast(bad)  # about 2 * positives ids
     return fit(sample(rows.join(bad, "id", "left_semi"), positives, min(ones, 2 * positives)), sample(rows.select("text"), unlabelled, rows.count()), min(max(ones / n, 1e-4), 0.9))
 
 
