@@ -9,8 +9,11 @@ from texts that merely share a fingerprint.
 
 Normalisation and folding are ICU's, which Spark ships, called by java_method(): a SQL function.
 
+Only texts of buckets of several are made canonical a second time, to be compared.
+
 Null text counts as empty. Rows of one id and one text are one document, repeated in the result; null ids
-sort below all others. Other columns are ignored.
+sort below all others. Very long texts are digested whole; an empty table gives an empty result. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -56,10 +59,16 @@ def classes(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str
     rows = rows.withColumns({"h1": h1, "h2": h2})
     keys = materialise(rows.select("k", "tie", F.length("text").cast("long").alias("n_chars"), "h1", "h2").distinct(), "digest-keys")
     buckets = materialise(keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1").drop("n"), "digest-buckets")
-    alike = rows.join(broadcast_if_small(buckets.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "canon").agg(F.min("k").alias("cls"))
+    members = materialise(keys.join(broadcast_if_small(buckets.select("h1", "h2")), ["h1", "h2"], "left_semi").select("k", "tie"), "digest-members")
+    shared = _rows(docs, id, text).join(broadcast_if_small(members), ["k", "tie"], "left_semi").withColumn("canon", canonical(F.col("text")))
+    h1, h2 = halves(F.col("canon"))
+    shared = shared.withColumns({"h1": h1, "h2": h2})
+    alike = shared.groupBy("h1", "h2", "canon").agg(F.min("k").alias("cls"))
     split = Window.partitionBy("h1", "h2")  # of distinct canonical forms that share 128 bits: one, but for a collision
     mixed = materialise(alike.withColumn("forms", F.count("*").over(split)).where("forms > 1").drop("forms"), "digest-mixed")
-    apart = materialise(rows.join(mixed, ["h1", "h2", "canon"]).select("k", "tie", "cls").distinct(), "digest-apart")
+    apart = keys.limit(0).select("k", "tie", "h1", F.lit(0).cast("long").alias("cls")).drop("h1")
+    if not mixed.isEmpty():
+        apart = materialise(shared.join(mixed, ["h1", "h2", "canon"]).select("k", "tie", "cls").distinct(), "digest-apart")
     found = keys.join(buckets, ["h1", "h2"], "left").join(apart, ["k", "tie"], "left")
     return materialise(found.select("k", "tie", "n_chars", "h1", "h2", F.coalesce("cls", "first", "k").alias("cls")), "digest-classes")
 
