@@ -85,6 +85,29 @@ def test_sanitizing():
     assert css.sanitize("a { b: url() }")[2] == 1
 
 
+def test_sanitizing_of_odd_sheets():
+    for given, want in (
+        ("a { scroll-behavior: smooth; color: red }", ("a { scroll- color: red }", 0, 0, 1)),
+        ('@import "http://x/a.css" p { }', ('@import "http://x/a.css" p { }', 0, 0, 0)),
+        ("@IMPORT URL( 'HTTPS://x/a.css' ) screen;b{}", ("b{}", 1, 0, 0)),
+        ("@import url() \"a.css\"; @import url(); @import;", ('@import url("") "a.css";  @import;', 1, 1, 0)),
+        ("a { -moz-binding: url(x) } b{x-moz-binding: url(y)}", ("a { -moz-binding: url(x) } b{x}", 0, 0, 1)),
+        ("a { b: url( \"#f\" ) url(//h/i) url('DATA:x') url(c", ("a { b: url( \"#f\" ) url(\"\") url('DATA:x') url(c", 0, 1, 0)),
+        ("color:#111; width:expression(alert(1));", ("color:#111; ", 0, 0, 1)),
+        ("behavior:x", ("", 0, 0, 1)),
+        ("", ("", 0, 0, 0)),
+    ):
+        assert css.sanitize(given, given.startswith(("color", "behavior"))) == want, given
+    sheet = """
+      @import url("https://evil.example.com/theme.css");
+      @import url("../styles/local.css");
+      .chapter { background-image: url("https://evil.example.com/bg.png"); color: #222; }
+      .legacy { behavior: url("behavior.htc"); }
+    """
+    out, imports, urls, declarations = css.sanitize(sheet)
+    assert '@import url("../styles/local.css");' in out and "evil" not in out and "behavior:" not in out and (imports, urls, declarations) == (1, 1, 1)
+
+
 def test_break_rules():
     assert css.break_rules(".chapter { break-before: page; break-after: always; color: red }") == [".chapter { break-before: column; break-after: column; }"]
     assert css.break_rules(".chapter { page-break-before: always; page-break-after: left }") == [".chapter { page-break-before: always; break-before: column; page-break-after: left; break-after: column; }"]

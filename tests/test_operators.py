@@ -155,6 +155,48 @@ def test_alignment_finds_its_own_words(spark):
     assert (s.id, s.text_ref, s.clip_begin_ms, s.clip_end_ms) == ("c-sentence0", "O/c.xhtml#c-sentence0", 0.0, 3000.0)
 
 
+def test_ranges_are_closed_by_what_follows():
+    r = lambda *x: align.Range(*x)
+    ranges = [r(0, 1.0, 1.5, "a"), r(1, 2.0, 2.5, "a"), r(3, 4.0, 4.5, "a"), r(4, 0.5, 0.9, "b"), r(6, 2.0, 3.0, "c")]
+    before = r(9, 0.1, 0.2, "a")
+    align.close_ranges(ranges, {"a": 60.0, "b": 70.0}, before)
+    assert [x.end for x in ranges] == [2.0, 2.5, 60.0, 0.9, 3.0] and before.end == 1.0
+    for first, end in ((r(2, 5.0, 6.0, "a"), 0.2), (r(2, 5.0, 6.0, "b"), 60.0), (r(0, 5.0, 6.0, "b"), 60.0)):
+        before = r(9, 0.1, 0.2, "a")
+        align.close_ranges([first], {"a": 60.0}, before)
+        assert before.end == end
+
+
+def test_the_window_slides_and_gives_up():
+    rng = random.Random(3)
+    talk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)) + "." for _ in range(16)]
+    text = " ".join(talk)
+    starts = [m.start() for m in __import__("re").finditer(r"\S+", text)]
+    ends = [m.end() for m in __import__("re").finditer(r"\S+", text)]
+    words = align.Words([float(i) for i in range(len(starts))], [i + 0.5 for i in range(len(starts))], starts, ends, ["a"] * len(starts))
+    absent = ["Zq xkcd vvw jjqpz wqqk.", "Bnm lkj hgf dsa poiu.", "Qaz wsx edc rfv tgby."]
+    wanted = [talk[0], *absent, talk[12], "A-B. 1", talk[13]]
+    found, offset = align.sentence_ranges(0, text, words, wanted, 0, {"a": 99.0})
+    at = lambda k: float(text[: text.index(talk[k])].count(" "))
+    assert [(x.id, x.start) for x in found] == [(0, at(0)), (4, at(12)), (6, at(13))] and offset == text.index(talk[13]) + len(talk[13])
+    assert found[1].end == at(13) - 0.5  # the next is not its neighbour: it ends with its own last word
+    assert align.sentence_ranges(0, text, words, absent, 5, {})[0] == [] and align.sentence_ranges(0, text, words, absent, 5, {})[1] == 5
+
+
+def test_a_chapter_closes_the_one_before(spark):
+    told = [["This is the first sentence here.", "Then comes another one to hear."], ["Finally the last of them ends."]]
+    text = " ".join(sum(told, [])) + " And more talk." * 400
+    words, at = [], 0
+    for i, w in enumerate(text.split(" ")):
+        words.append((1, i, i * 0.5, i * 0.5 + 0.4, at, at + len(w), "a.mp3"))
+        at += len(w) + 1
+    w = spark.createDataFrame(words, "book_id int, ord int, start_s double, end_s double, start_off long, end_off long, audiofile string")
+    c = spark.createDataFrame([(1, i, f"c{i}", t) for i, t in enumerate(told)], "book_id int, ord int, chapter_id string, sentences array<string>")
+    tracks = spark.createDataFrame([(1, "a.mp3", 60.0)], "book_id int, href string, duration_s double")
+    got = rows(align.align_books(c, w, spark.createDataFrame([(1, text)], "book_id int, transcript string"), tracks), "chapter_id", "id")
+    assert [(r[1], r[2], r[3], r[4]) for r in got] == [("c0", 0, 0.0, 3.0), ("c0", 1, 3.0, 6.0), ("c1", 0, 6.0, 8.9)]
+
+
 def test_sentence_filter(spark):
     df = spark.createDataFrame([("CHAPTER 12.",), ("The END",), ("Call me.",), ("Oh! A-b",)], "s string")
     assert [r[0] for r in df.where(align.is_long_enough(F.col("s"))).collect()] == ["Call me.", "Oh! A-b"]
