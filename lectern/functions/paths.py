@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VIRTUAL_HOST = "epub.local"
+ORIGIN = "https://epub.local"
 # File endings and what they hold.
 CONTENT_TYPES = {
-    "css": "text/css; charset=utf-8", "xhtml": "application/xhtml+xml; charset=utf-8", "html": "text/html; charset=utf-8", "htm": "text/html; charset=utf-8", "svg": "image/svg+xml",
-    "xml": "application/xml; charset=utf-8", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "ttf": "font/ttf", "otf": "font/otf",
-    "woff": "font/woff", "woff2": "font/woff2", "js": "text/javascript; charset=utf-8", "mp3": "audio/mpeg", "m4a": "audio/mp4", "ogg": "audio/ogg", "wav": "audio/wav",
+    "xhtml": "application/xhtml+xml", "xml": "application/xhtml+xml", "opf": "application/xhtml+xml",
+    "html": "text/html; charset=utf-8", "htm": "text/html; charset=utf-8",
+    "css": "text/css; charset=utf-8",
+    "js": "text/javascript; charset=utf-8", "mjs": "text/javascript; charset=utf-8",
+    "json": "application/json; charset=utf-8",
+    "svg": "image/svg+xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp",
+    "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2",
+    "smil": "application/smil+xml",
 }
 CRITICAL_ENDINGS = ("css", "ttf", "otf", "woff", "woff2")
 AUDIO_ENDINGS = ("mp3", "m4a", "m4b", "mp4", "aac", "ogg", "opus", "flac", "wav", "wma", "aiff")
@@ -96,7 +101,8 @@ def stylesheet_path(base: Column, href: Column) -> Column:
 
 
 def ending(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """What stands behind the last dot of the last segment, if something stands before it."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)/*$", 1))
 
 
 def content_type(path: Column) -> Column:
@@ -106,35 +112,93 @@ def content_type(path: Column) -> Column:
 
 def is_critical(path: Column, kind: Column) -> Column:
     """Stylesheets and fonts, by request type or ending."""
-    return kind.isin("stylesheet", "font") | ending(path).isin(*CRITICAL_ENDINGS)
+    return F.lower(F.trim(kind)).isin("stylesheet", "font") | ending(path).isin(*CRITICAL_ENDINGS)
 
 
 def is_audio(path: Column) -> Column:
     return ending(path).isin(*AUDIO_ENDINGS)
 
 
+# Schemes whose URLs have a host, and their usual ports.
+_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+
+
+def _dots_removed(path: Column) -> Column:
+    """A URL's path without dot segments, also percent-encoded ones; never above the root. Empty segments stay."""
+
+    def step(acc: Column, x: Column) -> Column:
+        plain = F.replace(F.lower(x), F.lit("%2e"), F.lit("."))
+        return F.when(plain == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(plain == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    parts = F.split(path, "/")
+    last = F.replace(F.lower(F.element_at(parts, -1)), F.lit("%2e"), F.lit("."))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.array_join(folded, "/"), F.when(last.isin(".", "..") & (F.size(folded) > 0), "/").otherwise(""))
+
+
+def _decoded(path: Column) -> Column:
+    """Percent-decoded; null where that gives no UTF-8 text."""
+    out = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    broken = out.contains("\ufffd") & ~path.contains("\ufffd") & ~F.upper(path).contains("%EF%BF%BD")
+    return F.when(~broken, out)
+
+
 def classify_url(url: Column) -> Column:
-    """struct<kind, path, reason>: 'epub-resource' with its package path, 'inline-resource', or 'blocked' with the reason."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
-    raw = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1), "^/", "")
-    decoded = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
-    path = F.array_join(_fold(F.split(decoded, "/"), False), "/")
-    bad = decoded.isNull() | (path == "") | decoded.contains("\0")
-    make = lambda kind, p, why: F.struct(F.lit(kind).alias("kind"), p.alias("path"), F.lit(why).cast("string").alias("reason"))
-    none = F.lit(None).cast("string")
+    """struct<kind, path, reason>: 'epub-resource' with its package path, 'inline-resource', or 'blocked' with the reason.
+
+    Only the package's origin is allowed: its scheme, its host and the usual port. The path may be empty, and may not
+    lead out of the package when its encoded slashes are decoded.
+    """
+    text = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+    scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    rest = F.substring(text, F.length(scheme) + 2, F.length(text))
+    hosted = scheme.isin(*_PORTS)
+    place = F.regexp_replace(F.regexp_extract(rest, r"^[/\\]*([^/\\?#]*)", 1), "^.*@", "")  # without a user
+    host, port = F.lower(F.regexp_extract(place, r"^(\[.*\]|[^:]*)", 1)), F.regexp_extract(place, r":([^:\]]*)$", 1)
+    usual = F.try_element_at(F.create_map(*[F.lit(x) for kv in _PORTS.items() for x in kv]), scheme)
+    number = F.regexp_replace(port, r"^0+(?=\d)", "")
+    bad = (scheme == "") | (hosted & ((host == "") | host.rlike(r"[\x00-\x20<>^|%]") | ~port.rlike(r"^\d*$") | (number.try_cast("int") > 65535) | (F.length(number) > 5)))
+    origin = F.when(hosted, F.concat(scheme, F.lit("://"), host, F.when((number == "") | (number == usual), "").otherwise(F.concat(F.lit(":"), number)))).otherwise("null")
+    raw = F.replace(F.regexp_extract(rest, r"^[/\\]*[^/\\?#]*([^?#]*)", 1), F.lit("\\"), F.lit("/"))
+    decoded = _decoded(F.regexp_replace(_dots_removed(F.regexp_replace(raw, "^/", "")), "^/+", ""))
+    folded = F.array_join(_fold(F.split(decoded, "/"), True), "/")
+    path = F.concat(folded, F.when(decoded.endswith("/") & (folded != ""), "/").otherwise(""))
+    out = decoded.isNull() | (folded == "..") | folded.startswith("../")
+    make = lambda kind, p, why: F.struct(F.lit(kind).alias("kind"), p.cast("string").alias("path"), why.cast("string").alias("reason"))
+    none = F.lit(None)
     return (
-        F.when(scheme.isin("data", "blob", "about"), make("inline-resource", none, None))
-        .when(scheme == "", make("blocked", none, "invalid URL"))
-        .when(host != VIRTUAL_HOST, make("blocked", none, "not allowed"))
-        .when(bad, make("blocked", none, "invalid path"))
-        .otherwise(make("epub-resource", path, None))
+        F.when(scheme.isin("data", "blob"), make("inline-resource", none, none))
+        .when(bad, make("blocked", none, F.lit("invalid URL")))
+        .when(origin != ORIGIN, make("blocked", none, F.concat(F.lit("origin "), origin, F.lit(" is not allowed"))))
+        .when(out, make("blocked", none, F.lit("invalid EPUB resource path")))
+        .otherwise(make("epub-resource", F.regexp_replace(slashes(path), "^/+", ""), none))
     )
 
 
 def encode_path(path: Column) -> Column:
-    """Each segment percent-encoded."""
-    return F.array_join(F.transform(F.split(path, "/"), lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))), "/")
+    """Each segment percent-encoded, but for letters, digits and - _ . ! ~ * ' ( )."""
+
+    def encoded(x: Column) -> Column:
+        out = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+        for c, code in (("!", "%21"), ("'", "%27"), ("(", "%28"), (")", "%29"), ("~", "%7E")):
+            out = F.replace(out, F.lit(code), F.lit(c))
+        return out
+
+    return F.array_join(F.transform(F.split(F.regexp_replace(slashes(path), "^/+", ""), "/"), encoded), "/")
+
+
+def base_href(chapter_path: Column) -> Column:
+    """The URL of a chapter's folder, against which its links are resolved."""
+    own = F.regexp_replace(slashes(chapter_path), "^/+", "")
+    return F.concat(F.lit(ORIGIN + "/"), encode_path(F.regexp_extract(own, "^(.*/)", 1)))
+
+
+def inject_base(html: Column, href: Column) -> Column:
+    """html with a base element at the beginning of its head; as it is if it has one already, or no head."""
+    at, tag = F.regexp_instr(html, F.lit(r"(?i)<head[^>]*>")), F.regexp_extract(html, r"(?i)(<head[^>]*>)", 1)
+    behind = at + F.length(tag)
+    made = F.concat(F.substring(html, F.lit(1), behind - 1), F.lit('\n  <base href="'), href, F.lit('">'), F.substring(html, behind, F.length(html)))
+    return F.when((at == 0) | html.rlike(r"(?i)<base\s"), html).otherwise(made)
 
 
 def safe_audio_path(path: Column) -> Column:

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Audio formats, their file names and labels.
-AUDIO_FORMATS = {"opus": ("audio.opus", "Opus 48 kbit/s"), "aac": ("audio.m4a", "AAC 48 kbit/s")}
+from lectern.functions import paths
+
+# Audio formats, their file names, labels and encoder arguments.
+AUDIO_FORMATS = {
+    "opus": ("audio.opus", "OGG Opus", ("-c:a", "libopus", "-b:a", "48k", "-vbr", "on", "-application", "voip")),
+    "m4a": ("audio.m4a", "M4A (AAC)", ("-c:a", "aac", "-b:a", "48k")),
+}
 
 
 def audio_format(name: Column) -> Column:
-    """struct<format, file_name, label>; an unknown format raises an error."""
+    """struct<format, file_name, label, encoder array<string>>; an unknown format raises an error."""
     n = F.lower(F.trim(name))
-    out = F.raise_error(F.concat(F.lit("unknown audio format: "), n)).cast("struct<format:string,file_name:string,label:string>")
-    for key, (file, label) in AUDIO_FORMATS.items():
-        out = F.when(n == key, F.struct(F.lit(key).alias("format"), F.lit(file).alias("file_name"), F.lit(label).alias("label"))).otherwise(out)
+    out = F.raise_error(F.concat(F.lit("Unsupported audio format: "), name, F.lit(". Expected one of: " + ", ".join(AUDIO_FORMATS)))).cast("struct<format:string,file_name:string,label:string,encoder:array<string>>")
+    for key, (file, label, arguments) in AUDIO_FORMATS.items():
+        made = F.struct(F.lit(key).alias("format"), F.lit(file).alias("file_name"), F.lit(label).alias("label"), F.array(*map(F.lit, arguments)).alias("encoder"))
+        out = F.when(n == key, made).otherwise(out)
     return out
 
 
@@ -34,10 +40,12 @@ def start_page(asked: Column, saved_page: Column, pages: Column) -> Column:
     return F.greatest(F.lit(0), F.least(pages - 1, F.coalesce(asked, saved_page, F.lit(0))))
 
 
-def is_stylesheet(kind: Column, path: Column) -> Column:
-    return (kind == "stylesheet") | F.lower(path).endswith(".css")
+def is_stylesheet(kind: Column, content_type: Column, path: Column) -> Column:
+    """By the request's type, by the content type, or by the ending."""
+    return (F.lower(F.trim(kind)) == "stylesheet") | F.lower(content_type).startswith("text/css") | (paths.ending(path) == "css")
 
 
-def request_source(referer: Column, frame: Column) -> Column:
-    """Where a request came from: its referer, else its frame, else 'unknown'."""
-    return F.coalesce(F.nullif(F.trim(referer), F.lit("")), F.nullif(F.trim(frame), F.lit("")), F.lit("unknown"))
+def request_source(referer: Column, fallback: Column) -> Column:
+    """Where a request came from: the package path of its referer, or the referer itself if it has none; without a referer the fallback."""
+    found = paths.classify_url(referer)
+    return F.when(F.coalesce(referer, F.lit("")) == "", fallback).otherwise(F.coalesce(found["path"], referer))

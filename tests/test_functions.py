@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import profiles
 from lectern.functions import clip, color, css, markup, paths, player
 
 
@@ -66,9 +67,39 @@ def test_href_safety(spark):
 def test_url_classes(spark):
     c = lambda url: tuple(one(spark, paths.classify_url(F.lit(url))))
     assert c("https://epub.local/OEBPS/styles/base.css") == ("epub-resource", "OEBPS/styles/base.css", None)
-    assert c("https://example.com/theme.css")[::2] == ("blocked", "not allowed")
-    assert c("https://epub.local/%E0%A4%A.css")[::2] == ("blocked", "invalid path")
-    assert c("data:image/png;base64,AA")[0] == "inline-resource"
+    for url in ("data:image/png;base64,AA", "blob:https://epub.local/1", " DATA:x"):
+        assert c(url) == ("inline-resource", None, None), url
+    for url, origin in (("https://example.com/theme.css", "https://example.com"), ("http://epub.local/a.css", "http://epub.local"), ("https://epub.local:8443/a", "https://epub.local:8443"), ("about:blank", "null"), ("file:///a.css", "null"), ("HTTPS://u:p@EXAMPLE.com:443/x", "https://example.com"), ("http://x:080/", "http://x")):
+        assert c(url) == ("blocked", None, f"origin {origin} is not allowed"), url
+    for url in ("", "a.css", "//epub.local/a.css", "https://", "https://epub.local:99999/", "https://epub.local:x/a", "https://a b/"):
+        assert c(url) == ("blocked", None, "invalid URL"), url
+    for url in ("https://epub.local/%E0%A4%A.css", "https://epub.local/%zz", "https://epub.local/a%2f..%2f..%2fb.css", "https://epub.local/%FF"):
+        assert c(url) == ("blocked", None, "invalid EPUB resource path"), url
+    for url, path in (("https://epub.local", ""), ("https://EPUB.local:443/", ""), ("https://epub.local/a/../../b.css?x#y", "b.css"), ("https://epub.local/a/%2e%2E/b%20c+d.css", "b c+d.css"), ("https:\\\\epub.local\\a\\b.css", "a/b.css"), ("https://epub.local/a//b/./c/", "a/b/c/"), ("https://epub.local/a%2f..%2fb.css", "b.css"), ("https://epub.local/x/..", ""), ("https://epub.local/%EF%BF%BD", "\ufffd")):
+        assert c(url) == ("epub-resource", path, None), url
+
+
+def test_bases(spark):
+    for path, href in (("c.xhtml", "https://epub.local/"), ("/OPS/a b/c.xhtml", "https://epub.local/OPS/a%20b/"), ("O\\ü!'()*~/x", "https://epub.local/O/%C3%BC!'()*~/")):
+        assert one(spark, paths.base_href(F.lit(path))) == href, path
+    inject = lambda html: one(spark, paths.inject_base(F.lit(html), F.lit("https://epub.local/O/")))
+    assert inject('<html><HEAD lang="x"><title/></HEAD><head>') == '<html><HEAD lang="x">\n  <base href="https://epub.local/O/"><title/></HEAD><head>'
+    for html in ("<p>x</p>", '<head><BASE href="y"></head>'):
+        assert inject(html) == html
+
+
+def test_contents(spark):
+    for path, kind in (("a/b.XHTML", "application/xhtml+xml"), ("c.opf", "application/xhtml+xml"), ("d.smil", "application/smil+xml"), ("e.mjs", "text/javascript; charset=utf-8"), ("f.json", "application/json; charset=utf-8"), ("g.mp3", "application/octet-stream"), (".css", "application/octet-stream"), ("x.y/.css", "application/octet-stream"), ("h.tar.css", "text/css; charset=utf-8")):
+        assert one(spark, paths.content_type(F.lit(path))) == kind, path
+    assert one(spark, paths.is_critical(F.lit("a.png"), F.lit(" Font "))) and one(spark, paths.is_critical(F.lit("a.WOFF"), F.lit("image"))) and not one(spark, paths.is_critical(F.lit("a.png"), F.lit("image")))
+
+
+def test_profile():
+    p = profiles.get()
+    assert p is profiles.get("supernote-manta-a5x2") and (p.width, p.height, p.content) == (1920, 2560, (1760, 2260)) and (p.top, p.right, p.bottom, p.left) == (100, 80, 200, 80)
+    assert "padding: 100px 80px 200px 80px !important; font-family: 'Noto Serif', serif !important; font-size: 48px !important; line-height: 1.5 !important" in p.css()
+    with pytest.raises(ValueError, match="Unknown profile: x. Available: supernote-manta-a5x2"):
+        profiles.get("x")
 
 
 def test_ink(spark):
@@ -137,7 +168,11 @@ def test_player_decisions(spark):
     tap = lambda *v: one(spark, player.is_tap(*map(F.lit, v)))
     assert tap(4.0, 8.0, 220, 1) and not tap(4.1, 8.0, 100, 1) and not tap(0.0, 8.0, 221, 1) and not tap(0.0, 8.0, 10, 2)
     assert one(spark, player.start_page(F.lit(None).cast("int"), F.lit(99), F.lit(10))) == 9
-    assert one(spark, player.audio_format(F.lit(" AAC "))).file_name == "audio.m4a"
-    with pytest.raises(Exception, match="unknown audio format"):
-        one(spark, player.audio_format(F.lit("mp9")))
-    assert one(spark, player.request_source(F.lit(" "), F.lit("frame"))) == "frame" and one(spark, player.is_stylesheet(F.lit("x"), F.lit("a.CSS")))
+    assert tuple(one(spark, player.audio_format(F.lit(" M4A "))))[:3] == ("m4a", "audio.m4a", "M4A (AAC)")
+    assert one(spark, player.audio_format(F.lit("opus"))).encoder == ["-c:a", "libopus", "-b:a", "48k", "-vbr", "on", "-application", "voip"]
+    with pytest.raises(Exception, match="Unsupported audio format: aac. Expected one of: opus, m4a"):
+        one(spark, player.audio_format(F.lit("aac")))
+    source = lambda referer: one(spark, player.request_source(F.lit(referer).cast("string"), F.lit("O/ch.xhtml")))
+    assert [source(x) for x in (None, "", "https://epub.local/O/a%20b.xhtml", "https://x.example/y", "https://epub.local/%zz")] == ["O/ch.xhtml", "O/ch.xhtml", "O/a b.xhtml", "https://x.example/y", "https://epub.local/%zz"]
+    sheet = lambda *v: one(spark, player.is_stylesheet(*map(F.lit, v)))
+    assert sheet("x", "", "a.CSS") and sheet(" StyleSheet", "", "") and sheet("x", "Text/CSS; charset=x", "a") and not sheet("x", "text/html", "css")
