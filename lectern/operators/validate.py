@@ -12,25 +12,30 @@ from lectern.predicates import timed
 TARGET_CODES = ("smil_textref_missing_fragment", "smil_textref_path_mismatch", "smil_textref_fragment_not_found", "smil_textref_unknown_chapter", "timed_span_without_geometry_text")
 
 
-def target_issues(spans: DataFrame, chapters: DataFrame, fragments: DataFrame, rects: DataFrame, runs: DataFrame) -> DataFrame:
-    """(ord, id, chapter_id, text_ref, code) of the spans whose reference leads nowhere or that are timed but shown nowhere.
+def target_issues(spans: DataFrame, chapters: DataFrame, fragments: DataFrame, rects: DataFrame | None = None, runs: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ord, id, chapter_id, text_ref, code) of the spans whose reference leads nowhere or that are timed but shown nowhere.
 
-    chapters(chapter_id, xhtml_path), fragments(chapter_id, fragment); rects and runs have span_id. A
-    span has at most one issue of its reference: unknown chapter, no fragment, other path, fragment not found, in that order.
+    chapters(by, chapter_id, xhtml_path), fragments(by, chapter_id, fragment); rects and runs have by and span_id; without both nothing is
+    known of what is shown. by: columns that name a book; chapter and span ids hold in one book. A span has at
+    most one issue of its reference: unknown chapter, no fragment, other path, fragment not found, in that order.
     """
-    shown = rects.select(F.col("span_id").alias("id")).union(runs.select(F.col("span_id").alias("id"))).where("id is not null").distinct().withColumn("__shown", F.lit(True))
     parts = spans.withColumns({"__path": paths.reference_path(F.col("text_ref")), "__fragment": paths.reference_fragment(F.col("text_ref"))})
-    known = parts.join(chapters.select("chapter_id", "xhtml_path"), "chapter_id", "left")
-    ids = fragments.select("chapter_id", F.col("fragment").alias("__fragment")).distinct().withColumn("__there", F.lit(True))
-    found = known.join(ids, ["chapter_id", "__fragment"], "left").join(shown, "id", "left")
+    known = parts.join(chapters.select(*by, "chapter_id", "xhtml_path").dropDuplicates([*by, "chapter_id"]), [*by, "chapter_id"], "left")
+    ids = fragments.select(*by, "chapter_id", F.col("fragment").alias("__fragment")).distinct().withColumn("__there", F.lit(True))
+    found = known.join(ids, [*by, "chapter_id", "__fragment"], "left")
     reference = (
         F.when(F.col("xhtml_path").isNull(), F.lit("smil_textref_unknown_chapter"))
         .when(F.col("__fragment").isNull(), F.lit("smil_textref_missing_fragment"))
         .when(~F.col("__path").eqNullSafe(F.col("xhtml_path")), F.lit("smil_textref_path_mismatch"))
         .when(F.col("__there").isNull(), F.lit("smil_textref_fragment_not_found"))
     )
-    geometry = F.when(timed() & F.col("__shown").isNull(), F.lit("timed_span_without_geometry_text"))
-    return found.select("ord", "id", "chapter_id", "text_ref", F.explode(F.array_compact(F.array(reference, geometry))).alias("code"))
+    laid = [df.select(*by, F.col("span_id").alias("id")) for df in (rects, runs) if df is not None]
+    geometry = F.lit(None).cast("string")
+    if laid:
+        shown = (laid[0].union(laid[1]) if len(laid) > 1 else laid[0]).where("id is not null").distinct().withColumn("__shown", F.lit(True))
+        found = found.join(shown, [*by, "id"], "left")
+        geometry = F.when(timed() & F.col("__shown").isNull(), F.lit("timed_span_without_geometry_text"))
+    return found.select(*by, "ord", "id", "chapter_id", "text_ref", F.explode(F.array_compact(F.array(reference, geometry))).alias("code"))
 
 
 def issue_counts(issues: DataFrame, codes: tuple[str, ...] = TARGET_CODES) -> DataFrame:
@@ -72,21 +77,40 @@ def bundle_issues(spans: DataFrame, pages: DataFrame, rects: DataFrame, runs: Da
     return every.union(twice).union(lost).union(empty(spans, "no_spans")).union(empty(pages, "no_pages")).union(empty(runs, "no_runs"))
 
 
-def feature_warnings(documents: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
-    """(code, label, level, file_path, chapter_id, detail): what documents(file_path, chapter_id, html) and sheets(file_path, chapter_id, css) hold that pages can't show.
+def feature_warnings(documents: DataFrame, sheets: DataFrame | None = None, packages: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, code, label, level, file_path, chapter_id, detail): what books hold that pages can't show.
 
-    A document's markup, style elements and style attributes count for it; details of one code, file and
-    chapter are joined by '; ', a detail that is part of another once.
+    documents(by, file_path, chapter_id, html) with their markup, style elements and style attributes; sheets(by, file_path, css),
+    each for every document whose head links it; packages(by, file_path, opf, properties, hrefs). by: columns that name a book.
+    Details of one code, file and chapter are joined by '; ' as they are met, one that is part of what is there already left out.
     """
-    inline = F.concat_ws("\n", css.style_blocks(F.col("html")), css.style_attributes(F.col("html")))
-    found = documents.select("file_path", "chapter_id", F.explode(F.concat(markup.markup_features(F.col("html")), markup.css_features(inline))).alias("f"))
+    found = lambda label, features: F.transform(features, lambda f: F.struct(f["code"].alias("code"), F.concat(label, f["detail"]).alias("detail")))
+    inline = lambda label, sources: F.flatten(F.transform(sources, lambda s: found(F.lit(label), markup.css_features(s))))
+    html = F.col("html")
+    own = F.concat(found(F.lit(""), markup.markup_features(html)), inline("inline <style> block ", css.style_blocks(html)), inline("inline style attribute ", css.style_attributes(html)))
+    keys = [*by, "file_path", "chapter_id"]
+    every = documents.select(*keys, F.lit(0).alias("source"), F.posexplode(own).alias("at", "f"))
     if sheets is not None:
-        found = found.union(sheets.select("file_path", "chapter_id", F.explode(markup.css_features(F.col("css"))).alias("f")))
-    details = found.select("file_path", "chapter_id", "f.*").groupBy("code", "file_path", "chapter_id").agg(F.sort_array(F.collect_set("detail")).alias("details"))
+        links = documents.select(*by, "chapter_id", "file_path", F.posexplode(css.stylesheet_hrefs(html)).alias("source", "href"))
+        links = links.select(*by, "chapter_id", (F.col("source") + 1).alias("source"), "href", paths.stylesheet_path(F.col("file_path"), F.col("href")).alias("file_path"))
+        label = F.concat(F.lit('linked stylesheet "'), F.col("href"), F.lit('" '))
+        linked = links.join(sheets.select(*by, "file_path", "css"), [*by, "file_path"])
+        every = every.union(linked.select(*keys, "source", F.posexplode(found(label, markup.css_features(F.col("css")))).alias("at", "f")))
+    if packages is not None:
+        signs = packages.select(*by, "file_path", F.lit(None).cast("string").alias("chapter_id"), F.lit(0).alias("source"), F.posexplode(markup.package_features(F.col("opf"), F.col("properties"), F.col("hrefs"))).alias("at", "f"))
+        every = every.union(signs)
+    first = every.select(*keys, "source", "at", "f.*").groupBy(*keys, "code", "detail").agg(F.min(F.struct("source", "at")).alias("place"))
+    details = first.groupBy(*keys, "code").agg(F.sort_array(F.collect_list(F.struct("place", "detail")))["detail"].alias("details"))
     joined = F.aggregate("details", F.lit(""), lambda a, d: F.when(F.contains(a, d), a).when(a == "", d).otherwise(F.concat(a, F.lit("; "), d)))
     label = F.create_map(*[F.lit(x) for code, text, _ in markup.FEATURES for x in (code, text)])
     level = F.create_map(*[F.lit(x) for code, _, text in markup.FEATURES for x in (code, text)])
-    return details.select("code", F.element_at(label, F.col("code")).alias("label"), F.element_at(level, F.col("code")).alias("level"), "file_path", "chapter_id", joined.alias("detail"))
+    return details.select(*by, "code", F.element_at(label, F.col("code")).alias("label"), F.element_at(level, F.col("code")).alias("level"), "file_path", "chapter_id", joined.alias("detail"))
+
+
+def warning_order(warnings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """feature_warnings() with `position`, from 0 in each book: unsupported ones first, then by label, chapter and file. A book's warnings are few."""
+    order = Window.partitionBy(*by).orderBy(F.when(F.col("level") == "unsupported", 0).otherwise(1), "label", F.coalesce("chapter_id", F.lit("")), "file_path")
+    return warnings.withColumn("position", F.row_number().over(order) - 1)
 
 
 def feature_summary(warnings: DataFrame) -> DataFrame:
@@ -116,7 +140,7 @@ def unique_issues(issues: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def require_none(issues: DataFrame, what: str) -> None:
-    """Strict mode: raises if there is an issue."""
-    n = issues.count()
-    if n:
-        raise ValueError(f"{what}: {n} issues")
+    """Strict mode: raises if there is an issue, naming the first few by code and count."""
+    counts = {r["code"]: r["count"] for r in issues.groupBy("code").count().collect()}  # as many rows as codes
+    if counts:
+        raise ValueError(f"{what}: {sum(counts.values())} issues ({', '.join(f'{n} {c}' for c, n in sorted(counts.items()))})")

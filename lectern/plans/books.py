@@ -7,24 +7,40 @@ from pyspark.sql import functions as F
 
 from lectern.functions import paths
 from lectern.operators import align, inspect, lookups, spans, toc, validate
+from lectern.shared import materialise
 from lectern.sources import archives, books, bundle
 
 
+#: What is read of an archive as text; audio and images stay where they are.
+TEXTS = (".xml", ".opf", ".xhtml", ".html", ".htm", ".ncx", ".smil", ".css")
+
+
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """The text entries of all archives at path, unpacked once."""
+    return materialise(archives.entries(spark, path, TEXTS), "books-entries")
+
+
 def compile_books(spark: SparkSession, path: str, rects: DataFrame | None = None, runs: DataFrame | None = None, tracks: DataFrame | None = None, strict: bool = False) -> dict[str, DataFrame]:
-    """Tables of all books in the archives at path. A layout engine's rects(archive, chapter_id, page_index, span_id, span_pos, x, y, w, h) and runs, and a probe's tracks(archive, href, duration_ms), are inputs.
+    """Tables of all books in the archives at path. A layout engine's rects(archive, chapter_id, page_index, span_id, span_pos, x, y, w, h) and runs(archive, span_id), and a probe's tracks(archive, href, duration_ms), are inputs.
 
-    strict: issues of overlay targets raise an error before anything else is made.
+    Every table is keyed by archive: ids hold in one book. strict: issues of overlay targets raise an error before
+    anything else is made; without rects and runs, those of the references alone.
     """
-    entries = archives.entries(spark, path)
-    packs = books.packages(entries)
-    told = books.chapters(packs)
+    entries = _texts(spark, path)
+    packs = materialise(books.packages(entries), "books-packages")
+    told = materialise(books.chapters(packs), "books-chapters")
     texts = books.chapter_texts(entries, told)
     own = books.overlay_spans(entries, told)
     own = own.withColumn("ord", F.row_number().over(Window.partitionBy("archive").orderBy("chapter_ord", "ord")) - 1)
-    out = {"packages": packs, "chapters": told, "spans": own, "texts": books.tagged_chapters(texts, own)}
-    documents = texts.select(F.col("xhtml_path").alias("file_path"), F.concat_ws("/", "archive", "chapter_id").alias("chapter_id"), "html")
-    sheets = entries.where(F.lower("path").endswith(".css")).select(F.col("path").alias("file_path"), F.lit(None).cast("string").alias("chapter_id"), F.decode("content", "UTF-8").alias("css"))
-    out["feature_warnings"] = validate.feature_warnings(documents, sheets)
+    own = materialise(own, "books-spans")
+    issues = validate.target_issues(own, told, books.fragments(texts), rects, runs, by=("archive",))
+    if strict:
+        validate.require_none(issues, "overlay targets")
+    out = {"packages": packs, "chapters": told, "spans": own, "texts": books.tagged_chapters(texts, own), "issues": issues}
+    documents = texts.select("archive", F.col("xhtml_path").alias("file_path"), "chapter_id", "html")
+    sheets = entries.where(F.lower("path").endswith(".css")).select("archive", F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("css"))
+    out["feature_warnings"] = validate.warning_order(validate.feature_warnings(documents, sheets, books.package_signs(entries, packs), by=("archive",)), ("archive",))
+    out["break_css"] = books.break_hints(texts, sheets)
     out["audio_order"] = spans.audio_order(own, books.audio_files(packs).select("archive", "ord", "href"), "archive")
     out["bundle_ids"] = packs.select("archive", "title", paths.bundle_id(F.col("identifier"), F.col("title"), F.transform("spine", lambda s: s["idref"])).alias("bundle_id"))
     if tracks is not None:
@@ -32,10 +48,6 @@ def compile_books(spark: SparkSession, path: str, rects: DataFrame | None = None
         out["audio_offsets"] = spans.audio_offsets(placed, "archive")
         out["spans"] = spans.apply_audio_offsets(own, out["audio_offsets"].withColumnRenamed("href", "audio_src"), ("archive", "audio_src"))
     if rects is not None:
-        none = rects.select("span_id").limit(0) if runs is None else runs
-        out["issues"] = validate.target_issues(own, told.dropDuplicates(["chapter_id"]), books.fragments(texts), rects, none)
-        if strict:
-            validate.require_none(out["issues"], "overlay targets")
         first = rects.groupBy("archive", "chapter_id").agg(F.min("page_index").alias("page_index"))
         nav = books.navigation(entries, packs).join(told.select("archive", F.col("xhtml_path").alias("path"), "chapter_id"), ["archive", "path"], "left").join(first, ["archive", "chapter_id"], "left")
         flat = toc.flatten(nav.withColumnRenamed("archive", "book_id"))
@@ -43,18 +55,18 @@ def compile_books(spark: SparkSession, path: str, rects: DataFrame | None = None
     return out
 
 
-def align_books(spark: SparkSession, path: str, words: DataFrame, transcripts: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Spans of the sentences of all books in the archives at path, heard in their transcripts; unheard ones are -1."""
-    entries = archives.entries(spark, path)
+def align_books(spark: SparkSession, path: str, words: DataFrame, transcripts: DataFrame, tracks: DataFrame) -> dict[str, DataFrame]:
+    """The books in the archives at path, heard in their transcripts: spans of all sentences (unheard ones are -1) and texts in which the heard ones are marked."""
+    entries = _texts(spark, path)
     told = books.chapters(books.packages(entries))
-    heard = books.chapter_sentences(books.chapter_texts(entries, told)).withColumnRenamed("archive", "book_id")
-    found = align.align_books(heard.select("book_id", "ord", "chapter_id", "sentences"), words, transcripts, tracks)
+    heard = materialise(books.chapter_sentences(books.chapter_texts(entries, told)).withColumnRenamed("archive", "book_id"), "align-sentences")
+    found = materialise(align.align_books(heard.select("book_id", "ord", "chapter_id", "sentences"), words, transcripts, tracks), "align-ranges")
     keyed = found.withColumn("chapter_id", F.struct("book_id", "chapter_id"))
     whole = align.widen_empty(align.fill_gaps(keyed))
-    flat = whole.select("chapter_id.book_id", F.col("chapter_id.chapter_id").alias("chapter_id"), "id", "start_s", "end_s", "audiofile")
-    at = flat.join(heard.select("book_id", "chapter_id", "xhtml_path"), ["book_id", "chapter_id"])
-    out = align.ranges_to_spans(at, F.col("xhtml_path"))
-    return out
+    flat = materialise(whole.select("chapter_id.book_id", F.col("chapter_id.chapter_id").alias("chapter_id"), "id", "start_s", "end_s", "audiofile"), "align-whole")
+    at = flat.join(heard.select("book_id", "chapter_id", "xhtml_path", F.col("ord").alias("chapter_ord")), ["book_id", "chapter_id"])
+    out = align.ranges_to_spans(at, F.col("xhtml_path"), "book_id", "chapter_ord")
+    return {"spans": out, "texts": books.sentence_tagged(heard, flat)}
 
 
 def inspect_bundle(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import paths
+from lectern.functions import css, paths
 from lectern.sources import markup as M
 
 _ITEM = "struct<ord:int,id:string,href:string,media_type:string,media_overlay:string,properties:array<string>>"
@@ -121,6 +121,45 @@ def tagged_chapters(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return found.select("archive", "chapter_id", "xhtml_path", _rows(tag, "html", "ids", of="string").alias("html"), F.coalesce(F.transform("ids", lambda x: x["id"]), F.array().cast("array<string>")).alias("span_ids"))
 
 
+def sentence_tagged(heard: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(book_id, chapter_id, xhtml_path, html) with every sentence that was heard wrapped in a span; others are left alone.
+
+    heard(book_id, chapter_id, xhtml_path, html, sentences), ranges(book_id, chapter_id, id, start_s, end_s), -1 unknown.
+    """
+    known = ranges.where("start_s >= 0 and end_s >= 0").groupBy("book_id", "chapter_id").agg(F.collect_set("id").alias("wanted"))
+    listed = lambda v: [] if v is None else list(v)
+    tag = lambda text, chapter, sentences, wanted: M.tag_sentences(text, chapter, listed(sentences), set(listed(wanted)))
+    found = heard.join(known, ["book_id", "chapter_id"], "left")
+    return found.select("book_id", "chapter_id", "xhtml_path", _rows(tag, "html", "chapter_id", "sentences", "wanted", of="string").alias("html"))
+
+
+def package_signs(entries: DataFrame, books: DataFrame) -> DataFrame:
+    """(archive, file_path, opf, properties, hrefs) of every package document: what tells a fixed layout."""
+    items = manifest(books).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("ord", "href", "properties"))).alias("items"))
+    text = _text(entries).select("archive", F.col("path").alias("opf_path"), F.col("text").alias("opf"))
+    found = books.select("archive", "opf_path").join(text, ["archive", "opf_path"]).join(items, "archive", "left")
+    none = F.array().cast("array<struct<ord:int,href:string,properties:array<string>>>")
+    found = found.withColumn("items", F.coalesce("items", none))
+    return found.select("archive", F.col("opf_path").alias("file_path"), F.regexp_replace("opf", "^\ufeff", "").alias("opf"), F.transform("items", lambda i: i["properties"]).alias("properties"), F.transform("items", lambda i: i["href"]).alias("hrefs"))
+
+
+def break_hints(texts: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(archive, chapter_id, css, missing): the rules of every chapter that say where to break, of its style elements first, then of the sheets that it links; missing: links to no sheet.
+
+    A chapter without rules has an empty css. sheets(archive, file_path, css).
+    """
+    inline = texts.select("archive", "chapter_id", F.lit(-1).alias("source"), F.posexplode(css.style_blocks(F.col("html"))).alias("at", "css"))
+    links = texts.select("archive", "chapter_id", "xhtml_path", F.posexplode(css.stylesheet_hrefs(F.col("html"))).alias("source", "href"))
+    links = links.withColumn("file_path", paths.stylesheet_path(F.col("xhtml_path"), F.col("href"))).join(sheets.select("archive", "file_path", "css"), ["archive", "file_path"], "left")
+    linked = links.where("css is not null").select("archive", "chapter_id", "source", F.lit(0).alias("at"), "css")
+    rules = inline.union(linked).select("archive", "chapter_id", "source", "at", css.break_rules_of(F.col("css")).alias("rules"))
+    flat = F.array_distinct(F.flatten(F.sort_array(F.collect_list(F.struct("source", "at", "rules")))["rules"]))
+    joined = rules.groupBy("archive", "chapter_id").agg(F.array_join(flat, "\n").alias("css"))
+    lost = links.where("css is null and file_path is not null").groupBy("archive", "chapter_id").agg(F.sort_array(F.collect_list(F.struct("source", "href")))["href"].alias("missing"))
+    every = texts.select("archive", "chapter_id").join(joined, ["archive", "chapter_id"], "left").join(lost, ["archive", "chapter_id"], "left")
+    return every.select("archive", "chapter_id", F.coalesce("css", F.lit("")).alias("css"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
 def navigation(entries: DataFrame, books: DataFrame) -> DataFrame:
     """(archive, node_id, parent_id, sibling_ord, title, path): the nav document's tree, else the NCX's."""
     keys = ("node_id", "parent_id", "sibling_ord", "title", "path")

@@ -65,12 +65,68 @@ def test_compile(spark, book):
     out = plans.compile_books(spark, book, rects, None, tracks)
     assert [r.href for r in out["audio_order"].orderBy("position").collect()] == ["OPS/a.mp3", "OPS/b.mp3"]
     assert [r.start_ms for r in out["audio_offsets"].orderBy("ord").collect()] == [0.0, 5000.0]
-    assert {r.code for r in out["feature_warnings"].collect()} == {"positioned-layout", "table-layout", "rtl-direction"}
+    warned = [(r.code, r.chapter_id, r.file_path, r.detail) for r in out["feature_warnings"].orderBy("position").collect()]
+    assert warned == [("positioned-layout", "c1", "OPS/text/c1.xhtml", "inline <style> block uses float CSS declarations"), ("table-layout", "c2", "OPS/text/c2b.xhtml", "contains table markup (<table>/<tr>/<td>/...)")]
     assert [(r.title, r.page_index, r.level) for r in out["toc"].orderBy("position").collect()] == [("Part I", 0, 0), ("Two", 3, 1), ("Up", 0, 0)]
     assert {(r.id, r.code) for r in out["issues"].collect()} == {("p3", "timed_span_without_geometry_text")}
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="1 issues .1 timed_span_without_geometry_text"):
         plans.compile_books(spark, book, rects, strict=True)
-    assert validate.feature_summary(out["feature_warnings"]).count() == 3
+    assert validate.feature_summary(out["feature_warnings"]).count() == 2
+
+
+def archive_of(at, files):
+    with zipfile.ZipFile(at, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+
+
+def test_a_library_of_books_with_equal_ids(spark, tmp_path):
+    """Chapters and spans of one id in two books, whose files lie elsewhere; one of them has a reference to nowhere."""
+    other = OPF.replace('full-path="OPS/p.opf"', "").replace("text/c1.xhtml", "body/one.xhtml").replace("text/c1.smil", "body/one.smil")
+    smil = SMIL.replace("c1.xhtml", "one.xhtml")
+    fixed = other.replace('properties="nav x"', 'properties="nav Rendition:layout-pre-paginated"').replace("<dc:title>", '<meta name="fixed-layout" content="yes"/><dc:title>')
+    linked = C1.replace("<style>", '<link rel="stylesheet" href="../s.css"/><link rel="stylesheet" href="./../s.css"/><link rel="stylesheet" href="no.css"/><style>h1 { page-break-before: always }</style><style>')
+    sheet = "p { direction: rtl } h1 { page-break-before: always } h2 { break-after: page }"
+    base = {"META-INF/container.xml": CONTAINER, "OPS/text/c2b.xhtml": "<html><body>x</body></html>", "OPS/nav.xhtml": NAV, "OPS/s.css": sheet}
+    archive_of(tmp_path / "a.epub", base | {"OPS/p.opf": OPF, "OPS/text/c1.smil": SMIL, "OPS/text/c1.xhtml": C1})
+    archive_of(tmp_path / "b.epub", base | {"OPS/p.opf": fixed, "OPS/body/one.smil": smil.replace("#f3", "#f9"), "OPS/body/one.xhtml": linked})
+    out = plans.compile_books(spark, str(tmp_path))
+    issues = [(r.archive[-6:], r.id, r.code) for r in out["issues"].collect()]
+    assert issues == [("b.epub", "p3", "smil_textref_fragment_not_found")]
+    with pytest.raises(ValueError, match="1 smil_textref_fragment_not_found"):
+        plans.compile_books(spark, str(tmp_path), strict=True)
+    warned = {(r.archive[-6:], r.code, r.chapter_id, r.file_path): r.detail for r in out["feature_warnings"].collect()}
+    assert warned == {
+        ("a.epub", "positioned-layout", "c1", "OPS/text/c1.xhtml"): "inline <style> block uses float CSS declarations",
+        ("b.epub", "positioned-layout", "c1", "OPS/body/one.xhtml"): "inline <style> block uses float CSS declarations",
+        ("b.epub", "rtl-direction", "c1", "OPS/s.css"): 'linked stylesheet "../s.css" uses RTL directionality CSS (direction/unicode-bidi); linked stylesheet "./../s.css" uses RTL directionality CSS (direction/unicode-bidi)',
+        ("b.epub", "fixed-layout", None, "OPS/p.opf"): 'manifest marks item(s) as rendition:layout-pre-paginated ("OPS/nav.xhtml"); OPF metadata contains fixed-layout=true indicator; OPF contains rendition:layout-pre-paginated spine/manifest properties',
+    }
+    hints = {(r.archive[-6:], r.chapter_id): (r.css, r.missing) for r in out["break_css"].collect()}
+    assert hints[("b.epub", "c1")] == ("h1 { page-break-before: always; break-before: column; }\nh2 { break-after: column; }", ["no.css"]) and hints[("a.epub", "c1")] == ("", [])
+    rects = out["spans"].select("archive", "chapter_id", F.lit(0).alias("page_index"), F.col("id").alias("span_id")).where("archive like '%a.epub'")
+    shown = plans.compile_books(spark, str(tmp_path), rects)["issues"].where("code = 'timed_span_without_geometry_text'")
+    assert sorted((r.archive[-6:], r.id) for r in shown.collect()) == [("b.epub", "p1"), ("b.epub", "p3")]
+
+
+def test_books_are_aligned_and_tagged(spark, tmp_path):
+    told = [f"This is the {w} sentence to be heard." for w in "first second third fourth fifth sixth".split()] + ["Nobody reads that bit out loud!", "Then comes another one to hear."]
+    html = "".join(f"<p>{s}</p>" for s in told).replace("comes another", "<b>comes another</b>")
+    archive_of(tmp_path / "a.epub", {"META-INF/container.xml": CONTAINER, "OPS/p.opf": OPF, "OPS/text/c1.xhtml": f"<html><body>{html}</body></html>", "OPS/text/c2b.xhtml": "<html><body></body></html>"})
+    text = " ".join(told[:6] + told[7:]) + " And more talk." * 400
+    at, words = 0, []
+    book = f"file:{tmp_path}/a.epub"
+    for i, w in enumerate(text.split(" ")):
+        words.append((book, i, i * 0.5, i * 0.5 + 0.4, at, at + len(w), "a.mp3"))
+        at += len(w) + 1
+    out = plans.align_books(
+        spark, str(tmp_path / "a.epub"), spark.createDataFrame(words, "book_id string, ord int, start_s double, end_s double, start_off long, end_off long, audiofile string"),
+        spark.createDataFrame([(book, text)], "book_id string, transcript string"), spark.createDataFrame([(book, "a.mp3", 700.0)], "book_id string, href string, duration_s double"),
+    )
+    spans = [(r.id, r.text_ref, r.clip_begin_ms, r.clip_end_ms) for r in out["spans"].orderBy("ord").collect()]
+    assert spans[0] == ("c1-sentence0", "OPS/text/c1.xhtml#c1-sentence0", 0.0, 4000.0) and spans[6][3] == -1.0 and spans[7][2] == 24000.0
+    html = out["texts"].where("chapter_id = 'c1'").first().html
+    assert '<span data-span-id="c1-sentence0">This is the first sentence to be heard.</span>' in html and "sentence6" not in html and '<span data-span-id="c1-sentence7">Then </span><b>comes' in html
 
 
 def test_ncx():
