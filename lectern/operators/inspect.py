@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.ordering import Ranged
 from lectern.predicates import timed
 
 
@@ -19,8 +20,9 @@ def duration_stats(spans: DataFrame) -> DataFrame:
 
 def gaps(spans: DataFrame, book: str = "book_id") -> DataFrame:
     """Positive gaps between a timed span and its immediate predecessor by (begin, ord), not the furthest end so far."""
-    along = Window.partitionBy(book).orderBy("clip_begin_ms", "ord")
-    near = spans.where(timed()).select(book, "ord", "clip_begin_ms", F.lag("id").over(along).alias("from_id"), F.col("id").alias("to_id"), (F.col("clip_begin_ms") - F.lag("clip_end_ms").over(along)).alias("gap_ms"))
+    live = spans.where(timed()).select(book, "ord", "id", "clip_begin_ms", "clip_end_ms")
+    near = Ranged(live, book, "clip_begin_ms", "ord").previous(F.struct("id", "clip_end_ms"), "__before")
+    near = near.select(book, "ord", "clip_begin_ms", F.col("__before.id").alias("from_id"), F.col("id").alias("to_id"), (F.col("clip_begin_ms") - F.col("__before.clip_end_ms")).alias("gap_ms"))
     return near.where("gap_ms > 0")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ordering import Ranged
 from lectern.predicates import timed
 
 
@@ -22,9 +23,8 @@ def audio_order(spans: DataFrame, manifest: DataFrame, book: str = "book_id") ->
 
 def audio_offsets(tracks: DataFrame, book: str = "book_id") -> DataFrame:
     """tracks(book, ord, href, duration_ms) with start_ms, end_ms and the book's total_ms: an exclusive running sum in order."""
-    before = Window.partitionBy(book).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("duration_ms").over(before), F.lit(0.0))
-    return tracks.select("*", start.alias("start_ms"), (start + F.col("duration_ms")).alias("end_ms"), F.sum("duration_ms").over(Window.partitionBy(book)).alias("total_ms"))
+    found = Ranged(tracks, book, "ord").sum_before(F.col("duration_ms"), "start_ms", "total_ms")
+    return found.select(*tracks.columns, "start_ms", (F.col("start_ms") + F.col("duration_ms")).alias("end_ms"), "total_ms")
 
 
 def apply_audio_offsets(spans: DataFrame, offsets: DataFrame, keys: tuple[str, ...] = ("audio_src",)) -> DataFrame:
@@ -37,10 +37,11 @@ def apply_audio_offsets(spans: DataFrame, offsets: DataFrame, keys: tuple[str, .
 
 def compact_ids(spans: DataFrame, book: str = "book_id") -> DataFrame:
     """spans with new_id: 's' and the row's 0-based number in the book, base 36. A repeated id in a book raises an error."""
-    n = F.row_number().over(Window.partitionBy(book).orderBy("ord")) - 1
-    twice = F.count("*").over(Window.partitionBy(book, "id"))
-    checked = F.when(twice > 1, F.raise_error(F.concat(F.lit("duplicate span id: "), F.col("id").cast("string")))).otherwise(F.concat(F.lit("s"), F.lower(F.conv(n.cast("string"), 10, 36))))
-    return spans.withColumn("new_id", checked)
+    twice = spans.groupBy(book, "id").count().where("count > 1").head(1)
+    if twice:
+        raise ValueError(f"duplicate span id: {twice[0]['id']}")
+    name = F.concat(F.lit("s"), F.lower(F.conv(F.col("__n").cast("string"), 10, 36)))
+    return Ranged(spans, book, "ord").number("__n").select(*spans.columns, name.alias("new_id"))
 
 
 def remap_ids(rows: DataFrame, ids: DataFrame, keys: tuple[str, ...] = ("span_id",)) -> DataFrame:

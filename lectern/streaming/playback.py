@@ -10,12 +10,15 @@ import sys
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from lectern.operators.ordering import Ranged, in_turn
+
 # the worker that readies a stateful stream has no files of the context: processors travel whole
 register_pickle_by_value(sys.modules[__name__])
 
@@ -24,29 +27,38 @@ TIMINGS = "label string, window_no long, n long, mean_ns long, min_ns long, max_
 
 
 class CursorProcessor(StatefulProcessor):
-    """Rows (session, seq, t, span_id, page_index): positions with the span looked up for them. Emits when span or page changes; a position in no span keeps the last."""
+    """Rows (session, seq, t, span_id, page_index): positions with the span looked up for them. Emits when span or page changes; a position in no span keeps the last.
+
+    A session's rows of one micro-batch, which its trigger bounds, are put in order; of all before only the last span is kept.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.now = handle.getValueState("now", "span_id string, page_index int")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        span, page = self.now.get() if self.now.exists() else (None, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if r.span_id is None or (r.span_id, r.page_index) == (span, page):
-                continue
-            span, page = r.span_id, int(r.page_index)
-            out.append((key[0], r.seq, r.t, span, page))
-        if span is not None:
-            self.now.update((span, page))
-        yield pd.DataFrame(out, columns=["session", "seq", "t", "span_id", "page_index"])
+        last = self.now.get() if self.now.exists() else None
+        met = pd.concat([r[r["span_id"].notna()] for r in rows]).sort_values("seq")
+        if not len(met):
+            return
+        page = met["page_index"].astype("Int64")
+        # a page may be unknown: -1 stands for that in comparisons, as no page has that number
+        now = pd.DataFrame({"span": met["span_id"].to_numpy(), "page": page.fillna(-1).to_numpy(int)})
+        before = now.shift(1)
+        if last is not None:
+            before.iloc[0] = [last[0], -1 if last[1] is None else last[1]]
+        changed = ((now["span"] != before["span"]) | (now["page"] != before["page"])).to_numpy()
+        self.now.update((now["span"].iloc[-1], None if pd.isna(page.iloc[-1]) else int(page.iloc[-1])))
+        yield met.assign(page_index=page)[["session", "seq", "t", "span_id", "page_index"]][changed]
 
     def close(self) -> None:
         pass
 
 
 class TimingProcessor(StatefulProcessor):
-    """Rows (label, seq, ns): tumbling windows of `size` samples per label; the last one, unless full, is not reported."""
+    """Rows (label, seq, ns): tumbling windows of `size` samples per label; the last one, unless full, is not reported.
+
+    A label's samples of one micro-batch, which its trigger bounds, are put in order; of an open window its sums are kept.
+    """
 
     def __init__(self, size: int):
         self.size = size
@@ -56,16 +68,19 @@ class TimingProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
         done, n, total, least, most = self.open.get() if self.open.exists() else (0, 0, 0, 0, 0)
-        out = []
-        for ns in pd.concat(list(rows)).sort_values("seq")["ns"]:
-            ns = int(ns)
-            least, most = (ns, ns) if n == 0 else (min(least, ns), max(most, ns))
-            n, total = n + 1, total + ns
-            if n == self.size:
-                out.append((key[0], done, n, total // n, least, most))
-                done, n, total = done + 1, 0, 0
-        self.open.update((done, n, total, least, most))
-        yield pd.DataFrame(out, columns=["label", "window_no", "n", "mean_ns", "min_ns", "max_ns"])
+        ns = pd.concat([r[["seq", "ns"]] for r in rows]).sort_values("seq")["ns"].to_numpy(np.int64)
+        of = (n + np.arange(len(ns))) // self.size  # the window of each, from the open one on
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        sums, lows, highs = (f.reduceat(ns, starts) for f in (np.add, np.minimum, np.maximum))
+        counts = np.diff(np.append(starts, len(ns)))
+        if n:  # what the open window had
+            counts[0], sums[0], lows[0], highs[0] = counts[0] + n, sums[0] + total, min(lows[0], least), max(highs[0], most)
+        full = counts == self.size
+        numbers = done + np.arange(len(counts))
+        made = pd.DataFrame({"label": key[0], "window_no": numbers, "n": counts, "mean_ns": sums // np.maximum(counts, 1), "min_ns": lows, "max_ns": highs})
+        rest = (int(counts[-1]), int(sums[-1]), int(lows[-1]), int(highs[-1])) if not full[-1] else (0, 0, 0, 0)
+        self.open.update((int(done + full.sum()), *rest))
+        yield made[full]
 
     def close(self) -> None:
         pass
@@ -81,39 +96,34 @@ def timing_stream(samples: DataFrame, size: int) -> DataFrame:
 
 def cursor_batch(positions: DataFrame) -> DataFrame:
     """The cursor's changes from a finished log of positions."""
-    along = Window.partitionBy("session").orderBy("seq")
-    met = positions.where("span_id is not null")
-    before = F.lag(F.struct("span_id", "page_index")).over(along)
-    return met.withColumn("__b", before).where(~F.col("__b").eqNullSafe(F.struct("span_id", "page_index"))).select("session", "seq", "t", "span_id", "page_index")
+    now = F.struct("span_id", "page_index")
+    found = Ranged(positions.where("span_id is not null"), "session", "seq").previous(now, "__b")
+    return found.where(~F.col("__b").eqNullSafe(now)).select("session", "seq", "t", "span_id", "page_index")
 
 
 def throttle(positions: DataFrame, every: int = 20, jump_ms: float = 1000.0) -> DataFrame:
-    """Positions shown: each `every`-th since the last shown, or one at least jump_ms from the last shown. (session, seq, t)
-
-    What is shown depends on what was shown before, so a session is folded as one array.
-    """
-    listed = positions.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("seq", "t"))).alias("rows"))
-    shown = "array<struct<seq:bigint,t:double>>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"), F.array().cast(shown).alias("out"))
+    """Positions shown: each `every`-th since the last shown, or one at least jump_ms from the last shown. (session, seq, t)"""
 
-    def step(acc, x):
-        show = acc["last"].isNull() | (acc["n"] + 1 >= every) | (F.abs(x["t"] - acc["last"]) >= jump_ms)
-        return F.struct(F.when(show, 0).otherwise(acc["n"] + 1).alias("n"), F.when(show, x["t"]).otherwise(acc["last"]).alias("last"), F.when(show, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        n, last = state or (0, None)
+        if last is None or n + 1 >= every or abs(row[2] - last) >= jump_ms:
+            return (0, row[2]), row
+        return (n + 1, last), None
 
-    return listed.select("session", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r")).select("session", "r.seq", "r.t")
+    rows = positions.select("session", "seq", "t")
+    return in_turn(rows, "session", "seq", step, f"session {rows.schema['session'].dataType.simpleString()}, seq long, t double")
 
 
 def saved_positions(positions: DataFrame, every: int = 100) -> DataFrame:
     """What is kept of each session: every `every`-th position, and the last. (session, seq, t)"""
-    per = Window.partitionBy("session")
-    n = F.row_number().over(per.orderBy("seq"))
-    return positions.withColumns({"__n": n, "__of": F.count("*").over(per)}).where((F.col("__n") % every == 0) | (F.col("__n") == F.col("__of"))).select("session", "seq", "t")
+    found = Ranged(positions.select("session", "seq", "t"), "session", "seq").number("__n", "__of")
+    return found.where(((F.col("__n") + 1) % every == 0) | (F.col("__n") + 1 == F.col("__of"))).select("session", "seq", "t")
 
 
 def timing_windows(samples: DataFrame, size: int) -> DataFrame:
     """timing_stream()'s rows from a finished log."""
-    n = F.row_number().over(Window.partitionBy("label").orderBy("seq")) - 1
-    w = samples.withColumn("window_no", F.floor(n / size)).groupBy("label", "window_no")
+    numbered = Ranged(samples, "label", "seq").number("__n")
+    w = numbered.withColumn("window_no", F.floor(F.col("__n") / size)).groupBy("label", "window_no")
     full = w.agg(F.count("*").alias("n"), F.sum("ns").alias("total"), F.min("ns").alias("min_ns"), F.max("ns").alias("max_ns")).where(F.col("n") == size)
     return full.select("label", "window_no", "n", F.expr("total div n").alias("mean_ns"), "min_ns", "max_ns")
 

@@ -49,19 +49,16 @@ def position_saves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, rows: DataFrame, name: str, make) -> DataFrame:
-    """Write rows as two files in the order of seq, stream them, and read the sink."""
+    """Write rows as two lots of as many files in the order of seq, stream a lot at a time, and read the sink."""
     source, sink, state = (new_path(spark, f"{name}-{x}") for x in ("source", "sink", "state"))
-    middle = rows.agg(F.expr("percentile_approx(seq, 0.5)").alias("m")).first()["m"] or 0
+    n, middle = rows.agg(F.count("*"), F.coalesce(F.expr("percentile_approx(seq, 0.5)"), F.lit(0))).first()
+    files = max(1, min(spark.sparkContext.defaultParallelism, n // 10_000))
     for part in (F.col("seq") <= middle, F.col("seq") > middle):
-        rows.where(part).coalesce(1).write.mode("append").parquet(source)
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        made = make(stream)
-        made.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        rows.where(part).repartition(files).write.mode("append").parquet(source)
+    own = spark.newSession()  # with settings of its own
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    made = make(own.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source))
+    made.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(sink)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import align, inspect, lookups, pages, spans, toc, validate
 from lectern.operators.components import connected_components
-from lectern.operators.ordering import global_index
+from lectern.operators.ordering import Ranged, global_index, in_turn
 
 from .conftest import rows
 
@@ -63,15 +63,74 @@ def test_asof_buckets_do_not_matter(spark):
                 near = [x for x in live if x.k == q.k and ((x.b > q.t if strict else x.b >= q.t) if forward else (x.b < q.t if strict else x.b <= q.t))]
                 best = (min if forward else max)(near, key=lambda x: (x.b, x.ord), default=None)
                 want[q.n] = best.id if best else None
-            for width in (1.0, 7.0, 1e9):
-                got = lookups.asof(p, s, "k", "t", "b", "ord", ["id"], forward, strict, width)
-                assert {r.n: r.found_id for r in got.collect()} == want, (forward, strict, width)
+            got = lookups.asof(p, s, "k", "t", "b", "ord", ["id"], forward, strict)
+            assert {r.n: r.found_id for r in got.collect()} == want, (forward, strict)
+
+
+def test_one_hot_book_is_many_ranges(spark):
+    """Hours of one book, a span without an end, and points of a book without spans."""
+    spans_ = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").cast("int").alias("ord"), (F.col("id") * 3000.0).alias("b"), (F.col("id") * 3000.0 + 2500).alias("e"), F.concat(F.lit("s"), F.col("id")).alias("id"))
+    odd = spark.createDataFrame([(1, 9000, 5e6, 1e14, "endless"), (1, 9001, 6e6, float("inf"), "infinite"), (1, 9002, 7e6, 7e6, "empty")], "k int, ord int, b double, e double, id string")
+    every = spans_.union(odd)
+    points = spark.range(3000).select(F.when(F.col("id") % 100 == 0, 2).otherwise(1).alias("k"), (F.col("id") * 4321.0 + 100).alias("t"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        last = {(r.k, r.t): r.found_id for r in lookups.asof(points, every, "k", "t", "b", "ord", ["id"]).collect()}
+        first = {(r.k, r.t): r.found_id for r in lookups.interval_first(points, every, "k", "t", "b", "e", "ord", ["id"]).collect()}
+        assert Ranged(every, "k", "b").rows.select("__part").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for k, t in last:
+        n = int(t // 3000)
+        if k == 2:
+            assert last[k, t] is None and first[k, t] is None
+            continue
+        begins = [(n * 3000.0, n, f"s{n}") if n < 4000 else (3999 * 3000.0, 3999, "s3999")] + [x for x in ((5e6, 9000, "endless"), (6e6, 9001, "infinite"), (7e6, 9002, "empty")) if x[0] <= t]
+        assert last[k, t] == max(begins)[2]
+        want = f"s{n}" if n < 4000 and t - n * 3000.0 < 2500 else "endless" if t >= 5e6 else None
+        assert first[k, t] == want, t
+
+
+def test_windows_over_ranges(spark):
+    rng = random.Random(5)
+    data = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice([None, float(i)])) for i in range(300)]
+    df = spark.createDataFrame(data, "k int, ord int, v double").repartition(5)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        r = Ranged(df, "k", "ord")
+        got = {name: {x.ord: x for x in made.collect()} for name, made in (("p", r.previous(F.col("v"), "x")), ("s", r.sum_before(F.col("v"), "x", "y")), ("n", r.number("x", "y")), ("l", r.last_known(F.col("v"), "x")))}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for key in (1, 2, None):
+        own = [(o, v) for k, o, v in data if k == key]
+        known = None
+        for n, (o, v) in enumerate(own):
+            known = v if v is not None else known
+            assert got["p"][o].x == (own[n - 1][1] if n else None) and got["l"][o].x == known
+            assert (got["n"][o].x, got["n"][o].y) == (n, len(own))
+            assert got["s"][o].x == sum(w for _, w in own[:n] if w is not None) and got["s"][o].y == sum(w for _, w in own if w is not None)
+    turns = in_turn(df, "k", "ord", lambda state, row: ((state or 0) + 1, (row[0], row[1], (state or 0) + 1)), "k int, ord int, n long")
+    assert all(x.n == got["n"][x.ord].x + 1 for x in turns.collect()) and in_turn(df.limit(0), "k", "ord", lambda s, r: (s, r), "k int, ord int, v double").count() == 0
+
+
+def test_taps_against_all_rectangles(spark):
+    rng = random.Random(6)
+    rects = [(rng.randint(0, 1), f"s{i}", i, rng.uniform(-50, 900), rng.uniform(-50, 900), rng.choice([-1.0, 0.0, 5.0, 64.0, 300.0, 5000.0]), rng.choice([0.0, 10.0, 64.0, 2000.0])) for i in range(60)]
+    taps = [(rng.randint(0, 2), i, rng.uniform(-100, 1000), rng.uniform(-100, 1000)) for i in range(200)]
+    taps += [(r[0], 1000 + i, r[3] + max(r[5], 0), r[4] + r[6]) for i, r in enumerate(rects)]  # corners
+    got = lookups.point_in_rect(spark.createDataFrame(taps, "page_index int, tap_id int, tap_x double, tap_y double"), spark.createDataFrame(rects, "page_index int, span_id string, span_pos int, x double, y double, w double, h double"))
+    found = {r.tap_id: r.span_id for r in got.collect()}
+    for page, tap, x, y in taps:
+        hits = [r[2] for r in rects if r[0] == page and r[3] <= x <= r[3] + r[5] and r[4] <= y <= r[4] + r[6]]
+        assert found[tap] == (f"s{min(hits)}" if hits else None)
 
 
 def test_interval_first_in_file_order(spark):
     s = spark.createDataFrame([(1, 0, 0.0, 100.0, "long"), (1, 1, 10.0, 20.0, "short"), (1, 2, 10.0, 10.0, "none")], "k int, ord int, b double, e double, id string")
     p = spark.createDataFrame([(1, 15.0), (1, 100.0), (1, 0.0), (2, 15.0)], "k int, t double")
-    got = lookups.interval_first(p, s, "k", "t", "b", "e", "ord", ["id"], width=7.0)
+    got = lookups.interval_first(p, s, "k", "t", "b", "e", "ord", ["id"], least=7.0)
     assert {(r.k, r.t): r.found_id for r in got.collect()} == {(1, 15.0): "long", (1, 100.0): None, (1, 0.0): "long", (2, 15.0): None}
 
 
