@@ -121,9 +121,9 @@ def split_quotas(quotas: DataFrame, levels: Column, seed: int) -> DataFrame:
     parts = quotas.select("source", "blocks", F.explode(F.expr("sequence(0L, (blocks - 1) div 4096)")).alias("part"))
     urn = parts.select("source", F.explode(F.expr("sequence(part * 4096, least(part * 4096 + 4095, blocks - 1))")).alias("ball"))
     drawn = global_index(urn.withColumn("key", F.xxhash64(F.lit(seed), "source", "ball")), "key", "source", "ball", name="rank")
-    total = quotas.agg(F.sum("blocks").alias("total"), F.first(levels).alias("levels"))
-    shard = F.expr("cast(floor(cast(rank as decimal(38,0)) * shiftleft(1L, levels) / total) as bigint)")
-    return drawn.join(F.broadcast(total)).select(shard.alias("shard"), "source").groupBy("shard", "source").agg(F.count("*").alias("blocks"))
+    total, depth = quotas.agg(F.coalesce(F.sum("blocks"), F.lit(1)), F.coalesce(F.first(levels), F.lit(0))).first()
+    shard = F.expr(f"cast(rank as decimal(38,0)) * {1 << depth} div {total}")
+    return drawn.select(shard.alias("shard"), "source").groupBy("shard", "source").agg(F.count("*").alias("blocks"))
 
 
 class Mixture:

@@ -129,8 +129,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shing
 #: Classes of shingles are so large, about, and so many of them are tables. Two texts of one size n whose cosine is 0.8 differ in 0.4 n
 #: shingles, 1.2 for each class: a class is the same in both, and not empty, in 0.29 of cases, one of 20 in 0.999.
 CLASS_SIZE, CLASSES = 3, 20
-#: Each round compares so many times as many members of a group as the one before.
-ROUND = 8
+#: All pairs of groups of at most so many texts are compared; larger groups by representatives.
+SMALL = 8
 
 
 def class_fingerprints(hashes: np.ndarray, size: int = CLASS_SIZE, classes: int = CLASSES) -> list[tuple[int, int, int]]:
@@ -191,41 +191,49 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_components(texts: DataFrame, signatures: DataFrame, linked: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, root): components over linked(u, v) and all pairs of distinct texts that share a class fingerprint and whose
+    """(node, root): components over linked(u, v) and pairs of distinct texts that share a class fingerprint and whose
     sets of shingles have a cosine, computed exactly, of at least `similarity`.
 
-    texts(tid, text) may repeat rows; signatures(tid, parts). In the first round the texts of a group (of one class
-    fingerprint) are compared with one of them, another in each class. A group that then lies in one component is
-    done: its other pairs would add nothing. In each later round ROUND times as many members as in the one before, drawn
-    by hash, are compared with all members of other components, until a group is in one component or all of its
-    members were drawn. Members of a group's largest component need no draw: the other side of each pair has one.
+    texts(tid, text) may repeat rows; signatures(tid, parts). Texts of one class fingerprint are a group. In groups of up to
+    SMALL all pairs are compared. In larger ones all members are compared with a representative, which is the most central one (whose
+    groups are the largest: what copies were made from is in the most, and largest, of them), and while such rounds find links,
+    with another one: the most central of those outside the group's largest component that was none yet. Pairs
+    within a component add nothing and aren't compared. So the work of a round goes with the members, not with their square;
+    a link is missed where its texts share no class, or only large groups in which neither is ever a representative.
     """
-    key = ["n", "c", "fp"]
-    parts = signatures.select("tid", F.explode("parts").alias("p")).select("tid", "p.n", "p.c", "p.fp")
-    mark = F.struct(F.xxhash64("tid", "n", "c").alias("h"), "tid")
-    groups = materialise(parts.groupBy(*key).agg(F.min(mark)["tid"].alias("first"), F.max(mark)["tid"].alias("last"), F.count("*").alias("size")).where("first <> last").drop("last"), "similar-groups")
-    members = materialise(parts.join(broadcast_if_small(groups), key).distinct(), "similar-members")  # size counts repeated rows too: no less than the members
-    asked = materialise(members.select("tid").distinct(), "similar-asked")
-    sets = texts.join(broadcast_if_small(asked), "tid", "left_semi").select("tid", _shingle_sets(F.col("text"), shingle).alias("s"))
+    parts = signatures.select("tid", F.explode("parts").alias("p")).select("tid", F.xxhash64("p.n", "p.c", "p.fp").alias("g"))
+    groups = materialise(parts.groupBy("g").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("g"), "similar-groups")
+    members = materialise(parts.join(broadcast_if_small(groups), "g").distinct(), "similar-members")
+    sizes = materialise(members.groupBy("g").agg(F.count("*").alias("size")), "similar-sizes")
+    sized = members.join(broadcast_if_small(sizes), "g")
+    scores = materialise(sized.groupBy("tid").agg(F.sum("size").alias("score")), "similar-scores")  # and all texts that are asked for
+    sets = texts.join(broadcast_if_small(scores.select("tid")), "tid", "left_semi").select("tid", _shingle_sets(F.col("text"), shingle).alias("s"))
     sets = materialise(sets.dropDuplicates(["tid"]), "similar-sets")
-    pairs = materialise(members.where("tid <> first").select(F.greatest("tid", "first").alias("u"), F.least("tid", "first").alias("v")).distinct(), "similar-pairs")
-    found, drawn = linked.union(_alike(pairs, sets, similarity)), 1
-    place = F.pmod(F.xxhash64(F.lit("draw"), "tid", *key), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")  # below size
-    todo = members.where("size > 2").select(*key, "tid", "size", place.alias("place"))  # a pair is compared in the first round
-    while True:
+    scored = materialise(sized.join(broadcast_if_small(scores), "tid").select("g", "tid", "size", "score"), "similar-scored")
+    central = F.max(F.struct("score", "tid"))["tid"]
+    few = scored.where(F.col("size") <= SMALL).groupBy("g").agg(F.collect_list("tid").alias("ts"))
+    inside = F.flatten(F.transform("ts", lambda u: F.transform(F.filter("ts", lambda v: v < u), lambda v: F.struct(u.alias("u"), v.alias("v")))))
+    large = scored.where(F.col("size") > SMALL)
+    first = materialise(large.groupBy("g").agg(central.alias("t")), "similar-first")
+    ordered = lambda df: df.where("tid <> t").select(F.greatest("tid", "t").alias("u"), F.least("tid", "t").alias("v"))
+    pairs = few.select(F.explode(inside).alias("p")).select("p.u", "p.v").union(ordered(large.join(broadcast_if_small(first), "g")))
+    pairs = materialise(pairs.distinct(), "similar-pairs")
+    new, compared, asked, todo, found = materialise(_alike(pairs, sets, similarity), "similar-links"), pairs, first, large, linked
+    while not new.isEmpty():
+        found = found.union(new)
         roots = materialise(connected_components(found, "similar"), "similar-roots")
-        rooted = todo.where(F.col("size") > drawn).join(roots, todo["tid"] == roots["node"], "left").select(*todo.columns, F.coalesce("root", "tid").alias("root"))
-        shares = rooted.groupBy(*key, "root").agg(F.count("*").alias("n_root"))
-        apart = materialise(shares.groupBy(*key).agg(F.max(F.struct("n_root", "root"))["root"].alias("major"), F.count("*").alias("n_roots")).where("n_roots > 1").drop("n_roots"), "similar-apart")
-        if apart.isEmpty():
-            return roots
-        drawn *= ROUND
-        todo = materialise(rooted.join(broadcast_if_small(apart), key), "similar-todo")
-        asking = materialise(todo.where((F.col("place") < drawn) & (F.col("root") != F.col("major"))).select(*key, F.col("tid").alias("t"), F.col("root").alias("r")), "similar-asking")
-        pairs = materialise(todo.join(asking, key).where("root <> r").select(F.greatest("tid", "t").alias("u"), F.least("tid", "t").alias("v")).distinct(), "similar-pairs")
-        new = _alike(pairs, sets, similarity)
-        found = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)
-        todo = todo.drop("root", "major")
+        found = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        rooted = todo.join(roots, todo["tid"] == roots["node"], "left").select("g", "tid", "size", "score", F.coalesce("root", "tid").alias("root"))
+        shares = rooted.groupBy("g", "root").agg(F.count("*").alias("n_root"))
+        apart = shares.groupBy("g").agg(F.max(F.struct("n_root", "root"))["root"].alias("major"), F.count("*").alias("n_roots")).where("n_roots > 1").select("g", "major")
+        rooted = materialise(rooted.join(broadcast_if_small(materialise(apart, "similar-apart")), "g"), "similar-todo")
+        outside = rooted.where("root <> major").join(asked.withColumnRenamed("t", "tid"), ["g", "tid"], "left_anti")
+        next_ = materialise(outside.groupBy("g").agg(F.max(F.struct("score", "tid", "root")).alias("r")).select("g", F.col("r.tid").alias("t"), F.col("r.root").alias("r")), "similar-next")
+        pairs = ordered(rooted.join(broadcast_if_small(next_), "g").where("root <> r")).distinct().join(compared, ["u", "v"], "left_anti")
+        pairs = materialise(pairs, "similar-pairs")
+        new = materialise(_alike(pairs, sets, similarity), "similar-links")
+        compared, asked, todo = compared.union(pairs), asked.union(next_.select("g", "t")), rooted.select("g", "tid", "size", "score")
+    return connected_components(found, "similar")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
