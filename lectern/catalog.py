@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import bindings as B
-from lectern.functions import clip, color, css, paths
+from lectern.functions import clip, color, css, paths, player
 from lectern.operators import align, inspect, lookups, pages, spans, toc, validate
 from lectern.predicates import timed
 
@@ -425,43 +425,65 @@ def bundle_validation(spark: SparkSession, d: str) -> DataFrame:
     return validate.bundle_issues(twice, B.pages(spark, d), B.rects(spark, d), B.runs(spark, d), 1200.0, 1500.0)
 
 
-# injected markup, by page: what the driver's pages lack
-_EXTRA = ("<table><tr><td>x</td></tr></table>", "<ruby>a<rt>b</rt></ruby>", '<p dir="rtl">x</p><svg></svg>', '<p style="float: left; position: absolute">x</p>', "<style>p { writing-mode: vertical-rl } /* float: left */</style>", "<math></math>", "<style>.a { display: table-cell }</style><table></table>", "")
-_HTML = "h AS (SELECT page_id, 'p' || page_id || '.xhtml' AS file_path, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'c' || page_id % 10 END AS chapter_id, coalesce(html, '') || CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_EXTRA)) + " END AS html FROM pages)"
-_CSS_TEXT = r"lower(regexp_replace(coalesce(array_to_string(regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style>', 1), chr(10)), '') || chr(10) || coalesce(array_to_string(regexp_extract_all(html, '(?is)\bstyle\s*=\s*\"([^\"]*)\"', 1), chr(10)), ''), '(?s)/\*.*?\*/', ' ', 'g'))"
-
-
-def _feature_sql() -> str:
-    from lectern.functions import markup as M
-
-    q = lambda p: p.replace("'", "''")
-    cases = [f"CASE WHEN regexp_matches(html, '{q(p)}') THEN {{'code': '{c}', 'detail': '{q(t)}'}} END" for c, p, t in M.MARKUP_PATTERNS]
-    for c, must, must_not, t in M.CSS_RULES:
-        on = " AND ".join([f"regexp_matches(css, '{q(p)}')" for p in must] + [f"NOT regexp_matches(css, '{q(p)}')" for p in must_not])
-        cases.append(f"CASE WHEN {on} THEN {{'code': '{c}', 'detail': '{q(t)}'}} END")
-    levels = "(VALUES " + ", ".join(f"('{c}', '{q(text)}', '{level}')" for c, text, level in M.FEATURES) + ") AS l(code, label, level)"
-    return _with(_HTML, f"t AS (SELECT *, {_CSS_TEXT} AS css FROM h)", f"f AS (SELECT file_path, chapter_id, unnest([{', '.join(cases)}]) AS f FROM t)",
-                 f"warned AS (SELECT f.code AS code, label, level, file_path, chapter_id, string_agg(DISTINCT f.detail, '; ' ORDER BY f.detail) AS detail FROM f JOIN {levels} ON l.code = f.code WHERE f IS NOT NULL GROUP BY ALL)")
+# markup before and behind each page's own, by page: what the driver's pages lack
+_EXTRA = ("<table><tr><td>x</td></tr></table>", "<ruby>a<rt>b</rt></ruby>", '<p dir="rtl">x</p><svg></svg>', """<p style="float: left; position: absolute">x</p><p style='POSITION: fixed'>y</p>""", "<style>p { writing-mode: vertical-rl } /* float: left */</style><style>q { text-orientation: upright }</style>", "<math></math>", "<style>.a { display: table-cell }</style><table></table><style>.b { table-layout: fixed; float: right }</style>", "")
+_HEAD = '<head><link rel="stylesheet" href="css/s.css"><link rel="Alternate StyleSheet" href="./css/s.css?v=1"><link rel="stylesheet" href="http://x.example/a.css"><link rel="icon" href="css/s.css"></head>'
+_SHEET = "p { float: left } /* direction: rtl */ q { unicode-bidi: embed } r { position: absolute }"
+_HTML = "h AS (SELECT page_id, 'OPS/p' || page_id || '.xhtml' AS file_path, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'c' || page_id % 10 END AS chapter_id, CASE WHEN page_id % 5 = 0 THEN '" + _HEAD + "' ELSE '' END || coalesce(html, '') || CASE page_id % 8 " + " ".join("WHEN %d THEN '%s'" % (i, x.replace("'", "''")) for i, x in enumerate(_EXTRA)) + " END AS html FROM pages)"
+# the oracle's own patterns, written from what each feature is
+_MARKUP_SQL = """list_filter([CASE WHEN regexp_matches(html, '(?i)<\\s*([a-z0-9_-]+:)?(table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col)\\b') THEN {'code': 'table-layout', 'detail': 'contains table markup (<table>/<tr>/<td>/...)'} END,
+  CASE WHEN regexp_matches(html, '(?i)<\\s*([a-z0-9_-]+:)?(ruby|rb|rt|rp)\\b') THEN {'code': 'ruby-text', 'detail': 'contains ruby annotations (<ruby>/<rt>)'} END,
+  CASE WHEN regexp_matches(html, '(?i)<\\s*([a-z0-9_-]+:)?math\\b') THEN {'code': 'mathml-content', 'detail': 'contains MathML (<math>)'} END,
+  CASE WHEN regexp_matches(html, '(?i)<\\s*([a-z0-9_-]+:)?svg\\b') THEN {'code': 'svg-text-flow', 'detail': 'contains inline SVG content (<svg>)'} END,
+  CASE WHEN regexp_matches(html, '(?i)\\bdir\\s*=\\s*["'']rtl["'']') THEN {'code': 'rtl-direction', 'detail': 'contains dir="rtl" markup'} END], lambda x: x IS NOT NULL)"""
+_STYLE_SQL = """list_filter([CASE WHEN regexp_matches(css, '\\btable-layout\\s*:') OR regexp_matches(css, '\\bdisplay\\s*:\\s*(inline-)?table(-[a-z-]+)?\\b') THEN {'code': 'table-layout', 'detail': label || 'uses table display/layout CSS declarations'} END,
+  CASE WHEN fl AND po THEN {'code': 'positioned-layout', 'detail': label || 'uses float and absolute/fixed positioning CSS declarations'} WHEN fl THEN {'code': 'positioned-layout', 'detail': label || 'uses float CSS declarations'}
+       WHEN po THEN {'code': 'positioned-layout', 'detail': label || 'uses absolute/fixed positioning CSS declarations'} END,
+  CASE WHEN regexp_matches(css, '\\bdirection\\s*:\\s*rtl\\b') OR regexp_matches(css, '\\bunicode-bidi\\s*:\\s*(embed|bidi-override|isolate|isolate-override|plaintext)\\b') THEN {'code': 'rtl-direction', 'detail': label || 'uses RTL directionality CSS (direction/unicode-bidi)'} END,
+  CASE WHEN regexp_matches(css, '\\bwriting-mode\\s*:\\s*(vertical(-rl|-lr)?|tb-rl|tb-lr|sideways-rl|sideways-lr)\\b') OR regexp_matches(css, '\\btext-orientation\\s*:\\s*(upright|sideways(-right)?)\\b') THEN {'code': 'vertical-writing-mode', 'detail': label || 'uses vertical writing-mode/text-orientation CSS'} END], lambda x: x IS NOT NULL)"""
+_FEATURES = _with(
+    _HTML,
+    f"m AS (SELECT file_path, chapter_id, 0 AS seq, unnest({_MARKUP_SQL}) AS f FROM h)",
+    r"""lists AS (SELECT file_path, chapter_id, list_concat(list_transform(regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style>', 1), lambda x: {'label': 'inline <style> block ', 'css': x}),
+  list_transform(regexp_extract_all(html, '(?is)\bstyle\s*=\s*("[^"]*"|''[^'']*'')', 1), lambda x: {'label': 'inline style attribute ', 'css': x[2:-2]})) AS l FROM h)""",
+    "src AS (SELECT file_path, chapter_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS seq FROM lists)",
+    "linked AS (SELECT 'OPS/css/s.css' AS file_path, chapter_id, {'label': 'linked stylesheet \"' || href || '\" ', 'css': '" + _SHEET + "'} AS s, 1000000 + i AS seq FROM h, (VALUES (1, 'css/s.css'), (2, './css/s.css?v=1')) AS l(i, href) WHERE page_id % 5 = 0)",
+    r"every AS (SELECT file_path, chapter_id, seq, s.label AS label, lower(regexp_replace(s.css, '(?s)/\*.*?\*/', ' ', 'g')) AS css FROM (SELECT file_path, chapter_id, seq, s FROM src UNION ALL SELECT file_path, chapter_id, seq, s FROM linked))",
+    r"flags AS (SELECT *, regexp_matches(css, '\bfloat\s*:\s*(left|right|inline-start|inline-end)\b') AS fl, regexp_matches(css, '\bposition\s*:\s*(absolute|fixed)\b') AS po FROM every)",
+    f"f AS (SELECT * FROM m UNION ALL SELECT file_path, chapter_id, seq, unnest({_STYLE_SQL}) FROM flags)",
+    "one AS (SELECT file_path, chapter_id, f.code AS code, f.detail AS detail, min(seq) AS seq FROM f GROUP BY ALL)",
+    "warned AS (SELECT one.code, label, level, file_path, chapter_id, string_agg(detail, '; ' ORDER BY seq) AS detail FROM one JOIN (VALUES ('fixed-layout', 'Fixed-layout indicators', 'unsupported'), ('table-layout', 'Tables / complex table layout', 'degraded'), ('positioned-layout', 'Floats / absolute positioning', 'degraded'), ('ruby-text', 'Ruby text annotations', 'degraded'), ('mathml-content', 'MathML content', 'unsupported'), ('svg-text-flow', 'SVG-heavy text flow', 'degraded'), ('rtl-direction', 'RTL directionality', 'unsupported'), ('vertical-writing-mode', 'Vertical writing mode', 'unsupported')) AS l(code, label, level) ON l.code = one.code GROUP BY ALL)",
+)
+
+
+def _extended_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, file_path, chapter_id, html): the pages as chapters, with the markup above."""
+    k = F.col("page_id")
+    extra = F.element_at(F.array(*[F.lit(x) for x in _EXTRA]), (k % 8 + 1).cast("int"))
+    html = F.concat(F.when(k % 5 == 0, _HEAD).otherwise(""), F.coalesce("html", F.lit("")), extra)
+    return B.table(spark, d, "pages").select("page_id", F.concat(F.lit("OPS/p"), k.cast("string"), F.lit(".xhtml")).alias("file_path"), F.when(k % 3 != 0, F.concat(F.lit("c"), (k % 10).cast("string"))).alias("chapter_id"), html.alias("html"))
 
 
 def _feature_warnings(spark: SparkSession, d: str) -> DataFrame:
-    p = B.table(spark, d, "pages")
-    k = F.col("page_id")
-    extra = F.element_at(F.array(*[F.lit(x) for x in _EXTRA]), (k % 8 + 1).cast("int"))
-    docs = p.select(F.concat(F.lit("p"), k.cast("string"), F.lit(".xhtml")).alias("file_path"), F.when(k % 3 != 0, F.concat(F.lit("c"), (k % 10).cast("string"))).alias("chapter_id"), F.concat(F.coalesce("html", F.lit("")), extra).alias("html"))
-    return validate.feature_warnings(docs)
+    return validate.feature_warnings(_extended_pages(spark, d), spark.createDataFrame([("OPS/css/s.css", _SHEET)], "file_path string, css string"))
 
 
-@query(_feature_sql() + "SELECT code, label, level, file_path, chapter_id, detail FROM warned")
+@query(_FEATURES + "SELECT code, label, level, file_path, chapter_id, detail FROM warned")
 def feature_scan(spark: SparkSession, d: str) -> DataFrame:
     return _feature_warnings(spark, d)
 
 
-@query(_feature_sql() + "SELECT code, label, level, count(*) AS warnings, count(DISTINCT coalesce(chapter_id, file_path)) AS chapters, (row_number() OVER (ORDER BY CASE WHEN level = 'unsupported' THEN 0 ELSE 1 END, label))::INT AS position FROM warned GROUP BY 1, 2, 3")
+@query(_FEATURES + "SELECT code, label, level, count(*) AS warnings, count(DISTINCT coalesce(chapter_id, file_path)) AS chapters, (row_number() OVER (ORDER BY CASE WHEN level = 'unsupported' THEN 0 ELSE 1 END, label))::INT AS position FROM warned GROUP BY 1, 2, 3")
 def feature_summary(spark: SparkSession, d: str) -> DataFrame:
     return validate.feature_summary(_feature_warnings(spark, d))
 
 
+@query(_FEATURES + "SELECT code, file_path, chapter_id, (row_number() OVER (ORDER BY CASE WHEN level = 'unsupported' THEN 0 ELSE 1 END, label, coalesce(chapter_id, ''), file_path) - 1)::INT AS position FROM warned")
+def feature_order(spark: SparkSession, d: str) -> DataFrame:
+    """All warnings of the pages, as one book's, in the order in which they are told."""
+    return validate.warning_order(_feature_warnings(spark, d)).select("code", "file_path", "chapter_id", "position")
+
+
 # --- style sheets, paths, colours, times -------------------------------------------------------------
 
 
@@ -471,27 +493,40 @@ def style_blocks(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "pages").select("page_id", F.size(found).alias("n"), F.array_join(found, "|").alias("styles"))
 
 
-_LINKS = "<head><link rel=\"stylesheet\" href=\"a.css\"><link rel=\"alternate StyleSheet\" href=''b.css''><link rel=\"icon\" href=\"x.png\"><link href=\"a.css\" rel=stylesheet></head>"
+@query(_with(_HTML) + r"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'css/s.css|./css/s.css?v=1|http://x.example/a.css' ELSE '' END AS hrefs, CASE WHEN page_id % 5 = 0 THEN 'OPS/css/s.css|OPS/css/s.css' ELSE '' END AS paths FROM h""")
+def stylesheet_hrefs(spark: SparkSession, d: str) -> DataFrame:
+    """The sheets that each page's head links, and where in the package they are."""
+    found = _extended_pages(spark, d).select("page_id", "file_path", css.stylesheet_hrefs(F.col("html")).alias("h"))
+    at = F.array_compact(F.transform("h", lambda x: paths.stylesheet_path(F.col("file_path"), x)))
+    return found.select("page_id", F.array_join("h", "|").alias("hrefs"), F.array_join(at, "|").alias("paths"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a.css|b.css' ELSE '' END AS hrefs FROM pages")
-def stylesheet_hrefs(spark: SparkSession, d: str) -> DataFrame:
-    html = F.when(F.col("page_id") % 2 == 0, F.lit(_LINKS.replace("''", "'"))).otherwise(F.col("html"))
-    return B.table(spark, d, "pages").select("page_id", F.array_join(css.stylesheet_hrefs(html), "|").alias("hrefs"))
+# a sheet behind each page's own, made of its number
+_PAGE_SHEETS = (
+    '@import url("http://x.example/{k}.css"); @import "local{k}.css"; p { color: red }',
+    "p { background: URL( 'http://x.example/{k}.png' ) } q { background: url(//x/{k}) } r { background: url(img/{k}.png) } s { cursor: url(data:a{k}) }",
+    "p { behavior: url(x{k}.htc); width: expression(alert({k})); scroll-behavior: smooth; color: red }",
+    "h{k} { break-before: page; color: red } @media print { h2 { page-break-after: LEFT !important; page-break-after: left } }",
+)
+_SHEET_SQL = "s AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1), chr(10)) || chr(10) || replace(CASE page_id % 4 " + " ".join("WHEN %d THEN '%s'" % (i, x.replace("'", "''")) for i, x in enumerate(_PAGE_SHEETS)) + " END, '{k}', page_id::VARCHAR) AS t FROM pages)"
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 0 END AS removed_imports, CASE page_id % 4 WHEN 1 THEN 2 ELSE 0 END AS rewritten_urls, CASE page_id % 4 WHEN 2 THEN 3 ELSE 0 END AS removed_declarations FROM pages""")
+def _page_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, css): the style elements of each page, and one more sheet."""
+    k = F.col("page_id")
+    own = F.replace(F.element_at(F.array(*[F.lit(x) for x in _PAGE_SHEETS]), (k % 4 + 1).cast("int")), F.lit("{k}"), k.cast("string"))
+    return B.table(spark, d, "pages").select("page_id", F.concat(F.array_join(css.style_blocks(F.col("html")), "\n"), F.lit("\n"), own).alias("css"))
+
+
+@query(_with(_SHEET_SQL) + r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)@import\s+[^;]*//[^;]*;', '', 'g'), '(?i)\bbehavior\s*:[^;{}]*;?', '', 'g'), '(?i)[a-z-]+\s*:[^;{}]*expression\s*\([^;{}]*\)[^;{}]*;?', '', 'g'), '(?i)url\(\s*[''"]?(https?:)?//[^)]*\)', 'url("")', 'g') AS css,
+CASE page_id % 4 WHEN 0 THEN 1 ELSE 0 END AS removed_imports, CASE page_id % 4 WHEN 1 THEN 2 ELSE 0 END AS rewritten_urls, CASE page_id % 4 WHEN 2 THEN 3 ELSE 0 END AS removed_declarations FROM s""")
 def css_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    sheets = ('@import url("http://x.example/a.css"); @import "local.css"; p { color: red }', "p { background: url(http://x.example/a.png) } q { background: url(//x/b) } r { background: url(img/c.png) }", "p { behavior: url(x.htc); -moz-binding: url(y); width: expression(alert(1)); color: red }", "p { color: red }")
-    text = F.element_at(F.array(*[F.lit(x) for x in sheets]), (F.col("page_id") % 4 + 1).cast("int"))
-    return B.table(spark, d, "pages").select("page_id", css.sanitized(text).alias("s")).select("page_id", "s.removed_imports", "s.rewritten_urls", "s.removed_declarations")
+    return _page_sheets(spark, d).select("page_id", css.sanitized(F.col("css")).alias("s")).select("page_id", "s.*")
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'h1 { break-before: column; }' WHEN 1 THEN 'h2 { page-break-after: always; break-after: column; }' ELSE '' END AS rules FROM pages""")
+@query(r"""SELECT page_id, CASE page_id % 4 WHEN 3 THEN 'h' || page_id || ' { break-before: column; }' || chr(10) || '@media print {' || chr(10) || '  h2 { page-break-after: left !important; break-after: column !important; page-break-after: left; break-after: column; }' || chr(10) || '}' ELSE '' END AS rules FROM pages""")
 def break_rules(spark: SparkSession, d: str) -> DataFrame:
-    sheets = ("h1 { break-before: page; color: red }", "/* x */ h2 { page-break-after: always }", "p { margin: 0 }")
-    text = F.element_at(F.array(*[F.lit(x) for x in sheets]), (F.col("page_id") % 3 + 1).cast("int"))
-    return B.table(spark, d, "pages").select("page_id", F.array_join(css.break_rules_of(text), "\n").alias("rules"))
+    return _page_sheets(spark, d).select("page_id", F.array_join(css.break_rules_of(F.col("css")), "\n").alias("rules"))
 
 
 _CLIP = """CASE event_id % 5 WHEN 0 THEN event_id || 'ms' WHEN 1 THEN event_id || 's' WHEN 2 THEN '00:' || lpad((event_id % 60)::VARCHAR, 2, '0') || ':07.5' WHEN 3 THEN (event_id % 60) || ':30' ELSE event_id || '.25' END"""
@@ -519,25 +554,53 @@ def resolve_path(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "part").select("p_partkey", paths.resolve(F.lit("OPS/text/ch.xhtml"), relative).alias("path"))
 
 
-@query("""SELECT page_id, 'blocked' AS kind, NULL AS path, 'not allowed' AS reason FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'epub-resource', 'OPS/p ' || page_id || '.css', NULL FROM pages WHERE page_id % 4 = 1
-UNION ALL SELECT page_id, 'inline-resource', NULL, NULL FROM pages WHERE page_id % 4 = 2 UNION ALL SELECT page_id, 'blocked', NULL, 'invalid path' FROM pages WHERE page_id % 4 = 3""")
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://[^/]*', 'https://EPUB.local:443/OPS/./x%20y') WHEN 2 THEN 'data:text/plain,' || url WHEN 3 THEN 'https://epub.local/a%2F..%2F..%2F' || page_id || '.css' ELSE regexp_replace(url, '^[a-z]+:', '') END AS url FROM pages)
+SELECT page_id, 'blocked' AS kind, NULL AS path, 'origin ' || regexp_extract(url, '^(https?://[^/?#]*)', 1) || ' is not allowed' AS reason FROM u WHERE page_id % 5 = 0
+UNION ALL SELECT page_id, 'epub-resource', 'OPS/x y' || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https://EPUB.local:443/OPS/./x%20y', ''), NULL FROM u WHERE page_id % 5 = 1
+UNION ALL SELECT page_id, 'inline-resource', NULL, NULL FROM u WHERE page_id % 5 = 2 UNION ALL SELECT page_id, 'blocked', NULL, 'invalid EPUB resource path' FROM u WHERE page_id % 5 = 3 UNION ALL SELECT page_id, 'blocked', NULL, 'invalid URL' FROM u WHERE page_id % 5 = 4""")
 def classify_url(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id")
-    url = F.when(k % 4 == 0, F.col("url")).when(k % 4 == 1, F.concat(F.lit("https://epub.local/OPS/./p%20"), k.cast("string"), F.lit(".css?x=1"))).when(k % 4 == 2, F.lit("data:image/png;base64,AA")).otherwise(F.lit("https://epub.local/%E0%A4%A.css"))
-    return B.table(spark, d, "pages").select("page_id", paths.classify_url(url).alias("c")).select("page_id", "c.*")
+    """The pages' URLs: as they are, moved to the package's origin, as data, leading out of the package, and without a scheme."""
+    k, url = F.col("page_id"), F.col("url")
+    made = (
+        F.when(k % 5 == 0, url).when(k % 5 == 1, F.regexp_replace(url, "^https?://[^/]*", "https://EPUB.local:443/OPS/./x%20y")).when(k % 5 == 2, F.concat(F.lit("data:text/plain,"), url))
+        .when(k % 5 == 3, F.concat(F.lit("https://epub.local/a%2F..%2F..%2F"), k.cast("string"), F.lit(".css"))).otherwise(F.regexp_replace(url, "^[a-z]+:", ""))
+    )
+    return B.table(spark, d, "pages").select("page_id", paths.classify_url(made).alias("c")).select("page_id", "c.*")
+
+
+# the oracle's own table of contents by ending, and endings that are none
+_TYPES_SQL = """(VALUES ('xhtml', 'application/xhtml+xml'), ('xml', 'application/xhtml+xml'), ('opf', 'application/xhtml+xml'), ('html', 'text/html; charset=utf-8'), ('htm', 'text/html; charset=utf-8'), ('css', 'text/css; charset=utf-8'), ('js', 'text/javascript; charset=utf-8'), ('mjs', 'text/javascript; charset=utf-8'),
+('json', 'application/json; charset=utf-8'), ('svg', 'image/svg+xml'), ('png', 'image/png'), ('jpg', 'image/jpeg'), ('jpeg', 'image/jpeg'), ('gif', 'image/gif'), ('webp', 'image/webp'), ('ttf', 'font/ttf'), ('otf', 'font/otf'), ('woff', 'font/woff'), ('woff2', 'font/woff2'), ('smil', 'application/smil+xml')) AS t(ending, content_type)"""
+_ENDINGS = "xhtml xml opf html htm css js mjs json svg png jpg jpeg gif webp ttf otf woff woff2 smil mp3 CSS Png x.css gz".split()
+_PATHS_SQL = "p AS (SELECT p_partkey, lower(string_split('" + " ".join(_ENDINGS) + f"', ' ')[p_partkey % {len(_ENDINGS)} + 1]) AS e FROM part), q AS (SELECT p_partkey, regexp_extract(e, '([^.]*)$', 1) AS ending FROM p)"
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'text/css; charset=utf-8' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'application/octet-stream' ELSE 'font/woff2' END AS content_type, p_partkey % 4 IN (0, 3) AS critical FROM part""")
+def _part_paths(spark: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, path): parts as files of a package."""
+    k = F.col("p_partkey")
+    return B.table(spark, d, "part").select("p_partkey", F.concat(F.lit("OPS/"), F.replace("p_name", F.lit(" "), F.lit("/")), k.cast("string"), F.lit("."), F.element_at(F.array(*[F.lit(x) for x in _ENDINGS]), (k % len(_ENDINGS) + 1).cast("int"))).alias("path"))
+
+
+@query(_with(_PATHS_SQL) + f"SELECT p_partkey, coalesce(t.content_type, 'application/octet-stream') AS content_type, q.ending IN ('css', 'ttf', 'otf', 'woff', 'woff2') OR p_partkey % 9 = 0 AS critical, p_partkey % 10 = 0 OR q.ending = 'css' AS stylesheet FROM q LEFT JOIN {_TYPES_SQL} ON t.ending = q.ending")
 def content_type(spark: SparkSession, d: str) -> DataFrame:
-    path = F.element_at(F.array(*[F.lit(x) for x in ("a/b.css", "c.JPG", "d", "e/f.woff2")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return B.table(spark, d, "part").select("p_partkey", paths.content_type(path).alias("content_type"), paths.is_critical(path, F.lit("other")).alias("critical"))
+    k, path = F.col("p_partkey"), F.col("path")
+    sheet = player.is_stylesheet(F.when(k % 10 == 0, " StyleSheet").otherwise("other"), paths.content_type(path), path)
+    return _part_paths(spark, d).select("p_partkey", paths.content_type(path).alias("content_type"), paths.is_critical(path, F.when(k % 9 == 0, "Font ").otherwise("other")).alias("critical"), sheet.alias("stylesheet"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing' WHEN 2 THEN 'missing' ELSE 'blocked' END AS outcome, CASE p_partkey % 4 WHEN 1 THEN 'fatal' WHEN 2 THEN 'warning' WHEN 3 THEN 'fatal' END AS severity FROM part""")
+@query(_with(_PATHS_SQL) + "SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN 'blocked' WHEN p_partkey % 6 = 4 THEN 'inline' WHEN p_partkey % 2 = 0 THEN 'ok' ELSE 'missing' END AS outcome, CASE WHEN p_partkey % 6 = 5 OR p_partkey % 2 = 1 THEN CASE WHEN ending IN ('css', 'ttf', 'otf', 'woff', 'woff2') THEN 'fatal' ELSE 'warning' END END AS severity FROM q")
 def resource_outcome(spark: SparkSession, d: str) -> DataFrame:
-    url = F.element_at(F.array(*[F.lit(x) for x in ("https://epub.local/OPS/a.css", "https://epub.local/OPS/b.css", "https://epub.local/OPS/c.png", "https://x.example/d.css")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    requests = B.table(spark, d, "part").select("p_partkey", url.alias("url"), F.lit("other").alias("resource_type"))
-    return validate.resource_outcomes(requests, spark.createDataFrame([("OPS/a.css",)], "path string")).select("p_partkey", "outcome", "severity")
+    """Every part as a request; half of the parts are in the package."""
+    files, k = _part_paths(spark, d), F.col("p_partkey")
+    url = F.when(k % 6 == 5, F.concat(F.lit("https://x.example/"), F.col("path"))).when(k % 6 == 4, F.concat(F.lit("data:,"), F.col("path"))).otherwise(F.concat(F.lit(paths.ORIGIN + "/"), paths.encode_path(F.col("path")), F.lit("?v=1")))
+    return validate.resource_outcomes(files.select("p_partkey", url.alias("url"), F.lit("other").alias("resource_type")), files.where(k % 2 == 0).select("path")).select("p_partkey", "outcome", "severity")
+
+
+@query(r"""SELECT page_id, 'https://epub.local/OPS/ch%20' || page_id || '/' AS base, '<html><head>' || chr(10) || '  <base href="https://epub.local/OPS/ch%20' || page_id || '/"></head>' AS html FROM pages""")
+def base_links(spark: SparkSession, d: str) -> DataFrame:
+    """The URL of each chapter's folder, and a head with it."""
+    href = paths.base_href(F.concat(F.lit("OPS\\ch "), F.col("page_id").cast("string"), F.lit("/text.xhtml")))
+    return B.table(spark, d, "pages").select("page_id", href.alias("base"), paths.inject_base(F.lit("<html><head></head>"), href).alias("html"))
 
 
 @query("""SELECT p_partkey, least(255, greatest(0, floor(((0.2126 * r + 0.7152 * g + 0.0722 * b) * a + 255.0 * (1 - a)) / 85 + 0.5) * 85))::INT AS ink FROM (SELECT p_partkey, (p_partkey * 7 % 256)::DOUBLE AS r, (p_partkey * 13 % 256)::DOUBLE AS g, (p_partkey * 29 % 256)::DOUBLE AS b, CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS a FROM part)""")
@@ -616,20 +679,24 @@ def chapter_duration(spark: SparkSession, d: str) -> DataFrame:
     return align.chapter_durations(B.ranges(spark, d))
 
 
-@query("""WITH n AS (SELECT conv_id, turn, text, length(text) AS units, CASE WHEN lag(text) OVER o IS NULL OR right(lag(text) OVER o, 1) = ' ' THEN 0 ELSE 1 END AS gap FROM conversations WHERE text <> '' WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, (coalesce(sum(gap + units) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap)::BIGINT AS shift FROM n""")
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 2 THEN '' ELSE coalesce(text, '') END AS text FROM conversations), n AS (SELECT *, length(text) AS units, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spoken FROM t),
+g AS (SELECT *, CASE WHEN spoken IS NULL OR right(spoken, 1) = ' ' THEN 0 ELSE 1 END AS gap FROM n)
+SELECT conv_id, turn, (coalesce(sum(gap + units) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap)::BIGINT AS shift FROM g""")
 def transcript_concat(spark: SparkSession, d: str) -> DataFrame:
-    parts = B.table(spark, d, "conversations").where("text <> ''").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("ord"), "text")
+    """All turns of each conversation as parts of a transcript, every fifth of them silent."""
+    parts = B.table(spark, d, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("ord"), F.when(F.col("turn") % 5 == 2, "").otherwise(F.coalesce("text", F.lit(""))).alias("text"))
     return align.join_transcripts(parts).select(F.col("book_id").alias("conv_id"), F.col("ord").alias("turn"), "shift")
 
 
 def queries() -> dict[str, Query]:
+    from lectern import library
     from lectern.streaming import playback_queries
 
-    return _QUERIES | playback_queries.QUERIES
+    return _QUERIES | playback_queries.QUERIES | library.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from lectern import library
     from lectern.streaming import playback_queries
 
-    return _SQL | playback_queries.SQL
+    return _SQL | playback_queries.SQL | library.SQL

@@ -10,17 +10,21 @@ from lectern.operators.lookups import fallback_lookup
 from lectern.shared import materialise
 
 
-def flatten(nav: DataFrame, book: str = "book_id", depth: int = 64) -> DataFrame:
+def flatten(nav: DataFrame, book: str = "book_id") -> DataFrame:
     """nav(book, node_id, parent_id, sibling_ord, title, page_index) in pre-order: (book, position, title, page_index, level).
 
     A node without a page is dropped, and its children keep their level. Walks one level of all trees
-    at a time; a tree deeper than `depth` (or a circle) raises an error.
+    at a time, as deep as they are; a circle, which has more levels than there are nodes, raises an error.
     """
     rows = nav.select(book, "node_id", "parent_id", "sibling_ord", "title", "page_index")
     step = rows.where("parent_id is null").withColumns({"level": F.lit(0), "path": F.array(F.struct("sibling_ord", "node_id"))})
     step = materialise(step, "toc-level")
     found = step
-    for level in range(1, depth + 1):
+    level, most = 0, None
+    while most is None or level <= most:
+        level += 1
+        if level == 64:  # such trees are rare: is it one?
+            most = rows.count()
         up = step.select(book, F.col("node_id").alias("parent_id"), F.col("path").alias("__path"))
         step = rows.join(up, [book, "parent_id"]).withColumns({"level": F.lit(level), "path": F.concat("__path", F.array(F.struct("sibling_ord", "node_id")))}).select(*found.columns)
         step = materialise(step, "toc-level")
@@ -28,7 +32,7 @@ def flatten(nav: DataFrame, book: str = "book_id", depth: int = 64) -> DataFrame
             n = F.row_number().over(Window.partitionBy(book).orderBy("path")) - 1
             return found.where("page_index is not null").select(book, n.alias("position"), "title", "page_index", "level")
         found = found.unionByName(step)
-    raise ValueError(f"a tree is deeper than {depth}")
+    raise ValueError("a navigation tree has a circle")
 
 
 def with_fallback(entries: DataFrame, chapters: DataFrame, book: str = "book_id") -> DataFrame:
