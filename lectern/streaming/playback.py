@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators.ordering import Ranged, in_turn
+from lectern.predicates import timed
 
 # the worker that readies a stateful stream has no files of the context: processors travel whole
 register_pickle_by_value(sys.modules[__name__])
@@ -135,3 +136,24 @@ def slow_samples(samples: DataFrame, threshold_ns: int) -> DataFrame:
 def latest_jump(requests: DataFrame) -> DataFrame:
     """Of jump requests (session, ts, page_index, preferred) the latest of each session."""
     return requests.groupBy("session").agg(F.max_by("page_index", "ts").alias("page_index"))
+
+
+def player_states(events: DataFrame) -> DataFrame:
+    """events(session, seq, kind, play_when_ready) with is_playing and ended, as they are after each.
+
+    kind: 'playing' (whether the player is meant to play, which a seek doesn't change, decides), 'ready' (not ended any more), 'ended'
+    (neither plays), or another, which changes nothing. Before the first of each both are false.
+    """
+    kind = F.col("kind")
+    playing = F.when(kind == "playing", F.col("play_when_ready")).when(kind == "ended", F.lit(False))
+    over = F.when(kind == "ready", F.lit(False)).when(kind == "ended", F.lit(True))
+    now = Ranged(events.select("session", "seq", "kind", "play_when_ready"), "session", "seq")
+    both = now.last_known(playing, "is_playing").select("session", "seq", "kind", F.coalesce("is_playing", F.lit(False)).alias("is_playing"))
+    ended = now.last_known(over, "ended").select(F.col("session").alias("__s"), F.col("seq").alias("__q"), F.coalesce("ended", F.lit(False)).alias("ended"))
+    return both.join(ended, both["session"].eqNullSafe(ended["__s"]) & (both["seq"] == ended["__q"])).drop("__s", "__q")
+
+
+def cursor_at_end(spans: DataFrame, pages: DataFrame, book: str = "book_id") -> DataFrame:
+    """(book, page_index, span_id): where the cursor goes when a book has ended: its last page and its last timed span, null without one."""
+    last = spans.where(timed()).groupBy(book).agg(F.max_by("id", F.struct("clip_begin_ms", "ord")).alias("span_id"))
+    return pages.groupBy(book).agg(F.max("page_index").alias("page_index")).join(last, book, "left")

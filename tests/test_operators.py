@@ -7,6 +7,8 @@ from lectern.operators import align, inspect, lookups, pages, spans, toc, valida
 from lectern.operators.components import connected_components
 from lectern.operators.ordering import Ranged, global_index, in_turn
 
+from lectern.streaming import playback
+
 from .conftest import rows
 
 SPAN = "book_id int, ord int, id string, audio_src string, clip_begin_ms double, clip_end_ms double"
@@ -311,3 +313,26 @@ def test_offsets_count_code_units(spark):
     c = spark.createDataFrame([(1, 0, "c", told)], "book_id int, ord int, chapter_id string, sentences array<string>")
     got = rows(align.align_books(c, w, spark.createDataFrame([(1, text)], "book_id int, transcript string"), spark.createDataFrame([(1, "a.mp3", 60.0)], "book_id int, href string, duration_s double")), "id")
     assert [(r[2], r[3]) for r in got] == [(0, 0.0), (1, 3.0)]
+
+
+def test_runs_of_glyphs(spark):
+    glyph = lambda node, pos, ch, *box: [(node, pos, ch, i, *b) for i, b in enumerate(box)]
+    g = []
+    g += glyph(1, 0, "a", (0.0, 0.0, 5.0, 0.0), (10.0, 0.0, 5.0, 10.0)) + glyph(1, 1, "b", (15.0, 0.5, 5.0, 10.0)) + glyph(1, 2, "\n", (20.0, 0.0, 4.0, 10.0)) + glyph(1, 3, " ", (20.5, 0.0, 4.0, 10.0))
+    g += glyph(1, 4, " ", (24.0, 0.0, 0.4, 10.0)) + glyph(1, 5, "c", (90.0, 1.0, 5.0, 10.0)) + glyph(1, 6, "d", (10.0, 12.0, 5.0, 10.0)) + glyph(1, 7, "e", (900.0, 12.0, 5.0, 10.0)) + glyph(1, 8, "f", (15.0, 12.0, 5.0, 10.0))
+    g += glyph(2, 0, "\u00a0", (0.0, 0.0, 9.0, 9.0)) + glyph(2, 1, "g", (-4.0, 50.0, 0.0, 9.0)) + glyph(2, 2, "h", (6.0, 80.0, 3.0, 9.0))
+    df = spark.createDataFrame(g, "node int, pos int, ch string, rect_pos int, x double, y double, w double, h double")
+    runs = rows(pages.build_runs(pages.glyph_boxes(df, F.lit(0.0), F.lit(100.0))).select("node", "text", "x", "y", "w", "h"), "node", "y", "x")
+    assert runs == [(1, "ab c", 10.0, 0.0, 85.0, 11.0), (1, "d", 10.0, 12.0, 5.0, 10.0), (1, "f", 15.0, 12.0, 5.0, 10.0), (2, "h", 6.0, 80.0, 3.0, 9.0)]
+    r = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 0.0, 1.0), (-4.0, 0.0, 1.0, 1.0), (-4.1, 0.0, 1.0, 1.0), (100.0, 0.0, 1.0, 1.0)], "x double, y double, w double, h double")
+    assert pages.visible(r, F.lit(0.0), F.lit(100.0)).count() == 2
+    assert spark.range(1).select(pages.column_count(F.lit(2501.0), F.lit(800.0), F.lit(50.0)), pages.column_of(F.lit(876.0), F.lit(30.0), F.lit(800.0), F.lit(50.0))).first()[:] == (3, 1)
+
+
+def test_player_states(spark):
+    e = [(1, 0, "other", None), (1, 1, "playing", True), (1, 2, "seek", None), (1, 3, "ended", None), (1, 4, "ready", None), (1, 5, "playing", False), (2, 0, "ended", None)]
+    got = playback.player_states(spark.createDataFrame(e, "session int, seq int, kind string, play_when_ready boolean"))
+    assert [(r.session, r.seq, r.is_playing, r.ended) for r in got.orderBy("session", "seq").collect()] == [(1, 0, False, False), (1, 1, True, False), (1, 2, True, False), (1, 3, False, True), (1, 4, False, False), (1, 5, False, False), (2, 0, False, True)]
+    s = spark.createDataFrame([(1, 0, "a", 5.0, 9.0), (1, 1, "b", 0.0, 2.0), (1, 2, "c", -1.0, -1.0), (2, 0, "d", -1.0, -1.0)], "book_id int, ord int, id string, clip_begin_ms double, clip_end_ms double")
+    p = spark.createDataFrame([(1, 0), (1, 4), (2, 0)], "book_id int, page_index int")
+    assert rows(playback.cursor_at_end(s, p), "book_id") == [(1, 4, "a"), (2, 0, None)]

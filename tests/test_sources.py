@@ -156,8 +156,19 @@ def test_bundle_round_trip(spark, tmp_path):
     assert got["timed"] == 2 and got["spans_without_rects"] == 1
     hit = plans.active_spans(spark, at, spark.createDataFrame([(6.0,), (20.0,)], "t double"))
     assert {r.t: r.found_id for r in hit.collect()} == {6.0: "s0", 20.0: None}
-    bundle.to_archive(back, str(tmp_path / "b.zip"))
-    assert "pages/c_p0000.json" in bundle.archive_names((tmp_path / "b.zip").read_bytes())
+    files = bundle.to_files(back, "b").union(bundle.to_files(back, "other"))
+    made = bundle.to_archives(files, str(tmp_path / "zips"))
+    assert sorted((r.book, r.files) for r in made.collect()) == [("b", 5), ("other", 5)] and sorted(x.name for x in (tmp_path / "zips").iterdir()) == ["b.zip", "other.zip"]
+    content = (tmp_path / "zips/b.zip").read_bytes()
+    assert "pages/c_p0000.json" in bundle.archive_names(content)
+    with zipfile.ZipFile(tmp_path / "zips/b.zip") as z:
+        assert z.testzip() is None and [json.loads(x)["id"] for x in z.read("spans.jsonl").decode().splitlines()] == ["s0", "s1"]
+    again = bundle.from_archives(spark, str(tmp_path / "zips"))
+    assert {t: df.count() for t, df in again.items()} == {"meta": 2, "spans": 4, "styles": 2, "pages": 2, "toc": 0}
+    assert again["spans"].where("archive like '%b.zip'").orderBy("ord").drop("archive").collect() == back["spans"].orderBy("ord").collect()
+    assert again["pages"].first().textRuns[0].text == "a"
+    assert bundle.probe(spark, [str(tmp_path / "none"), str(tmp_path / "zips"), str(tmp_path / "zips/b"), at]) == str(tmp_path / "zips/b.zip")
+    assert bundle.probe(spark, [str(tmp_path / "none"), at]) == at and bundle.probe(spark, []) is None
     with zipfile.ZipFile(tmp_path / "evil.zip", "w") as z:
         z.writestr("../x", "y")
     with pytest.raises(ValueError):
@@ -169,6 +180,12 @@ def test_positions_keep_the_latest(spark, tmp_path):
     new = lambda *r: spark.createDataFrame(list(r), "book_id string, position_ms long, ts long")
     bundle.save_positions(spark, new(("a", 5, 1), ("b", 6, 1)), at)
     assert rows(bundle.save_positions(spark, new(("a", 9, 2), ("a", 7, 0)), at).select("book_id", "position_ms"), "book_id") == [("a", 9), ("b", 6)]
+    books_ = spark.createDataFrame([("a",), ("c",)], "book_id string")
+    assert rows(bundle.load_positions(spark, books_, at), "book_id") == [("a", 9), ("c", 0)]
+    assert rows(bundle.load_positions(spark, books_, f"{at}-none"), "book_id") == [("a", 0), ("c", 0)]
+    (tmp_path / "positions/version=9").mkdir()  # a write that was broken off
+    bundle.clear_positions(spark, books_, at)
+    assert rows(bundle.load_positions(spark, new(("a", 1, 1), ("b", 1, 1)).select("book_id"), at), "book_id") == [("a", 0), ("b", 6)]
 
 
 def test_transcripts(spark, tmp_path):
