@@ -7,7 +7,8 @@ ledger lacks, appends what it found (nothing found is a row too), and joins find
 Spans come from built-in expressions: split() gives the text between matches and regexp_extract_all()
 the matches; the running sum of their lengths is where each begins (code points, end exclusive).
 
-Null text counts as empty. Rows that repeat give repeated rows. Empty tables give empty results. Columns
+Null text counts as empty. Rows that repeat give repeated rows. Empty tables give empty results. Very long texts
+are scanned whole; their spans of one rule are one array. Columns
 other than the two that are named in the call are ignored, whatever they are called.
 """
 

@@ -10,7 +10,8 @@ the others are revisits, without a payload, that refer to it. Files of a task th
 the index; a task that runs again writes new ones.
 
 Null payloads count as empty. Rows of one id and one payload are of one kind (all responses, or all
-revisits); null ids sort last. Extra columns are ignored.
+revisits); null ids sort last. Very large payloads are archived and read back whole, one record at a time in a
+worker's memory; an empty table writes no archive and gives an empty report. Extra columns are ignored.
 """
 
 from __future__ import annotations
