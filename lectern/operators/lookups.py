@@ -79,6 +79,18 @@ def point_in_rect(taps: DataFrame, rects: DataFrame, x: str = "tap_x", y: str =
     return taps.join(best, "tap_id", "left")
 
 
+def span_by_id(rows: DataFrame, spans: DataFrame, by: str, order: str = "ord", id: str = "id") -> DataFrame:
+    """rows(by, span_id) with `found`, the span of that id, null without one; of spans of one id the last."""
+    last = spans.groupBy(by, F.col(id).alias("span_id")).agg(F.max_by(F.struct(*spans.columns), order).alias("found"))
+    return rows.join(last, [by, "span_id"], "left")
+
+
+def page_at(rows: DataFrame, pages: DataFrame, by: str, order: str = "page_index") -> DataFrame:
+    """rows(by, place) with `found`, the page at that 0-based place among its book's pages in order; null outside."""
+    placed = Ranged(pages, by, order).number("place").select(by, "place", F.struct(*pages.columns).alias("found"))
+    return rows.join(placed, [by, "place"], "left")
+
+
 def first_timed_on_page(rects: DataFrame, spans: DataFrame) -> DataFrame:
     """Per page the first timed span by its position there."""
     from lectern.predicates import timed

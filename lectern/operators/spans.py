@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.player import audio_format
 from lectern.operators.ordering import Ranged
 from lectern.predicates import timed
 
@@ -27,6 +28,18 @@ def audio_offsets(tracks: DataFrame, book: str = "book_id") -> DataFrame:
     return found.select(*tracks.columns, "start_ms", (F.col("start_ms") + F.col("duration_ms")).alias("end_ms"), "total_ms")
 
 
+def concat_plan(offsets: DataFrame, format: str, book: str = "book_id") -> DataFrame:
+    """(book, list, arguments, output): per book the encoder's list of files in order, and its arguments. The encoder runs elsewhere.
+
+    offsets: audio_offsets(); a quote in a file's name is written as the list format asks for.
+    """
+    known = audio_format(F.lit(format))
+    name = F.replace("href", F.lit("'"), F.lit("'\\''"))
+    listed = offsets.groupBy(book).agg(F.sort_array(F.collect_list(F.struct("ord", F.concat(F.lit("file '"), name, F.lit("'")).alias("line"))))["line"].alias("lines"))
+    fixed = F.array(*[F.lit(x) for x in ("-y", "-f", "concat", "-safe", "0", "-i", "list.txt")])
+    return listed.select(book, F.array_join("lines", "\n").alias("list"), F.concat(fixed, known["encoder"], F.array(known["file_name"])).alias("arguments"), known["file_name"].alias("output"))
+
+
 def apply_audio_offsets(spans: DataFrame, offsets: DataFrame, keys: tuple[str, ...] = ("audio_src",)) -> DataFrame:
     """Spans moved by their file's start; spans with a negative bound, or of an unknown file, stay as they are."""
     start = offsets.select(*keys, "start_ms")

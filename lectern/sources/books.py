@@ -16,7 +16,8 @@ _PACKAGE = f"title string, identifier string, toc string, manifest array<{_ITEM}
 
 
 def _text(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("text", F.decode("content", "UTF-8"))
+    """entries with text: UTF-8, without a byte order mark in front."""
+    return entries.withColumn("text", F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""))
 
 
 def packages(entries: DataFrame) -> DataFrame:
@@ -90,6 +91,14 @@ def overlay_spans(entries: DataFrame, told: DataFrame) -> DataFrame:
     return rows.select("archive", "chapter_ord", "chapter_id", F.posexplode("spans").alias("ord", "s")).select("archive", "chapter_ord", "ord", "chapter_id", "s.*")
 
 
+def require_overlays(told: DataFrame) -> DataFrame:
+    """chapters() that have overlays; a book of which none has any raises an error."""
+    counted = told.groupBy("archive").agg(F.count("smil_path").alias("n")).where("n = 0").head(1)
+    if counted:
+        raise ValueError(f"no chapter with an overlay: {counted[0]['archive']}")
+    return told.where("smil_path is not null")
+
+
 def chapter_texts(entries: DataFrame, told: DataFrame) -> DataFrame:
     return told.join(_text(entries).select("archive", F.col("path").alias("xhtml_path"), F.col("text").alias("html")), ["archive", "xhtml_path"])
 

@@ -59,6 +59,19 @@ def audio_is_safe(bundle: dict[str, DataFrame]) -> DataFrame:
     return bundle["meta"].select("audioFile", safe_audio_path(F.col("audioFile")).alias("safe"))
 
 
+def audio_path(spark: SparkSession, bundle: dict[str, DataFrame], path: str) -> str:
+    """The audio file of the bundle at path: named, not absolute, inside the bundle, and there; else an error says what it is not."""
+    told = audio_is_safe(bundle).first()
+    name = (told.audioFile or "").strip()
+    if not told.safe:
+        raise ValueError(f'Invalid meta.audioFile "{name}": it must be a path inside the bundle')
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or fs.getFileStatus(at).isDirectory():
+        raise FileNotFoundError(f"Audio file referenced by meta.audioFile was not found: {name}")
+    return f"{path}/{name}"
+
+
 def to_files(bundle: dict[str, DataFrame], book: str, name_pages_by: str = "pageId") -> DataFrame:
     """(book, name, content): the JSON files that a bundle's archive holds; bundle: one book's tables."""
     of = lambda name, text: (F.lit(book).alias("book"), name.alias("name"), text.alias("content"))

@@ -39,6 +39,21 @@ def test_offsets(spark):
     assert [(r.clip_begin_ms, r.clip_end_ms) for r in moved.orderBy("ord").collect()] == [(11.0, 12.0), (-1.0, -1.0), (1.0, 2.0)]
 
 
+def test_encoder_plans(spark):
+    t = spark.createDataFrame([(1, 1, "b's.mp3", 5.0), (1, 0, "a.mp3", 10.0)], "book_id int, ord int, href string, duration_ms double")
+    [plan] = spans.concat_plan(spans.audio_offsets(t), "m4a").collect()
+    assert plan.list == "file 'a.mp3'\nfile 'b'\\''s.mp3'" and plan.arguments[-6:] == ["list.txt", "-c:a", "aac", "-b:a", "48k", "audio.m4a"] and plan.output == "audio.m4a"
+
+
+def test_spans_by_id_and_pages_by_place(spark):
+    s = spark.createDataFrame([(1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (2, 0, "a")], "book_id int, ord int, id string")
+    asked = spark.createDataFrame([(1, "a"), (1, "x"), (2, "a")], "book_id int, span_id string")
+    assert [(r.book_id, r.span_id, r.found and r.found.ord) for r in lookups.span_by_id(asked, s, "book_id").orderBy("book_id", "span_id").collect()] == [(1, "a", 1), (1, "x", None), (2, "a", 0)]
+    p = spark.createDataFrame([(1, 7), (1, 3), (2, 5)], "book_id int, page_index int")
+    at = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0)], "book_id int, place long")
+    assert [(r.book_id, r.place, r.found and r.found.page_index) for r in lookups.page_at(at, p, "book_id").orderBy("book_id", "place").collect()] == [(1, 0, 3), (1, 1, 7), (1, 2, None), (2, 0, 5)]
+
+
 def test_compact_ids(spark):
     s = spark.range(40).select(F.lit(1).alias("book_id"), F.col("id").alias("ord"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("id"))
     assert [r.new_id for r in spans.compact_ids(s).orderBy("ord").collect()][-5:] == ["sz", "s10", "s11", "s12", "s13"]

@@ -51,6 +51,9 @@ def test_package(spark, book):
     assert [(r.id, r.text_ref, r.audio_src, r.clip_begin_ms, r.clip_end_ms) for r in s] == [
         ("p1", "OPS/text/c1.xhtml#f1", "OPS/a.mp3", 0.0, 1500.0), ("span_c1_1", "OPS/text/c1.xhtml#f2", "", 0.0, 0.0), ("p3", "OPS/text/c1.xhtml#f3", "OPS/a.mp3", 2000.0, 3000.0),
     ]
+    assert books.require_overlays(told).count() == 1
+    with pytest.raises(ValueError, match="no chapter with an overlay"):
+        books.require_overlays(told.where("smil_path is null"))
     texts = books.chapter_texts(e, told)
     html = {r.chapter_id: r.html for r in books.tagged_chapters(texts, books.overlay_spans(e, told)).collect()}["c1"]
     assert '<p id="f1" data-span-id="p1">' in html and "onclick" not in html and "script" not in html
@@ -152,6 +155,12 @@ def test_bundle_round_trip(spark, tmp_path):
     back = bundle.read(spark, at)
     assert back["spans"].orderBy("id").collect() == tables["spans"].orderBy("id").collect() and back["toc"].count() == 0
     assert bundle.text_runs(back).first().fontFamily == "serif" and bundle.audio_is_safe(back).first().safe
+    with pytest.raises(FileNotFoundError):
+        bundle.audio_path(spark, back, at)
+    (tmp_path / "bundle/a.opus").write_bytes(b"x")
+    assert bundle.audio_path(spark, back, at) == f"{at}/a.opus"
+    with pytest.raises(ValueError, match="inside the bundle"):
+        bundle.audio_path(spark, {"meta": back["meta"].withColumn("audioFile", F.lit("../a.opus"))}, at)
     got = {r.metric: r.value for r in plans.inspect_bundle(spark, at).collect()}
     assert got["timed"] == 2 and got["spans_without_rects"] == 1
     hit = plans.active_spans(spark, at, spark.createDataFrame([(6.0,), (20.0,)], "t double"))
