@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import bindings as B
-from lectern.functions import clip, color, css, paths, player
+from lectern.functions import clip, color, css, markup, paths, player
 from lectern.operators import align, inspect, lookups, pages, spans, toc, validate
+from lectern.operators.ordering import Ranged
 from lectern.predicates import timed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -688,6 +689,121 @@ def transcript_concat(spark: SparkSession, d: str) -> DataFrame:
     return align.join_transcripts(parts).select(F.col("book_id").alias("conv_id"), F.col("ord").alias("turn"), "shift")
 
 
+# --- small functions over the tables ------------------------------------------------------------------
+
+
+@query(r"""SELECT p_partkey, 'OPS/' || n || '/../' || p_partkey || '/./x%20y.css' AS stripped, '/OPS/' || n || '/../' || p_partkey || '/./x%20y.css' AS slashed, 'OPS/' || p_partkey || '/x%20y.css' AS normalised, 'OPS/' || p_partkey || '/x y.css' AS comparable,
+'../' || p_partkey || '/z' AS above, CASE p_partkey % 4 WHEN 0 THEN 'OPS/text/s' || p_partkey || '.css' WHEN 1 THEN 'OPS/a b.css' END AS sheet, p_partkey % 4 < 2 OR p_partkey % 4 = 3 AS safe FROM (SELECT p_partkey, replace(p_name, ' ', '+') AS n FROM part)""")
+def path_forms(spark: SparkSession, d: str) -> DataFrame:
+    """A package path in each of its forms, and a style sheet's link resolved."""
+    k = F.col("p_partkey").cast("string")
+    raw = F.concat(F.lit("/OPS\\"), F.replace("p_name", F.lit(" "), F.lit("+")), F.lit("/../"), k, F.lit("/./x%20y.css"))
+    href = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("./s"), k, F.lit(".css?v=1#x"))).when(F.col("p_partkey") % 4 == 1, F.lit(" ../a%20b.css ")).when(F.col("p_partkey") % 4 == 2, F.lit("HTTPS://x.example/a.css")).otherwise(F.lit("../../../a.css"))
+    return B.table(spark, d, "part").select(
+        "p_partkey", paths.strip_lead(raw).alias("stripped"), paths.slashes(raw).alias("slashed"), paths.normalise(raw).alias("normalised"), paths.comparable(raw).alias("comparable"),
+        paths.normalise(F.concat(F.lit("a/../../"), k, F.lit("/z"))).alias("above"), paths.stylesheet_path(F.lit("OPS/text/ch.xhtml"), href).alias("sheet"), paths.safe_href(href).alias("safe"),
+    )
+
+
+@query(r"""SELECT p_partkey, p_partkey % 4 < 2 OR p_partkey % 4 = 3 AS own, CASE p_partkey % 4 WHEN 0 THEN 'OPS/ch%20' || p_partkey || '.xhtml' WHEN 2 THEN 'OPS/other.xhtml' WHEN 3 THEN 'OPS/ch ' || p_partkey || '.xhtml' END AS path, CASE p_partkey % 4 WHEN 0 THEN 'a b' WHEN 1 THEN 'f' || p_partkey || '#g' WHEN 2 THEN NULL ELSE '%zz' END AS fragment FROM part""")
+def text_references(spark: SparkSession, d: str) -> DataFrame:
+    """References of overlays in parts, and whether they mean the chapter itself."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    ref = F.when(n == 0, F.concat(F.lit("OPS/ch%20"), k, F.lit(".xhtml#a%20b"))).when(n == 1, F.concat(F.lit("#f"), k, F.lit("#g"))).when(n == 2, F.lit("OPS/x/../other.xhtml#")).otherwise(F.concat(F.lit("OPS\\ch "), k, F.lit(".xhtml#%zz")))
+    chapter = F.concat(F.lit("OPS/ch "), k, F.lit(".xhtml"))
+    return B.table(spark, d, "part").select("p_partkey", paths.is_for_chapter(ref, chapter).alias("own"), paths.reference_path(ref).alias("path"), paths.reference_fragment(ref).alias("fragment"))
+
+
+@query(r"""SELECT page_id, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS attribute,
+trim(regexp_replace(regexp_replace(lower(t), '\s+', ' ', 'g'), '[—–]', '-', 'g')) AS search FROM (SELECT page_id, '“It''s” —' || chr(10) || ' ' || left(coalesce(html, ''), 300) AS t FROM pages)""")
+def escapes(spark: SparkSession, d: str) -> DataFrame:
+    """The beginning of every page's markup as text, as an attribute, and as it is looked for."""
+    text = F.concat(F.lit("“It's” —\n "), F.substring(F.coalesce("html", F.lit("")), 1, 300))
+    return B.table(spark, d, "pages").select("page_id", markup.escape_html(text).alias("html"), markup.escape_attribute(text).alias("attribute"), markup.search_text(text).alias("search"))
+
+
+@query(r"""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'urn-' || c_custkey || '-x' ELSE substr(sha256(c_name || '|' || 'c1,c' || c_custkey), 1, 16) END AS id, CASE c_custkey % 3 WHEN 0 THEN 'urn-' || c_custkey || '-x' ELSE substr(sha256(c_name), 1, 16) END AS aligned FROM customer""")
+def bundle_ids(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    own = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" urn \t"), k, F.lit("\n x "))).when(F.col("c_custkey") % 3 == 1, F.lit("  "))
+    return B.table(spark, d, "customer").select("c_custkey", paths.bundle_id(own, F.col("c_name"), F.array(F.lit("c1"), F.concat(F.lit("c"), k))).alias("id"), paths.bundle_id(own, F.col("c_name")).alias("aligned"))
+
+
+@query(r"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id - 1 WHEN 2 THEN event_id END::INT AS asked, greatest(0, least(99, event_id % 140 - 20))::INT AS page, greatest(0, least(99, coalesce(CASE WHEN event_id % 2 = 0 THEN event_id % 140 - 20 END, event_id % 90)))::INT AS start,
+floor(value)::BIGINT + 1 AS seek_ms, event_id % 50 <= 16 AND event_id % 300 <= 220 AND event_id % 3 = 1 AS tap FROM events""")
+def player_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that are asked for, clamped and begun with, seeks and taps."""
+    e, n = B.table(spark, d, "events"), F.col("event_id")
+    zero = F.when(n % 4 == 0, n.cast("string")).when(n % 4 == 1, F.lit("-1")).when(n % 4 == 2, n.cast("string")).otherwise(F.lit("x"))
+    one = F.when(n % 4 == 1, n.cast("string")).when(n % 4 == 2, F.lit("7")).otherwise(F.lit("0"))
+    some = F.when(n % 2 == 0, n % 140 - 20)
+    return e.select(
+        "event_id", player.jump_page(zero, one).alias("asked"), pages.clamp_page(n % 140 - 20, F.lit(100)).cast("int").alias("page"), player.start_page(some, n % 90, F.lit(100)).cast("int").alias("start"),
+        clip.seek_target(F.col("value")).alias("seek_ms"), player.is_tap((n % 50).cast("double"), F.lit(32.0), n % 300, n % 3).alias("tap"),
+    )
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'opus' ELSE 'm4a' END AS format, 'audio.' || CASE p_partkey % 2 WHEN 0 THEN 'opus' ELSE 'm4a' END AS file_name, CASE p_partkey % 2 WHEN 0 THEN 'OGG Opus' ELSE 'M4A (AAC)' END AS label,
+CASE p_partkey % 2 WHEN 0 THEN '-c:a libopus -b:a 48k -vbr on -application voip' ELSE '-c:a aac -b:a 48k' END AS encoder FROM part""")
+def audio_formats(spark: SparkSession, d: str) -> DataFrame:
+    f = player.audio_format(F.when(F.col("p_partkey") % 2 == 0, " Opus").otherwise("M4A"))
+    return B.table(spark, d, "part").select("p_partkey", f.alias("f")).select("p_partkey", "f.format", "f.file_name", "f.label", F.array_join("f.encoder", " ").alias("encoder"))
+
+
+@query(_with(B.RECT) + "SELECT span_id, page_index, ceil((x + 1000) / 850.0)::BIGINT AS columns, floor((x - 30 + 4) / 850.0)::BIGINT AS column_no, w <> 0 AND h <> 0 AND x >= 96 AND x < 900 AS shown FROM rect")
+def column_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Where rectangles lie in a text that was laid out in columns."""
+    r, x = B.rects(spark, d), F.col("x")
+    seen = pages.visible(r, F.lit(100.0), F.lit(900.0)).select("span_id", "page_index", F.lit(True).alias("shown"))
+    placed = r.select("span_id", "page_index", pages.column_count(x + 1000, F.lit(800.0), F.lit(50.0)).alias("columns"), pages.column_of(x, F.lit(30.0), F.lit(800.0), F.lit(50.0)).alias("column_no"))
+    return placed.join(seen, ["span_id", "page_index"], "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
+
+
+_GLYPHS = "g AS (SELECT user_id AS node, n, n // 10 AS line, CASE WHEN n % 7 = 3 THEN ' ' ELSE chr((97 + event_id % 26)::INT) END AS ch FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events))"
+
+
+@query(_with(_GLYPHS) + r"""SELECT node, string_agg(ch, '' ORDER BY n) AS text, min((n % 10) * 5)::DOUBLE AS x, (line * 20)::DOUBLE AS y, (max((n % 10) * 5) + 5 - min((n % 10) * 5))::DOUBLE AS w, 10::DOUBLE AS h FROM g WHERE n % 10 <> 9 AND n % 21 <> 10 GROUP BY node, line HAVING trim(string_agg(ch, '')) <> ''""")
+def glyph_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's events as glyphs in lines of ten, of which the last falls out of the column; some blanks are too narrow to count, all are laid out twice."""
+    n = F.col("n")
+    e = Ranged(B.table(spark, d, "events").select(F.col("user_id").alias("node"), "event_id"), "node", "event_id").number("n")
+    ch = F.when(n % 7 == 3, F.when(n % 2 == 0, "\t").otherwise(" ")).otherwise(F.char((F.lit(97) + F.col("event_id") % 26).cast("int")))
+    narrow = F.when((n % 21 == 10), 0.4).otherwise(5.0)
+    box = lambda left: F.struct(left.alias("x"), (F.floor(n / 10) * 20).cast("double").alias("y"), narrow.alias("w"), F.lit(10.0).alias("h"))
+    right = F.when(n % 10 == 9, F.lit(1000.0)).otherwise((n % 10 * 5).cast("double"))
+    rects = e.select("node", n.alias("pos"), ch.alias("ch"), F.posexplode(F.array(F.struct(F.lit(2000.0).alias("x"), F.lit(0.0).alias("y"), F.lit(5.0).alias("w"), F.lit(10.0).alias("h")), box(right))).alias("rect_pos", "b")).select("node", "pos", "ch", "rect_pos", "b.*")
+    return pages.build_runs(pages.glyph_boxes(rects, F.lit(0.0), F.lit(100.0))).select("node", "text", "x", "y", "w", "h")
+
+
+_STATES = """p AS (SELECT user_id AS session, event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'playing' WHEN 1 THEN 'ended' WHEN 2 THEN 'ready' ELSE 'seek' END AS kind, event_id % 10 = 0 AS play FROM events),
+v AS (SELECT *, CASE kind WHEN 'playing' THEN play WHEN 'ended' THEN FALSE END AS a, CASE kind WHEN 'ready' THEN FALSE WHEN 'ended' THEN TRUE END AS b FROM p)"""
+
+
+@query(_with(_STATES) + "SELECT session, seq, kind, coalesce(last_value(a IGNORE NULLS) OVER w, FALSE) AS is_playing, coalesce(last_value(b IGNORE NULLS) OVER w, FALSE) AS ended FROM v WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def player_states(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.streaming import playback
+
+    n = F.col("event_id")
+    kind = F.when(n % 5 == 0, "playing").when(n % 5 == 1, "ended").when(n % 5 == 2, "ready").otherwise("seek")
+    return playback.player_states(B.table(spark, d, "events").select(F.col("user_id").alias("session"), n.alias("seq"), kind.alias("kind"), (n % 10 == 0).alias("play_when_ready")))
+
+
+@query(_with(B.SPAN) + "SELECT p.book_id, p.page_index, t.span_id FROM (SELECT user_id AS book_id, max(event_id // 900)::INT AS page_index FROM events GROUP BY 1) p LEFT JOIN (SELECT book_id, arg_max(id, clip_begin_ms * 1000000 + ord) AS span_id FROM timed GROUP BY 1) t ON t.book_id = p.book_id")
+def end_of_books(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.streaming import playback
+
+    last = B.table(spark, d, "events").select(F.col("user_id").alias("book_id"), F.floor(F.col("event_id") / 900).cast("int").alias("page_index"))
+    return playback.cursor_at_end(B.spans(spark, d), last)
+
+
+@query("SELECT user_id AS session, arg_max(event_id % 77, event_id) AS page_index FROM events GROUP BY 1")
+def latest_jumps(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.streaming import playback
+
+    n = F.col("event_id")
+    return playback.latest_jump(B.table(spark, d, "events").select(F.col("user_id").alias("session"), n.alias("ts"), (n % 77).alias("page_index"), F.lit(False).alias("preferred")))
+
+
 def queries() -> dict[str, Query]:
     from lectern import library
     from lectern.streaming import playback_queries
