@@ -3,9 +3,55 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P
-
+import pytest
 from pyspark.sql import functions as F
 
+from lectern.llm import language_id, merge_dropout
+
+from .test_line_index import brute as brute_lines
+from .test_merge_dropout import brute_force as brute_pieces
+from .test_mixture import brute_draws, brute_targets, place_of
+from .test_simhash import brute_print, cosine
+
+
+def brute_near(docs):
+    """The least id of each group of texts that are within two bits, or whose cosine is 0.8 or more: every pair is looked at."""
+    prints, root = [brute_print(t, 5) for _, t in docs], list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    bags = [{w.lower() for w in t.split()} for _, t in docs]
+    for i, (_, a) in enumerate(docs):
+        for j, (_, b) in enumerate(docs[:i]):
+            if bin(prints[i] ^ prints[j]).count("1") <= 2 or (len(bags[i] & bags[j]) >= 0.4 * max(len(bags[i]), len(bags[j])) and cosine(a, b) >= 0.8):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {min(docs[j][0] for j in range(len(docs)) if find(j) == k) for k in {find(i) for i in range(len(docs))}}
+
+
+@pytest.mark.skipif(not Path(merge_dropout.MODEL).exists(), reason="no tokenizer model")
+def test_the_run_is_the_plainest_run(spark, sf_dir):
+    """Stage after stage without Spark, but for the trained model's weights and the hash that places documents."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows, model = raw.collect(), language_id.train(raw)
+    found = [model.predict(r.text) for r in rows]
+    kept = [(r.doc_id, r.source, r.text) for r, (lang, _, ambiguous) in zip(rows, found, strict=True) if lang != "und" and not ambiguous]
+    text = {i: t for i, t, *_ in brute_lines([(i, t) for i, _, t in kept], 40, 5)}
+    kept = [(i, s, text[i]) for i, s, _ in kept]
+    ones = brute_near([(i, t) for i, _, t in kept])
+    kept = [r for r in kept if r[0] in ones]
+    size = {i: len(t.encode().split()) for i, _, t in kept}
+    sizes = {}
+    for i, s, _ in kept:
+        sizes[s] = sizes.get(s, 0) + size[i]
+    passes, _ = brute_draws(kept, place_of(spark, size), brute_targets(sizes), size)
+    pieces = merge_dropout.Pieces(merge_dropout.MODEL)
+    want = sorted((i, s, tuple(brute_pieces(pieces, t, 0.1, 11))) for i, s, t in kept for _ in passes[i])
+    assert len(want) > 100 and sorted((r.doc_id, r.source, tuple(r.ids)) for r in P.run(spark, sf_dir).collect()) == want
+
 
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
