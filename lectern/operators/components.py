@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.shared import materialise
+from lectern.shared import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = materialise(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
+        old, now = now, materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
+        discard(old, least, large, low)
         state = _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
