@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.components import connected_components
-from lectern.shared import broadcast_if_small, materialise
+from lectern.shared import broadcast_if_small, discard, materialise
 
 BITS = 64
 #: Groups of more fingerprints than this are compared through midpoints.
@@ -130,7 +130,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shing
 #: shingles, 1.2 for each class: a class is the same in both, and not empty, in 0.29 of cases, one of 20 in 0.999.
 CLASS_SIZE, CLASSES = 3, 20
 #: All pairs of groups of at most so many texts are compared; larger groups by representatives.
-SMALL = 8
+SMALL = 32
 
 
 def class_fingerprints(hashes: np.ndarray, size: int = CLASS_SIZE, classes: int = CLASSES) -> list[tuple[int, int, int]]:
@@ -195,11 +195,10 @@ def similar_components(texts: DataFrame, signatures: DataFrame, linked: DataFram
     sets of shingles have a cosine, computed exactly, of at least `similarity`.
 
     texts(tid, text) may repeat rows; signatures(tid, parts). Texts of one class fingerprint are a group. In groups of up to
-    SMALL all pairs are compared. In larger ones all members are compared with a representative, which is the most central one (whose
-    groups are the largest: what copies were made from is in the most, and largest, of them), and while such rounds find links,
-    with another one: the most central of those outside the group's largest component that was none yet. Pairs
-    within a component add nothing and aren't compared. So the work of a round goes with the members, not with their square;
-    a link is missed where its texts share no class, or only large groups in which neither is ever a representative.
+    SMALL all pairs are compared. In larger ones all members are compared with the most central one: that whose groups are
+    the largest, which is what copies were made from, as it is in the most, and largest, of them. So the work goes with the
+    members, not with their square; a link is missed where its texts share no class, or large groups only, in none of which
+    one of them is central, and no chain of other links joins them.
     """
     parts = signatures.select("tid", F.explode("parts").alias("p")).select("tid", F.xxhash64("p.n", "p.c", "p.fp").alias("g"))
     groups = materialise(parts.groupBy("g").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("g"), "similar-groups")
@@ -215,25 +214,12 @@ def similar_components(texts: DataFrame, signatures: DataFrame, linked: DataFram
     inside = F.flatten(F.transform("ts", lambda u: F.transform(F.filter("ts", lambda v: v < u), lambda v: F.struct(u.alias("u"), v.alias("v")))))
     large = scored.where(F.col("size") > SMALL)
     first = materialise(large.groupBy("g").agg(central.alias("t")), "similar-first")
-    ordered = lambda df: df.where("tid <> t").select(F.greatest("tid", "t").alias("u"), F.least("tid", "t").alias("v"))
-    pairs = few.select(F.explode(inside).alias("p")).select("p.u", "p.v").union(ordered(large.join(broadcast_if_small(first), "g")))
-    pairs = materialise(pairs.distinct(), "similar-pairs")
-    new, compared, asked, todo, found = materialise(_alike(pairs, sets, similarity), "similar-links"), pairs, first, large, linked
-    while not new.isEmpty():
-        found = found.union(new)
-        roots = materialise(connected_components(found, "similar"), "similar-roots")
-        found = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        rooted = todo.join(roots, todo["tid"] == roots["node"], "left").select("g", "tid", "size", "score", F.coalesce("root", "tid").alias("root"))
-        shares = rooted.groupBy("g", "root").agg(F.count("*").alias("n_root"))
-        apart = shares.groupBy("g").agg(F.max(F.struct("n_root", "root"))["root"].alias("major"), F.count("*").alias("n_roots")).where("n_roots > 1").select("g", "major")
-        rooted = materialise(rooted.join(broadcast_if_small(materialise(apart, "similar-apart")), "g"), "similar-todo")
-        outside = rooted.where("root <> major").join(asked.withColumnRenamed("t", "tid"), ["g", "tid"], "left_anti")
-        next_ = materialise(outside.groupBy("g").agg(F.max(F.struct("score", "tid", "root")).alias("r")).select("g", F.col("r.tid").alias("t"), F.col("r.root").alias("r")), "similar-next")
-        pairs = ordered(rooted.join(broadcast_if_small(next_), "g").where("root <> r")).distinct().join(compared, ["u", "v"], "left_anti")
-        pairs = materialise(pairs, "similar-pairs")
-        new = materialise(_alike(pairs, sets, similarity), "similar-links")
-        compared, asked, todo = compared.union(pairs), asked.union(next_.select("g", "t")), rooted.select("g", "tid", "size", "score")
-    return connected_components(found, "similar")
+    central_pairs = large.join(broadcast_if_small(first), "g").where("tid <> t").select(F.greatest("tid", "t").alias("u"), F.least("tid", "t").alias("v"))
+    pairs = materialise(few.select(F.explode(inside).alias("p")).select("p.u", "p.v").union(central_pairs).distinct(), "similar-pairs")
+    found = materialise(linked.union(_alike(pairs, sets, similarity)), "similar-links")
+    roots = connected_components(found, "similar")
+    discard(groups, members, sizes, scores, sets, scored, first, pairs, found)
+    return roots
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
