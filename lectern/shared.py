@@ -7,12 +7,14 @@ that is not.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ def ship(spark: SparkSession) -> None:
     sc._has_lectern = True
 
 
+def release_memory() -> None:
+    """Give back to the system what a Python worker doesn't hold any more: workers live on, idle, beside those of the next step."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and there is one machine only, as in tests, a folder of our own."""
     sc = spark.sparkContext
