@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.shared import broadcast_if_small, materialise
+from lectern.shared import broadcast_if_small, materialise, release_memory
 
 WIDTH = 1 << 14
 UNKNOWN = "und"
@@ -149,10 +149,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
     @F.arrow_udf("binary")
     def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([sparse(t) if has_letter(t) else None for t in texts.to_pylist()], pa.binary())
+        return pa.array([sparse(t) if has_letter(t) else b"" for t in texts.to_pylist()], pa.binary())
 
     drawn = rows.join(broadcast_if_small(sizes), "lang").withColumn("draw", draw).where(F.col("draw") < F.lit(float(1 << 30)) * 2 * F.col("each") / F.col("texts"))
-    told = drawn.select("lang", "each", "draw", counted("text").alias("x")).where("x is not null").groupBy("lang", "each", "draw").agg(F.min("x").alias("x"))
+    # a filter on what is counted would be pushed below the join, and so to all rows: it is put behind the aggregate
+    told = drawn.select("lang", "each", "draw", counted("text").alias("x")).groupBy("lang", "each", "draw").agg(F.min("x").alias("x")).where(F.length("x") > 0)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     sample = told.withColumn("place", place).where("place <= each").select("lang", "draw", "x")
     listed = sorted((r["lang"], r["draw"], bytes(r["x"])) for r in sample.toLocalIterator())
@@ -168,6 +169,7 @@ def identify(spark: SparkSession, model: Model, text: Column) -> Column:
         own = shared.value
         for texts in batches:
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score", "ambiguous"])
+        release_memory()
 
     return of(text)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.predicates import fresh
-from lectern.shared import materialise
+from lectern.shared import materialise, release_memory
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _NONE = -(1 << 63)
@@ -281,6 +281,7 @@ def _by_broadcast(spark: SparkSession, rows: DataFrame, index: DataFrame, shards
 
                 out.append(_rewrite(t, least, decide))
             yield pd.DataFrame(out, columns=["kept", "lines", "dropped"])
+        release_memory()
 
     return rows.select("row", probe("id", "text").alias("o"))
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.predicates import fresh
+from lectern.shared import release_memory
 
 BLANK = "▁"
 #: A text's own U+2581 while it is being cut: a code point that UTF-8 can't carry, so no text has it.
@@ -430,6 +431,8 @@ def encode(spark: SparkSession, text: Column, rate: float = 0.1, seed: int = 11,
                 ok = [b"".join(listed[a:b]) == (b" " + t.encode() if t else b"") for t, a, b in ((t or "", a, b) for t, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(none))
                 yield pa.StructArray.from_arrays([lists, pa.array(ok, pa.bool_(), mask=np.array(none, bool))], names=["ids", "lossless"])
+        encoder.memory = _Memory()
+        release_memory()
 
     return of(text)
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.components import connected_components
-from lectern.shared import broadcast_if_small, discard, materialise
+from lectern.shared import broadcast_if_small, discard, materialise, release_memory
 
 BITS = 64
 #: Groups of more fingerprints than this are compared through midpoints.
@@ -171,6 +171,7 @@ def _signatures(text: Column, shingle: int) -> Column:
                     h = shingle_hashes(t, shingle)
                     rows.append((int(np.uint64(_majority(h)).astype(np.int64)), [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(h)]))
                 yield pd.DataFrame(rows, columns=["fp", "parts"])
+        release_memory()
 
     return of(text)
 
