@@ -138,9 +138,35 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
        CASE WHEN first <> page_id THEN first END AS refers_to FROM q LEFT JOIN f USING (payload_digest)"""
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, those of a hundred beginning alike."""
+    from lectern.llm import prefix_trie as P
+
+    return P.trie(spark, *P.branched(P.in_order(_table(spark, sf_dir, "conversations"))))
+
+
+_OP11_SQL = """
+WITH t AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, l, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ascii(c::VARCHAR[i])::BIGINT)),
+        lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS inverse FROM t),
+q AS (SELECT c, l, xor(inverse, 4294967295) % 6 AS h FROM h),
+r AS (SELECT q.c, list_concat(coalesce(list_slice(b.l, 1, q.h), []), list_slice(q.l, q.h + 1, len(q.l))) AS l FROM q LEFT JOIN t b ON b.c = q.c - q.c % 100),
+o AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS depth FROM r),
+p AS (SELECT c, depth, list_slice(l, 1, depth) AS k, len(l) = depth AS ends FROM o),
+n AS (SELECT depth, k, min(c) AS c, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS members FROM p GROUP BY depth, k),
+f AS (SELECT n.*, u.c AS parent, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * length(n.k[n.depth].t) END AS saved
+      FROM n LEFT JOIN (SELECT depth, k, c FROM n) u ON u.depth = n.depth - 1 AND u.k = list_slice(n.k, 1, n.depth - 1)),
+m AS (SELECT depth - 1 AS depth, list_slice(k, 1, depth - 1) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+g AS (SELECT f.depth, f.k, f.c, f.n_convs, f.members, f.parent, f.saved, coalesce(m.n_children, 0) AS n_children FROM f LEFT JOIN m ON m.depth = f.depth AND m.k = f.k),
+s AS (SELECT d AS depth, list_slice(k, 1, d) AS k, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT k, saved, n_children, unnest(range(0, depth + 1)) AS d FROM g) GROUP BY 1, 2)
+SELECT g.c AS conv_id, g.depth, g.parent AS parent_conv_id, g.n_convs, g.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(g.members) AS ends_sha256
+FROM g JOIN s ON s.depth = g.depth AND s.k = g.k"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op3_merge_dropout": op3_merge_dropout, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index}
+    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op3_merge_dropout": op3_merge_dropout, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index, "op11_prefix_trie": op11_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_ledger": _op1_sql(), "op4_line_dedup": _OP4_SQL, "op10_warc_index": _OP10_SQL}
+    return {"op1_secret_ledger": _op1_sql(), "op4_line_dedup": _OP4_SQL, "op10_warc_index": _OP10_SQL, "op11_prefix_trie": _OP11_SQL}
