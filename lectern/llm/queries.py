@@ -148,7 +148,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP11_SQL = """
 WITH t AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-h AS (SELECT c, l, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ascii(c::VARCHAR[i])::BIGINT)),
+h AS (SELECT c, l, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda i: ascii(CAST(c AS VARCHAR)[i])::BIGINT)),
         lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS inverse FROM t),
 q AS (SELECT c, l, xor(inverse, 4294967295) % 6 AS h FROM h),
 r AS (SELECT q.c, list_concat(coalesce(list_slice(b.l, 1, q.h), []), list_slice(q.l, q.h + 1, len(q.l))) AS l FROM q LEFT JOIN t b ON b.c = q.c - q.c % 100),
