@@ -164,8 +164,15 @@ SELECT g.c AS conv_id, g.depth, g.parent AS parent_conv_id, g.n_convs, g.n_child
 FROM g JOIN s ON s.depth = g.depth AND s.k = g.k"""
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens of every text, linked where they share a group of bytes."""
+    from lectern.llm.token_alignment import alignment_report
+
+    return alignment_report(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op3_merge_dropout": op3_merge_dropout, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index, "op11_prefix_trie": op11_prefix_trie}
+    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op3_merge_dropout": op3_merge_dropout, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index, "op11_prefix_trie": op11_prefix_trie, "op12_token_alignment": op12_token_alignment}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ from .test_exact_digest import canon
 from .test_media_chunks import check as check_media
 from .test_mixture import brute_draws, brute_targets, place_of
 from .test_simhash import brute_components, brute_print
+from .test_token_alignment import brute as brute_alignment
 
 COLUMNS = {
     "op1_secret_ledger": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
@@ -23,6 +24,7 @@ COLUMNS = {
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_warc_index": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op11_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 
 
@@ -86,3 +88,8 @@ def test_op8(found, docs, spark):
     for d in docs:
         r = got[d.doc_id]
         assert (r.size, r.source_size, r.taken) == (size[d.doc_id], sizes[d.source], size[d.doc_id] * len(passes[d.doc_id])) and r.target == pytest.approx(want[d.source])
+
+
+def test_op12(found, docs):
+    got = sorted(tuple(r) for r in found["op12_token_alignment"].collect())
+    assert got == sorted(brute_alignment([(d.doc_id, d.text) for d in docs]))
