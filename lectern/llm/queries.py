@@ -171,9 +171,31 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(spark, _table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a Jaccard index of 0.8 or more."""
+    from lectern.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(spark, _table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
+_OP13_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w),
+c AS (SELECT s, len(s) AS n, min(doc_id) AS first FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s),
+e AS (SELECT first, n, unnest(s) AS x FROM c),
+p AS (SELECT a.first AS u, b.first AS v FROM e a JOIN e b ON a.x = b.x AND a.first < b.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.first, b.first, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+g AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r AS (SELECT DISTINCT u AS node, u AS root FROM g UNION SELECT g.v, r.root FROM r JOIN g ON g.u = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, len(d.s) AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE coalesce(m.root, c.first) END AS component_id
+FROM s d JOIN c ON c.s = list_sort(d.s) LEFT JOIN m ON m.node = c.first"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op3_merge_dropout": op3_merge_dropout, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index, "op11_prefix_trie": op11_prefix_trie, "op12_token_alignment": op12_token_alignment}
+    return {"op1_secret_ledger": op1_secret_ledger, "op2_simhash": op2_simhash, "op3_merge_dropout": op3_merge_dropout, "op4_line_dedup": op4_line_dedup, "op5_exact_digest": op5_exact_digest, "op6_toxicity": op6_toxicity, "op7_media_chunks": op7_media_chunks, "op8_mixture": op8_mixture, "op9_language_id": op9_language_id, "op10_warc_index": op10_warc_index, "op11_prefix_trie": op11_prefix_trie, "op12_token_alignment": op12_token_alignment, "op13_jaccard_join": op13_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_ledger": _op1_sql(), "op4_line_dedup": _OP4_SQL, "op10_warc_index": _OP10_SQL, "op11_prefix_trie": _OP11_SQL}
+    return {"op1_secret_ledger": _op1_sql(), "op4_line_dedup": _OP4_SQL, "op10_warc_index": _OP10_SQL, "op11_prefix_trie": _OP11_SQL, "op13_jaccard_join": _OP13_SQL}
