@@ -104,3 +104,21 @@ def ranges(spark: SparkSession, d: str) -> DataFrame:
 
 RANGE = """rng AS (SELECT user_id AS chapter_id, event_id AS id, (event_id % 977 + floor(event_id / 100) * 3)::DOUBLE AS start_s,
   (event_id % 977 + floor(event_id / 100) * 3 + event_id % 4)::DOUBLE AS end_s, 'a' || floor(event_id / 500)::BIGINT AS audiofile FROM events WHERE event_id % 3 <> 0)"""
+
+
+def line_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of documents as line boxes: each of their lines is a block of rows of 60 characters; short ones are headings, some begin a page, some are kept together."""
+    blocks = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block_id", "t")).withColumn("n", F.length("t"))
+    many = F.greatest(F.lit(1), F.ceil(F.col("n") / 60.0).cast("int"))
+    boxes = blocks.select("doc_id", "block_id", "n", many.alias("m"), F.explode(F.sequence(F.lit(0), many - 1)).alias("i"))
+    return boxes.select(
+        F.col("doc_id").alias("chapter_id"), (F.col("block_id") * F.lit(1000000).cast("long") + F.col("i")).alias("ord"), "block_id", F.when(F.col("n") <= 40, 30.5).otherwise(20.25).alias("height"),
+        F.when(F.col("i") == 0, 12.0).otherwise(0.0).alias("space"), F.when((F.col("n") % 41 == 7) & (F.col("i") == 0), "page").alias("break_before"),
+        F.when((F.col("n") <= 40) & (F.col("i") == F.col("m") - 1), "avoid").alias("break_after"), F.when(F.col("n") % 5 == 0, F.col("block_id")).alias("inside"),
+    )
+
+
+LINE_BOX = """par AS (SELECT doc_id, unnest(range(0, len(l))) AS block_id, unnest(l) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+box AS (SELECT doc_id, block_id, length(t) AS n, greatest(1, ceil(length(t) / 60.0::DOUBLE)::BIGINT) AS m, unnest(range(0, greatest(1, ceil(length(t) / 60.0::DOUBLE)::BIGINT))) AS i FROM par),
+line AS (SELECT doc_id, block_id, block_id * 1000000 + i AS ord, i, m, CASE WHEN n <= 40 THEN 30.5::DOUBLE ELSE 20.25::DOUBLE END AS h, CASE WHEN i = 0 THEN 12.0::DOUBLE ELSE 0.0::DOUBLE END AS sp,
+  n % 41 = 7 AND i = 0 AS opens, n <= 40 AND i = m - 1 AS clings, CASE WHEN n % 5 = 0 THEN block_id END AS inside FROM box)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import bindings as B
 from lectern.functions import clip, color, css, markup, paths, player
-from lectern.operators import align, inspect, lookups, pages, spans, toc, validate
+from lectern.operators import align, fragments, inspect, lookups, pages, spans, toc, validate
 from lectern.operators.ordering import Ranged
 from lectern.predicates import timed
 
@@ -804,6 +804,28 @@ def latest_jumps(spark: SparkSession, d: str) -> DataFrame:
     return playback.latest_jump(B.table(spark, d, "events").select(F.col("user_id").alias("session"), n.alias("ts"), (n % 77).alias("page_index"), F.lit(False).alias("preferred")))
 
 
+# --- pages of lines ----------------------------------------------------------------------------------
+
+
+_FRAGMENTS = """num AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS total, sum(h + sp) OVER w AS bottom, lead(opens) OVER w AS next_opens, lead(block_id) OVER w AS next_block,
+  lead(inside) OVER w AS next_inside, coalesce(lag(doc_id) OVER w IS NULL, TRUE) OR opens AS keeps FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+kind AS (SELECT *, bottom - h - CASE WHEN keeps THEN sp ELSE 0 END AS top, CASE WHEN k + 1 = total THEN 9 WHEN next_opens THEN 0 WHEN next_block = block_id AND (i + 1 < 2 OR m - i - 1 < 2) THEN 3
+  WHEN clings OR coalesce(inside = next_inside, FALSE) THEN 2 ELSE 1 END AS kind FROM num),
+page AS (SELECT s.doc_id, s.k, CASE WHEN min(e.k) FILTER (e.kind = 0) IS NOT NULL THEN min(e.k) FILTER (e.kind = 0) WHEN bool_or(e.kind = 9) THEN any_value(s.total) - 1
+  ELSE coalesce(max(e.k) FILTER (e.kind = 1), max(e.k) FILTER (e.kind = 2), max(e.k) FILTER (e.kind = 3), any_value(s.k)) END + 1 AS nxt
+  FROM kind s JOIN kind e ON e.doc_id = s.doc_id AND e.k BETWEEN s.k AND s.k + 60 AND e.bottom <= s.top + 800 GROUP BY s.doc_id, s.k),
+walk AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS page FROM page WHERE k = 0 UNION ALL SELECT w.doc_id, p.nxt, w.page + 1 FROM walk w JOIN page p ON p.doc_id = w.doc_id AND p.k = w.k WHERE p.nxt IN (SELECT q.k FROM kind q WHERE q.doc_id = w.doc_id)),
+first AS (SELECT w.doc_id, w.k, w.page, n.top, lead(w.k) OVER (PARTITION BY w.doc_id ORDER BY w.k) AS until FROM walk w JOIN kind n ON n.doc_id = w.doc_id AND n.k = w.k)"""
+
+
+@query("WITH RECURSIVE " + ",\n".join([B.LINE_BOX, _FRAGMENTS]) + """
+SELECT l.doc_id AS chapter_id, l.ord, f.page AS page_in_chapter, l.k - f.k AS line_on_page, round(l.bottom - l.h - f.top, 4) AS page_y
+FROM kind l JOIN first f ON f.doc_id = l.doc_id AND l.k >= f.k AND (f.until IS NULL OR l.k < f.until)""")
+def line_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of every document on pages of 800 pixels."""
+    return fragments.paginate(B.line_boxes(spark, d), 800.0).select("chapter_id", "ord", "page_in_chapter", "line_on_page", F.round("page_y", 4).alias("page_y"))
+
+
 def queries() -> dict[str, Query]:
     from lectern import library
     from lectern.streaming import playback_queries

@@ -103,3 +103,50 @@ def in_turn(df: DataFrame, by: str, order: str, step: Callable[[Any, tuple], tup
 
     target = to_arrow_schema(_parse_datatype_string(schema))
     return df.repartition(by).sortWithinPartitions(by, order).mapInArrow(of, schema)
+
+
+def blocks_with_ahead(df: DataFrame, by: str, pos: str, ahead: int, size: int = 8192) -> DataFrame:
+    """df, its dense 0-based pos cut into blocks of `size`, each with the `ahead` rows behind it: (.., __block, __own). A window over (by, __block) sees all that its own rows need."""
+    own = F.floor(F.col(pos) / size).cast("long")
+    both = F.when((F.col(pos) % size < ahead) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    return df.withColumn("__block", F.explode(both)).withColumn("__own", F.col("__block") == own)
+
+
+def chain(rows: DataFrame, by: str, pos: str, nxt: str, size: int = 8192) -> DataFrame:
+    """The rows(by, pos, nxt) that following nxt from pos 0 on comes to, as (by, pos, nxt). pos is dense and 0-based in its key, nxt greater than pos, or null at the end.
+
+    So what a row decides about those behind it, as where a page that begins with it ends, is folded in parallel: each block of `size` rows of a key is
+    a task's work of its own, which tells for every place that it can be entered at where it is left; one task then follows a key through these
+    entries, a few for each block, and the blocks mark their rows.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+    block = lambda c: F.floor(F.col(c) / size).cast("long")
+    table = materialise(rows.select(F.col(by).alias("k"), F.col(pos).cast("long").alias("p"), F.col(nxt).cast("long").alias("n")), "chain-rows")
+    entries = table.where(block("n") > block("p")).select("k", F.col("n").alias("p")).distinct()
+    entries = materialise(entries.withColumn("in", F.lit(True)), "chain-entries")
+    long = entries.select("k").distinct()
+    first = F.when(F.col("p") == 0, True).otherwise(F.coalesce("in", F.lit(False)))
+    asked = table.join(long, "k", "left_semi").join(entries, ["k", "p"], "left").select(F.struct("k", block("p").alias("b")).alias("g"), (-F.col("p")).alias("back"), "p", "n", first.alias("in"))
+
+    def leave(left: dict | None, row: tuple) -> tuple[dict, tuple | None]:
+        g, _, p, n, asked = row
+        left = {} if left is None else left
+        left[p] = left.get(n, n)
+        return left, (g["k"], p, left[p]) if asked else None
+
+    def walk(now: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        k, p, out = row
+        if now is None or p == now[0]:
+            return (out,), (k, p)
+        return now, None
+
+    def follow(now: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        g, p, n, entry = row
+        now = (entry,) if now is None else now
+        return ((n,), (g["k"], p, n)) if p == now[0] else (now, None)
+
+    exits = in_turn(asked, "g", "back", leave, f"k {kind}, p long, out long")
+    taken = materialise(in_turn(exits, "k", "p", walk, f"k {kind}, entry long"), "chain-taken").withColumn("b", block("entry"))
+    entered = table.withColumn("b", block("p")).join(taken, ["k", "b"], "left").where((F.col("b") == 0) | F.col("entry").isNotNull())
+    marked = in_turn(entered.select(F.struct("k", "b").alias("g"), "p", "n", F.coalesce("entry", F.lit(0).cast("long")).alias("entry")), "g", "p", follow, f"k {kind}, p long, n long")
+    return marked.select(F.col("k").alias(by), F.col("p").alias(pos), F.col("n").alias(nxt))

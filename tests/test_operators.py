@@ -1,4 +1,5 @@
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,9 +156,51 @@ def test_navigation_keeps_levels(spark):
     nav = spark.createDataFrame([(1, 0, None, 0, "Part I", 2), (1, 1, 0, 0, "lost", None), (1, 2, 1, 0, "deep", 3), (1, 3, 0, 1, "Chapter 2", 6), (1, 4, None, 1, "End", 9)], "book_id int, node_id int, parent_id int, sibling_ord int, title string, page_index int")
     flat = toc.flatten(nav)
     assert [r[2:] for r in rows(flat, "position")] == [("Part I", 2, 0), ("deep", 3, 2), ("Chapter 2", 6, 1), ("End", 9, 0)]
-    circle = spark.createDataFrame([(1, i, i - 1 if i else None, 0, "x", 1) for i in range(6)], nav.schema)
-    with pytest.raises(ValueError, match="deeper"):
-        toc.flatten(circle, depth=3)
+
+
+NAV = "book_id int, node_id int, parent_id int, sibling_ord int, title string, page_index int"
+
+
+def test_navigation_in_circles_is_refused(spark):
+    good = [(1, 0, None, 0, "a", 1), (1, 1, 0, 0, "b", 2)]
+    for bad, said in (
+        ([(2, 7, None, 0, "x", 1), (2, 8, 9, 0, "y", 1), (2, 9, 8, 0, "z", 1), (2, 10, 9, 0, "below", 1)], "circle, or below one: 8 of 2, 9 of 2, 10 of 2"),
+        ([(2, 5, 5, 0, "own", 1)], "circle, or below one: 5 of 2"),
+        ([(2, 5, 4, 0, "lost", 1)], "without their parent: 5 of 2"),
+        ([(2, 5, None, 0, "x", 1), (2, 5, None, 1, "y", 1)], "one number: 5 of 2"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            toc.flatten(spark.createDataFrame(good + bad, NAV)).collect()
+    assert toc.flatten(spark.createDataFrame([], NAV)).collect() == []
+
+
+def test_deep_navigation_by_jumps(spark):
+    draw = random.Random(9)
+    nodes, want = [], []
+    for book, size, wide in ((1, 300, 300), (2, 400, 2)):
+        for v in range(size):
+            parent = None if v == 0 or draw.random() < 0.01 else draw.randrange(max(0, v - wide), v)
+            nodes.append((book, v, parent, draw.randrange(3), f"n{v}", None if v % 7 == 3 else v))
+
+    def walk(book, parent, level):
+        for r in sorted((r for r in nodes if r[0] == book and r[2] == parent), key=lambda r: (r[3], r[1])):
+            if r[5] is not None:
+                want.append((book, r[4], level))
+            walk(book, r[1], level + 1)
+
+    sys.setrecursionlimit(5000)
+    walk(1, None, 0), walk(2, None, 0)
+    df = spark.createDataFrame(draw.sample(nodes, len(nodes)), NAV)
+    for shallow in (64, 4):  # by paths if all are short enough, by tours
+        got = [(r.book_id, r.title, r.level) for r in toc.flatten(df, shallow=shallow).orderBy("book_id", "position").collect()]
+        assert got == want
+    assert max(x[2] for x in want) > 64
+
+
+def test_a_chain_of_many_levels(spark):
+    chain = spark.range(10_000).selectExpr("1 AS book_id", "cast(id AS int) AS node_id", "cast(if(id = 0, null, id - 1) AS int) AS parent_id", "0 AS sibling_ord", "cast(id AS string) AS title", "1 AS page_index")
+    got = toc.flatten(chain)
+    assert got.where("position <> level or title <> cast(level AS string)").count() == 0 and got.count() == 10_000
 
 
 def test_target_issues(spark):
