@@ -24,7 +24,6 @@ Very long texts are taken whole. An empty table gives an empty result. Other col
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,45 +31,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.components import connected_components
+from lectern.llm.tiles import BLOCK_SHINGLES, Jaccard, Likeness, set_digest, shingle_set, tile_components
 from lectern.shared import broadcast_if_small, discard, materialise, release_memory
 
 #: Shingles of so many documents of one task at least are candidates for common ones; those with the most documents, at most COMMON, come last in the order.
 SEEN, COMMON = 3, 1 << 18
-#: Elements of a block of members; a class with more is a block of its own.
-BLOCK_SHINGLES = 400_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads them (multiplications and shifts)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The sorted distinct shingles as 64-bit hashes: words by XXH64, sequences of words by mixing theirs in order."""
-    words = (text or "").encode().lower().split()  # of bytes, both know ASCII only
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    w = np.fromiter(map(digest, words), np.uint64, len(words))
-    k = min(shingle, len(w))
-    h = np.full(len(w) - k + 1, np.uint64(k) * _MIX, np.uint64)
-    for i in range(k):
-        h = _mixed((h + w[i : len(w) - k + 1 + i]) * _MIX)
-    return np.unique(h)
-
-
-def _least(n: int, percent: int) -> int:
-    """The least overlap of a set of n with any that it links with."""
-    return -(-n * percent // 100)
-
-
-def prefix(own: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def prefix(own: np.ndarray, likeness: Likeness, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first n - least + 1 of a set: by hash, the common ones (sorted, with their ranks) last."""
-    n = len(own) - _least(len(own), percent) + 1 if len(own) else 0
+    n = len(own) - likeness.least(len(own)) + 1 if len(own) else 0
     if not len(common) or not n:
         return own[:n]
     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
@@ -81,21 +51,6 @@ def prefix(own: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray)
     return cold if len(cold) == n else np.concatenate([cold, own[hot][np.argsort(rank[at[hot]], kind="stable")][: n - len(cold)]])
 
 
-def bitmap(own: np.ndarray) -> np.ndarray:
-    """2^k bits, the power of two at or above the size, at least 64: bit h mod 2^k for every element."""
-    bits = 1 << max(6, (len(own) - 1).bit_length())
-    out = np.zeros(bits, np.uint8)
-    out[(own >> np.uint64(20)) & np.uint64(bits - 1)] = 1
-    return np.packbits(out, bitorder="little").view(np.uint64)
-
-
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """A bitmap of fewer words with the same elements."""
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
-
-
 def common_shingles(spark: SparkSession, docs: DataFrame, text: str, shingle: int, seen: int = SEEN, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, their ranks from rare to frequent) of the `most` most frequent ones. Every task counts all its documents of different sets and tells
     of shingles that `seen` of them have, at least; Spark adds up."""
@@ -131,7 +86,7 @@ def common_shingles(spark: SparkSession, docs: DataFrame, text: str, shingle: in
     return keys[order], np.arange(len(keys))[order]
 
 
-def _sets(docs: DataFrame, text: str, shingle: int, percent: int, common) -> DataFrame:
+def _sets(docs: DataFrame, text: str, shingle: int, likeness: Likeness, common) -> DataFrame:
     """docs' id with n, tid (a digest of the set; null for the empty one) and the prefix."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +95,8 @@ def _sets(docs: DataFrame, text: str, shingle: int, percent: int, common) -> Dat
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
-                firsts = [prefix(s, percent, keys, ranks).view(np.int64) for s in sets]
-                tids = [xxhash.xxh128_digest(s) if len(s) else None for s in sets]
+                firsts = [prefix(s, likeness, keys, ranks).view(np.int64) for s in sets]
+                tids = [set_digest(s) for s in sets]
                 offsets = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(tids, pa.binary()), lists], names=["id", "n", "tid", "firsts"])
@@ -150,131 +105,22 @@ def _sets(docs: DataFrame, text: str, shingle: int, percent: int, common) -> Dat
     return docs.select(F.col("id"), F.col(text).alias("text")).mapInArrow(of, "id long, n long, tid binary, firsts array<long>")
 
 
-def _elements(texts: DataFrame, shingle: int) -> DataFrame:
-    """texts(tid, text) -> (tid, s): the set's elements, as bytes."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["tid", "s"])
-        release_memory()
-
-    return texts.select("tid", "text").mapInArrow(of, "tid binary, s binary")
-
-
-def tile_edges(sets: list[np.ndarray], sides: list[int], bands: list[int], labels: list, band: int, percent: int, one: bool) -> Iterator[tuple[int, int]]:
-    """Edges (i, j) enough to connect what links in a tile: pairs whose larger set is in `band`, of different labels, and of different sides unless there is one only."""
-    n = np.array([len(s) for s in sets])
-    order = np.argsort(n, kind="stable")
-    n, sides, bands = n[order], np.array(sides)[order], np.array(bands)[order]
-    words = min(len(bitmap(sets[order[0]])), len(bitmap(sets[order[-1]])))
-    bits = np.stack([_folded(bitmap(sets[i]), words) for i in order])
-    numbers = {x: k for k, x in enumerate(dict.fromkeys(labels))}
-    root = np.array([numbers[labels[i]] for i in order])
-    for j in range(1, len(order)):
-        if bands[j] != band:
-            continue
-        low = int(np.searchsorted(n, _least(int(n[j]), percent)))  # the smaller set has at least that share of the larger one
-        if low >= j:
-            continue
-        near = np.flatnonzero((root[low:j] != root[j]) & (one | (sides[low:j] != sides[j]))) + low
-        if not len(near):
-            continue
-        apart = np.bitwise_count(bits[near] ^ bits[j]).sum(axis=1)
-        both = n[near] + n[j]
-        # overlap <= (both - apart) / 2, and 100 overlap >= percent (both - overlap)
-        near = near[(100 + percent) * (both - apart) >= 2 * percent * both]
-        for i in near[::-1]:
-            if root[i] == root[j]:
-                continue
-            overlap = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-            if 100 * overlap >= percent * (int(n[i]) + int(n[j]) - overlap):
-                root[root == root[i]] = root[j]
-                yield int(order[i]), int(order[j])
-
-
-def _compared(rows: DataFrame, percent: int) -> DataFrame:
-    """rows(tile, band, x, y, side, own_band, tid, label, s), a group for each (tile, band, x, y) -> edges (u, v). A group is at most two blocks; rows stream in groups' order."""
-    keys = ["tile", "band", "x", "y"]
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-
-        def edges() -> list[tuple[bytes, bytes]]:
-            if len(group) < 2:
-                return []
-            sides, bands, tids, labels, sets = zip(*group, strict=True)
-            return [(tids[i], tids[j]) for i, j in tile_edges([np.frombuffer(s, np.uint64) for s in sets], list(sides), list(bands), list(labels), key[1], percent, key[2] == key[3])]
-
-        def made(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            u, v = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
-
-        for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] != key:
-                    found += edges()
-                    key, group = row[:4], []
-                group.append(row[4:])
-            if found:
-                yield made(found)
-        if found := edges():
-            yield made(found)
-        release_memory()
-
-    return rows.select(*keys, "side", "own_band", "tid", "label", "s").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(of, "u binary, v binary")
-
-
-def _blocked(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """members(tile, tid, n, label) dealt to (tile, band, x, y) groups: a band of sizes and the one below it, in pairs of blocks."""
-    step = log(100 / percent) if percent < 100 else 1e-9
-    own = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("long") if percent < 100 else F.col("n")
-    banded = members.withColumn("own_band", own).withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") + 1)))
-    sums = materialise(
-        banded.groupBy("tile", "band").agg(F.sum("n").alias("total"), F.max("own_band").alias("top"), F.count("*").alias("m")).where("m > 1 and top = band").select("tile", "band", F.greatest(F.lit(1), F.ceil(F.col("total") / block)).cast("int").alias("blocks")), "jaccard-bands"
-    )
-    told = banded.join(broadcast_if_small(sums), ["tile", "band"])
-    mine = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("x"), F.greatest(mine, o).alias("y")))
-    return told.withColumn("p", F.explode(pairs)).select("tile", "band", "p.x", "p.y", mine.alias("side"), "own_band", "tid", "label")
-
-
-def _links(members: DataFrame, elements: DataFrame, percent: int, block: int, name: str) -> DataFrame:
-    dealt = _blocked(members, percent, block).join(elements, "tid")
-    return materialise(_compared(dealt, percent), name)
-
-
 def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", block: int = BLOCK_SHINGLES, seen: int = SEEN, common: int = COMMON) -> DataFrame:
     """(id, n_shingles, component_id) of each row: the set's size, and the least id reachable over links of percent / 100 Jaccard or more, its own included."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    likeness = Jaccard(percent)
     hot = spark.sparkContext.broadcast(common_shingles(spark, rows, "text", shingle, seen, common))
-    sets = materialise(_sets(rows, "text", shingle, percent, hot), "jaccard-sets")
+    sets = materialise(_sets(rows, "text", shingle, likeness, hot), "jaccard-sets")
     classes = materialise(sets.where("tid is not null").groupBy("tid").agg(F.min("id").alias("first"), F.min("n").alias("n")), "jaccard-classes")
     postings = sets.where("tid is not null").dropDuplicates(["tid"]).select("tid", F.explode("firsts").alias("h"))
     # tiles of the very same members are one: the least of their shingles
     seals = postings.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("tid")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "tid")).alias("seal2")).where("m > 1")
     tiles = materialise(seals.groupBy("m", "seal", "seal2").agg(F.min("h").alias("h")).select("h", "m"), "jaccard-tiles")
     members = materialise(postings.join(broadcast_if_small(tiles), "h").join(classes.select("tid", "n"), "tid").select(F.col("h").alias("tile"), "m", "tid", "n"), "jaccard-members")
-    met = materialise(members.groupBy("tid").agg(F.max_by("tile", F.struct("m", "tile")).alias("tile"), F.min("n").alias("n")), "jaccard-met")
-    wanted = sets.join(broadcast_if_small(met.select("tid")), "tid", "left_semi").groupBy("tid").agg(F.min("id").alias("id"))
-    wanted = materialise(wanted, "jaccard-wanted")
-    few = broadcast_if_small(wanted.withColumnRenamed("id", "of"))
-    texts = rows.join(few, rows["id"].eqNullSafe(few["of"])).select("tid", "text")
-    elements = _elements(texts, shingle)
-    # of rows of one id only that whose set it is
-    digest = F.pandas_udf(lambda s: s.map(lambda x: xxhash.xxh128_digest(x)), "binary")
-    elements = materialise(elements.where(F.col("tid") == digest("s")).dropDuplicates(["tid"]), "jaccard-elements")
-    first = _links(met.select("tile", "tid", "n", F.col("tid").alias("label")), elements, percent, block, "jaccard-first")
-    roots = materialise(connected_components(first, "jaccard"), "jaccard-roots")
-    labelled = materialise(members.join(roots, members["tid"] == roots["node"], "left").select("tile", "tid", "n", F.coalesce("root", "tid").alias("label")), "jaccard-labelled")
-    mixed = materialise(labelled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("tile"), "jaccard-mixed")
-    second = _links(labelled.join(broadcast_if_small(mixed), "tile"), elements, percent, block, "jaccard-second")
-    linked = materialise(connected_components(first.union(second), "jaccard"), "jaccard-linked")
+    linked = tile_components(members, rows, sets, lambda t: shingle_set(t, shingle), likeness, block, "jaccard")
     rooted = materialise(classes.join(linked, classes["tid"] == linked["node"], "left").select("tid", "first", F.coalesce("root", "tid").alias("root")), "jaccard-rooted")
     named = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-named")
     of_class = materialise(rooted.join(named, "root").select("tid", "component_id"), "jaccard-of-class")
-    discard(tiles, members, met, wanted, elements, first, second, roots, labelled, mixed, linked, rooted, named)
+    discard(tiles, members, rooted, named)
     out: list[Column] = [F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
     return sets.join(of_class, "tid", "left").select(*out)

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.tiles import BLOCK_SHINGLES, Cosine, set_digest, tile_components
 from lectern.operators.components import connected_components
 from lectern.shared import broadcast_if_small, discard, materialise, release_memory
 
@@ -129,8 +130,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shing
 #: Classes of shingles are so large, about, and so many of them are tables. Two texts of one size n whose cosine is 0.8 differ in 0.4 n
 #: shingles, 1.2 for each class: a class is the same in both, and not empty, in 0.29 of cases, one of 20 in 0.999.
 CLASS_SIZE, CLASSES = 3, 20
-#: All pairs of groups of at most so many texts are compared; larger groups by representatives.
-SMALL = 32
 
 
 def class_fingerprints(hashes: np.ndarray, size: int = CLASS_SIZE, classes: int = CLASSES) -> list[tuple[int, int, int]]:
@@ -160,91 +159,54 @@ def class_fingerprints(hashes: np.ndarray, size: int = CLASS_SIZE, classes: int
 
 
 def _signatures(text: Column, shingle: int) -> Column:
-    """struct<fp, parts array<struct<n,c,fp>>> of each text."""
+    """struct<fp, sid, n, parts array<struct<n,c,fp>>> of each text: fingerprint, digest and size of its set of shingles (no bytes for the empty one), class fingerprints."""
 
-    @F.pandas_udf("fp long, parts array<struct<n:int,c:int,fp:long>>")
+    @F.pandas_udf("fp long, sid binary, n long, parts array<struct<n:int,c:int,fp:long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             for at in range(0, len(texts), 500):  # small results: few texts' parts are in memory at once
                 rows = []
                 for t in texts.iloc[at : at + 500]:
                     h = shingle_hashes(t, shingle)
-                    rows.append((int(np.uint64(_majority(h)).astype(np.int64)), [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(h)]))
-                yield pd.DataFrame(rows, columns=["fp", "parts"])
+                    own = np.unique(h)
+                    rows.append((int(np.uint64(_majority(h)).astype(np.int64)), set_digest(own) or b"", len(own), [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(own)]))
+                yield pd.DataFrame(rows, columns=["fp", "sid", "n", "parts"])
         release_memory()
 
     return of(text)
 
 
-def _shingle_sets(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts])
-
-    return of(text)
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs(u, v) those whose sets(tid, s) have at least that cosine, which is what SimHash's bits tell of: common / sqrt(size * size)."""
-    left, right = sets.select(F.col("tid").alias("u"), F.col("s").alias("a")), sets.select(F.col("tid").alias("v"), F.col("s").alias("b"))
-    both = F.size(F.array_intersect("a", "b")).cast("double")
-    return pairs.join(left, "u").join(right, "v").where(both >= similarity * F.sqrt(F.size("a").cast("double") * F.size("b"))).select("u", "v")
-
-
-def similar_components(texts: DataFrame, signatures: DataFrame, linked: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, root): components over linked(u, v) and pairs of distinct texts that share a class fingerprint and whose
-    sets of shingles have a cosine, computed exactly, of at least `similarity`.
-
-    texts(tid, text) may repeat rows; signatures(tid, parts). Texts of one class fingerprint are a group. In groups of up to
-    SMALL all pairs are compared. In larger ones all members are compared with the most central one: that whose groups are
-    the largest, which is what copies were made from, as it is in the most, and largest, of them. So the work goes with the
-    members, not with their square; a link is missed where its texts share no class, or large groups only, in none of which
-    one of them is central, and no chain of other links joins them.
-    """
-    parts = signatures.select("tid", F.explode("parts").alias("p")).select("tid", F.xxhash64("p.n", "p.c", "p.fp").alias("g"))
-    groups = materialise(parts.groupBy("g").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("g"), "similar-groups")
-    members = materialise(parts.join(broadcast_if_small(groups), "g").distinct(), "similar-members")
-    sizes = materialise(members.groupBy("g").agg(F.count("*").alias("size")), "similar-sizes")
-    sized = members.join(broadcast_if_small(sizes), "g")
-    scores = materialise(sized.groupBy("tid").agg(F.sum("size").alias("score")), "similar-scores")  # and all texts that are asked for
-    sets = texts.join(broadcast_if_small(scores.select("tid")), "tid", "left_semi").select("tid", _shingle_sets(F.col("text"), shingle).alias("s"))
-    sets = materialise(sets.dropDuplicates(["tid"]), "similar-sets")
-    scored = materialise(sized.join(broadcast_if_small(scores), "tid").select("g", "tid", "size", "score"), "similar-scored")
-    central = F.max(F.struct("score", "tid"))["tid"]
-    few = scored.where(F.col("size") <= SMALL).groupBy("g").agg(F.collect_list("tid").alias("ts"))
-    inside = F.flatten(F.transform("ts", lambda u: F.transform(F.filter("ts", lambda v: v < u), lambda v: F.struct(u.alias("u"), v.alias("v")))))
-    large = scored.where(F.col("size") > SMALL)
-    first = materialise(large.groupBy("g").agg(central.alias("t")), "similar-first")
-    central_pairs = large.join(broadcast_if_small(first), "g").where("tid <> t").select(F.greatest("tid", "t").alias("u"), F.least("tid", "t").alias("v"))
-    pairs = materialise(few.select(F.explode(inside).alias("p")).select("p.u", "p.v").union(central_pairs).distinct(), "similar-pairs")
-    found = materialise(linked.union(_alike(pairs, sets, similarity)), "similar-links")
-    roots = connected_components(found, "similar")
-    discard(groups, members, sizes, scores, sets, scored, first, pairs, found)
-    return roots
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text", block: int = BLOCK_SHINGLES) -> DataFrame:
     """docs with one row of each near-duplicate group: the one of the least id (null ids last), ties by text.
 
-    Linked are texts whose fingerprints are within `radius` bits, and texts whose sets of shingles have at least that cosine
-    and that a class fingerprint brings together. All columns stay as they are, whatever they are called.
+    Linked are texts whose fingerprints are within `radius` bits, by the covering tables, and texts whose sets of shingles have at least that cosine (which is what
+    fingerprints' bits estimate) and that share a class fingerprint. Texts of one class fingerprint are a tile: whatever its size, what may be alike in it is compared
+    exactly (tiles.tile_components), so no link within a tile is lost. All columns stay as they are, whatever they are called.
     Null text is like an empty one; of rows of one id and text one stays; an empty table stays empty.
     """
     names = docs.columns
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id).alias("id"), body.alias("text")).withColumn("tid", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    keys = materialise(rows.select("id", "tid", _signatures(F.col("text"), shingle).alias("s")).select("id", "tid", "s.fp", "s.parts"), "keep-keys")
-    # texts of one fingerprint hang on the least of them, and those on each other by the fingerprints' links
-    classes = materialise(keys.groupBy("fp").agg(F.min("tid").alias("head")), "keep-classes")
+    keys = materialise(rows.select("id", "tid", _signatures(F.col("text"), shingle).alias("s")).select("id", "tid", "s.*"), "keep-keys")
+    # sets of one fingerprint hang on the least of them, and those on each other by the fingerprints' links
+    classes = materialise(keys.groupBy("fp").agg(F.min("sid").alias("head")), "keep-classes")
     near = materialise(links(classes.select("fp"), radius), "keep-near")
     heads = lambda c: classes.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
     edges = near.join(heads("u"), "u").join(heads("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
-    same = keys.select("fp", F.col("tid").alias("u")).join(classes, "fp").where("u <> head").select("u", F.col("head").alias("v")).distinct()
-    roots = similar_components(rows.select("tid", "text"), keys.select("tid", "parts"), edges.union(same), shingle, similarity)
-    firsts = materialise(keys.groupBy("tid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tid")).alias("first")), "keep-firsts")
+    same = keys.select("fp", F.col("sid").alias("u")).join(classes, "fp").where("u <> head").select("u", F.col("head").alias("v")).distinct()
+    sets = materialise(keys.dropDuplicates(["sid"]).select("sid", "n", "parts"), "keep-sets")
+    parts = materialise(sets.select("sid", "n", F.explode("parts").alias("p")).select("sid", "n", F.xxhash64("p.n", "p.c", "p.fp").alias("g")).distinct(), "keep-parts")
+    # tiles of the very same members are one
+    seals = parts.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("seal2")).where("m > 1")
+    tiles = materialise(seals.groupBy("m", "seal", "seal2").agg(F.min("g").alias("g")).select("g", "m"), "keep-tiles")
+    members = materialise(parts.join(broadcast_if_small(tiles), "g").select(F.col("g").alias("tile"), "m", F.col("sid").alias("tid"), "n"), "keep-members")
+    linked = materialise(edges.union(same), "keep-linked")
+    roots = tile_components(members, rows.select("id", "text"), keys.select("id", F.col("sid").alias("tid")), lambda t: np.unique(shingle_hashes(t, shingle)), Cosine(round(100 * similarity)), block, "keep", linked)
+    firsts = materialise(keys.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tid")).alias("first")), "keep-firsts")
     winners = materialise(
-        firsts.join(roots, firsts["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.tid"), "keep-winners"
+        firsts.join(roots, firsts["sid"] == roots["node"], "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.tid"), "keep-winners"
     )
-    kept = rows.select("row", "id", "tid").join(winners, rows["id"].eqNullSafe(winners["id"]) & (rows["tid"] == winners["tid"]), "left_semi")
+    discard(classes, near, sets, parts, tiles, members, linked, roots, firsts, keys)
+    kept = rows.join(broadcast_if_small(winners), rows["id"].eqNullSafe(winners["id"]) & (rows["tid"] == winners["tid"]), "left_semi")
     copies = Window.partitionBy("id", "tid").orderBy(F.lit(1))  # rows of one id and text: one stays
     return kept.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("row.*")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from lectern.llm import jaccard_join as J
+from lectern.llm import tiles as T
 
 
 def brute(rows, k=5, percent=80):
@@ -95,7 +96,7 @@ def test_prefixes_of_linked_sets_meet():
         b = np.unique(np.concatenate([a[draw.random(len(a)) < 0.93], draw.integers(0, 1 << 63, int(draw.integers(0, 3)), dtype=np.uint64)]))
         overlap = len(np.intersect1d(a, b))
         if 100 * overlap >= 80 * (len(a) + len(b) - overlap):
-            assert len(np.intersect1d(J.prefix(a, 80, common, rank), J.prefix(b, 80, common, rank)))
-        words = min(len(J.bitmap(a)), len(J.bitmap(b)))
-        apart = int(np.bitwise_count(J._folded(J.bitmap(a), words) ^ J._folded(J.bitmap(b), words)).sum()) if len(b) else 0
+            assert len(np.intersect1d(J.prefix(a, T.Jaccard(80), common, rank), J.prefix(b, T.Jaccard(80), common, rank)))
+        words = min(len(T.bitmap(a)), len(T.bitmap(b)))
+        apart = int(np.bitwise_count(T._folded(T.bitmap(a), words) ^ T._folded(T.bitmap(b), words)).sum()) if len(b) else 0
         assert 2 * overlap <= len(a) + len(b) - apart
