@@ -18,14 +18,16 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +40,10 @@ MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Where units begin: at a space behind a visible ASCII character.
 _UNITS = re.compile(r"(?<=[!-~])(?= )")
+#: Fixed value: the pre-tokens of byte-level models.
+_PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A task remembers so many units, aligns texts of so many characters at once, and sends partial counts of so many pairs.
-REMEMBERED, CHARS, PARTIAL = 200_000, 1_000_000, 500_000
+REMEMBERED, CHARS, PARTIAL = 300_000, 1_000_000, 500_000
 _SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, n array<int>"
 _ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), *[(c, pa.list_(pa.int32())) for c in "abn"]])
 
@@ -65,18 +69,36 @@ def bytes_of_b(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
 
 
+def encoder_of_a(model: Tokenizer, table: list[bytes]) -> Callable[[list[str]], list[np.ndarray]]:
+    """A's encoder: tiktoken's with the model's own vocabulary as ranks, where its merges are in the order of their ids and its pre-tokens are the byte-level ones; else the model itself."""
+    told = json.loads(model.to_str())
+    before, merges = told["pre_tokenizer"], told["model"]["merges"]
+    ids = told["model"]["vocab"]
+    joined = [ids.get("".join(m if isinstance(m, list) else m.split(" "))) for m in merges]
+    plain = before and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told["normalizer"] and joined == sorted(joined) and not told["model"].get("ignore_merges")
+    if not plain:
+        return lambda texts: [np.array(e.ids, np.int32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    ranks = {table[i]: i for i in ids.values() if i not in {t["id"] for t in told["added_tokens"]}}
+    fast = tiktoken.Encoding("a", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [np.array(fast.encode_ordinary(t), np.int32) for t in texts]
+
+
 class Aligner:
     """What a task remembers: units, their group strings and sizes here, their linked pairs in DuckDB."""
 
     def __init__(self, a: str = MODEL_A, b: str = MODEL_B, remembered: int = REMEMBERED):
-        self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
-        self.a.encode_special_tokens = True
-        self.a_bytes, self.b_bytes = bytes_of_a(self.a), bytes_of_b(self.b)
+        model, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
+        model.encode_special_tokens = True
+        self.a_bytes, self.b_bytes = bytes_of_a(model), bytes_of_b(self.b)
+        self.encode_a = encoder_of_a(model, self.a_bytes)
+        self.lengths = [np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
+        # a token with what stands behind it: within its group, and at its group's end
+        self.shown = [np.array([f"{i}{sign}" for sign in signs for i in range(len(table))], object) for table, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))]
         if any(re.search(rf"[^{MARK}]{MARK}", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())):
             raise ValueError("a piece of B reaches over a space, so texts can't be cut there")
         self.space = self.b.piece_to_id(MARK)
         self.remembered = remembered
-        self.con = duckdb.connect(config={"threads": 1})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
         self.con.execute("CREATE TABLE counts (a INT, b INT, n BIGINT)")
         self.forget()
 
@@ -86,50 +108,66 @@ class Aligner:
         self.sizes = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the bytes are lost
         self.con.execute("CREATE OR REPLACE TABLE unit_pairs (unit INT, a INT, b INT, n BIGINT)")
 
+    def encoded(self, runs: list[list[int]], units: list[str]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(run, A's ids, B's ids) of runs of units, each encoded at once, whose bytes come back; a run whose don't is taken unit by unit."""
+        texts = ["".join(map(units.__getitem__, run)) for run in runs]
+        a, b = self.encode_a(texts), self.b.encode([t[1:] for t in texts], num_threads=1)
+        out, again = [], []
+        for run, t, x, y in zip(runs, texts, a, b, strict=True):
+            y = [self.space] if t == " " else y
+            if b"".join(map(self.a_bytes.__getitem__, x.tolist())) == t.encode() == b"".join(map(self.b_bytes.__getitem__, y)):
+                out.append((run, x, np.array(y, np.int32)))
+            elif len(run) > 1:
+                again += [[k] for k in run]
+        return out + (self.encoded(again, units) if again else [])
+
     def learn(self, units: list[str]) -> None:
         """Encode units and align them."""
         first = len(self.ids)
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = [[self.space] if u == " " else x for u, x in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True)]
-        raw = [u.encode() for u in units]
-        kept = [i for i, r in enumerate(raw) if b"".join(map(self.a_bytes.__getitem__, a[i])) == r == b"".join(map(self.b_bytes.__getitem__, b[i]))]
+        # units that end with a visible character stand one behind the other as in a text
+        inner = [k for k, u in enumerate(units) if "!" <= u[-1] <= "~"]
+        alone = [k for k, u in enumerate(units) if not "!" <= u[-1] <= "~"]
+        done = self.encoded([*(inner[at : at + 400] for at in range(0, len(inner), 400)), *([k] for k in alone)], units)
         sizes = np.zeros((len(units), 5), np.int64)
         sizes[:, 4] = 1
-        sizes[kept, 4] = 0
         text = [""] * len(units)
-        if kept:
-            lay = lambda ids, lengths: {"id": (i := np.fromiter(chain.from_iterable(ids[k] for k in kept), np.int32)), "pos": np.cumsum(lengths[i])}
-            length = lambda table: np.array([len(x) for x in table], np.int64)
-            ends = {"unit": np.array(kept, np.int32), "pos": np.cumsum([len(raw[k]) for k in kept])}
-            for name, columns in (("a_tokens", lay(a, length(self.a_bytes))), ("b_tokens", lay(b, length(self.b_bytes))), ("unit_ends", ends)):
-                self.con.register(name, pa.table(columns))
+        if done:
+            kept = np.concatenate([np.array(run, np.int32) for run, _, _ in done])
+            sizes[kept, 4] = 0
+            ids = [np.concatenate([x[side] for x in done]) for side in (1, 2)]
+            ends = np.cumsum([len(units[k].encode()) for k in kept.tolist()])
+            for name, x, length in zip(("a_tokens", "b_tokens"), ids, self.lengths, strict=True):
+                self.con.register(name, pa.table({"id": x, "pos": np.cumsum(length[x])}))
+            self.con.register("unit_ends", pa.table({"unit": kept + np.int32(first), "pos": ends}))
             self.con.execute(
                 """
                 CREATE OR REPLACE TEMP TABLE cuts AS SELECT a.pos, row_number() OVER (ORDER BY a.pos) AS g FROM a_tokens a JOIN b_tokens b ON a.pos = b.pos;
                 CREATE OR REPLACE TEMP TABLE ga AS SELECT a.id, a.pos, c.g FROM a_tokens a ASOF JOIN cuts c ON a.pos <= c.pos;
                 CREATE OR REPLACE TEMP TABLE gb AS SELECT b.id, b.pos, c.g FROM b_tokens b ASOF JOIN cuts c ON b.pos <= c.pos;
-                CREATE OR REPLACE TEMP TABLE of_unit AS SELECT c.g, c.pos, u.unit FROM cuts c ASOF JOIN unit_ends u ON c.pos <= u.pos
+                CREATE OR REPLACE TEMP TABLE of_unit AS SELECT c.g, c.pos, u.unit FROM cuts c ASOF JOIN unit_ends u ON c.pos <= u.pos;
+                INSERT INTO unit_pairs SELECT u.unit, ga.id, gb.id, count(*) FROM ga JOIN gb ON ga.g = gb.g JOIN of_unit u ON u.g = ga.g GROUP BY ALL
                 """
             )
-            self.con.execute(
-                f"INSERT INTO unit_pairs SELECT u.unit + {first}, ga.id, gb.id, count(*) FROM ga JOIN gb ON ga.g = gb.g JOIN of_unit u ON u.g = ga.g GROUP BY ALL"
-            )
-            made = self.con.sql(
+            # running sums over the groups; a unit's are the differences at its end
+            running = self.con.sql(
                 """
-                WITH x AS (SELECT g, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS s FROM ga GROUP BY g),
-                y AS (SELECT g, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS s FROM gb GROUP BY g),
-                z AS (SELECT u.unit, sum(x.n) OVER w AS n_a, sum(y.n) OVER w AS n_b, count(*) OVER w AS n_groups, sum(x.n * y.n) OVER w AS n_links,
-                             string_agg(x.s || '|' || y.s, ';') OVER (PARTITION BY u.unit ORDER BY u.g ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s,
-                             row_number() OVER (PARTITION BY u.unit ORDER BY u.g) AS nth
-                      FROM of_unit u JOIN x ON x.g = u.g JOIN y ON y.g = u.g WINDOW w AS (PARTITION BY u.unit))
-                SELECT unit, CAST(n_a AS BIGINT), CAST(n_b AS BIGINT), n_groups, CAST(n_links AS BIGINT), s FROM z WHERE nth = 1
+                WITH x AS (SELECT g, count(*) AS n FROM ga GROUP BY g), y AS (SELECT g, count(*) AS n FROM gb GROUP BY g),
+                z AS (SELECT c.g, c.pos, sum(x.n) OVER w AS n_a, sum(y.n) OVER w AS n_b, sum(x.n * y.n) OVER w AS n_links FROM cuts c JOIN x ON x.g = c.g JOIN y ON y.g = c.g WINDOW w AS (ORDER BY c.g))
+                SELECT CAST(n_a AS BIGINT), CAST(n_b AS BIGINT), g, CAST(n_links AS BIGINT) FROM z JOIN unit_ends u ON u.pos = z.pos ORDER BY z.pos
                 """
             ).to_arrow_table()
-            at = made.column(0).to_numpy()
-            for k in range(4):
-                sizes[at, k] = made.column(k + 1).to_numpy()
-            for i, s in zip(at.tolist(), made.column(5).to_pylist(), strict=True):
-                text[i] = s
+            sums = np.column_stack([running.column(k).to_numpy() for k in range(4)])
+            sizes[kept, :4] = np.diff(sums, axis=0, prepend=0)
+            groups = [self.con.sql(f"SELECT g FROM {t} ORDER BY pos").to_arrow_table().column(0).to_numpy() for t in ("ga", "gb")]
+            parts = []
+            for x, g, shown in zip(ids, groups, self.shown, strict=True):
+                parts.append(shown[x + np.append(g[1:] != g[:-1], True) * (len(shown) // 2)])
+            order = np.argsort(np.concatenate([2 * groups[0], 2 * groups[1] + 1]), kind="stable")
+            shown = np.concatenate(parts)[order].tolist()
+            at = 0
+            for k, end in zip(kept.tolist(), np.cumsum(sizes[kept, 0] + sizes[kept, 1]).tolist(), strict=True):
+                text[k] = "".join(shown[at:end])
+                at = end
         self.ids.update(zip(units, range(first, first + len(units)), strict=True))
         self.text += text
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -150,7 +188,7 @@ class Aligner:
             if not ids or own[:, 4].any():
                 continue
             sizes[d] = own[:, :4].sum(axis=0)
-            digests[d] = hashlib.sha256(";".join(map(self.text.__getitem__, ids)).encode()).hexdigest()
+            digests[d] = hashlib.sha256("".join(map(self.text.__getitem__, ids))[:-1].encode()).hexdigest()
             of_unit.append(np.array(ids, np.int32))
             of_doc.append(np.full(len(ids), d, np.int32))
         if not of_doc:
