@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.tiles import BLOCK_SHINGLES, Jaccard, Likeness, set_digest, shingle_set, tile_components
+from lectern.llm.tiles import BLOCK_SHINGLES, Jaccard, Likeness, bitmap, set_digest, shingle_set, tile_components
 from lectern.shared import broadcast_if_small, discard, materialise, release_memory
 
 #: Shingles of so many documents of one task at least are candidates for common ones; those with the most documents, at most COMMON, come last in the order.
@@ -87,10 +88,11 @@ def common_shingles(spark: SparkSession, docs: DataFrame, text: str, shingle: in
 
 
 def _sets(docs: DataFrame, text: str, shingle: int, likeness: Likeness, common) -> DataFrame:
-    """docs' id with n, tid (a digest of the set; null for the empty one) and the prefix."""
+    """docs' id with a number of the row, n, tid (a digest of the set; null for the empty one), its bitmap and the prefix."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = common.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -99,10 +101,12 @@ def _sets(docs: DataFrame, text: str, shingle: int, likeness: Likeness, common)
                 tids = [set_digest(s) for s in sets]
                 offsets = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(tids, pa.binary()), lists], names=["id", "n", "tid", "firsts"])
+                numbers = pa.array(np.arange(row, row + len(sets)))
+                row += len(sets)
+                yield pa.RecordBatch.from_arrays([part.column(0), numbers, pa.array([len(s) for s in sets], pa.int64()), pa.array(tids, pa.binary()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()), lists], names=["id", "row", "n", "tid", "bits", "firsts"])
         release_memory()
 
-    return docs.select(F.col("id"), F.col(text).alias("text")).mapInArrow(of, "id long, n long, tid binary, firsts array<long>")
+    return docs.select(F.col("id"), F.col(text).alias("text")).mapInArrow(of, "id long, row long, n long, tid binary, bits binary, firsts array<long>")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", block: int = BLOCK_SHINGLES, seen: int = SEEN, common: int = COMMON) -> DataFrame:
@@ -111,16 +115,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, p
     likeness = Jaccard(percent)
     hot = spark.sparkContext.broadcast(common_shingles(spark, rows, "text", shingle, seen, common))
     sets = materialise(_sets(rows, "text", shingle, likeness, hot), "jaccard-sets")
-    classes = materialise(sets.where("tid is not null").groupBy("tid").agg(F.min("id").alias("first"), F.min("n").alias("n")), "jaccard-classes")
-    postings = sets.where("tid is not null").dropDuplicates(["tid"]).select("tid", F.explode("firsts").alias("h"))
+    classes = materialise(sets.where("tid is not null").groupBy("tid").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("row").alias("row")), "jaccard-classes")
+    # one row of each class, told by its number
+    postings = sets.join(broadcast_if_small(classes.select("row")), "row", "left_semi").select("row", F.explode("firsts").alias("h"))
+    shared = materialise(postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "jaccard-shared")
+    held = materialise(postings.join(broadcast_if_small(shared), "h"), "jaccard-held")
     # tiles of the very same members are one: the least of their shingles
-    seals = postings.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("tid")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "tid")).alias("seal2")).where("m > 1")
-    tiles = materialise(seals.groupBy("m", "seal", "seal2").agg(F.min("h").alias("h")).select("h", "m"), "jaccard-tiles")
-    members = materialise(postings.join(broadcast_if_small(tiles), "h").join(classes.select("tid", "n"), "tid").select(F.col("h").alias("tile"), "m", "tid", "n"), "jaccard-members")
+    seals = held.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("row")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("seal2"))
+    tiles = materialise(seals.groupBy("m", "seal", "seal2").agg(F.min("h").alias("h")).select("h"), "jaccard-tiles")
+    members = materialise(held.join(broadcast_if_small(tiles), "h").join(classes.select("row", "tid", "n"), "row").select(F.col("h").alias("tile"), "tid", "n"), "jaccard-members")
     linked = tile_components(members, rows, sets, lambda t: shingle_set(t, shingle), likeness, block, "jaccard")
     rooted = materialise(classes.join(linked, classes["tid"] == linked["node"], "left").select("tid", "first", F.coalesce("root", "tid").alias("root")), "jaccard-rooted")
     named = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-named")
     of_class = materialise(rooted.join(named, "root").select("tid", "component_id"), "jaccard-of-class")
-    discard(tiles, members, rooted, named)
+    discard(shared, held, tiles, members, rooted, named)
     out: list[Column] = [F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
     return sets.join(of_class, "tid", "left").select(*out)

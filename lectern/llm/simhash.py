@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.tiles import BLOCK_SHINGLES, Cosine, set_digest, tile_components
+from lectern.llm.tiles import BLOCK_SHINGLES, Cosine, bitmap, set_digest, tile_components
 from lectern.operators.components import connected_components
 from lectern.shared import broadcast_if_small, discard, materialise, release_memory
 
@@ -159,9 +159,9 @@ def class_fingerprints(hashes: np.ndarray, size: int = CLASS_SIZE, classes: int
 
 
 def _signatures(text: Column, shingle: int) -> Column:
-    """struct<fp, sid, n, parts array<struct<n,c,fp>>> of each text: fingerprint, digest and size of its set of shingles (no bytes for the empty one), class fingerprints."""
+    """struct<fp, sid, n, parts array<struct<n,c,fp>>> of each text: fingerprint, digest, size and bitmap of its set of shingles (no bytes for the empty one), class fingerprints."""
 
-    @F.pandas_udf("fp long, sid binary, n long, parts array<struct<n:int,c:int,fp:long>>")
+    @F.pandas_udf("fp long, sid binary, n long, bits binary, parts array<struct<n:int,c:int,fp:long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             for at in range(0, len(texts), 500):  # small results: few texts' parts are in memory at once
@@ -169,8 +169,8 @@ def _signatures(text: Column, shingle: int) -> Column:
                 for t in texts.iloc[at : at + 500]:
                     h = shingle_hashes(t, shingle)
                     own = np.unique(h)
-                    rows.append((int(np.uint64(_majority(h)).astype(np.int64)), set_digest(own) or b"", len(own), [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(own)]))
-                yield pd.DataFrame(rows, columns=["fp", "sid", "n", "parts"])
+                    rows.append((int(np.uint64(_majority(h)).astype(np.int64)), set_digest(own) or b"", len(own), bitmap(own).tobytes() if len(own) else b"", [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(own)]))
+                yield pd.DataFrame(rows, columns=["fp", "sid", "n", "bits", "parts"])
         release_memory()
 
     return of(text)
@@ -198,10 +198,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int
     parts = materialise(sets.select("sid", "n", F.explode("parts").alias("p")).select("sid", "n", F.xxhash64("p.n", "p.c", "p.fp").alias("g")).distinct(), "keep-parts")
     # tiles of the very same members are one
     seals = parts.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("seal2")).where("m > 1")
-    tiles = materialise(seals.groupBy("m", "seal", "seal2").agg(F.min("g").alias("g")).select("g", "m"), "keep-tiles")
-    members = materialise(parts.join(broadcast_if_small(tiles), "g").select(F.col("g").alias("tile"), "m", F.col("sid").alias("tid"), "n"), "keep-members")
+    tiles = materialise(seals.groupBy("m", "seal", "seal2").agg(F.min("g").alias("g")).select("g"), "keep-tiles")
+    members = materialise(parts.join(broadcast_if_small(tiles), "g").select(F.col("g").alias("tile"), F.col("sid").alias("tid"), "n"), "keep-members")
     linked = materialise(edges.union(same), "keep-linked")
-    roots = tile_components(members, rows.select("id", "text"), keys.select("id", F.col("sid").alias("tid")), lambda t: np.unique(shingle_hashes(t, shingle)), Cosine(round(100 * similarity)), block, "keep", linked)
+    roots = tile_components(members, rows.select("id", "text"), keys.select("id", F.col("sid").alias("tid"), "bits"), lambda t: np.unique(shingle_hashes(t, shingle)), Cosine(round(100 * similarity)), block, "keep", linked)
     firsts = materialise(keys.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tid")).alias("first")), "keep-firsts")
     winners = materialise(
         firsts.join(roots, firsts["sid"] == roots["node"], "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.tid"), "keep-winners"

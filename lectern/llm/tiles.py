@@ -11,12 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lectern.operators.components import connected_components
 from lectern.shared import broadcast_if_small, discard, materialise, release_memory
@@ -130,27 +133,49 @@ def _elements(texts: DataFrame, make: Callable[[str | None], np.ndarray]) -> Dat
     return texts.select("tid", "text").mapInArrow(of, "tid binary, s binary")
 
 
+class _Tile:
+    """Members of a tile's group by size: which of those before one may be alike, by sizes and bitmaps; pairs count whose larger set is in `band`, of
+    different labels, and of different sides unless there is one only."""
+
+    def __init__(self, sizes: list[int], bitmaps: list[np.ndarray], sides: list[int], bands: list[int], labels: list, band: int, likeness: Likeness, one: bool):
+        n = np.array(sizes)
+        self.order = np.argsort(n, kind="stable")
+        self.n, self.sides, self.bands = n[self.order], np.array(sides)[self.order], np.array(bands)[self.order]
+        words = min(map(len, bitmaps))
+        self.bits = np.stack([_folded(bitmaps[i], words) for i in self.order])
+        numbers = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+        self.root = np.array([numbers[labels[i]] for i in self.order])
+        self.band, self.likeness, self.one = band, likeness, one
+
+    def near(self, j: int) -> np.ndarray:
+        n = self.n
+        low = int(np.searchsorted(n, self.likeness.smallest(int(n[j]))))
+        if self.bands[j] != self.band or low >= j:
+            return np.zeros(0, np.int64)
+        near = np.flatnonzero((self.root[low:j] != self.root[j]) & (self.one | (self.sides[low:j] != self.sides[j]))) + low
+        if not len(near):
+            return near
+        apart = np.bitwise_count(self.bits[near] ^ self.bits[j]).sum(axis=1)
+        return near[self.likeness.met((n[near] + n[j] - apart) / 2, n[near], n[j])]  # at most that overlap
+
+
+def tile_marks(sizes: list[int], bitmaps: list[np.ndarray], sides: list[int], bands: list[int], labels: list, band: int, likeness: Likeness, one: bool) -> list[int]:
+    """The members of which some other may be alike, as far as bitmaps tell."""
+    tile, marked = _Tile(sizes, bitmaps, sides, bands, labels, band, likeness, one), set()
+    for j in range(1, len(sizes)):
+        near = tile.near(j)
+        if len(near):
+            marked.add(j)
+            marked.update(near.tolist())
+    return [int(tile.order[i]) for i in sorted(marked)]
+
+
 def tile_edges(sets: list[np.ndarray], sides: list[int], bands: list[int], labels: list, band: int, likeness: Likeness, one: bool) -> Iterator[tuple[int, int]]:
-    """Edges (i, j) enough to connect what links in a tile: pairs whose larger set is in `band`, of different labels, and of different sides unless there is one only."""
-    n = np.array([len(s) for s in sets])
-    order = np.argsort(n, kind="stable")
-    n, sides, bands = n[order], np.array(sides)[order], np.array(bands)[order]
-    words = min(len(bitmap(sets[order[0]])), len(bitmap(sets[order[-1]])))
-    bits = np.stack([_folded(bitmap(sets[i]), words) for i in order])
-    numbers = {x: k for k, x in enumerate(dict.fromkeys(labels))}
-    root = np.array([numbers[labels[i]] for i in order])
+    """Edges (i, j) enough to connect what is alike in a tile's group, exactly."""
+    tile = _Tile([len(s) for s in sets], [bitmap(s) for s in sets], sides, bands, labels, band, likeness, one)
+    n, root, order = tile.n, tile.root, tile.order
     for j in range(1, len(order)):
-        if bands[j] != band:
-            continue
-        low = int(np.searchsorted(n, likeness.smallest(int(n[j]))))
-        if low >= j:
-            continue
-        near = np.flatnonzero((root[low:j] != root[j]) & (one | (sides[low:j] != sides[j]))) + low
-        if not len(near):
-            continue
-        apart = np.bitwise_count(bits[near] ^ bits[j]).sum(axis=1)
-        near = near[likeness.met((n[near] + n[j] - apart) / 2, n[near], n[j])]  # at most that overlap
-        for i in near[::-1]:
+        for i in tile.near(j)[::-1]:
             if root[i] == root[j]:
                 continue
             overlap = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
@@ -159,37 +184,57 @@ def tile_edges(sets: list[np.ndarray], sides: list[int], bands: list[int], label
                 yield int(order[i]), int(order[j])
 
 
-def _compared(rows: DataFrame, likeness: Likeness) -> DataFrame:
-    """rows(tile, band, x, y, side, own_band, tid, label, s), a group for each (tile, band, x, y) -> edges (u, v). A group is at most two blocks; rows stream in groups' order."""
-    keys = ["tile", "band", "x", "y"]
+_KEYS = ["tile", "band", "x", "y"]
+
+
+def _grouped(rows: DataFrame, columns: list[str], work: Callable[[tuple, list[tuple]], Iterator[tuple[Any, Any]]], schema: str) -> DataFrame:
+    """What work(key, members' columns) gives for each group (tile, band, x, y) of two members or more. A group is at most two blocks; rows stream in groups' order."""
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
 
-        def edges() -> list[tuple[bytes, bytes]]:
-            if len(group) < 2:
-                return []
-            sides, bands, tids, labels, sets = zip(*group, strict=True)
-            return [(tids[i], tids[j]) for i, j in tile_edges([np.frombuffer(s, np.uint64) for s in sets], list(sides), list(bands), list(labels), key[1], likeness, key[2] == key[3])]
-
-        def made(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            u, v = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
 
         for batch in batches:
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:4] != key:
-                    found += edges()
+                    if len(group) > 1:
+                        found += work(key, group)
                     key, group = row[:4], []
                 group.append(row[4:])
             if found:
                 yield made(found)
-        if found := edges():
+        if len(group) > 1 and (found := list(work(key, group))):
             yield made(found)
         release_memory()
 
-    return rows.select(*keys, "side", "own_band", "tid", "label", "s").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(of, "u binary, v binary")
+    return rows.select(*_KEYS, *columns).repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(of, schema)
+
+
+def _screened(rows: DataFrame, likeness: Likeness) -> DataFrame:
+    """rows(tile, band, x, y, side, own_band, tid, label, n, bits) -> (tile, tid) that may have something alike in the tile."""
+    kind = rows.schema["tile"].dataType.simpleString()
+
+    def work(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        sides, bands, tids, labels, sizes, bits = zip(*group, strict=True)
+        for i in tile_marks(list(sizes), [np.frombuffer(b, np.uint64) for b in bits], list(sides), list(bands), list(labels), key[1], likeness, key[2] == key[3]):
+            yield key[0], tids[i]
+
+    return _grouped(rows, ["side", "own_band", "tid", "label", "n", "bits"], work, f"tile {kind}, tid binary").distinct()
+
+
+def _compared(rows: DataFrame, likeness: Likeness) -> DataFrame:
+    """rows(tile, band, x, y, side, own_band, tid, label, s) -> edges (u, v)."""
+
+    def work(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        sides, bands, tids, labels, sets = zip(*group, strict=True)
+        for i, j in tile_edges([np.frombuffer(s, np.uint64) for s in sets], list(sides), list(bands), list(labels), key[1], likeness, key[2] == key[3]):
+            yield tids[i], tids[j]
+
+    return _grouped(rows, ["side", "own_band", "tid", "label", "s"], work, "u binary, v binary")
 
 
 def _blocked(members: DataFrame, likeness: Likeness, block: int) -> DataFrame:
@@ -203,34 +248,53 @@ def _blocked(members: DataFrame, likeness: Likeness, block: int) -> DataFrame:
     told = banded.join(broadcast_if_small(sums), ["tile", "band"])
     mine = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("x"), F.greatest(mine, o).alias("y")))
-    return told.withColumn("p", F.explode(pairs)).select("tile", "band", "p.x", "p.y", mine.alias("side"), "own_band", "tid", "label")
+    return told.withColumn("p", F.explode(pairs)).select("tile", "band", "p.x", "p.y", mine.alias("side"), "own_band", "tid", "label", "n")
 
 
 def _links(members: DataFrame, elements: DataFrame, likeness: Likeness, block: int, name: str) -> DataFrame:
-    dealt = _blocked(members, likeness, block).join(elements, "tid")
-    return materialise(_compared(dealt, likeness), name)
+    dealt = materialise(_blocked(members, likeness, block), f"{name}-dealt")
+    out = materialise(_compared(elements.join(broadcast_if_small(dealt), "tid"), likeness), name)
+    discard(dealt)
+    return out
+
+
+def _screen(members: DataFrame, bits: DataFrame, likeness: Likeness, block: int, name: str) -> DataFrame:
+    """A table (tile, m, tid) of members(tile, tid, n, label) that may be like something of another label in the tile; of tiles in which the same are left, one. A block of bitmaps holds as many bytes as one of sets."""
+    dealt = materialise(_blocked(members, likeness, 40 * block), f"{name}-dealt")
+    marked = materialise(_screened(bits.join(broadcast_if_small(dealt), "tid"), likeness), f"{name}-marked")
+    sealed = marked.groupBy("tile").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("tid")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "tid")).alias("seal2"))
+    one = materialise(sealed.groupBy("m", "seal", "seal2").agg(F.min("tile").alias("tile")).select("tile", "m"), f"{name}-one")
+    out = materialise(marked.join(broadcast_if_small(one), "tile"), name)
+    discard(dealt, marked, one)
+    return out
 
 
 def tile_components(members: DataFrame, rows: DataFrame, keyed: DataFrame, make: Callable[[str | None], np.ndarray], likeness: Likeness, block: int = BLOCK_SHINGLES, name: str = "tiles", linked: DataFrame | None = None) -> DataFrame:
     """(node, root) over linked(u, v) and what is alike within tiles, exactly.
 
-    members(tile, m, tid, n): the tiles' different sets by tid, the digest of the set (of n elements; m: the tile's size); rows(id, text) and keyed(id, tid): where to find them; make: the sorted distinct elements of a text. Two rounds: first each set
-    goes to its largest tile alone, then all tiles whose members are not of one component yet compare what is in different ones.
+    members(tile, tid, n): the tiles' different sets by tid, the digest of the set (of n elements); rows(id, text) and keyed(id, tid, bits): where to find them and their
+    bitmaps; make: the sorted distinct elements of a text. First the bitmaps alone, which are some fortieth of the sets, tell who has anyone in a tile that may be alike; only these sets are made
+    and sent. Then two rounds: each set goes to the largest tile it has left, and then all tiles whose members are not of one component yet, screened
+    again, compare what is in different ones.
     """
-    met = materialise(members.groupBy("tid").agg(F.max_by("tile", F.struct("m", "tile")).alias("tile"), F.min("n").alias("n")), f"{name}-met")
-    wanted = keyed.join(broadcast_if_small(met.select("tid")), "tid", "left_semi").groupBy("tid").agg(F.min("id").alias("of"))
-    wanted = materialise(wanted, f"{name}-wanted")
+    bits = keyed.groupBy("tid").agg(F.min("bits").alias("bits"))  # equal sets have equal ones
+    bits = materialise(bits.join(broadcast_if_small(materialise(members.select("tid").distinct(), f"{name}-some")), "tid", "left_semi"), f"{name}-bits")
+    left = _screen(members.withColumn("label", F.col("tid")), bits, likeness, block, f"{name}-screened")
+    left = materialise(left.join(members.select("tile", "tid", "n"), ["tile", "tid"]), f"{name}-left")
+    met = materialise(left.groupBy("tid").agg(F.max_by("tile", F.struct("m", "tile")).alias("tile"), F.min("n").alias("n")), f"{name}-met")
+    wanted = materialise(keyed.join(broadcast_if_small(met.select("tid")), "tid", "left_semi").groupBy("tid").agg(F.min("id").alias("of")), f"{name}-wanted")
     few = broadcast_if_small(wanted)
-    found = _elements(rows.join(few, rows["id"].eqNullSafe(few["of"])).select("tid", "text"), make)
-    # of rows of one id only those whose set it is
-    elements = materialise(found.dropDuplicates(["tid"]), f"{name}-elements")
+    # rows of one id and text give a set twice, which then is in its tiles twice, under one label
+    elements = materialise(_elements(rows.join(few, rows["id"].eqNullSafe(few["of"])).select("tid", "text"), make), f"{name}-elements")
     first = _links(met.select("tile", "tid", "n", F.col("tid").alias("label")), elements, likeness, block, f"{name}-first")
     if linked is not None:
         first = materialise(first.union(linked), f"{name}-first")
     roots = materialise(connected_components(first, name), f"{name}-roots")
-    labelled = materialise(members.join(roots, members["tid"] == roots["node"], "left").select("tile", "tid", "n", F.coalesce("root", "tid").alias("label")), f"{name}-labelled")
+    labelled = materialise(left.join(roots, left["tid"] == roots["node"], "left").select("tile", "tid", "n", F.coalesce("root", "tid").alias("label")), f"{name}-labelled")
     mixed = materialise(labelled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("tile"), f"{name}-mixed")
-    second = _links(labelled.join(broadcast_if_small(mixed), "tile"), elements, likeness, block, f"{name}-second")
+    open_ones = materialise(labelled.join(broadcast_if_small(mixed), "tile"), f"{name}-open")
+    again = _screen(open_ones, bits, likeness, block, f"{name}-again")
+    second = _links(open_ones.join(again.drop("m"), ["tile", "tid"]), elements, likeness, block, f"{name}-second")
     out = materialise(connected_components(first.union(second), name), f"{name}-linked")
-    discard(met, wanted, elements, first, second, roots, labelled, mixed)
+    discard(bits, left, open_ones, again, met, wanted, elements, first, second, roots, labelled, mixed)
     return out
