@@ -202,11 +202,13 @@ def store(spark: SparkSession, docs: DataFrame, path: str, id: str = "doc_id", t
 
 def _rebuilt(body: bytes, chunks: list[dict] | None, shared: dict[bytes, bytes]) -> bytes:
     """The file: its chunks in order, its own from the body, the others by digest. Without a list the body is the file."""
-    if not shared:
+    if not chunks:
         return body
     at, pieces = 0, []
     for c in chunks:
         if c["shared"]:
+            if c["digest"] not in shared:
+                raise ValueError(f"shared chunk {c['digest'].hex()} is missing")
             pieces.append(shared[c["digest"]])
         else:
             pieces.append(body[at : at + c["bytes"]])
@@ -226,7 +228,7 @@ def read_back(media: MediaStore) -> DataFrame:
         for batch in batches:
             rows = []
             for address, sha, n, chunks, body, parts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                file = _rebuilt(body, chunks, {p["digest"]: p["bytes"] for p in parts or ()})
+                file = _rebuilt(body, chunks, {p["digest"]: p["bytes"] for p in parts or () if p["bytes"] is not None})
                 if hashlib.sha256(file).digest() != sha:
                     raise ValueError(f"stored media {address.hex()} can't be rebuilt")
                 payload = from_wave(file)
@@ -238,8 +240,8 @@ def read_back(media: MediaStore) -> DataFrame:
     order = ["id", "object", "media_sha256", "n_bytes", "chunks", "body", "parts"]
     plain = files.where(~shares).withColumns({"chunks": F.lit(None).cast(_CHUNKS), "parts": F.lit(None).cast("array<struct<digest:binary,bytes:binary>>")})
     asked = files.where(shares).select("object", F.explode(F.expr("array_distinct(transform(filter(chunks, c -> c.shared), c -> c.digest))")).alias("digest")).distinct()
-    parts = asked.join(media.shared(), "digest").groupBy("object").agg(F.collect_list(F.struct("digest", "bytes")).alias("parts"))
-    mixed = files.where(shares).join(parts, "object").select(*order)
+    parts = asked.join(media.shared(), "digest", "left").groupBy("object").agg(F.collect_list(F.struct("digest", "bytes")).alias("parts"))
+    mixed = files.where(shares).join(parts, "object", "left").select(*order)
     out = f"id {media.id_type}, object binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
     return plain.select(*order).union(mixed).mapInArrow(of, out)
 

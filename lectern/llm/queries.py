@@ -22,13 +22,22 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(S.as_text(base), 256).alias("base_sha256"), S.as_text(F.col("findings")).alias("spans"))
 
 
-def _op1_sql() -> str:
-    from lectern.llm import secret_ledger as S
+# The contract's three kinds as it words them (kind, pattern, group, least characters), and the formats of the further ones.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("forge", r"\bgh[opusr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("webtoken", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+)
 
+
+def _op1_sql() -> str:
     part = """
 SELECT doc_id, {i} AS rank, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{p}') AS gaps,
        regexp_extract_all(t, '{p}', 0) AS wholes, regexp_extract_all(t, '{p}', {g}) AS parts FROM d"""
-    parts = " UNION ALL ".join(part.format(i=i, kind=r.kind, least=r.least, g=r.group, p=r.pattern.replace("'", "''")) for i, r in enumerate(S.RULES))
+    parts = " UNION ALL ".join(part.format(i=i, kind=kind, least=least, g=g, p=pattern.replace("'", "''")) for i, (kind, pattern, g, least) in enumerate(_SECRETS))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({parts}),
 i AS (SELECT *, unnest(range(1, len(wholes) + 1)) AS i FROM k),
@@ -36,7 +45,7 @@ s AS (SELECT doc_id, rank, kind, list_sum(list_transform(gaps[1:i], lambda x: le
              length(wholes[i]) AS n FROM i WHERE length(parts[i]) >= least),
 t AS (SELECT *, kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + n AS BIGINT) AS span FROM s)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-       sha256(coalesce(string_agg(span, ',' ORDER BY b, rank) FILTER (rank < {len(S.BASE_RULES)}), '')) AS base_sha256,
+       sha256(coalesce(string_agg(span, ',' ORDER BY b, rank) FILTER (rank < 3), '')) AS base_sha256,
        coalesce(string_agg(span, ',' ORDER BY b, rank), '') AS spans
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY d.doc_id"""
 
@@ -179,7 +188,8 @@ def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP13_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w),
 c AS (SELECT s, len(s) AS n, min(doc_id) AS first FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s),

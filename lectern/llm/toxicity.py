@@ -127,7 +127,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", positives: int = 2000, unlabelled: int = 6000) -> Model:
-    """Fit on confirmed toxic rows (label 1) and on texts of docs whose label isn't looked at.
+    """Fit on confirmed toxic rows (label 1) and on texts of docs whose label isn't looked at: about so many different texts each (at most twice as many), drawn by a hash of the text. Copies take one place.
 
     labels may be wider or narrower than docs; rows of null labels or ids are no labels. The prior is the
     share of label 1 among all labels.
@@ -144,15 +144,16 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         return pa.array([features(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
     def sample(rows: DataFrame, most: int, of: int) -> list[np.ndarray]:
-        """About `most` texts of `of`, and their copies; features are computed of those alone, and only they move."""
-        part = rows.where(draw < int(range_ * min(1.0, most / max(of, 1)))).select(draw.alias("d"), "text")
+        """About `most` different texts of about `of`; features are computed of those alone, and only they move."""
+        part = rows.where(draw < int(range_ * min(1.0, most / max(of, 1)))).select(draw.alias("d"), "text").distinct()
         few = part.select("d", ids("text").alias("w")).orderBy("d", "w").limit(2 * most)
         return [np.frombuffer(r["w"], np.int32) for r in few.toLocalIterator()]
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
     bad = own.where("toxic = 1").select("id").where(F.pmod(F.xxhash64(F.lit("toxicity bound"), "id"), F.lit(range_)) < int(range_ * min(1.0, 2 * positives / ones)))
-    bad = F.broadcast(bad)  # about 2 * positives ids
-    return fit(sample(rows.join(bad, "id", "left_semi"), positives, min(ones, 2 * positives)), sample(rows.select("text"), unlabelled, rows.count()), min(max(ones / n, 1e-4), 0.9))
+    found = rows.join(F.broadcast(bad), "id", "left_semi")  # about 2 * positives ids
+    different = lambda of: of.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
+    return fit(sample(found, positives, different(found)), sample(rows.select("text"), unlabelled, different(rows)), min(max(ones / n, 1e-4), 0.9))
 
 
 def scores(spark: SparkSession, model: Model, text: Column) -> Column:

@@ -131,7 +131,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, root: str, id: str = "
 
 
 def read_records(selected: DataFrame) -> DataFrame:
-    """(id, url, record_type, refers_to, digest, payload) of the selected index rows, payload null for revisits."""
+    """(id, url, record_type, record_id, refers_to_id, digest, payload) of the selected index rows: id and url as the index has them, the rest as the records say; payload null for revisits."""
 
     def ranges(offsets: list[int], lengths: list[int], files: list[str]) -> Iterator[tuple[int, int]]:
         begin = 0
@@ -151,32 +151,37 @@ def read_records(selected: DataFrame) -> DataFrame:
                     at, path = _open(files[a])
                     handle, name = at.open_input_file(path), files[a]
                 block = handle.read_at(offsets[b - 1] + lengths[b - 1] - offsets[a], offsets[a])
-                types, digests, payloads = [], [], []
+                types, names, refers, digests, payloads = [], [], [], [], []
                 for i in range(a, b):
                     fields, payload = parse(block[offsets[i] - offsets[a] : offsets[i] - offsets[a] + lengths[i]])
                     types.append(fields["warc-type"])
+                    names.append(fields["warc-record-id"])
+                    refers.append(fields.get("warc-refers-to"))
                     digests.append(fields["warc-payload-digest"].removeprefix("sha256:"))
                     payloads.append(payload if fields["warc-type"] == "response" else None)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("url"), pa.array(types, pa.string()), part.column("refers_to"), pa.array(digests, pa.string()), pa.array(payloads, pa.binary())], ["id", "url", "record_type", "refers_to", "digest", "payload"]
+                    [part.column("id"), part.column("url"), *[pa.array(c, pa.string()) for c in (types, names, refers, digests)], pa.array(payloads, pa.binary())], ["id", "url", "record_type", "record_id", "refers_to_id", "digest", "payload"]
                 )
         if handle is not None:
             handle.close()
 
     kind = selected.schema["id"].dataType.simpleString()
-    dealt = selected.select("id", "url", "file", "offset", "length", "refers_to").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(of, f"id {kind}, url string, record_type string, refers_to {kind}, digest string, payload binary")
+    dealt = selected.select("id", "url", "file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(of, f"id {kind}, url string, record_type string, record_id string, refers_to_id string, digest string, payload binary")
 
 
 def archive_report(spark: SparkSession, pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 100) -> DataFrame:
     """Archive all pages, read every record back, and tell what was read; a revisit's payload is its response's."""
     index = write_archives(spark, pages, new_path(spark, "warc"), id, url, payload, least)
-    read = read_records(index).select("id", "record_type", "refers_to", "digest", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    read = read_records(index).select("id", "record_type", "record_id", "refers_to_id", "digest", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     read = materialise(read, "warc-read")
     if not read.where("record_type = 'response' and not payload_digest <=> digest").isEmpty():
         raise ValueError("a payload isn't what its record's digest says")
-    whole = read.where("record_type = 'response'").select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    source = materialise(whole.select(F.col("id").alias("refers_to"), F.col("payload_digest").alias("digest"), "payload_bytes", "payload_digest").distinct(), "warc-source")
-    again = read.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(source, ["refers_to", "digest"]).select(*whole.columns)
-    return whole.union(again).withColumnRenamed("id", id)
+    none = F.lit(None).cast(read.schema["id"].dataType).alias("refers_to")
+    whole = read.where("record_type = 'response'").select("id", "payload_bytes", "payload_digest", "record_type", none)
+    source = read.where("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("record_id").alias("refers_to_id"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to_id"])
+    again = read.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(source, "refers_to_id", "left")
+    lost = F.col("payload_digest").isNull() | (F.col("payload_digest") != F.col("digest"))
+    again = again.withColumn("payload_digest", F.when(lost, F.raise_error(F.lit("a revisit refers to no response of its digest"))).otherwise(F.col("payload_digest")))
+    return whole.union(again.select(*whole.columns)).withColumnRenamed("id", id)

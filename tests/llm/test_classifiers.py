@@ -164,3 +164,15 @@ def test_toxicity_without_examples(spark):
     assert T.train(docs, labels).score("a") < 0.5 and T.train(docs.limit(0), labels.limit(0)).score("") < 0.5
     bad = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
     assert 0 <= T.train(docs, bad).score("a") <= 1
+
+
+def test_copies_take_one_place_of_the_sample(spark, monkeypatch):
+    """Half of all rows are copies of one text: the unlabelled sample still holds about as many different texts as it is asked for."""
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda bad, rest, prior, *a: seen.append((bad, rest)))
+    rows = [(i, "the copy" if i % 2 else f"text {i} is one of its own") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(4000)], "doc_id long, toxic int")
+    T.train(docs, labels, positives=50, unlabelled=600)
+    bad, rest = seen[0]
+    assert 450 < len(rest) <= 800 and len({x.tobytes() for x in rest}) == len(rest) and 20 <= len(bad) <= 100

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import media_chunks as M
-from lectern.shared import drop_shared
+from lectern.shared import drop_shared, new_path
 
 
 def texts():
@@ -127,3 +127,15 @@ def test_repeats_nulls_and_no_rows(spark):
     got = M.media_features(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == [(0, 0), (0, 4), (1, 4), (1, 4), (2, 1), (2, 1)]
     assert M.media_features(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_missing_chunks_raise(spark):
+    long = "".join(f"{i} " for i in range(40_000))
+    docs = spark.createDataFrame([(0, long), (1, long + "a"), (2, long + "b"), (3, "own"), (4, "b" + long)], "doc_id long, text string")
+    media = M.store(spark, docs, new_path(spark, "media-store"))
+    assert media.shared().count() > 0 and M.read_back(media).count() == 5
+    some = media.shared().orderBy("digest").limit(1)
+    for left in (media.shared().limit(0), media.shared().join(some, "digest", "left_anti")):
+        lost = type("Lost", (), {"containers": lambda self: media.containers(), "shared": lambda self, left=left: left, "id_type": media.id_type})()
+        with pytest.raises(Exception, match="is missing"):
+            M.read_back(lost).collect()
