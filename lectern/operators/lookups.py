@@ -100,12 +100,12 @@ def first_timed_on_page(rects: DataFrame, spans: DataFrame) -> DataFrame:
     return rects.join(live, "span_id").groupBy("page_index").agg(F.min_by("span_id", at).alias("span_id"), F.min_by("clip_begin_ms", at).alias("clip_begin_ms"))
 
 
-def fallback_lookup(rows: DataFrame, table: DataFrame, probes: list[Column], keys: list[Column], value: str, order: str, name: str = "found") -> DataFrame:
-    """rows with the value whose any key equals the first probe that has one; of values with one key the last by order wins."""
-    index = table.select(F.explode(F.array_distinct(F.array(*keys))).alias("__key"), value, order).groupBy("__key").agg(F.max_by(value, order).alias("__value"))
+def fallback_lookup(rows: DataFrame, table: DataFrame, probes: list[Column], keys: list[Column], value: str, order: str, name: str = "found", by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the value whose any key equals the first probe that has one; of values with one key the last by order wins. by: columns, as the book, that both sides must agree in."""
+    index = table.select(*by, F.explode(F.array_distinct(F.array(*keys))).alias("__key"), value, order).groupBy(*by, "__key").agg(F.max_by(value, order).alias("__value"))
     out, columns = rows, rows.columns
     for i, probe in enumerate(probes):
         out = out.withColumn(f"__probe{i}", probe)
     for i in range(len(probes)):
-        out = out.join(index.select(F.col("__key").alias(f"__probe{i}"), F.col("__value").alias(f"__value{i}")), f"__probe{i}", "left")
+        out = out.join(index.select(*by, F.col("__key").alias(f"__probe{i}"), F.col("__value").alias(f"__value{i}")), [*by, f"__probe{i}"], "left")
     return out.select(*columns, F.coalesce(*[F.col(f"__value{i}") for i in range(len(probes))]).alias(name))

@@ -84,8 +84,8 @@ def with_fallback(entries: DataFrame, chapters: DataFrame, book: str = "book_id"
     return entries.unionByName(bare.select(book, n.alias("position"), F.col("chapter_id").cast("string").alias("title"), "page_index", F.lit(0).alias("level")))
 
 
-def chapter_of_targets(targets: DataFrame, chapters: DataFrame, path: str = "path") -> DataFrame:
-    """targets with the chapter whose path it is: exactly, else in lower case, else decoded, else both; the last chapter wins."""
+def chapter_of_targets(targets: DataFrame, chapters: DataFrame, path: str = "path", by: tuple[str, ...] = ()) -> DataFrame:
+    """targets with the chapter whose path it is: exactly, else in lower case, else decoded, else both; the last chapter wins. by: columns that tell books apart, as paths hold in one book."""
     p, q = F.col(path), F.col("xhtml_path")
     ways = lambda c: [c, F.lower(c), paths.percent_decode(c), F.lower(paths.percent_decode(c))]
-    return fallback_lookup(targets, chapters, ways(p), ways(q), "chapter_id", "ord", "chapter_id")
+    return fallback_lookup(targets, chapters, ways(p), ways(q), "chapter_id", "ord", "chapter_id", by)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import paths
 from lectern.operators import align, inspect, lookups, spans, toc, validate
+from lectern.operators.ordering import Ranged
 from lectern.shared import materialise
 from lectern.sources import archives, books, bundle
 
@@ -23,20 +24,22 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
 def compile_books(spark: SparkSession, path: str, rects: DataFrame | None = None, runs: DataFrame | None = None, tracks: DataFrame | None = None, strict: bool = False) -> dict[str, DataFrame]:
     """Tables of all books in the archives at path. A layout engine's rects(archive, chapter_id, page_index, span_id, span_pos, x, y, w, h) and runs(archive, span_id), and a probe's tracks(archive, href, duration_ms), are inputs.
 
-    Every table is keyed by archive: ids hold in one book. strict: issues of overlay targets raise an error before
-    anything else is made; without rects and runs, those of the references alone.
+    Every table is keyed by archive: ids hold in one book. strict: a book without overlays, and issues of overlay targets, raise an error before
+    anything else is made; without rects and runs, issues of the references alone. Otherwise both are tables, `failures` and `issues`, and the other books are compiled.
     """
     entries = _texts(spark, path)
     packs = materialise(books.packages(entries), "books-packages")
     told = materialise(books.chapters(packs), "books-chapters")
     texts = books.chapter_texts(entries, told)
     own = books.overlay_spans(entries, told)
-    own = own.withColumn("ord", F.row_number().over(Window.partitionBy("archive").orderBy("chapter_ord", "ord")) - 1)
-    own = materialise(own, "books-spans")
+    numbered = Ranged(own, "archive", "chapter_ord", "ord").number("__ord")
+    own = materialise(numbered.withColumn("ord", F.col("__ord").cast("int")).drop("__ord"), "books-spans")
+    failures = books.without_overlays(packs, told)
     issues = validate.target_issues(own, told, books.fragments(texts), rects, runs, by=("archive",))
     if strict:
+        books.require_overlays(packs.select("archive").join(told.select("archive", "smil_path"), "archive", "left"))
         validate.require_none(issues, "overlay targets")
-    out = {"packages": packs, "chapters": told, "spans": own, "texts": books.tagged_chapters(texts, own), "issues": issues}
+    out = {"packages": packs, "chapters": told, "spans": own, "texts": books.tagged_chapters(texts, own), "issues": validate.format_issue(issues), "failures": failures, "styles": books.publisher_styles(texts)}
     documents = texts.select("archive", F.col("xhtml_path").alias("file_path"), "chapter_id", "html")
     sheets = entries.where(F.lower("path").endswith(".css")).select("archive", F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("css"))
     out["feature_warnings"] = validate.warning_order(validate.feature_warnings(documents, sheets, books.package_signs(entries, packs), by=("archive",)), ("archive",))
@@ -49,7 +52,7 @@ def compile_books(spark: SparkSession, path: str, rects: DataFrame | None = None
         out["spans"] = spans.apply_audio_offsets(own, out["audio_offsets"].withColumnRenamed("href", "audio_src"), ("archive", "audio_src"))
     if rects is not None:
         first = rects.groupBy("archive", "chapter_id").agg(F.min("page_index").alias("page_index"))
-        nav = books.navigation(entries, packs).join(told.select("archive", F.col("xhtml_path").alias("path"), "chapter_id"), ["archive", "path"], "left").join(first, ["archive", "chapter_id"], "left")
+        nav = toc.chapter_of_targets(books.navigation(entries, packs), told, by=("archive",)).join(first, ["archive", "chapter_id"], "left")
         flat = toc.flatten(nav.withColumnRenamed("archive", "book_id"))
         out["toc"] = toc.with_fallback(flat, told.join(first, ["archive", "chapter_id"], "left").withColumnRenamed("archive", "book_id"))
     return out

@@ -91,11 +91,17 @@ def overlay_spans(entries: DataFrame, told: DataFrame) -> DataFrame:
     return rows.select("archive", "chapter_ord", "chapter_id", F.posexplode("spans").alias("ord", "s")).select("archive", "chapter_ord", "ord", "chapter_id", "s.*")
 
 
+def without_overlays(books: DataFrame, told: DataFrame) -> DataFrame:
+    """(archive, reason) of books none of whose chapters has an overlay."""
+    some = told.where("smil_path is not null").select("archive").distinct()
+    return books.select("archive").distinct().join(some, "archive", "left_anti").select("archive", F.lit("no chapter with an overlay").alias("reason"))
+
+
 def require_overlays(told: DataFrame) -> DataFrame:
     """chapters() that have overlays; a book of which none has any raises an error."""
-    counted = told.groupBy("archive").agg(F.count("smil_path").alias("n")).where("n = 0").head(1)
-    if counted:
-        raise ValueError(f"no chapter with an overlay: {counted[0]['archive']}")
+    bare = without_overlays(told, told).orderBy("archive").head(1)
+    if bare:
+        raise ValueError(f"{bare[0]['reason']}: {bare[0]['archive']}")
     return told.where("smil_path is not null")
 
 

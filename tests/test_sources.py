@@ -204,3 +204,22 @@ def test_transcripts(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"text": "Hello big world", "sentences": [{"text": "", "start": 0, "end": 1, "tokens": [{"text": " hello", "start": 0, "end": 1}, {"text": "nope", "start": 1, "end": 2}, {"text": "world", "start": 2, "end": 3}]}]}))
     got = transcripts.read_recognised(spark, str(tmp_path / "r.json"), "x.mp3").orderBy("ord").collect()
     assert [(r.text, r.start_off, r.end_off) for r in got] == [("hello", 0, 5), ("world", 10, 15)]
+
+
+def test_targets_of_two_books_and_books_without_overlays(spark, tmp_path):
+    """Targets that differ in case or encoding find their own book's chapter; a book without overlays is named, and the other is compiled."""
+    nav = NAV.replace("text/c1.xhtml", "TEXT/C1.xhtml").replace("text/c2b.xhtml", "text/c2%62.xhtml")
+    base = {"META-INF/container.xml": CONTAINER, "OPS/text/c2b.xhtml": "<html><body>x</body></html>", "OPS/nav.xhtml": nav, "OPS/text/c1.smil": SMIL, "OPS/text/c1.xhtml": C1}
+    archive_of(tmp_path / "a.epub", base | {"OPS/p.opf": OPF})
+    archive_of(tmp_path / "b.epub", base | {"OPS/p.opf": OPF.replace(' media-overlay="', ' x="')})
+    a, b = f"file:{tmp_path}/a.epub", f"file:{tmp_path}/b.epub"
+    rects = spark.createDataFrame([(a, "c1", 5, "p1"), (b, "c1", 7, "p1"), (b, "c2", 9, "p9")], "archive string, chapter_id string, page_index int, span_id string")
+    out = plans.compile_books(spark, str(tmp_path), rects)
+    entries = {(r.book_id[-6:], r.title): r.page_index for r in out["toc"].collect()}
+    assert entries["a.epub", "Part I"] == 5 and entries["b.epub", "Part I"] == 7 and {p for (x, _), p in entries.items() if x == "b.epub"} <= {7, 9}
+    assert [(r.archive, r.reason) for r in out["failures"].collect()] == [(b, "no chapter with an overlay")]
+    assert {r.archive for r in out["spans"].select("archive").distinct().collect()} == {a}
+    assert all(m.startswith("[") and "chapter=" in m for m in (r.message for r in out["issues"].collect()))
+    assert out["styles"].count() > 0
+    with pytest.raises(ValueError, match="no chapter with an overlay: .*b.epub"):
+        plans.compile_books(spark, str(tmp_path), rects, strict=True)
