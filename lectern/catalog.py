@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import bindings as B
 from lectern.functions import clip, color, css, markup, paths, player
-from lectern.operators import align, fragments, inspect, lookups, pages, spans, toc, validate
+from lectern.operators import align, fragments, inspect, lookups, pages, search, spans, toc, validate
 from lectern.operators.ordering import Ranged
 from lectern.predicates import timed
 
@@ -639,6 +639,14 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("item_id", "conv_id", "turn", align.fuzzy_match(F.col("needle"), F.col("hay")).alias("m")).select("item_id", "conv_id", "turn", "m.*")
 
 
+@query()
+def passage_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage of benchmark, one letter of every forty changed, in the whole texts of all documents: those that hold it with a tenth of its letters wrong at most."""
+    b = B.table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("needle_id"), F.regexp_replace("text", "(?s)(.{20}).(.{0,19})", "$1#$2").alias("needle"))
+    found = search.search(b, B.table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), share=0.1, least=1)
+    return found.select(F.col("needle_id").alias("item_id"), F.col("text_id").alias("doc_id"), "start", "end", "distance")
+
+
 def _conversation_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = B.table(spark, d, "conversations")
     said = c.groupBy(F.col("conv_id").alias("book_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("transcript"))
