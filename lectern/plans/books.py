@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import paths
-from lectern.operators import align, inspect, lookups, spans, toc, validate
+from lectern.operators import align, anchors, inspect, lookups, spans, toc, validate
 from lectern.operators.ordering import Ranged
 from lectern.shared import materialise
 from lectern.sources import archives, books, bundle
@@ -63,7 +63,7 @@ def align_books(spark: SparkSession, path: str, words: DataFrame, transcripts: D
     entries = _texts(spark, path)
     told = books.chapters(books.packages(entries))
     heard = materialise(books.chapter_sentences(books.chapter_texts(entries, told)).withColumnRenamed("archive", "book_id"), "align-sentences")
-    found = materialise(align.align_books(heard.select("book_id", "ord", "chapter_id", "sentences"), words, transcripts, tracks), "align-ranges")
+    found = materialise(anchors.align_pieces(heard.select("book_id", "ord", "chapter_id", "sentences"), words, transcripts, tracks), "align-ranges")
     keyed = found.withColumn("chapter_id", F.struct("book_id", "chapter_id"))
     whole = align.widen_empty(align.fill_gaps(keyed))
     flat = materialise(whole.select("chapter_id.book_id", F.col("chapter_id.chapter_id").alias("chapter_id"), "id", "start_s", "end_s", "audiofile"), "align-whole")
