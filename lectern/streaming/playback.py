@@ -13,12 +13,13 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lectern.operators.ordering import Ranged, in_turn
+from lectern.operators.ordering import Ranged, blocks_with_ahead, chain
 from lectern.predicates import timed
+from lectern.shared import materialise
 
 # the worker that readies a stateful stream has no files of the context: processors travel whole
 register_pickle_by_value(sys.modules[__name__])
@@ -102,17 +103,20 @@ def cursor_batch(positions: DataFrame) -> DataFrame:
     return found.where(~F.col("__b").eqNullSafe(now)).select("session", "seq", "t", "span_id", "page_index")
 
 
-def throttle(positions: DataFrame, every: int = 20, jump_ms: float = 1000.0) -> DataFrame:
-    """Positions shown: each `every`-th since the last shown, or one at least jump_ms from the last shown. (session, seq, t)"""
+def throttle(positions: DataFrame, every: int = 20, jump_ms: float = 1000.0, size: int = 8192) -> DataFrame:
+    """Positions shown: each `every`-th since the last shown, or one at least jump_ms from the last shown. (session, seq, t)
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
-        n, last = state or (0, None)
-        if last is None or n + 1 >= every or abs(row[2] - last) >= jump_ms:
-            return (0, row[2]), row
-        return (n + 1, last), None
-
-    rows = positions.select("session", "seq", "t")
-    return in_turn(rows, "session", "seq", step, f"session {rows.schema['session'].dataType.simpleString()}, seq long, t double")
+    Which position is shown after one that is shown depends on that one alone, so every position is asked, in blocks that see `every` rows ahead, and the
+    answers are followed (ordering.chain): a session with a large part of all rows is many tasks' work.
+    """
+    rows = positions.select(F.struct("session").alias("k"), "session", "seq", F.col("t").cast("double").alias("t"))
+    numbered = materialise(Ranged(rows, "k", "seq").number("p"), "throttle-rows")
+    seen = blocks_with_ahead(numbered, "k", "p", every, size)
+    ahead = F.collect_list(F.struct("p", "t")).over(Window.partitionBy("k", "__block").orderBy("p").rowsBetween(1, every))
+    far = F.filter(ahead, lambda x: (x["p"] - F.col("p") >= every) | (F.abs(x["t"] - F.col("t")) >= jump_ms))
+    asked = seen.withColumn("n", F.try_element_at(far, F.lit(1))["p"]).where("__own").select("k", "p", "n")
+    shown = chain(asked, "k", "p", "n", size).select("k", "p")
+    return numbered.join(shown, ["k", "p"], "left_semi").select("session", F.col("seq").cast("long").alias("seq"), "t")
 
 
 def saved_positions(positions: DataFrame, every: int = 100) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 from lectern.operators import fragments
 from lectern.operators.ordering import chain
+from lectern.streaming import playback
 
 LINE = "chapter_id int, ord long, block_id int, height double, space double, break_before string, break_after string, inside int"
 
@@ -87,3 +88,19 @@ def test_chain_over_blocks(spark):
     df = spark.createDataFrame(draw.sample(rows, len(rows)), "k string, p long, n long")
     for size in (16, 8192):
         assert {(r.k, r.p) for r in chain(df, "k", "p", "n", size).collect()} == want
+
+
+def test_throttle_in_blocks_is_the_fold(spark):
+    draw = random.Random(5)
+    rows = [(k, 3 * i, float(draw.choice([0, 100, 300, 40]) * i % 7000)) for k, n in ((1, 900), (None, 60), (2, 1)) for i in range(n)]
+    want, last = set(), {}
+    for k, seq, t in rows:
+        n, at = last.get(k, (0, None))
+        if at is None or n + 1 >= 20 or abs(t - at) >= 1000.0:
+            want.add((k, seq, t))
+            last[k] = (0, t)
+        else:
+            last[k] = (n + 1, at)
+    df = spark.createDataFrame(draw.sample(rows, len(rows)), "session long, seq long, t double")
+    for size in (64, 8192):
+        assert {tuple(r) for r in playback.throttle(df, size=size).collect()} == want
