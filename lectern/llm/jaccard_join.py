@@ -13,8 +13,8 @@ one element of the symmetric difference, so m + n - popcount bounds twice the ov
 intersected exactly, as sorted arrays, and what is connected within the tile already is not compared again: a tile of k copies
 costs k intersections, and gives at most k - 1 edges.
 
-Two rounds: first each class goes to its largest tile alone, then all tiles whose members are not of one component yet compare what
-is in different ones. The result is exact: no cap, no sampling, no probability.
+Bitmaps go to the tiles first, and sets are made and sent only where these leave something. Two rounds: each class goes to its largest and its smallest tile alone, then all tiles
+whose members are not of one component yet, screened again by wider bitmaps, compare what is in different ones. The result is exact: no cap, no sampling, no probability.
 
 Words are maximal runs outside [\\x20\\x09-\\x0D]; A-Z is lower-cased. With fewer words than a shingle has, the whole sequence is the one
 element. Null, empty and wordless texts have no elements and link with nothing. Rows that repeat are equal sets; of rows of one id each is told its own.

@@ -26,6 +26,8 @@ from lectern.shared import broadcast_if_small, discard, materialise, release_mem
 
 #: Elements of a block of members; a set with more is a block of its own.
 BLOCK_SHINGLES = 400_000
+#: The second screen's bitmaps have 2^_WIDER times the bits.
+_WIDER = 3
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -104,9 +106,9 @@ class Cosine(Likeness):
         return (self.percent / 100) ** 2
 
 
-def bitmap(own: np.ndarray) -> np.ndarray:
-    """2^k bits, the power of two at or above the size, at least 64: bit h mod 2^k for every element."""
-    bits = 1 << max(6, (len(own) - 1).bit_length())
+def bitmap(own: np.ndarray, wider: int = 0) -> np.ndarray:
+    """2^k bits, the power of two at or above the size, at least 64 (and 2^wider times as many): bit h mod 2^k for every element."""
+    bits = 1 << (max(6, (len(own) - 1).bit_length()) + wider)
     out = np.zeros(bits, np.uint8)
     out[(own >> np.uint64(20)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -258,9 +260,20 @@ def _links(members: DataFrame, elements: DataFrame, likeness: Likeness, block: i
     return out
 
 
+def _wide(elements: DataFrame) -> DataFrame:
+    """elements(tid, s) with wider bitmaps in place of the sets, an eighth to a fourth of their size: few elements share a bit, so the bound on the overlap is close."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [bitmap(np.frombuffer(s, np.uint64), _WIDER).tobytes() for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["tid", "bits"])
+
+    return elements.select("tid", "s").mapInArrow(of, "tid binary, bits binary")
+
+
 def _screen(members: DataFrame, bits: DataFrame, likeness: Likeness, block: int, name: str) -> DataFrame:
-    """A table (tile, m, tid) of members(tile, tid, n, label) that may be like something of another label in the tile; of tiles in which the same are left, one. A block of bitmaps holds as many bytes as one of sets."""
-    dealt = materialise(_blocked(members, likeness, 40 * block), f"{name}-dealt")
+    """A table (tile, m, tid) of members(tile, tid, n, label) that may be like something of another label in the tile; of tiles in which the same are left, one. block: elements of a block of members."""
+    dealt = materialise(_blocked(members, likeness, block), f"{name}-dealt")
     marked = materialise(_screened(bits.join(broadcast_if_small(dealt), "tid"), likeness), f"{name}-marked")
     sealed = marked.groupBy("tile").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("tid")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "tid")).alias("seal2"))
     one = materialise(sealed.groupBy("m", "seal", "seal2").agg(F.min("tile").alias("tile")).select("tile", "m"), f"{name}-one")
@@ -274,15 +287,16 @@ def tile_components(members: DataFrame, rows: DataFrame, keyed: DataFrame, make:
 
     members(tile, tid, n): the tiles' different sets by tid, the digest of the set (of n elements); rows(id, text) and keyed(id, tid, bits): where to find them and their
     bitmaps; make: the sorted distinct elements of a text. First the bitmaps alone, which are some fortieth of the sets, tell who has anyone in a tile that may be alike; only these sets are made
-    and sent. Then two rounds: each set goes to the largest tile it has left, and then all tiles whose members are not of one component yet, screened
-    again, compare what is in different ones.
+    and sent. Then two rounds: each set goes to the largest and to the smallest tile it has left, and then all tiles whose members are not of one component yet, screened
+    again by wider bitmaps, compare what is in different ones.
     """
     bits = keyed.groupBy("tid").agg(F.min("bits").alias("bits"))  # equal sets have equal ones
     bits = materialise(bits.join(broadcast_if_small(materialise(members.select("tid").distinct(), f"{name}-some")), "tid", "left_semi"), f"{name}-bits")
-    left = _screen(members.withColumn("label", F.col("tid")), bits, likeness, block, f"{name}-screened")
+    left = _screen(members.withColumn("label", F.col("tid")), bits, likeness, 40 * block, f"{name}-screened")
     left = materialise(left.join(members.select("tile", "tid", "n"), ["tile", "tid"]), f"{name}-left")
-    met = materialise(left.groupBy("tid").agg(F.max_by("tile", F.struct("m", "tile")).alias("tile"), F.min("n").alias("n")), f"{name}-met")
-    wanted = materialise(keyed.join(broadcast_if_small(met.select("tid")), "tid", "left_semi").groupBy("tid").agg(F.min("id").alias("of")), f"{name}-wanted")
+    ends = left.groupBy("tid").agg(F.array_distinct(F.array(F.max_by("tile", F.struct("m", "tile")), F.min_by("tile", F.struct("m", "tile")))).alias("tiles"), F.min("n").alias("n"))
+    met = materialise(ends.select("tid", "n", F.explode("tiles").alias("tile")), f"{name}-met")
+    wanted = materialise(keyed.join(broadcast_if_small(met.select("tid").distinct()), "tid", "left_semi").groupBy("tid").agg(F.min("id").alias("of")), f"{name}-wanted")
     few = broadcast_if_small(wanted)
     # rows of one id and text give a set twice, which then is in its tiles twice, under one label
     elements = materialise(_elements(rows.join(few, rows["id"].eqNullSafe(few["of"])).select("tid", "text"), make), f"{name}-elements")
@@ -293,7 +307,7 @@ def tile_components(members: DataFrame, rows: DataFrame, keyed: DataFrame, make:
     labelled = materialise(left.join(roots, left["tid"] == roots["node"], "left").select("tile", "tid", "n", F.coalesce("root", "tid").alias("label")), f"{name}-labelled")
     mixed = materialise(labelled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("tile"), f"{name}-mixed")
     open_ones = materialise(labelled.join(broadcast_if_small(mixed), "tile"), f"{name}-open")
-    again = _screen(open_ones, bits, likeness, block, f"{name}-again")
+    again = _screen(open_ones, _wide(elements), likeness, 4 * block, f"{name}-again")
     second = _links(open_ones.join(again.drop("m"), ["tile", "tid"]), elements, likeness, block, f"{name}-second")
     out = materialise(connected_components(first.union(second), name), f"{name}-linked")
     discard(bits, left, open_ones, again, met, wanted, elements, first, second, roots, labelled, mixed)
