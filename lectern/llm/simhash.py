@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -158,22 +159,34 @@ def class_fingerprints(hashes: np.ndarray, size: int = CLASS_SIZE, classes: int
     return out
 
 
-def _signatures(text: Column, shingle: int) -> Column:
-    """struct<fp, sid, n, parts array<struct<n,c,fp>>> of each text: fingerprint, digest, size and bitmap of its set of shingles (no bytes for the empty one), class fingerprints."""
+def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """rows(id, tid, text) -> (id, tid, fp, sid, n, bits, parts array<struct<n,c,fp>>): fingerprint, digest, size and bitmap of the text's set of shingles (no bytes for the empty one), class fingerprints.
 
-    @F.pandas_udf("fp long, sid binary, n long, bits binary, parts array<struct<n:int,c:int,fp:long>>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            for at in range(0, len(texts), 500):  # small results: few texts' parts are in memory at once
-                rows = []
-                for t in texts.iloc[at : at + 500]:
-                    h = shingle_hashes(t, shingle)
+    Texts go through a task a few at a time and don't come back, so that a task's memory doesn't go with its rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                prints, sids, sizes, bits, parts, ends = [], [], [], [], [], [0]
+                for t in part.column(2):
+                    h = shingle_hashes(t.as_py(), shingle)
                     own = np.unique(h)
-                    rows.append((int(np.uint64(_majority(h)).astype(np.int64)), set_digest(own) or b"", len(own), bitmap(own).tobytes() if len(own) else b"", [{"n": n, "c": c, "fp": p} for n, c, p in class_fingerprints(own)]))
-                yield pd.DataFrame(rows, columns=["fp", "sid", "n", "bits", "parts"])
+                    prints.append(_majority(h))
+                    sids.append(set_digest(own) or b"")
+                    sizes.append(len(own))
+                    bits.append(bitmap(own).tobytes() if len(own) else b"")
+                    parts += class_fingerprints(own)
+                    ends.append(len(parts))
+                flat = [pa.array([p[k] for p in parts], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["n", "c", "fp"]))
+                made = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["id", "tid", "fp", "sid", "n", "bits", "parts"])
         release_memory()
 
-    return of(text)
+    return rows.select("id", "tid", "text").mapInArrow(of, f"id {kinds['id']}, tid binary, fp long, sid binary, n long, bits binary, parts array<struct<n:int,c:int,fp:long>>")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text", block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -187,7 +200,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int
     names = docs.columns
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id).alias("id"), body.alias("text")).withColumn("tid", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    keys = materialise(rows.select("id", "tid", _signatures(F.col("text"), shingle).alias("s")).select("id", "tid", "s.*"), "keep-keys")
+    keys = materialise(_signatures(rows, shingle), "keep-keys")
     # sets of one fingerprint hang on the least of them, and those on each other by the fingerprints' links
     classes = materialise(keys.groupBy("fp").agg(F.min("sid").alias("head")), "keep-classes")
     near = materialise(links(classes.select("fp"), radius), "keep-near")
