@@ -736,10 +736,10 @@ def text_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT page_id, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS attribute,
-trim(regexp_replace(regexp_replace(lower(t), '\s+', ' ', 'g'), '[—–]', '-', 'g')) AS search FROM (SELECT page_id, '“It''s” —' || chr(10) || ' ' || left(coalesce(html, ''), 300) AS t FROM pages)""")
+trim(regexp_replace(regexp_replace(lower(t), '\s+', ' ', 'g'), '[—–]', '-', 'g')) AS search FROM (SELECT page_id, '“It''s” —' || chr(10) || ' ' || coalesce(html, '') AS t FROM pages)""")
 def escapes(spark: SparkSession, d: str) -> DataFrame:
-    """The beginning of every page's markup as text, as an attribute, and as it is looked for."""
-    text = F.concat(F.lit("“It's” —\n "), F.substring(F.coalesce("html", F.lit("")), 1, 300))
+    """Every page's markup as text, as an attribute, and as it is looked for."""
+    text = F.concat(F.lit("“It's” —\n "), F.coalesce("html", F.lit("")))
     return B.table(spark, d, "pages").select("page_id", markup.escape_html(text).alias("html"), markup.escape_attribute(text).alias("attribute"), markup.search_text(text).alias("search"))
 
 
