@@ -71,6 +71,24 @@ def test_pages_of_lines(spark):
             assert got[c] == plain(lines, height), c
 
 
+def test_short_chapters_are_whole_in_a_task_and_long_ones_in_ranges(spark, monkeypatch):
+    draw = random.Random(11)
+    chapters = {c: some_lines(draw, c, draw.choice([1, 2, 9, 70, 300])) for c in range(24)}
+    rows = [r for c in chapters.values() for r in c]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # chapters go on over batches
+    try:
+        df = spark.createDataFrame(draw.sample(rows, len(rows)), LINE)
+        mixed = sorted(map(tuple, fragments.paginate(df, 300.0, long=60).select("chapter_id", "ord", "page_in_chapter", "line_on_page", "page_y").collect()))
+        monkeypatch.setattr(fragments, "Ranged", None)
+        whole = fragments.paginate(df, 300.0)
+        assert whole.columns[:8] == df.columns
+        assert sorted(map(tuple, whole.select("chapter_id", "ord", "page_in_chapter", "line_on_page", "page_y").collect())) == mixed
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(c, line[1], *p) for c, lines in chapters.items() for line, p in zip(lines, plain(lines, 300.0), strict=True)]
+    assert mixed == sorted(want)
+
+
 def test_no_lines(spark):
     assert fragments.paginate(spark.createDataFrame([], LINE), 100.0).count() == 0
 
