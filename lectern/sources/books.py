@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import css, paths
+from lectern.shared import release_memory
 from lectern.sources import markup as M
 
 _ITEM = "struct<ord:int,id:string,href:string,media_type:string,media_overlay:string,properties:array<string>>"
@@ -27,14 +29,22 @@ def packages(entries: DataFrame) -> DataFrame:
     def root(texts: pd.Series) -> pd.Series:
         return texts.map(M.rootfile)
 
-    @F.pandas_udf(_PACKAGE)
-    def parsed(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([M.package(t) for t in texts], columns=["title", "identifier", "toc", "manifest", "spine"])
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):  # a document can be as large as a batch
+                p = M.package(batch.column("text")[row].as_py())
+                lists = [pa.ListArray.from_arrays(pa.array([0, sum(map(len, p[c]))], pa.int32()), pa.concat_arrays(p[c])) for c in ("manifest", "spine")]
+                said = [pa.array([p.pop(c)], pa.string()) for c in ("title", "identifier", "toc")]
+                p.clear()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in ("archive", "opf_path")), *said, *lists], ["archive", "opf_path", "title", "identifier", "toc", "manifest", "spine"])
+                del lists
+                release_memory()
 
     at = _text(entries.where(F.lower("path") == "meta-inf/container.xml")).select("archive", root("text").alias("opf_path"))
     opf = at.join(entries.select("archive", F.col("path").alias("opf_path"), "content"), ["archive", "opf_path"], "left")
     text = F.when(F.col("content").isNull(), F.raise_error(F.lit("package document not found"))).otherwise(F.decode("content", "UTF-8"))
-    return opf.select("archive", "opf_path", parsed(text).alias("p")).select("archive", "opf_path", "p.*")
+    kind = opf.schema["archive"].dataType.simpleString()
+    return opf.select("archive", "opf_path", text.alias("text")).mapInArrow(parsed, f"archive {kind}, opf_path string, {_PACKAGE}")
 
 
 def manifest(books: DataFrame) -> DataFrame:
@@ -79,7 +89,6 @@ def _rows(parse: Callable, *columns: str, of: str):
 
 
 _SPAN = "array<struct<id:string,text_ref:string,audio_src:string,clip_begin_ms:double,clip_end_ms:double>>"
-_NAV = "array<struct<node_id:int,parent_id:int,sibling_ord:int,title:string,path:string>>"
 
 
 def overlay_spans(entries: DataFrame, told: DataFrame) -> DataFrame:
@@ -177,11 +186,22 @@ def break_hints(texts: DataFrame, sheets: DataFrame) -> DataFrame:
 
 def navigation(entries: DataFrame, books: DataFrame) -> DataFrame:
     """(archive, node_id, parent_id, sibling_ord, title, path): the nav document's tree, else the NCX's."""
-    keys = ("node_id", "parent_id", "sibling_ord", "title", "path")
-    parse = lambda f: lambda text, path: [] if text is None else [dict(zip(keys, r, strict=True)) for r in f(text, path)]
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found: list[tuple] = []
+                for parse, name in ((M.navigation, "nav"), (M.ncx, "ncx")):
+                    if not found and (text := batch.column(name)[row].as_py()) is not None:
+                        found = parse(text, batch.column(f"{name}_path")[row].as_py())
+                for i in range(0, len(found), 20_000):
+                    some = M.columns_of(found[i : i + 20_000], M.NAVIGATION)
+                    yield pa.RecordBatch.from_arrays([batch.column("archive").take(pa.array([row] * len(some[0]))), *some], ["archive", *(f.name for f in M.NAVIGATION)])
+                del found
+                release_memory()
+
     at = navigation_paths(books)
     text = _text(entries).select("archive", "path", "text")
     nav = at.join(text.select("archive", F.col("path").alias("nav_path"), F.col("text").alias("nav")), ["archive", "nav_path"], "left")
     both = nav.join(text.select("archive", F.col("path").alias("ncx_path"), F.col("text").alias("ncx")), ["archive", "ncx_path"], "left")
-    trees = both.select("archive", _rows(parse(M.navigation), "nav", "nav_path", of=_NAV).alias("a"), _rows(parse(M.ncx), "ncx", "ncx_path", of=_NAV).alias("b"))
-    return trees.select("archive", F.explode(F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b"))).alias("n")).select("archive", "n.*")
+    kind = both.schema["archive"].dataType.simpleString()
+    return both.select("archive", "nav", "nav_path", "ncx", "ncx_path").mapInArrow(parsed, f"archive {kind}, node_id int, parent_id int, sibling_ord int, title string, path string")
