@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+from lectern.sources import books
 from lectern.sources import markup as M
 
 N = 30_000
@@ -24,3 +25,14 @@ def test_a_large_package_is_read_as_a_stream():
     assert found["title"] == "a b" and found["toc"] == "n"
     assert [len(p) for p in found["manifest"]] == [1000] * 30 and sum(map(len, found["spine"])) == N
     assert found["manifest"][-1][-1].as_py() == {"ord": N - 1, "id": f"c{N - 1}", "href": f"text/c{N - 1}.xhtml", "media_type": "application/xhtml+xml", "media_overlay": None, "properties": []}
+
+
+def test_a_large_navigation_leaves_in_batches(spark):
+    points = "".join(f'<li><a href="c{i}.xhtml">t {i}</a></li>' for i in range(N))
+    opf = '<package><manifest><item id="nav" href="nav.xhtml" media-type="x" properties="nav"/></manifest></package>'
+    files = {"META-INF/container.xml": '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>', "p.opf": opf, "nav.xhtml": f'<nav epub:type="toc"><ol>{points}</ol></nav>'}
+    entries = spark.createDataFrame([("b", p, t.encode()) for p, t in files.items()], "archive string, path string, content binary")
+    rows = books.navigation(entries, books.packages(entries))
+    assert "ArrowEvalPython" not in rows.select("node_id")._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got = rows.orderBy("node_id").collect()
+    assert len(got) == N and tuple(got[-1]) == ("b", N - 1, None, N - 1, f"t {N - 1}", f"c{N - 1}.xhtml")
