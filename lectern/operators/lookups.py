@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.ordering import Ranged
+from lectern.shared import broadcast_if_small, materialise
 
 
 def asof(points: DataFrame, spans: DataFrame, by: str, at: str, on: str, tie: str, payload: list[str], forward: bool = False, strict: bool = False) -> DataFrame:
@@ -66,9 +67,10 @@ def point_in_rect(taps: DataFrame, rects: DataFrame, x: str = "tap_x", y: str =
     """taps(page_index, tap_id, x, y), each with the first span by (span_pos, rect_pos) whose rectangle holds it, edges included.
 
     A rectangle is dealt to the cells of a page that it touches, four at most, of a size that goes with its own; a tap asks
-    the cell of each size that there is.
+    the cell of each size that there is. Rectangles on pages without a tap are left out before anything is dealt.
     """
-    live = rects.where("w >= 0 and h >= 0").withColumn("__level", _level(F.greatest("w", "h"), least))
+    tapped = broadcast_if_small(materialise(taps.where("page_index is not null").select("page_index").distinct(), "tapped-pages"))
+    live = rects.join(tapped, "page_index", "left_semi").where("w >= 0 and h >= 0").withColumn("__level", _level(F.greatest("w", "h"), least))
     size = F.lit(least) * F.pow(F.lit(2.0), F.col("__level"))
     right = live.select("page_index", "__level", F.explode(_cells(F.col("x"), F.col("x") + F.col("w"), size)).alias("__cx"), "span_id", "span_pos", "x", "y", "w", "h")
     right = right.select("page_index", "__level", "__cx", F.explode(_cells(F.col("y"), F.col("y") + F.col("h"), size)).alias("__cy"), "span_id", "span_pos", "x", "y", "w", "h")
