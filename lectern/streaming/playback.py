@@ -115,7 +115,7 @@ def throttle(positions: DataFrame, every: int = 20, jump_ms: float = 1000.0, siz
     ahead = F.collect_list(F.struct("p", "t")).over(Window.partitionBy("k", "__block").orderBy("p").rowsBetween(1, every))
     far = F.filter(ahead, lambda x: (x["p"] - F.col("p") >= every) | (F.abs(x["t"] - F.col("t")) >= jump_ms))
     asked = seen.withColumn("n", F.try_element_at(far, F.lit(1))["p"]).where("__own").select("k", "p", "n")
-    shown = chain(asked, "k", "p", "n", size).select("k", "p")
+    shown = chain(asked, "k", "p", "n", size).select("k", "p").hint("merge")  # its size is not known before it runs
     return numbered.join(shown, ["k", "p"], "left_semi").select("session", F.col("seq").cast("long").alias("seq"), "t")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.operators import lookups
+from lectern.streaming import playback
 
 
 def _plan(df) -> str:
@@ -15,3 +16,10 @@ def test_rectangles_on_pages_without_taps_are_left_out(spark):
     found = lookups.point_in_rect(taps, rects).select("tap_id", "span_id")
     assert "LeftSemi" in _plan(found)
     assert sorted(map(tuple, found.collect())) == [(1, 7), (2, None), (3, None)]
+
+
+def test_shown_positions_are_not_broadcast(spark):
+    rows = spark.range(500).select(F.lit(1).alias("session"), F.col("id").alias("seq"), (F.col("id") * 10.0).alias("t"))
+    shown = playback.throttle(rows, size=64)
+    assert "SortMergeJoin" in _plan(shown) and "Broadcast" not in _plan(shown).split("SortMergeJoin")[0]
+    assert [r.seq for r in shown.orderBy("seq").collect()] == list(range(0, 500, 20))
