@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.operators import lookups
+from lectern.shared import bound_tasks, unbound_tasks
 from lectern.streaming import playback
 
 
@@ -23,3 +24,15 @@ def test_shown_positions_are_not_broadcast(spark):
     shown = playback.throttle(rows, size=64)
     assert "SortMergeJoin" in _plan(shown) and "Broadcast" not in _plan(shown).split("SortMergeJoin")[0]
     assert [r.seq for r in shown.orderBy("seq").collect()] == list(range(0, 500, 20))
+
+
+def test_shuffles_are_dealt_by_the_tables_size(spark, tmp_path):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    (tmp_path / "t.parquet").write_bytes(b"x" * 1_000_000)
+    try:
+        bound_tasks(spark, str(tmp_path), 10_000)
+        assert spark.conf.get(key) == "100"
+        bound_tasks(spark, str(tmp_path))
+        assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+    finally:
+        unbound_tasks(spark)
