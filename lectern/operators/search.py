@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,30 +48,34 @@ def rarest_pieces(costs: list[int], size: int, pieces: int) -> list[int]:
 def least_match(needle: str, text: str, most: int) -> tuple[int, int, int] | None:
     """(start, end, distance) of the part of text nearest to needle: of the nearest the first to end, and of these the shortest; None beyond `most`."""
 
-    def scan(pattern: str, along: str, anywhere: bool) -> Iterator[tuple[int, int]]:
-        """(distance, end) at each place of `along`: a column of the distance table is two integers of its differences (Myers)."""
+    def scan(pattern: str, along: str, anywhere: bool) -> tuple[int, int]:
+        """(distance, end) where the distance is least, the first of these: a column of the distance table is two integers of its differences (Myers)."""
         n, masks = len(pattern), _masks(pattern)
-        full, top = (1 << n) - 1, 1 << (n - 1)
-        up, down, score = full, 0, n
+        full, top, edge = (1 << n) - 1, 1 << (n - 1), int(not anywhere)
+        up, down, score, least, end = full, 0, n, n, 0
+        of = masks.get
         for j, ch in enumerate(along, 1):
-            same = masks.get(ch, 0)
+            same = of(ch, 0)
             v = same | down
             h = (((same & up) + up) ^ up) | same
-            plus, minus = down | (~(h | up) & full), up & h
-            score += bool(plus & top) - bool(minus & top)
-            plus, minus = plus << 1 | (not anywhere), minus << 1
+            plus, minus = down | (full & ~(h | up)), up & h
+            if plus & top:
+                score += 1
+            elif minus & top:
+                score -= 1
+                if score < least:
+                    least, end = score, j
+            plus, minus = plus << 1 | edge, minus << 1
             up, down = (minus | ~(v | plus)) & full, plus & v & full
-            yield score, j
+        return least, end
 
     if not needle:
         return 0, 0, 0
-    distance, end = min(scan(needle, text, True), default=(len(needle), 0))
-    if distance >= len(needle):
-        distance, end = len(needle), 0
+    distance, end = scan(needle, text, True)
     if distance > most:
         return None
     begin = text[max(0, end - len(needle) - distance) : end][::-1]
-    back = min((j for d, j in scan(needle[::-1], begin, False) if d == distance), default=0)
+    back = scan(needle[::-1], begin, False)[1]
     return end - back, end, distance
 
 
@@ -82,22 +87,75 @@ def _grams(text: Column, size: Column) -> Column:
     return of(text, size)
 
 
-def _met(texts: DataFrame, wanted: DataFrame, sizes: list[int], most: int) -> DataFrame:
-    """(text_id, at, gram): where the texts have wanted grams. Up to `most` of them go to all tasks, which tell of these alone; beyond, tasks tell of all grams, and a join keeps the wanted."""
+class _Wanted:
+    """Grams looked for in texts: hashes that roll over the code points of many texts at once tell where one may be, and these places are compared."""
+
+    _BASE, _SPREAD, _GAP = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 0x110000  # no code point
+
+    def __init__(self, grams: list[str], sizes: list[int]):
+        self.grams, self.sizes = frozenset(grams), sizes
+        self.shift = np.uint64(64 - max(10, min(24, (16 * len(grams)).bit_length())))
+        self.marks = {k: np.zeros(1 << (64 - int(self.shift)), bool) for k in sizes if any(len(g) == k for g in grams)}
+        for k, marks in self.marks.items():
+            own = np.frombuffer("".join(g for g in grams if len(g) == k).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k)
+            h = np.zeros(len(own), np.uint64)
+            for column in own.T:
+                h = h * self._BASE + column
+            marks[(h * self._SPREAD) >> self.shift] = True
+
+    def places(self, texts: list[str]) -> Iterator[tuple[int, int, str]]:
+        """(text's number, place, gram) of all grams in the texts."""
+        points = np.full(sum(map(len, texts)) + len(texts), self._GAP, np.uint64)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        for t, at in zip(texts, starts.tolist()[:-1], strict=True):
+            points[at : at + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = np.zeros(len(points) + 1, np.uint64)
+        for k in range(1, max(self.marks, default=0) + 1):
+            h = h[:-1] * self._BASE + points[k - 1 :]
+            if k not in self.marks:
+                continue
+            at = np.flatnonzero(self.marks[k][(h * self._SPREAD) >> self.shift])
+            which = np.searchsorted(starts, at, "right") - 1
+            for w, i in zip(which.tolist(), (at - starts[which]).tolist(), strict=True):
+                gram = texts[w][i : i + k]
+                if len(gram) == k and gram in self.grams:
+                    yield w, i, gram
+
+
+def _met(texts: DataFrame, wanted: DataFrame, sizes: list[int], most: int, some: int = 100_000) -> DataFrame:
+    """(text_id, at, gram): where the texts have wanted grams. Up to `most` of them go to all tasks, which tell of these alone; beyond, tasks tell of all grams, and a join keeps the wanted.
+
+    Texts are looked through in parts of `some` places, and short ones together.
+    """
     few = wanted.count() <= most
-    known = wanted.sparkSession.sparkContext.broadcast({r["gram"] for r in wanted.collect()}) if few else None
+    known = wanted.sparkSession.sparkContext.broadcast([r["gram"] for r in wanted.collect()]) if few else None
     schema = f"text_id {texts.schema['text_id'].dataType.simpleString()}, at int, gram string"
+    beyond = max(sizes, default=1) - 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = known.value if known else None
+        keep = _Wanted(known.value, sizes) if known else None
+
+        def told(ids: pa.Array, rows: list[int], begins: list[int], parts: list[str]) -> Iterator[pa.RecordBatch]:
+            if keep:
+                found = [(rows[w], begins[w] + i, g) for w, i, g in keep.places(parts) if i < some]
+            else:
+                found = [(row, begin + i, t[i : i + k]) for row, begin, t in zip(rows, begins, parts, strict=True) for k in sizes for i in range(min(some, len(t) - k + 1))]
+            if found:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([f[0] for f in found])), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.string())], ["text_id", "at", "gram"])
+
         for batch in batches:
+            rows, begins, parts, size = [], [], [], 0
             for row in range(batch.num_rows):
-                t = batch.column(1)[row].as_py()
-                for begin in range(0, len(t or ""), 100_000):  # small results, however long a text is
-                    found = [(i, g) for k in sizes for i in range(begin, min(begin + 100_000, len(t) - k + 1)) if keep is None or t[i : i + k] in keep for g in (t[i : i + k],)]
-                    if found:
-                        ids = batch.column(0).take(pa.array([row] * len(found)))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.string())], ["text_id", "at", "gram"])
+                t = batch.column(1)[row].as_py() or ""
+                for begin in range(0, len(t), some):  # small results, however long a text is
+                    rows.append(row)
+                    begins.append(begin)
+                    parts.append(t[begin : begin + some + beyond])
+                    size += len(parts[-1])
+                    if size >= some:
+                        yield from told(batch.column(0), rows, begins, parts)
+                        rows, begins, parts, size = [], [], [], 0
+            yield from told(batch.column(0), rows, begins, parts)
 
     made = texts.select("text_id", "text").mapInArrow(of, schema)
     return made if few else made.join(wanted, "gram").select("text_id", "at", "gram")

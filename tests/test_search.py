@@ -81,3 +81,16 @@ def test_needles_shorter_than_their_errors_are_refused(spark):
     with pytest.raises(Exception, match="longer than the errors"):
         S.search(one, spark.createDataFrame([(1, "abc")], "text_id int, text string")).collect()
     assert S.search(one.limit(0), spark.createDataFrame([(1, "abc")], "text_id int, text string")).collect() == []
+
+
+def test_wanted_grams_are_looked_for_by_rolling_hashes(spark):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abé🙂") for _ in range(draw.choice([0, 1, 2, 7, 50, 900]))) for _ in range(60)]
+    grams = sorted({t[i : i + k] for t in texts[::7] for k in (1, 3, 6) for i in range(0, max(0, len(t) - k), 40)} | {"zzz", "\U0010ffff"})
+    wanted = S._Wanted(grams, [1, 3, 6, 9])
+    expected = sorted((w, i, t[i : i + k]) for w, t in enumerate(texts) for k in (1, 3, 6) for i in range(len(t) - k + 1) if t[i : i + k] in grams)
+    assert sorted(wanted.places(texts)) == expected and len(expected) > 100
+    held = spark.createDataFrame([*enumerate(texts), (99, None)], "text_id int, text string")
+    asked = spark.createDataFrame([(g,) for g in grams], "gram string")
+    for most in (10_000, 1):  # in parts of ten places, and by the join
+        assert sorted(map(tuple, S._met(held, asked, [1, 3, 6], most, 10).collect())) == expected
