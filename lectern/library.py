@@ -84,7 +84,7 @@ _BODY = "string_agg(p, '' ORDER BY o_orderkey)"
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = entries(spark, d)
-    packs = materialise(books.packages(e), "library-packages")
+    packs = materialise(books.package_parts(e), "library-packages")
     return e, packs, books.chapters(packs)
 
 
@@ -95,7 +95,7 @@ def book_packages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def book_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return books.manifest(books.packages(entries(spark, d))).select("archive", "id", "href", "media_type", "media_overlay", F.array_join("properties", " ").alias("properties"))
+    return books.manifest(books.package_parts(entries(spark, d))).select("archive", "id", "href", "media_type", "media_overlay", F.array_join("properties", " ").alias("properties"))
 
 
 def book_chapters(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ def book_chapters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def book_audio(spark: SparkSession, d: str) -> DataFrame:
-    return books.audio_files(books.packages(entries(spark, d))).select("archive", "href", "media_type")
+    return books.audio_files(books.package_parts(entries(spark, d))).select("archive", "href", "media_type")
 
 
 def book_overlays(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -24,19 +25,43 @@ def _text(entries: DataFrame) -> DataFrame:
 
 def packages(entries: DataFrame) -> DataFrame:
     """(archive, opf_path, title, identifier, toc, manifest, spine), a row per archive; an archive without a package raises an error."""
+    return _packages(entries, 0)
+
+
+def package_parts(entries: DataFrame, some: int = 20_000) -> DataFrame:
+    """packages() with manifests and spines in parts of `some` items at most, so that no row grows with its book; the last row of an archive has its title, identifier and toc, the others nulls.
+
+    All that reads packages() here reads these, too.
+    """
+    return _packages(entries, some)
+
+
+def _packages(entries: DataFrame, some: int) -> DataFrame:
+    """some: items of a row, 0 for all."""
 
     @F.pandas_udf("string")
     def root(texts: pd.Series) -> pd.Series:
         return texts.map(M.rootfile)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"manifest": M.MANIFEST, "spine": M.SPINE}
+
+        def told(at: list[pa.Array], said: list, lists: dict[str, list[pa.Array]]) -> pa.RecordBatch:
+            made = [pa.ListArray.from_arrays(pa.array([0, sum(map(len, lists[c]))], pa.int32()), pa.concat_arrays(lists[c] or [pa.array([], kinds[c])])) for c in kinds]
+            return pa.RecordBatch.from_arrays([*at, *(pa.array([x], pa.string()) for x in said), *made], ["archive", "opf_path", "title", "identifier", "toc", "manifest", "spine"])
+
         for batch in batches:
             for row in range(batch.num_rows):  # a document can be as large as a batch
-                p = M.package(batch.column("text")[row].as_py())
-                lists = [pa.ListArray.from_arrays(pa.array([0, sum(map(len, p[c]))], pa.int32()), pa.concat_arrays(p[c])) for c in ("manifest", "spine")]
-                said = [pa.array([p.pop(c)], pa.string()) for c in ("title", "identifier", "toc")]
-                p.clear()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in ("archive", "opf_path")), *said, *lists], ["archive", "opf_path", "title", "identifier", "toc", "manifest", "spine"])
+                at, said = [batch.column(c).slice(row, 1) for c in ("archive", "opf_path")], []
+                lists: dict[str, list[pa.Array]] = {c: [] for c in kinds}
+                for name, value in M.package_parts(batch.column("text")[row].as_buffer(), some or 20_000):
+                    if name not in kinds:
+                        said.append(value)
+                    elif some:
+                        yield told(at, [None] * 3, {c: [value] if c == name else [] for c in kinds})
+                    else:
+                        lists[name].append(value)
+                yield told(at, said, lists)
                 del lists
                 release_memory()
 
@@ -72,7 +97,7 @@ def audio_files(books: DataFrame) -> DataFrame:
 
 def navigation_paths(books: DataFrame) -> DataFrame:
     """(archive, nav_path, ncx_path): the first item of property nav; the spine's toc if it is an NCX, else the first NCX."""
-    m = manifest(books).join(books.select("archive", "toc"), "archive")
+    m = manifest(books).join(books.groupBy("archive").agg(F.max("toc").alias("toc")), "archive")
     ncx = F.col("media_type") == "application/x-dtbncx+xml"
     return m.groupBy("archive").agg(
         F.min_by("href", F.when(F.array_contains("properties", "nav"), F.col("ord"))).alias("nav_path"),
@@ -161,7 +186,7 @@ def package_signs(entries: DataFrame, books: DataFrame) -> DataFrame:
     """(archive, file_path, opf, properties, hrefs) of every package document: what tells a fixed layout."""
     items = manifest(books).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("ord", "href", "properties"))).alias("items"))
     text = _text(entries).select("archive", F.col("path").alias("opf_path"), F.col("text").alias("opf"))
-    found = books.select("archive", "opf_path").join(text, ["archive", "opf_path"]).join(items, "archive", "left")
+    found = books.select("archive", "opf_path").distinct().join(text, ["archive", "opf_path"]).join(items, "archive", "left")
     none = F.array().cast("array<struct<ord:int,href:string,properties:array<string>>>")
     found = found.withColumn("items", F.coalesce("items", none))
     return found.select("archive", F.col("opf_path").alias("file_path"), F.regexp_replace("opf", "^\ufeff", "").alias("opf"), F.transform("items", lambda i: i["properties"]).alias("properties"), F.transform("items", lambda i: i["href"]).alias("hrefs"))
@@ -189,14 +214,15 @@ def navigation(entries: DataFrame, books: DataFrame) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                found: list[tuple] = []
-                for parse, name in ((M.navigation, "nav"), (M.ncx, "ncx")):
-                    if not found and (text := batch.column(name)[row].as_py()) is not None:
-                        found = parse(text, batch.column(f"{name}_path")[row].as_py())
-                for i in range(0, len(found), 20_000):
-                    some = M.columns_of(found[i : i + 20_000], M.NAVIGATION)
-                    yield pa.RecordBatch.from_arrays([batch.column("archive").take(pa.array([row] * len(some[0]))), *some], ["archive", *(f.name for f in M.NAVIGATION)])
-                del found
+                n = 0
+                for parse, name in ((M.navigation_rows, "nav"), (M.ncx_rows, "ncx")):
+                    if n or not batch.column(name)[row].is_valid:
+                        continue
+                    rows = parse(batch.column(name)[row].as_buffer(), batch.column(f"{name}_path")[row].as_py())
+                    while found := list(islice(rows, 20_000)):
+                        n += len(found)
+                        some = M.columns_of(found, M.NAVIGATION)
+                        yield pa.RecordBatch.from_arrays([batch.column("archive").take(pa.array([row] * len(found))), *some], ["archive", *(f.name for f in M.NAVIGATION)])
                 release_memory()
 
     at = navigation_paths(books)
