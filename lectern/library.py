@@ -144,7 +144,7 @@ def book_tagged(spark: SparkSession, d: str) -> DataFrame:
 def book_sentence_tags(spark: SparkSession, d: str) -> DataFrame:
     """Safe markup of all chapters with every second sentence, as if it were heard, in a span."""
     e, _, told = _parts(spark, d)
-    heard = books.chapter_sentences(books.chapter_texts(e, told)).withColumnRenamed("archive", "book_id")
+    heard = materialise(books.chapter_sentences(books.chapter_texts(e, told)).withColumnRenamed("archive", "book_id"), "library-heard")  # read twice
     ranges = heard.select("book_id", "chapter_id", F.posexplode("sentences").alias("id", "s")).select("book_id", "chapter_id", "id", F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0).alias("start_s"), F.lit(2.0).alias("end_s"))
     return books.sentence_tagged(heard, ranges).select(F.col("book_id").alias("archive"), "chapter_id", "html")
 

@@ -223,3 +223,29 @@ def test_targets_of_two_books_and_books_without_overlays(spark, tmp_path):
     assert out["styles"].count() > 0
     with pytest.raises(ValueError, match="no chapter with an overlay: .*b.epub"):
         plans.compile_books(spark, str(tmp_path), rects, strict=True)
+
+
+def test_sentences_agree_with_texts_as_before():
+    def plain(text, at, sentence):
+        i, j = at, 0
+        while i < len(text) and j < len(sentence):
+            if text[i].isspace() and sentence[j].isspace():
+                while i < len(text) and text[i].isspace():
+                    i += 1
+                j += 1
+            elif text[i].isspace():
+                i += 1
+            elif text[i] == sentence[j]:
+                i, j = i + 1, j + 1
+            elif sentence[j].isspace():
+                j += 1
+            else:
+                break
+        return i, j
+
+    for text in ("a b. c", "a  b.", "a b", "a  b", "a \n", " a b", "a b c"):
+        for sentence in ("a", "a b", "a  b", "a ", " a", "a b. c", "b"):
+            for at in range(3):
+                assert markup._common(text, at, sentence) == plain(text, at, sentence), (text, at, sentence)
+    assert markup.serialize(markup.parse_html('<p style="behavior: url(x); color: red">a</p>' * 3)).count('style=" color: red"') == 3
+    assert markup._safe_style.cache_info().hits >= 2  # a style is looked through once
