@@ -13,6 +13,9 @@ one element of the symmetric difference, so m + n - popcount bounds twice the ov
 intersected exactly, as sorted arrays, and what is connected within the tile already is not compared again: a tile of k copies
 costs k intersections, and gives at most k - 1 edges.
 
+A shingle that one class alone has among its first is no tile. Which ones two have is told by bits of their hashes (bit_filter), so the others are
+not shuffled with their documents; a place of bits that several share lets some of these through, and they are dropped where tiles are counted.
+
 Bitmaps go to the tiles first, and sets are made and sent only where these leave something. Two rounds: each class goes to its largest and its smallest tile alone, then all tiles
 whose members are not of one component yet, screened again by wider bitmaps, compare what is in different ones. The result is exact: no cap, no sampling, no probability.
 
@@ -32,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.tiles import BLOCK_SHINGLES, Jaccard, Likeness, bitmap, set_digest, shingle_set, tile_components
+from lectern.llm.bit_filter import CHUNK, MOST, SCHEMA, Bits, chunked, chunks, width
+from lectern.llm.tiles import BLOCK_SHINGLES, Jaccard, Likeness, _mixed, bitmap, set_digest, shingle_set, tile_components
 from lectern.shared import broadcast_if_small, discard, materialise, release_memory
 
 #: Shingles of so many documents of one task at least are candidates for common ones; those with the most documents, at most COMMON, come last in the order.
@@ -109,7 +113,75 @@ def _sets(docs: DataFrame, text: str, shingle: int, likeness: Likeness, common)
     return docs.select(F.col("id"), F.col(text).alias("text")).mapInArrow(of, "id long, row long, n long, tid binary, bits binary, firsts array<long>")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", block: int = BLOCK_SHINGLES, seen: int = SEEN, common: int = COMMON) -> DataFrame:
+def _rows_and_firsts(batches: Iterator[pa.RecordBatch], chosen: Bits | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of every batch (row, firsts), the number of the row for each of its firsts, and these; chosen: only of such rows."""
+    for batch in batches:
+        rows, firsts = batch.column(0).to_numpy(), batch.column(1)
+        lengths = firsts.value_lengths().to_numpy()
+        values = firsts.flatten().to_numpy().view(np.uint64)
+        if chosen is not None:
+            own = chosen.holds(rows)
+            values, rows, lengths = values[np.repeat(own, lengths)], rows[own], lengths[own]
+        yield np.repeat(rows, lengths), values
+
+
+def _shared(sets: DataFrame, chosen, postings: int, most: int) -> tuple[DataFrame, int]:
+    """Chunks of the bits of shingles that two classes have among their firsts, and the bits' width: the first so many of the mixed hash are the place. A task's
+    shingles go out packed, 32 bits each beside the part that they are dealt by; two that agree in all of these count as one."""
+    size = width(postings, most)
+    parts = min(size - CHUNK, 12, max(4, (postings // 50_000).bit_length()))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def told() -> pa.RecordBatch:
+            own = np.sort(_mixed(np.concatenate(held)) >> np.uint64(32 - parts)) if held else np.zeros(0, np.uint64)
+            held.clear()
+            own = own[np.concatenate([np.ones(min(2, len(own)), bool), own[2:] != own[:-2]])]  # twice tells as much as more often
+            part, first = np.unique(own >> np.uint64(32), return_index=True)
+            packed = [x.tobytes() for x in np.split(own.astype(np.uint32), first[1:])] if len(own) else []
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(packed, pa.binary())], names=["part", "own"])
+
+        for _, values in _rows_and_firsts(batches, chosen and chosen.value):
+            held.append(values)
+            n += len(values)
+            if n > 4_000_000:
+                yield told()
+                n = 0
+        yield told()
+        release_memory()
+
+    def build(rows: pa.Table) -> pa.Table:
+        own = np.sort(np.frombuffer(b"".join(rows.column("own").to_pylist()), np.uint32)).astype(np.int64)
+        twice = np.unique(own[1:][own[1:] == own[:-1]]) | (rows.column("part")[0].as_py() << 32)
+        made = list(chunks(twice >> (parts + 32 - size)))
+        return pa.table({"chunk": pa.array([k for k, _ in made], pa.int64()), "bits": pa.array([b for _, b in made], pa.binary())})
+
+    return sets.select("row", "firsts").mapInArrow(of, "part long, own binary").groupBy("part").applyInArrow(build, SCHEMA), size
+
+
+def _held(sets: DataFrame, classes: DataFrame, likeness: Likeness, most: int) -> DataFrame:
+    """(row, h): of one row of each class the firsts that another class has too, and some more."""
+    sc = sets.sparkSession.sparkContext
+    n, elements = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    chosen = None
+    if n <= 1 << most:  # a bit for each row
+        chosen = sc.broadcast(Bits.gathered(chunked(classes.select(F.col("row").alias("v")))))
+    else:
+        sets = sets.join(classes.select("row"), "row", "left_semi")
+    made, size = _shared(sets, chosen, n + int(elements * (1 - likeness.share())), most)
+    shared = sc.broadcast(Bits.gathered(made))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, values in _rows_and_firsts(batches, chosen and chosen.value):
+            ok = shared.value.holds((_mixed(values) >> np.uint64(64 - size)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[ok]), pa.array(values[ok].view(np.int64))], names=["row", "h"])
+        release_memory()
+
+    return sets.select("row", "firsts").mapInArrow(of, "row long, h long")
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", block: int = BLOCK_SHINGLES, seen: int = SEEN, common: int = COMMON, bits: int = MOST) -> DataFrame:
     """(id, n_shingles, component_id) of each row: the set's size, and the least id reachable over links of percent / 100 Jaccard or more, its own included."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     likeness = Jaccard(percent)
@@ -117,17 +189,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, p
     sets = materialise(_sets(rows, "text", shingle, likeness, hot), "jaccard-sets")
     classes = materialise(sets.where("tid is not null").groupBy("tid").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("row").alias("row")), "jaccard-classes")
     # one row of each class, told by its number
-    postings = sets.join(broadcast_if_small(classes.select("row")), "row", "left_semi").select("row", F.explode("firsts").alias("h"))
-    shared = materialise(postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "jaccard-shared")
-    held = materialise(postings.join(broadcast_if_small(shared), "h"), "jaccard-held")
+    held = materialise(_held(sets, classes, likeness, bits), "jaccard-held")
     # tiles of the very same members are one: the least of their shingles
-    seals = held.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("row")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("seal2"))
+    seals = held.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("row")).alias("seal"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("seal2")).where("m > 1")
     tiles = materialise(seals.groupBy("m", "seal", "seal2").agg(F.min("h").alias("h")).select("h"), "jaccard-tiles")
     members = materialise(held.join(broadcast_if_small(tiles), "h").join(classes.select("row", "tid", "n"), "row").select(F.col("h").alias("tile"), "tid", "n"), "jaccard-members")
     linked = tile_components(members, rows, sets, lambda t: shingle_set(t, shingle), likeness, block, "jaccard")
     rooted = materialise(classes.join(linked, classes["tid"] == linked["node"], "left").select("tid", "first", F.coalesce("root", "tid").alias("root")), "jaccard-rooted")
     named = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-named")
     of_class = materialise(rooted.join(named, "root").select("tid", "component_id"), "jaccard-of-class")
-    discard(shared, held, tiles, members, rooted, named)
+    discard(held, tiles, members, rooted, named)
     out: list[Column] = [F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
     return sets.join(of_class, "tid", "left").select(*out)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from lectern.llm.bit_filter import passing
 from lectern.operators.components import connected_components
 from lectern.shared import broadcast_if_small, discard, materialise, release_memory
 
@@ -298,6 +299,8 @@ def tile_components(members: DataFrame, rows: DataFrame, keyed: DataFrame, make:
     met = materialise(ends.select("tid", "n", F.explode("tiles").alias("tile")), f"{name}-met")
     wanted = materialise(keyed.join(broadcast_if_small(met.select("tid").distinct()), "tid", "left_semi").groupBy("tid").agg(F.min("id").alias("of")), f"{name}-wanted")
     few = broadcast_if_small(wanted)
+    if few is wanted:  # texts are shuffled then: of those that may be wanted
+        rows = passing(rows, "id", wanted, "of")
     # rows of one id and text give a set twice, which then is in its tiles twice, under one label
     elements = materialise(_elements(rows.join(few, rows["id"].eqNullSafe(few["of"])).select("tid", "text"), make), f"{name}-elements")
     first = _links(met.select("tile", "tid", "n", F.col("tid").alias("label")), elements, likeness, block, f"{name}-first")

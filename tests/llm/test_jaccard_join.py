@@ -100,3 +100,32 @@ def test_prefixes_of_linked_sets_meet():
         words = min(len(T.bitmap(a)), len(T.bitmap(b)))
         apart = int(np.bitwise_count(T._folded(T.bitmap(a), words) ^ T._folded(T.bitmap(b), words)).sum()) if len(b) else 0
         assert 2 * overlap <= len(a) + len(b) - apart
+
+
+def test_bits_lose_nothing(spark):
+    from lectern.llm import bit_filter as B
+
+    values = np.unique(np.random.default_rng(5).integers(0, 1 << 40, 3000))
+    bits = B.Bits(dict(B.chunks(values)))
+    assert bits.holds(values).all() and not bits.holds(values[np.diff(values, append=1 << 41) > 1] + 1).any()
+    assert not B.Bits({}).holds(values).any()
+    rows = spark.createDataFrame([(None,), *((i,) for i in range(500))], "id long")
+    keys = spark.createDataFrame([(None,), (7,), (400,)], "k long")
+    kept = {r[0] for r in B.passing(rows, "id", keys, "k").collect()}
+    assert {None, 7, 400} <= kept and len(kept) < 20
+
+
+def test_shingles_of_one_class_are_not_shuffled_with_rows(spark, monkeypatch):
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in map(seen.apply, range(seen.size()))}
+    for module in (J, T):  # as with tables beyond the bounds
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df, *_: df, raising=False)
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(300))) for i in range(120)] + [(200 + i, " ".join([*base, *"abcd"[:i]])) for i in range(4)]
+    seen = store.stageList(None, False, False, none, None)
+    before = stages()
+    assert found(spark, rows) == brute(rows)
+    seen = store.stageList(None, False, False, none, None)
+    written = sum(n for k, n in stages().items() if k not in before)
+    assert written < 124 * 60  # their firsts, once; it was twice and more
