@@ -26,6 +26,8 @@ def width(n: float, most: int = MOST) -> int:
 
 def chunks(values: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(number, bits) of the chunks of sorted values."""
+    if not len(values):  # numpy splits nothing into one part
+        return
     of, first = np.unique(values >> CHUNK, return_index=True)
     for k, own in zip(of.tolist(), np.split(values, first[1:]), strict=True):
         alone = np.zeros(1 << CHUNK, np.uint8)
