@@ -12,6 +12,7 @@ from lectern.functions import clip, color, css, markup, paths, player
 from lectern.operators import align, anchors, fragments, inspect, lookups, pages, search, spans, toc, validate
 from lectern.operators.ordering import Ranged
 from lectern.predicates import timed
+from lectern.shared import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -671,12 +672,16 @@ def align_anchored(spark: SparkSession, d: str) -> DataFrame:
     """Twenty books whose chapters are conversations, each heard in the text of all of them, cut at anchors."""
     c = B.table(spark, d, "conversations").where("text is not null").select((F.col("conv_id") % 20).alias("book_id"), F.col("conv_id"), "turn", "text")
     told = c.groupBy("book_id", "conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
-    said = told.groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("conv_id", "text"))), lambda x: x["text"]), " ").alias("transcript"))
+    told = materialise(told, "told")
     chapters = told.select("book_id", F.col("conv_id").alias("ord"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chapter_id"), align.sentences(F.col("text")).alias("sentences"))
-    parts = Ranged(told.select("book_id", "conv_id", F.posexplode(F.split("text", " ")).alias("at", "w")).withColumn("size", (F.length("w") + 1).cast("long")), "book_id", "conv_id", "at").sum_before(F.col("size"), "start_off")
-    words = Ranged(parts, "book_id", "conv_id", "at").number("ord").select("book_id", "ord", (F.col("ord") * 0.5).alias("start_s"), (F.col("ord") * 0.5 + 0.4).alias("end_s"), "start_off", (F.col("start_off") + F.col("size") - 1).alias("end_off"), F.lit("a.mp3").alias("audiofile"))
-    tracks = said.select("book_id", F.lit("a.mp3").alias("href"), F.lit(1000000.0).alias("duration_s"))
-    return anchors.align_pieces(chapters, words, said, tracks)
+    # a book's text is its conversations' with a blank between two: where each begins, and how many words are before it
+    sized = told.select("book_id", "conv_id", (align.units("text") + 1).alias("size"), F.size(F.split("text", " ")).cast("long").alias("n"))
+    begun = Ranged(Ranged(sized, "book_id", "conv_id").sum_before(F.col("size"), "at"), "book_id", "conv_id").sum_before(F.col("n"), "first")
+    placed = materialise(told.join(begun.select("book_id", "conv_id", "at", "first"), ["book_id", "conv_id"]), "placed")
+    parts = placed.select("book_id", F.greatest(F.col("at") - 1, F.lit(0)).alias("at"), F.when(F.col("at") == 0, F.col("text")).otherwise(F.concat(F.lit(" "), F.col("text"))).alias("transcript"))
+    words = align.blank_words(placed).select("book_id", "ord", (F.col("ord") * 0.5).alias("start_s"), (F.col("ord") * 0.5 + 0.4).alias("end_s"), "start_off", "end_off", F.lit("a.mp3").alias("audiofile"))
+    tracks = told.select("book_id").distinct().select("book_id", F.lit("a.mp3").alias("href"), F.lit(1000000.0).alias("duration_s"))
+    return anchors.align_pieces(chapters, words, parts, tracks)
 
 
 _FILLED = "b AS (SELECT *, coalesce(lag(id) OVER (PARTITION BY chapter_id ORDER BY id), -1) AS prev FROM rng), filled AS (SELECT chapter_id, id, start_s, end_s, audiofile FROM rng UNION ALL SELECT chapter_id, unnest(range(prev + 1, id)) AS id, -1.0, -1.0, audiofile FROM b)"

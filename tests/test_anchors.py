@@ -1,6 +1,10 @@
 """A book aligned in pieces between anchors, against the book aligned in turn."""
 
 import random
+import tracemalloc
+
+import pyarrow as pa
+import pytest
 
 from lectern.operators import align, anchors
 
@@ -65,3 +69,74 @@ def test_rising():
             if all(a < b for a, b in zip(s, s[1:])):
                 best = max(best, len(s))
         assert len(got) == best and all(p[a] < p[b] for a, b in zip(got, got[1:]))
+
+
+def cut_between_words(draw, text):
+    """(at, part) of the text, at places before or behind white space, in code units."""
+    places = sorted(draw.sample([i for i in range(1, len(text)) if text[i].isspace() or text[i - 1].isspace()], 60))
+    parts, at = [], 0
+    for begin, end in zip([0, *places], [*places, len(text)]):
+        parts.append((at, text[begin:end]))
+        at += len(text[begin:end].encode("utf-16-le")) // 2
+    return parts
+
+
+@pytest.mark.parametrize("words", [1, 2, 5, 40])
+def test_sequences_of_words_pass_over_the_ends_of_parts(spark, words):
+    draw = random.Random(words)
+    texts = ["".join(draw.choice(["one", "Two’s", "é", "🙂", "x_y", ".", "   "]) + " " for _ in range(400)) for _ in range(2)] + ["a b", "  "]
+    want = []
+    for book, text in enumerate(texts):
+        found = list(anchors._words(align.code_units(text)))
+        want += [(book, found[i][0], anchors._gram([w for _, w in found[i : i + words]])) for i in range(len(found) - words + 1)]
+    parts = [(book, at, part) for book, text in enumerate(texts[:2]) for at, part in cut_between_words(draw, text)] + [(2, 0, "a"), (2, 1, " "), (2, 2, "b"), (3, 0, "  ")]
+    table = anchors.transcript_parts(spark.createDataFrame(parts, "book_id int, at long, transcript string"))
+    assert sorted((r.book_id, r.offset, bytes(r.gram)) for r in anchors._heard(table, words).collect()) == sorted(want)
+    table = anchors.transcript_parts(spark.createDataFrame(list(enumerate(texts)), "book_id int, transcript string"), 50)
+    assert table.count() > 40 and sorted((r.book_id, r.offset, bytes(r.gram)) for r in anchors._heard(table, words).collect()) == sorted(want)
+
+
+def test_transcripts_in_parts_and_odd_books(spark):
+    c, w, t, tracks = a_book(spark, 9, 3, 60)
+    parts = cut_between_words(random.Random(2), t.first().transcript)
+    odd = spark.createDataFrame([(2, 0, "d0", ["Nothing is heard of this one.", None, ""]), (3, 0, "e0", ["There is no transcript here."]), (4, 0, "f0", []), (5, 0, "g0", ["There are no words for this."])], c.schema)
+    told = c.union(odd)
+    files = tracks.union(spark.createDataFrame([(5, "a.mp3", 10.0)], tracks.schema))
+    timeless = w.union(spark.createDataFrame([(2, 0, None, None, None, None, None), (4, 0, 0.0, 1.0, 0, 5, "a.mp3")], w.schema))
+    whole = t.union(spark.createDataFrame([(2, ""), (4, "Hello there."), (5, "There are no words for this.")], t.schema))
+    cut = spark.createDataFrame([(1, *p) for p in parts] + [(2, 0, None), (4, 0, "Hello"), (4, 5, " there."), (5, 0, "There are no words for this.")], "book_id int, at int, transcript string")
+    want = sorted(map(tuple, align.align_books(c, w, t, tracks).collect()))
+    assert len(want) > 100
+    for heard in (whole, cut):
+        assert sorted(map(tuple, anchors.align_pieces(told, timeless, heard, files, every=20).collect())) == want
+
+
+def test_times_that_are_not_known_stay_null(spark):
+    c = spark.createDataFrame([(1, 0, "c0", ["The first one is heard here.", "And the second one follows it."])], "book_id int, ord int, chapter_id string, sentences array<string>")
+    text = "The first one is heard here. And the second one follows it." + " And so on it goes." * 300
+    w = spark.createDataFrame([(1, 0, None, None, 0, 28, "a.mp3"), (1, 1, 3.0, 4.0, 29, 60, "b.mp3")], "book_id int, ord int, start_s double, end_s double, start_off long, end_off long, audiofile string")
+    t = spark.createDataFrame([(1, text)], "book_id int, transcript string")
+    tracks = spark.createDataFrame([(1, "b.mp3", 9.0)], "book_id int, href string, duration_s double")
+    got = sorted(map(tuple, anchors.align_pieces(c, w, t, tracks).collect()))
+    assert got == [(1, "c0", 0, None, None, "a.mp3"), (1, "c0", 1, 3.0, 4.0, "b.mp3")]
+
+
+def test_a_passage_is_cut_as_it_is_come_to():
+    text = "This is a sentence. " * 100_000
+    window = align.Passage(text, 0)
+    assert window.find("this is a sentence.") == (0, 19)
+    window.move(19)
+    assert len(window.pieces) < 30
+
+
+def test_words_of_a_piece_are_held_as_numbers():
+    n, batch = 200_000, 10_000
+    columns = [pa.array([0.5] * batch), pa.array([0.9] * batch), pa.array(range(batch)), pa.array(range(batch)), pa.array(["a.mp3"] * batch)]
+    words = pa.StructArray.from_arrays(columns, ["start_s", "end_s", "start_off", "end_off", "audiofile"])
+    tracemalloc.start()
+    piece = anchors._Piece(1, 0)
+    for _ in range(n // batch):
+        piece.time(words)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(piece.words.audiofile) == len(piece.words.start_off) == n and held < 60 * n
